@@ -11,8 +11,10 @@ task; if one repository or file holds a third of all rows that task holds a thir
 2. a running aggregate over those bucket rows gives each bucket its carry-in;
 3. a window partitioned by (group, bucket) finishes inside the bucket and combines with the carry.
 
-The big side is shuffled once, by (group, bucket); only the small bucket table is re-partitioned.
-The aggregate must be associative (sum, min, max), which covers every use here.
+The big side is shuffled once, by (group, bucket): both the bucket totals and the in-bucket
+window read that one exchange (so the upstream plan runs once), and the final join finds the big
+side already partitioned; only the small bucket table is re-partitioned.  The aggregate must be
+associative (sum, min, max), which covers every use here.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def prefix_agg(df: DataFrame, keys: Sequence[str] | str, order: str, value: Colu
     agg, combine = _AGG[how]
     val = F.col(value) if isinstance(value, str) else value
     b, v, carry, inner = "_pa_bucket", "_pa_value", "_pa_carry", "_pa_inner"
-    d = df.withColumn(b, F.floor(F.col(order) / F.lit(width))).withColumn(v, val)
+    d = df.withColumn(b, F.floor(F.col(order) / F.lit(width))).withColumn(v, val).repartition(*keys, b)
 
     buckets = d.groupBy(*keys, b).agg(agg(v).alias(v))
     carry_w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +72,7 @@ def ordered_index(df: DataFrame, keys: Sequence[str] | str, bucket: Column, orde
     """
     keys = _cols(keys)
     b, base = "_oi_bucket", "_oi_base"
-    d = df.withColumn(b, bucket)
+    d = df.withColumn(b, bucket).repartition(*keys, b)
     counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_oi_n"))
     w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, b, F.coalesce(F.sum("_oi_n").over(w), F.lit(0)).alias(base))

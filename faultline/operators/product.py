@@ -54,12 +54,16 @@ def _lines(c: Column) -> Column:
     return F.split(F.coalesce(c, F.lit("")), "\n")
 
 
+def _blank(l: Column) -> Column:
+    return F.regexp_replace(l, r"[ \t\r\f]+", "") == ""
+
+
 def lines_code(c: Column) -> Column:
-    return F.size(F.filter(_lines(c), lambda l: (F.trim(l) != "") & ~text.is_comment_line(l))).cast("bigint")
+    return F.size(F.filter(_lines(c), lambda l: ~_blank(l) & ~text.is_comment_line(l))).cast("bigint")
 
 
 def lines_blank(c: Column) -> Column:
-    return F.size(F.filter(_lines(c), lambda l: F.trim(l) == "")).cast("bigint")
+    return F.size(F.filter(_lines(c), _blank)).cast("bigint")
 
 
 def num_tokens(c: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.ordered import prefix_agg
+from faultline.session import ensure_checkpoint_dir
 from faultline.sources.history import History, with_positions
 
 COMMITS_PER_REPO = 375
@@ -84,6 +85,9 @@ def tosca_doc(slot: Column, additions: Column, hunks: Column) -> Column:
 
 
 def bind(spark: SparkSession, sf_dir: str) -> History:
+    """Canonical history of the driver tables at ``sf_dir``.  Commits and file events are
+    checkpointed (written once to the checkpoint folder), as a deployment would read stored tables."""
+    ensure_checkpoint_dir(spark)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
@@ -96,7 +100,8 @@ def bind(spark: SparkSession, sf_dir: str) -> History:
         F.col("o_orderdate").alias("committed_at"),
         _case(F.col("o_custkey") % 16, MESSAGES).alias("msg"),
     )
-    positioned = with_positions(base)
+    # Materialised once: every canonical table below reads it.
+    positioned = with_positions(base).checkpoint()
     commits = positioned.drop("_key")
 
     grouped = (lineitem
@@ -124,6 +129,7 @@ def bind(spark: SparkSession, sf_dir: str) -> History:
                         .when(ct == "RENAME", file_name(p, ver - 1)).otherwise(file_name(p, ver))))
     prev = F.lag("content").over(Window.partitionBy("repo", "p").orderBy("idx"))
     ev = ev.withColumn("content_before", F.when(ct == "ADD", F.lit(None).cast("string")).otherwise(prev))
+    ev = ev.checkpoint()
 
     files = ev.select("repo", "commit_hash", "idx", F.col("p").cast("int").alias("pos"), "change_type",
                       "old_path", "new_path", "additions", "deletions", F.col("hunks").cast("int").alias("hunks"),

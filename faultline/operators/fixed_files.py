@@ -45,39 +45,66 @@ def merge_by_path(fixes: DataFrame, path_col: str = "filepath") -> DataFrame:
     return head.unionByName(rest)
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential merge for one lineage; rows come sorted newest commit first, then by position."""
-    pdf = pdf.sort_values(["idx", "pos"], ascending=[False, True])
-    renamed: dict[str, str] = {}
-    fixed: list[list] = []          # [filepath, fic_idx, bic_idx]
-    first: dict[str, int] = {}      # filepath -> index of its first interval in ``fixed``
-    for r in pdf.itertuples(index=False):
-        if r.change_type == "RENAME":
-            renamed[r.old_path] = renamed.get(r.new_path, r.new_path)
-        if pd.isna(r.bic_idx):
-            continue
-        fp = renamed.get(r.new_path, r.new_path)
-        j = first.get(fp)
+class _Walk:
+    """State of the newest-first walk over one lineage: rename map + intervals in insertion order."""
+
+    def __init__(self, repo: str, lineage: str):
+        self.repo, self.lineage = repo, lineage
+        self.renamed: dict[str, str] = {}
+        self.fixed: list[list] = []      # [filepath, fic_idx, bic_idx]
+        self.first: dict[str, int] = {}  # filepath -> index of its first interval
+
+    def step(self, idx: int, change_type: str, old_path, new_path, bic_idx) -> None:
+        if change_type == "RENAME":
+            self.renamed[old_path] = self.renamed.get(new_path, new_path)
+        if bic_idx is None or bic_idx != bic_idx:  # no bug-introducing commit (None / NaN)
+            return
+        bic_idx = int(bic_idx)
+        fp = self.renamed.get(new_path, new_path)
+        j = self.first.get(fp)
         if j is None:
-            first[fp] = len(fixed)
-            fixed.append([fp, int(r.idx), int(r.bic_idx)])
-            continue
-        ex = fixed[j]
-        if r.idx < ex[2]:
-            renamed.pop(r.new_path, None)
-            fp = r.new_path
-            if fp not in first:
-                first[fp] = len(fixed)
-            fixed.append([fp, int(r.idx), int(r.bic_idx)])
-        elif r.bic_idx < ex[2]:
-            ex[2] = int(r.bic_idx)
-    n = len(fixed)
+            self.first[fp] = len(self.fixed)
+            self.fixed.append([fp, idx, bic_idx])
+            return
+        ex = self.fixed[j]
+        if idx < ex[2]:
+            # An older fix outside the stored interval: a new interval under the path it had then.
+            self.renamed.pop(new_path, None)
+            self.first.setdefault(new_path, len(self.fixed))
+            self.fixed.append([new_path, idx, bic_idx])
+        elif bic_idx < ex[2]:
+            ex[2] = bic_idx
+
+
+def _rows(walks: list[_Walk]) -> pd.DataFrame:
+    rows = [(w.repo, w.lineage, f[0], f[1], f[2]) for w in walks for f in w.fixed]
     return pd.DataFrame({
-        "repo": pd.Series([pdf["repo"].iloc[0]] * n, dtype=object),
-        "lineage": pd.Series([pdf["lineage"].iloc[0]] * n, dtype=object),
-        "filepath": pd.Series([f[0] for f in fixed], dtype=object),
-        "fic_idx": pd.Series([f[1] for f in fixed], dtype="int64"),
-        "bic_idx": pd.Series([f[2] for f in fixed], dtype="int64")})
+        "repo": pd.Series([r[0] for r in rows], dtype=object),
+        "lineage": pd.Series([r[1] for r in rows], dtype=object),
+        "filepath": pd.Series([r[2] for r in rows], dtype=object),
+        "fic_idx": pd.Series([r[3] for r in rows], dtype="int64"),
+        "bic_idx": pd.Series([r[4] for r in rows], dtype="int64")})
+
+
+def _fold_partition(batches):
+    """Rows arrive hash-partitioned by (repo, lineage) and sorted by (repo, lineage, idx desc, pos),
+    so each lineage is one contiguous run; state is carried across Arrow batches and emitted when
+    the run ends.  Memory holds one lineage's state only."""
+    walk: _Walk | None = None
+    for pdf in batches:
+        done: list[_Walk] = []
+        cols = [pdf[c].to_numpy() for c in ("repo", "lineage", "idx", "change_type", "old_path", "new_path",
+                                            "bic_idx")]
+        for repo, lineage, idx, ct, old, new, bic in zip(*cols):
+            if walk is None or walk.repo != repo or walk.lineage != lineage:
+                if walk is not None:
+                    done.append(walk)
+                walk = _Walk(repo, lineage)
+            walk.step(int(idx), ct, old, new, bic)
+        if done:
+            yield _rows(done)
+    if walk is not None:
+        yield _rows([walk])
 
 
 def merge_with_renames(fixes: DataFrame, files: DataFrame, lineage: DataFrame, fix_range: DataFrame) -> DataFrame:
@@ -106,5 +133,7 @@ def merge_with_renames(fixes: DataFrame, files: DataFrame, lineage: DataFrame, f
     # A fix event that is itself a rename appears once, carrying both roles.
     events = (tricky.unionByName(renames.join(tricky.select("repo", "lineage", "idx", "pos"),
                                               ["repo", "lineage", "idx", "pos"], "left_anti")))
-    folded = events.groupBy("repo", "lineage").applyInPandas(_fold, FIXED_SCHEMA)
+    folded = (events.repartition("repo", "lineage")
+                    .sortWithinPartitions("repo", "lineage", F.col("idx").desc(), "pos")
+                    .mapInPandas(_fold_partition, FIXED_SCHEMA))
     return simple.select("repo", "lineage", "filepath", "fic_idx", "bic_idx").unionByName(folded)

@@ -32,7 +32,11 @@ def product_profile(profile: Profile) -> str | None:
 def add_deltas(df: DataFrame, metrics: list[str], key: list[str], order: str = "rel_no") -> DataFrame:
     """``delta_m`` for each metric against the previous row of the same ``key`` by ``order``."""
     d = prefix_agg(df, key, order, order, "max", "_prev")
-    prev = df.select(*key, F.col(order).alias("_prev"), *[F.col(m).alias(f"_p_{m}") for m in metrics])
+    # One previous row per (key, order): if a lineage shows two paths at one checkpoint, the
+    # greatest path is its representative.
+    prev = (df.groupBy(*key, F.col(order).alias("_prev"))
+              .agg(F.max_by(F.struct(*[F.col(m).alias(f"_p_{m}") for m in metrics]), F.col("filepath")).alias("_p"))
+              .select(*key, "_prev", "_p.*"))
     d = d.join(prev, [*key, "_prev"], "left")
     for m in metrics:
         d = d.withColumn(f"delta_{m}", F.round(F.coalesce(F.col(m).cast("double"), F.lit(0.0))
@@ -44,11 +48,12 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage:
                   prone: DataFrame | None, product: bool = True, process: bool = True,
                   delta: bool = False) -> DataFrame:
     """``checkpoints(repo, commit_hash, idx, rel_no)``; ``prone(repo, filepath, commit)`` or None."""
-    axis = checkpoint_axis(h.commits, checkpoints)
+    # The checkpoint axis and the kept file versions each feed several branches: written once.
+    axis = checkpoint_axis(h.commits, checkpoints).checkpoint()
     iv = valid_content(alive_intervals(h.files))
     iv = iv.filter(~F.regexp_extract("path", r"^(.*)/", 1).contains(".git"))
     iv = iv.filter(profile.keep(F.col("path"), F.col("content")))
-    iv = iv.join(lineage, ["repo", "path"])
+    iv = iv.join(lineage, ["repo", "path"]).checkpoint()
     metric_cols: list[str] = []
     prod = product_profile(profile) if product else None
     if prod:
@@ -76,5 +81,6 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage:
         metric_cols = PROCESS_METRICS + metric_cols
     out = rows.select("repo", "rel_no", "lineage", *ID_COLUMNS, *metric_cols)
     if delta and metric_cols:
-        out = add_deltas(out, metric_cols, ["repo", "lineage"])
+        # Deltas read the rows twice (own row, previous row): materialise them first.
+        out = add_deltas(out.checkpoint(), metric_cols, ["repo", "lineage"])
     return out

@@ -59,7 +59,8 @@ def fixed_files(h: History, profile: Profile, fixing: DataFrame, lineage: DataFr
                 follow_renames: bool = True) -> DataFrame:
     """``(repo, filepath, fic, bic, fic_idx, bic_idx)``."""
     lineage = lineage if lineage is not None else path_lineage(h.files)
-    fixes = szz_fixes(h, profile, fixing, lineage)
+    # The fix table (one row per blamed fix event) feeds several branches below: compute it once.
+    fixes = szz_fixes(h, profile, fixing, lineage).checkpoint()
     if follow_renames:
         merged = merge_with_renames(fixes, h.files, lineage, fix_range(fixing))
     else:

@@ -205,7 +205,7 @@ def q_resume_known(spark, sf):
     prof = profiles.ANSIBLE
     # A previous run covered history before 1998: its fixing commits are "known".
     before = h.commits.filter(F.col("committed_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    known = miner.mine_fixing_commits(History(before, h.files, h.diff_lines, h.tags), prof)
+    known = miner.mine_fixing_commits(History(before, h.files, h.diff_lines, h.tags), prof).checkpoint()
     new = miner.mine_fixing_commits(h, prof, known=known)
     merged = merge_known(new, known, h.commits)
     return (merged.join(new.select("repo", "commit_hash", F.lit(True).alias("is_new")), ["repo", "commit_hash"], "left")

@@ -2,8 +2,8 @@
 
 Our definitions (the original delegates to metric libraries).  Line and token metrics work on any
 text; key/structure metrics use the YAML nodes of ``functions.yaml`` and are NULL -- all of them,
-as in the original -- when the document does not parse.  Everything but the entropy is a
-row-local array expression; the entropy counts tokens with an explode + two aggregations.
+as in the original -- when the document does not parse.  Every metric is a row-local
+array expression (no shuffle): a document is one row and is processed whole.
 
 * lines_code: lines that are neither blank nor a ``#`` comment; lines_blank: blank lines
   (lines = the text split on ``\\n``, so a final newline yields one blank line);
@@ -74,19 +74,29 @@ def suspicious_comments(c: Column) -> Column:
     return F.size(F.filter(_lines(c), lambda l: text.is_comment_line(l) & l.rlike(SUSPICIOUS))).cast("bigint")
 
 
-def entropy(df: DataFrame, keys: list[str], content: str = "content", out: str = "text_entropy") -> DataFrame:
-    """M5: ``keys + [out]`` -- Shannon entropy of the token counts (rounded to 6 digits); 0 for no token.
+def entropy_col(c: Column) -> Column:
+    """M5 for one document, row-local: Shannon entropy (bits, 6 digits) of its token counts, 0 for
+    no token.  Tokens are sorted inside the row and equal runs folded into ``sum(c * log2 c)``, so
+    ``H = log2(n) - sum(c * log2 c) / n`` needs no shuffle of the tokens."""
+    def close(run):
+        return F.when(run > 0, run * F.log2(run)).otherwise(F.lit(0.0))
 
-    Tokens are exploded and counted per (document, token) with map-side partial aggregation; a
-    second aggregation per document folds ``log2(n) - sum(c*log2 c)/n``.
-    """
-    tok = df.select(*keys, F.explode(text.words(F.col(content))).alias("_t"))
-    counts = tok.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
-    per_doc = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.log2("_c")).alias("_s"))
-    h = F.round(F.log2("_n") - F.col("_s") / F.col("_n"), 6)
-    ent = per_doc.select(*keys, h.cast("double").alias(out))
-    return (df.select(*keys).distinct().join(ent, keys, "left")
-              .withColumn(out, F.coalesce(F.col(out), F.lit(0.0))))
+    s = F.array_sort(text.words(c))
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).cast("bigint").alias("run"),
+                    F.lit(0.0).alias("acc"))
+    folded = F.aggregate(
+        s, init,
+        lambda a, x: F.when(x == a["prev"], F.struct(x.alias("prev"), (a["run"] + 1).alias("run"), a["acc"].alias("acc")))
+                      .otherwise(F.struct(x.alias("prev"), F.lit(1).cast("bigint").alias("run"),
+                                          (a["acc"] + close(a["run"])).alias("acc"))),
+        lambda a: a["acc"] + close(a["run"]))
+    n = F.size(s)
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.log2(n) - folded / n, 6)).cast("double")
+
+
+def entropy(df: DataFrame, keys: list[str], content: str = "content", out: str = "text_entropy") -> DataFrame:
+    """M5 as a column added to ``keys`` (see ``entropy_col``)."""
+    return df.select(*keys, entropy_col(F.col(content)).alias(out))
 
 
 def _count(nodes: str, cond: str) -> str:
@@ -129,9 +139,8 @@ def product_metrics(df: DataFrame, keys: list[str], profile: str, content: str =
     """
     c = F.col(content)
     if profile == "text":
-        base = df.select(*keys, lines_code(c).alias("lines_code"), lines_blank(c).alias("lines_blank"),
-                         num_tokens(c).alias("num_tokens"))
-        return base.join(entropy(df, keys, content), keys).select(*keys, *TEXT_METRICS)
+        return df.select(*keys, lines_code(c).alias("lines_code"), lines_blank(c).alias("lines_blank"),
+                         num_tokens(c).alias("num_tokens"), entropy_col(c).alias("text_entropy"))
 
     with_nodes = df.select(*keys, content, yaml_nodes(content).alias("_nodes"))
     ok = parsable(c)
@@ -160,7 +169,6 @@ def product_metrics(df: DataFrame, keys: list[str], profile: str, content: str =
         names = TOSCA_METRICS
     else:
         raise ValueError(f"unknown profile {profile!r}")
-    sel = with_nodes.select(*keys, content, *[F.when(ok, v).alias(k) for k, v in cols.items()])
-    ent = entropy(df.filter(ok), keys, content)
-    out = sel.join(ent, keys, "left")
-    return out.select(*keys, *[F.col(n) for n in names])
+    cols["text_entropy"] = entropy_col(c)
+    sel = with_nodes.select(*keys, *[F.when(ok, v).alias(k) for k, v in cols.items()])
+    return sel.select(*keys, *[F.col(n) for n in names])

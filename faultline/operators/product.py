@@ -2,8 +2,9 @@
 
 Our definitions (the original delegates to metric libraries).  Line and token metrics work on any
 text; key/structure metrics use the YAML nodes of ``functions.yaml`` and are NULL -- all of them,
-as in the original -- when the document does not parse.  Every metric is a row-local
-array expression (no shuffle): a document is one row and is processed whole.
+as in the original -- when the document does not parse.  For file versions every metric
+is a row-local array expression (no shuffle); for long free text the entropy counts tokens with
+an explode + partial aggregation instead.
 
 * lines_code: lines that are neither blank nor a ``#`` comment; lines_blank: blank lines
   (lines = the text split on ``\\n``, so a final newline yields one blank line);
@@ -95,8 +96,17 @@ def entropy_col(c: Column) -> Column:
 
 
 def entropy(df: DataFrame, keys: list[str], content: str = "content", out: str = "text_entropy") -> DataFrame:
-    """M5 as a column added to ``keys`` (see ``entropy_col``)."""
-    return df.select(*keys, entropy_col(F.col(content)).alias(out))
+    """M5 for long free text: ``keys + [out]``.  Tokens are exploded and counted per (document,
+    token) with map-side partial aggregation (vectorised hash aggregation beats the per-token
+    lambda fold on long documents); a second aggregation per document folds
+    ``log2(n) - sum(c*log2 c)/n``.  Same values as ``entropy_col``."""
+    tok = df.select(*keys, F.explode(text.words(F.col(content))).alias("_t"))
+    counts = tok.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
+    per_doc = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.log2("_c")).alias("_s"))
+    h = F.round(F.log2("_n") - F.col("_s") / F.col("_n"), 6)
+    ent = per_doc.select(*keys, h.cast("double").alias(out))
+    return (df.select(*keys).join(ent, keys, "left")
+              .withColumn(out, F.coalesce(F.col(out), F.lit(0.0))))
 
 
 def _count(nodes: str, cond: str) -> str:
@@ -139,8 +149,9 @@ def product_metrics(df: DataFrame, keys: list[str], profile: str, content: str =
     """
     c = F.col(content)
     if profile == "text":
-        return df.select(*keys, lines_code(c).alias("lines_code"), lines_blank(c).alias("lines_blank"),
-                         num_tokens(c).alias("num_tokens"), entropy_col(c).alias("text_entropy"))
+        base = df.select(*keys, lines_code(c).alias("lines_code"), lines_blank(c).alias("lines_blank"),
+                         num_tokens(c).alias("num_tokens"))
+        return base.join(entropy(df, keys, content), keys).select(*keys, *TEXT_METRICS)
 
     with_nodes = df.select(*keys, content, yaml_nodes(content).alias("_nodes"))
     ok = parsable(c)

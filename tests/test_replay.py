@@ -1,0 +1,28 @@
+from faultline.operators.blame import oldest_inducing
+from faultline.operators.replay import apply_diff, replay_blame
+
+
+def test_apply_diff():
+    assert apply_diff([0, 0, 0], [2], [2], 1) == [0, 1, 0]
+    assert apply_diff([0, 1, 0], [], [1], 2) == [2, 0, 1, 0]
+    assert apply_diff([2, 0, 1, 0], [1, 2], [], 3) == [1, 0]
+
+
+def test_replay_blame(spark):
+    files = spark.createDataFrame([
+        ("r", "c0", 0, 0, "ADD", None, "a.yml"), ("r", "c1", 1, 0, "MODIFY", "a.yml", "a.yml"),
+        ("r", "c2", 2, 0, "RENAME", "a.yml", "b.yml"), ("r", "c3", 3, 0, "MODIFY", "b.yml", "b.yml")],
+        "repo string, commit_hash string, idx long, pos int, change_type string, old_path string, new_path string")
+    diff = spark.createDataFrame(
+        [("r", "c0", 0, "added", i) for i in (1, 2, 3)]
+        + [("r", "c1", 0, "deleted", 2), ("r", "c1", 0, "added", 2), ("r", "c2", 0, "added", 1),
+           ("r", "c3", 0, "deleted", 3), ("r", "c3", 0, "deleted", 4)],
+        "repo string, commit_hash string, pos int, side string, line_no int")
+    lineage = spark.createDataFrame([("r", "a.yml", "a.yml"), ("r", "b.yml", "a.yml")],
+                                    "repo string, path string, lineage string")
+    fixes = spark.createDataFrame([("r", "c3", 0)], "repo string, commit_hash string, pos int")
+    blamed = replay_blame(files, diff, lineage, fixes)
+    assert sorted((r.commit_hash, r.line_no, r.prev_idx) for r in blamed.collect()) == [("c3", 3, 1), ("c3", 4, 0)]
+    commits = spark.createDataFrame([("r", f"c{i}", i) for i in range(4)], "repo string, commit_hash string, idx long")
+    o = oldest_inducing(blamed, commits).collect()
+    assert [(r.commit_hash, r.bic) for r in o] == [("c3", "c0")]

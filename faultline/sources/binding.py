@@ -14,7 +14,7 @@ The SQL in ``__spark_entry__.oracle_sql`` builds the same tables in DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.ordered import prefix_agg
@@ -127,13 +127,18 @@ def bind(spark: SparkSession, sf_dir: str) -> History:
             .withColumn("new_path", F.when(ct == "DELETE", F.lit(None).cast("string")).otherwise(file_name(p, ver)))
             .withColumn("old_path", F.when(ct == "ADD", F.lit(None).cast("string"))
                         .when(ct == "RENAME", file_name(p, ver - 1)).otherwise(file_name(p, ver))))
-    prev = F.lag("content").over(Window.partitionBy("repo", "p").orderBy("idx"))
-    ev = ev.withColumn("content_before", F.when(ct == "ADD", F.lit(None).cast("string")).otherwise(prev))
     ev = ev.checkpoint()
-
-    files = ev.select("repo", "commit_hash", "idx", F.col("p").cast("int").alias("pos"), "change_type",
-                      "old_path", "new_path", "additions", "deletions", F.col("hunks").cast("int").alias("hunks"),
-                      "content", "content_before")
+    # Content before = content after the file's previous event: a prefix max of positions finds
+    # that event, an equi-join fetches its content (no window over a whole file history).
+    ev_prev = prefix_agg(ev, ["repo", "p"], "idx", "idx", "max", "_prev_idx")
+    before = ev.select("repo", "p", F.col("idx").alias("_prev_idx"), F.col("content").alias("_before"))
+    with_before = (ev_prev.join(before, ["repo", "p", "_prev_idx"], "left")
+                          .withColumn("content_before", F.when(ct == "ADD", F.lit(None).cast("string"))
+                                      .otherwise(F.col("_before"))))
+
+    files = with_before.select("repo", "commit_hash", "idx", F.col("p").cast("int").alias("pos"), "change_type",
+                               "old_path", "new_path", "additions", "deletions",
+                               F.col("hunks").cast("int").alias("hunks"), "content", "content_before").checkpoint()
 
     path = F.coalesce(F.col("new_path"), F.col("old_path"))
     added = ev.filter(ct != "DELETE").select(

@@ -46,8 +46,14 @@ def add_deltas(df: DataFrame, metrics: list[str], key: list[str], order: str = "
 
 def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage: DataFrame,
                   prone: DataFrame | None, product: bool = True, process: bool = True,
-                  delta: bool = False) -> DataFrame:
-    """``checkpoints(repo, commit_hash, idx, rel_no)``; ``prone(repo, filepath, commit)`` or None."""
+                  delta: bool = False, process_df: DataFrame | None = None,
+                  product_df: DataFrame | None = None) -> DataFrame:
+    """``checkpoints(repo, commit_hash, idx, rel_no)``; ``prone(repo, filepath, commit)`` or None.
+
+    ``process_df`` (output of ``process_metrics`` for these checkpoints) and ``product_df``
+    (``repo, idx, path`` + product metrics of each file version) may be passed when a pipeline has
+    already computed them; otherwise they are computed here.
+    """
     # The checkpoint axis and the kept file versions each feed several branches: written once.
     axis = checkpoint_axis(h.commits, checkpoints).checkpoint()
     iv = valid_content(alive_intervals(h.files))
@@ -57,7 +63,10 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage:
     metric_cols: list[str] = []
     prod = product_profile(profile) if product else None
     if prod:
-        pm = product_metrics(iv.select("repo", "path", "idx", "content"), ["repo", "path", "idx"], prod)
+        if product_df is None:
+            pm = product_metrics(iv.select("repo", "path", "idx", "content"), ["repo", "path", "idx"], prod)
+        else:
+            pm = product_df
         iv = iv.join(pm, ["repo", "path", "idx"], "left")
         metric_cols = list(ANSIBLE_METRICS if prod == "ansible" else TOSCA_METRICS)
     rows = expand_to_checkpoints(iv.drop("content"), axis)
@@ -72,7 +81,8 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage:
     else:
         rows = rows.withColumn("failure_prone", F.lit(0))
     if process:
-        pr = process_metrics(h.files, h.commits, axis, lineage).drop("filepath")
+        pr = (process_df if process_df is not None else process_metrics(h.files, h.commits, axis, lineage)
+              ).drop("filepath")
         per_cp = pr.select("repo", "rel_no", "change_set_max", "change_set_avg").distinct()
         rows = (rows.join(pr.drop("change_set_max", "change_set_avg"), ["repo", "rel_no", "lineage"], "left")
                     .join(per_cp, ["repo", "rel_no"], "left"))

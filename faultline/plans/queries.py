@@ -378,8 +378,19 @@ def _yaml_versions(spark, sf, tech: str) -> DataFrame:
     return f.filter(keep).select("repo", "commit_hash", "pos", "content")
 
 
+def ansible_versions(spark, sf) -> DataFrame:
+    """Product metrics of every Ansible file version, keyed by event and by (repo, idx, path)."""
+    def build():
+        v = _yaml_versions(spark, sf, "ansible").join(
+            history(spark, sf).files.select("repo", "commit_hash", "pos", "idx", F.col("new_path").alias("path")),
+            ["repo", "commit_hash", "pos"])
+        m = product.product_metrics(v, ["repo", "commit_hash", "pos"], "ansible")
+        return m.join(v.select("repo", "commit_hash", "pos", "idx", "path"), ["repo", "commit_hash", "pos"])
+    return _once(spark, sf, "product:ansible", build)
+
+
 def q_prod_ansible(spark, sf):
-    m = product.product_metrics(_yaml_versions(spark, sf, "ansible"), ["repo", "commit_hash", "pos"], "ansible")
+    m = ansible_versions(spark, sf)
     return m.select("repo", "commit_hash", _big("pos"), *[_metric(c) for c in product.ANSIBLE_METRICS])
 
 
@@ -391,16 +402,19 @@ def q_prod_tosca(spark, sf):
 # ---------------------------------------------------------------- dataset, deltas, sinks
 def q_delta_metrics(spark, sf):
     h = history(spark, sf)
+    pm = ansible_versions(spark, sf).select("repo", "idx", "path", *product.ANSIBLE_METRICS)
     ds = dataset.build_dataset(h, profiles.ANSIBLE, releases_of(spark, sf), lineage_of(spark, sf), None,
-                               product=True, process=False, delta=True)
+                               product=True, process=False, delta=True, product_df=pm)
     cols = [f"delta_{m}" for m in product.ANSIBLE_METRICS]
     return ds.select("repo", _big("rel_no"), "filepath", *[_r6(c).alias(c) for c in cols])
 
 
 def q_metrics_dataset(spark, sf):
     h = history(spark, sf)
+    pm = ansible_versions(spark, sf).select("repo", "idx", "path", *product.ANSIBLE_METRICS)
     ds = dataset.build_dataset(h, profiles.ANSIBLE, releases_of(spark, sf), lineage_of(spark, sf),
-                               prone_named(spark, sf), product=True, process=True, delta=False)
+                               prone_named(spark, sf), product=True, process=True, delta=False,
+                               process_df=process_at_releases(spark, sf), product_df=pm)
     return ds.select("repo", "filepath", "commit", "committed_at", _big("failure_prone"),
                      *[_metric(c) for c in PROCESS_METRICS + product.ANSIBLE_METRICS])
 

@@ -29,13 +29,13 @@ from faultline.sources.binding import bind
 from faultline.sources.history import (History, commit_checkpoints, diff_scan, file_events, on_branch, point_scan,
                                        range_scan, release_checkpoints)
 
-_BOUND: dict[tuple[int, str], History] = {}
-_CACHE: dict[tuple[int, str, str], DataFrame] = {}
+_BOUND: dict[tuple[str, str], History] = {}
+_CACHE: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def history(spark: SparkSession, sf_dir: str) -> History:
     """The bound history of ``sf_dir``, built once per session (its tables are checkpointed)."""
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BOUND:
         _BOUND[key] = bind(spark, sf_dir)
     return _BOUND[key]
@@ -43,7 +43,7 @@ def history(spark: SparkSession, sf_dir: str) -> History:
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A shared intermediate (lineage, fixing commits) checkpointed once per session."""
-    key = (id(spark.sparkContext), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _CACHE:
         _CACHE[key] = build().checkpoint()
     return _CACHE[key]

@@ -51,3 +51,8 @@ def is_comment_line(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Whitespace tokens with empties removed (product metrics M4/M5)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda w: w != "")
+
+
+def sentence_token_lists(msg: Column) -> Column:
+    """``ARRAY<ARRAY<STRING>>`` -- the alphabetic tokens of each sentence."""
+    return F.transform(sentences(msg), tokens)

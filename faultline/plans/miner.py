@@ -56,11 +56,12 @@ def attach_hashes(fixed: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def fixed_files(h: History, profile: Profile, fixing: DataFrame, lineage: DataFrame | None = None,
-                follow_renames: bool = True) -> DataFrame:
-    """``(repo, filepath, fic, bic, fic_idx, bic_idx)``."""
+                follow_renames: bool = True, fixes: DataFrame | None = None) -> DataFrame:
+    """``(repo, filepath, fic, bic, fic_idx, bic_idx)``.  ``fixes`` = a precomputed ``szz_fixes``."""
     lineage = lineage if lineage is not None else path_lineage(h.files)
-    # The fix table (one row per blamed fix event) feeds several branches below: compute it once.
-    fixes = szz_fixes(h, profile, fixing, lineage).checkpoint()
+    if fixes is None:
+        # The fix table (one row per blamed fix event) feeds several branches below: compute it once.
+        fixes = szz_fixes(h, profile, fixing, lineage).checkpoint()
     if follow_renames:
         merged = merge_with_renames(fixes, h.files, lineage, fix_range(fixing))
     else:

@@ -252,10 +252,15 @@ def q_szz_blame(spark, sf):
     return b.select("repo", "commit_hash", _big("pos"), _big("line_no"), _big("prev_idx"))
 
 
-def q_szz_oldest(spark, sf):
+def szz_of(spark, sf) -> DataFrame:
+    """J4+J5 for the Ansible fixing commits, computed once per session."""
     h = history(spark, sf)
-    o = oldest_inducing(blame(_fix_events(spark, sf), h.diff_lines, lineage_of(spark, sf)), h.commits)
-    return o.select("repo", "commit_hash", _big("pos"), "bic", _big("bic_idx"))
+    return _once(spark, sf, "szz", lambda: miner.szz_fixes(h, profiles.ANSIBLE, fixing_of(spark, sf),
+                                                           lineage_of(spark, sf)))
+
+
+def q_szz_oldest(spark, sf):
+    return szz_of(spark, sf).select("repo", "commit_hash", _big("pos"), "bic", _big("bic_idx"))
 
 
 def q_lineage(spark, sf):
@@ -265,7 +270,8 @@ def q_lineage(spark, sf):
 def fixed_by_path(spark, sf) -> DataFrame:
     h = history(spark, sf)
     return _once(spark, sf, "fixed:w2", lambda: miner.fixed_files(
-        h, profiles.ANSIBLE, fixing_of(spark, sf), lineage_of(spark, sf), follow_renames=False))
+        h, profiles.ANSIBLE, fixing_of(spark, sf), lineage_of(spark, sf), follow_renames=False,
+        fixes=szz_of(spark, sf)))
 
 
 def q_fixed_files(spark, sf):
@@ -274,7 +280,8 @@ def q_fixed_files(spark, sf):
 
 def q_fixed_files_renamed(spark, sf):
     h = history(spark, sf)
-    ff = miner.fixed_files(h, profiles.ANSIBLE, fixing_of(spark, sf), lineage_of(spark, sf), follow_renames=True)
+    ff = miner.fixed_files(h, profiles.ANSIBLE, fixing_of(spark, sf), lineage_of(spark, sf), follow_renames=True,
+                           fixes=szz_of(spark, sf))
     return ff.select("repo", "filepath", "fic", "bic", _big("fic_idx"), _big("bic_idx"))
 
 
@@ -375,18 +382,13 @@ def q_prod_entropy(spark, sf):
 def _yaml_versions(spark, sf, tech: str) -> DataFrame:
     f = history(spark, sf).files.filter(F.col("change_type") != "DELETE")
     keep = paths.is_ansible_file(F.col("new_path")) if tech == "ansible" else paths.is_tosca_file(F.col("new_path"), F.col("content"))
-    return f.filter(keep).select("repo", "commit_hash", "pos", "content")
+    return f.filter(keep).select("repo", "commit_hash", "pos", "idx", F.col("new_path").alias("path"), "content")
 
 
 def ansible_versions(spark, sf) -> DataFrame:
     """Product metrics of every Ansible file version, keyed by event and by (repo, idx, path)."""
-    def build():
-        v = _yaml_versions(spark, sf, "ansible").join(
-            history(spark, sf).files.select("repo", "commit_hash", "pos", "idx", F.col("new_path").alias("path")),
-            ["repo", "commit_hash", "pos"])
-        m = product.product_metrics(v, ["repo", "commit_hash", "pos"], "ansible")
-        return m.join(v.select("repo", "commit_hash", "pos", "idx", "path"), ["repo", "commit_hash", "pos"])
-    return _once(spark, sf, "product:ansible", build)
+    return _once(spark, sf, "product:ansible", lambda: product.product_metrics(
+        _yaml_versions(spark, sf, "ansible"), ["repo", "commit_hash", "pos", "idx", "path"], "ansible"))
 
 
 def q_prod_ansible(spark, sf):
@@ -395,7 +397,8 @@ def q_prod_ansible(spark, sf):
 
 
 def q_prod_tosca(spark, sf):
-    m = product.product_metrics(_yaml_versions(spark, sf, "tosca"), ["repo", "commit_hash", "pos"], "tosca")
+    m = product.product_metrics(_yaml_versions(spark, sf, "tosca").drop("idx", "path"), ["repo", "commit_hash", "pos"],
+                                "tosca")
     return m.select("repo", "commit_hash", _big("pos"), *[_metric(c) for c in product.TOSCA_METRICS])
 
 

@@ -1,8 +1,9 @@
 """Failure-prone labels: J7 (range), J8 (name at the commit), J9 (0/1 flag).
 
 J7 emits, for every fixed file, one row per commit with ``bic_idx <= idx < fic_idx``.  Instead of a
-range join (commits x intervals), each interval is expanded with ``sequence`` -- every generated
-row is an output row -- and commit hashes are attached with an equi-join on ``(repo, idx)``.
+range join (commits x intervals), each interval is expanded (``ordered.expand_range``: chunks,
+hash-distributed, then ``sequence``) -- every generated row is an output row -- and commit hashes
+are attached with an equi-join on ``(repo, idx)``.
 
 J8: walking from the last fix back to the first commit, a rename ``old -> new`` seen *after* a
 commit (in time) makes rows of ``new`` at that commit carry ``old``; one hop only.  For a row at
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.operators.ordered import expand_range
+
 FIXED_KEY = ["repo", "filepath", "fic_idx", "bic_idx"]
 
 
@@ -44,9 +47,9 @@ def failure_prone(fixed: DataFrame, files: DataFrame, commits: DataFrame, last_f
                        F.col("bic_idx").alias("lo"), (F.col("fic_idx") - 1).alias("hi"))
     lo = F.greatest(F.col("lo"), F.col("bic_idx"))
     hi = F.least(F.col("hi"), F.col("fic_idx") - 1)
-    rows = (seg.filter(lo <= hi)
-               .select("repo", F.coalesce(F.col("old_path"), F.col("filepath")).alias("name"), "fic_idx",
-                       F.explode(F.sequence(lo, hi)).alias("idx")))
+    named = seg.select("repo", F.coalesce(F.col("old_path"), F.col("filepath")).alias("name"), "fic_idx",
+                       lo.alias("lo"), hi.alias("hi"))
+    rows = expand_range(named, F.col("lo"), F.col("hi"), "idx", ["repo", "name", "fic_idx"]).drop("lo", "hi")
     ch = commits.select("repo", "idx", "commit_hash")
     return (rows.join(ch, ["repo", "idx"])
                 .join(ch.select("repo", F.col("idx").alias("fic_idx"), F.col("commit_hash").alias("fixing_commit")),

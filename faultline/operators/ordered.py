@@ -79,3 +79,21 @@ def ordered_index(df: DataFrame, keys: Sequence[str] | str, bucket: Column, orde
     rn = F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order))
     d = d.withColumn(out, rn).join(counts, on=[*keys, b], how="left")
     return d.withColumn(out, (F.col(out) + F.col(base) - 1).cast("bigint")).drop(b, base)
+
+
+def expand_range(df: DataFrame, lo: Column, hi: Column, out: str, keys: Sequence[str],
+                 chunk: int = 4096) -> DataFrame:
+    """One row per integer ``out`` in ``[lo, hi]`` for each input row (no row when ``lo > hi``).
+
+    Two levels, so a single huge range is produced by many tasks: the range is first cut into
+    ``chunk``-wide pieces (few rows), the pieces are hash-distributed by ``keys`` + piece, and each
+    piece is expanded where it lands.  Every generated row is an output row.
+    """
+    c = "_er_chunk"
+    d = (df.withColumn("_er_lo", lo).withColumn("_er_hi", hi)
+           .filter(F.col("_er_lo") <= F.col("_er_hi"))
+           .withColumn(c, F.explode(F.sequence(F.floor(F.col("_er_lo") / chunk), F.floor(F.col("_er_hi") / chunk))))
+           .repartition(*keys, c))
+    a = F.greatest(F.col("_er_lo"), F.col(c) * chunk)
+    b = F.least(F.col("_er_hi"), F.col(c) * chunk + (chunk - 1))
+    return d.withColumn(out, F.explode(F.sequence(a, b))).drop(c, "_er_lo", "_er_hi")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.ordered import prefix_agg
+from faultline.operators.ordered import expand_range, prefix_agg
 
 
 def checkpoint_axis(commits: DataFrame, checkpoints: DataFrame) -> DataFrame:
@@ -72,8 +72,7 @@ def expand_to_checkpoints(intervals: DataFrame, axis: DataFrame) -> DataFrame:
     hi = a.select("repo", F.col("idx").alias("next_idx"), F.col("before").alias("_hi_before"))
     both = lo.join(hi, ["repo", "next_idx"], "left")
     last = F.coalesce(F.col("_hi_before"), F.col("n_cp")) - 1
-    return (both.filter(F.col("_lo") <= last)
-                .withColumn("rel_no", F.explode(F.sequence(F.col("_lo"), last)))
+    return (expand_range(both, F.col("_lo"), last, "rel_no", ["repo", "path", "idx"])
                 .drop("_lo", "_hi_before", "n_cp"))
 
 

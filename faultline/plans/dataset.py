@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from faultline.operators.labels import label_flag
 from faultline.operators.ordered import prefix_agg
 from faultline.operators.process import PROCESS_METRICS, process_metrics
-from faultline.operators.product import ANSIBLE_METRICS, TOSCA_METRICS, product_metrics
+from faultline.operators.product import ANSIBLE_METRICS, TOSCA_METRICS
 from faultline.operators.snapshot import alive_intervals, checkpoint_axis, expand_to_checkpoints, valid_content
 from faultline.plans.profiles import Profile
 from faultline.sources.history import History
@@ -26,7 +26,7 @@ ID_COLUMNS = ["filepath", "commit", "committed_at", "failure_prone"]
 
 
 def product_profile(profile: Profile) -> str | None:
-    return {"ansible": "ansible", "tosca": "tosca"}.get(profile.name)
+    return profile.metrics
 
 
 def add_deltas(df: DataFrame, metrics: list[str], key: list[str], order: str = "rel_no") -> DataFrame:
@@ -64,7 +64,7 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage:
     prod = product_profile(profile) if product else None
     if prod:
         if product_df is None:
-            pm = product_metrics(iv.select("repo", "path", "idx", "content"), ["repo", "path", "idx"], prod)
+            pm = profile.product_metrics(iv.select("repo", "path", "idx", "content"), ["repo", "path", "idx"])
         else:
             pm = product_df
         iv = iv.join(pm, ["repo", "path", "idx"], "left")

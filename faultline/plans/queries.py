@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from faultline.functions import paths, rules, text
 from faultline.functions.yaml import yaml_nodes
 from faultline.operators import classify, product
-from faultline.operators.blame import blame, oldest_inducing
-from faultline.operators.fixed_files import merge_by_path
+from faultline.operators.blame import blame
 from faultline.operators.fixes import merge_known, sort_commits
 from faultline.operators.lineage import path_lineage
 from faultline.operators.process import PROCESS_METRICS, process_metrics

@@ -51,3 +51,23 @@ def test_dataset_shapes_commit_mode(spark):
     metric_cols = full.columns[3:]
     assert len(metric_cols) == 4 + 16 + 16
     assert metric_cols[4:20] == PROCESS_METRICS
+
+
+def test_collapse_whitespace(spark):
+    df = spark.createDataFrame([("a \t\n b  c",)], "s string")
+    assert df.select(text.collapse_ws(F.col("s"))).first()[0] == "a b c"
+
+
+def test_snapshot_hides_git_folders(spark):
+    from faultline.operators.snapshot import checkpoint_axis, snapshot
+    files = spark.createDataFrame([
+        ("r", "c0", 0, 0, "ADD", None, ".github/workflows/ci.yml", "x"),
+        ("r", "c0", 0, 1, "ADD", None, "README.md", "y"),
+        ("r", "c1", 1, 0, "RENAME", "README.md", "docs/README.md", "y"),
+        ("r", "c2", 2, 0, "DELETE", "docs/README.md", None, None)],
+        "repo string, commit_hash string, idx long, pos int, change_type string, old_path string, "
+        "new_path string, content string")
+    commits = spark.createDataFrame([("r", f"c{i}", i) for i in range(3)], "repo string, commit_hash string, idx long")
+    cps = commits.withColumn("rel_no", F.col("idx"))
+    got = sorted((r.rel_no, r.path) for r in snapshot(files, checkpoint_axis(commits, cps)).collect())
+    assert got == [(0, "README.md"), (1, "docs/README.md")]

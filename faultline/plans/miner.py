@@ -18,14 +18,14 @@ from faultline.operators.labels import failure_prone
 from faultline.operators.lineage import path_lineage
 from faultline.plans.profiles import Profile
 from faultline.session import ensure_checkpoint_dir
-from faultline.sources.history import History
+from faultline.sources.history import History, on_branch
 
 
 def mine_fixing_commits(h: History, profile: Profile, known: DataFrame | None = None,
-                        extra_config_modules: list[str] | None = None) -> DataFrame:
-    """``(repo, commit_hash, idx, labels)`` of new fixing commits."""
-    return fixing_commits(h.commits, h.files, h.diff_lines, profile.keep, profile.ansible_signals, known=known,
-                          extra_config_modules=extra_config_modules)
+                        extra_config_modules: list[str] | None = None, branch: str | None = None) -> DataFrame:
+    """``(repo, commit_hash, idx, labels)`` of new fixing commits (of one branch when given, S2)."""
+    return fixing_commits(on_branch(h.commits, branch), h.files, h.diff_lines, profile.keep, profile.ansible_signals,
+                          known=known, extra_config_modules=extra_config_modules)
 
 
 def fix_events(h: History, profile: Profile, fixing: DataFrame) -> DataFrame:
@@ -83,11 +83,12 @@ class Mined:
     failure_prone: DataFrame
 
 
-def mine(h: History, profile: Profile, known: DataFrame | None = None, follow_renames: bool = True) -> Mined:
+def mine(h: History, profile: Profile, known: DataFrame | None = None, follow_renames: bool = True,
+         branch: str | None = None) -> Mined:
     """Whole plan.  Lineage and fixing commits are each used several times downstream, so they are
     checkpointed once (reliable checkpoint in the shared folder): computed once, short plans."""
     ensure_checkpoint_dir(h.commits.sparkSession)
     lineage = path_lineage(h.files).checkpoint()
-    fixing = mine_fixing_commits(h, profile, known).checkpoint()
+    fixing = mine_fixing_commits(h, profile, known, branch=branch).checkpoint()
     fixed = fixed_files(h, profile, fixing, lineage, follow_renames)
     return Mined(lineage, fixing, fixed, label(h, fixed, fixing, follow_renames))

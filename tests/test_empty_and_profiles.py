@@ -21,3 +21,11 @@ def test_profile_hooks(spark):
     assert profiles.ANSIBLE.product_metrics(df, ["id"]).first().num_tasks == 1
     p = spark.createDataFrame([("roles/x/tasks/a.yml", None), ("src/a.py", None)], "path string, content string")
     assert [r[0] for r in p.select(profiles.ANSIBLE.ignore(F.col("path"), F.col("content"))).collect()] == [False, True]
+
+
+def test_branch_scoped_mining(spark):
+    h = bind(spark, SF001)
+    on_f = miner.mine_fixing_commits(h, profiles.ANSIBLE, branch="F")
+    every = miner.mine_fixing_commits(h, profiles.ANSIBLE)
+    f_hashes = h.commits.filter(F.col("branch") == "F").select("repo", "commit_hash")
+    assert on_f.count() == every.join(f_hashes, ["repo", "commit_hash"], "left_semi").count() > 0

@@ -47,15 +47,16 @@ def add_deltas(df: DataFrame, metrics: list[str], key: list[str], order: str = "
 def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage: DataFrame,
                   prone: DataFrame | None, product: bool = True, process: bool = True,
                   delta: bool = False, process_df: DataFrame | None = None,
-                  product_df: DataFrame | None = None) -> DataFrame:
+                  product_df: DataFrame | None = None, axis: DataFrame | None = None) -> DataFrame:
     """``checkpoints(repo, commit_hash, idx, rel_no)``; ``prone(repo, filepath, commit)`` or None.
 
-    ``process_df`` (output of ``process_metrics`` for these checkpoints) and ``product_df``
-    (``repo, idx, path`` + product metrics of each file version) may be passed when a pipeline has
-    already computed them; otherwise they are computed here.
+    ``process_df`` (output of ``process_metrics`` for these checkpoints), ``product_df``
+    (``repo, idx, path`` + product metrics of each file version) and ``axis`` (``checkpoint_axis``)
+    may be passed when a pipeline has already computed them; otherwise they are computed here.
     """
     # The checkpoint axis and the kept file versions each feed several branches: written once.
-    axis = checkpoint_axis(h.commits, checkpoints).checkpoint()
+    if axis is None:
+        axis = checkpoint_axis(h.commits, checkpoints).checkpoint()
     iv = valid_content(alive_intervals(h.files))
     iv = iv.filter(~F.regexp_extract("path", r"^(.*)/", 1).contains(".git"))
     iv = iv.filter(profile.keep(F.col("path"), F.col("content")))

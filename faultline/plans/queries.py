@@ -63,6 +63,12 @@ def releases_of(spark, sf_dir) -> DataFrame:
     return release_checkpoints(h.commits, h.tags)
 
 
+def axis_of(spark, sf_dir) -> DataFrame:
+    """Checkpoint axis of the release checkpoints, computed once per session."""
+    h = history(spark, sf_dir)
+    return _once(spark, sf_dir, "axis:releases", lambda: checkpoint_axis(h.commits, releases_of(spark, sf_dir)))
+
+
 def _big(c: str) -> F.Column:
     return F.col(c).cast("bigint").alias(c)
 
@@ -304,7 +310,7 @@ def q_label_flag(spark, sf):
     from faultline.operators.labels import label_flag
     h = history(spark, sf)
     cps = releases_of(spark, sf)
-    snap = snapshot(h.files, checkpoint_axis(h.commits, cps))
+    snap = snapshot(h.files, axis_of(spark, sf))
     rows = (snap.join(cps.select("repo", "rel_no", F.col("commit_hash").alias("commit")), ["repo", "rel_no"])
                 .withColumnRenamed("path", "filepath"))
     return label_flag(rows, prone_named(spark, sf)).select("repo", _big("rel_no"), "filepath",
@@ -314,14 +320,14 @@ def q_label_flag(spark, sf):
 # ---------------------------------------------------------------- snapshot, process metrics
 def q_snapshot(spark, sf):
     h = history(spark, sf)
-    s = snapshot(h.files, checkpoint_axis(h.commits, releases_of(spark, sf)))
+    s = snapshot(h.files, axis_of(spark, sf))
     return s.select("repo", _big("rel_no"), "path")
 
 
 def process_at_releases(spark, sf) -> DataFrame:
     h = history(spark, sf)
     return _once(spark, sf, "process", lambda: process_metrics(
-        h.files, h.commits, checkpoint_axis(h.commits, releases_of(spark, sf)), lineage_of(spark, sf)))
+        h.files, h.commits, axis_of(spark, sf), lineage_of(spark, sf)))
 
 
 PROC_GROUPS = {
@@ -406,7 +412,7 @@ def q_delta_metrics(spark, sf):
     h = history(spark, sf)
     pm = ansible_versions(spark, sf).select("repo", "idx", "path", *product.ANSIBLE_METRICS)
     ds = dataset.build_dataset(h, profiles.ANSIBLE, releases_of(spark, sf), lineage_of(spark, sf), None,
-                               product=True, process=False, delta=True, product_df=pm)
+                               product=True, process=False, delta=True, product_df=pm, axis=axis_of(spark, sf))
     cols = [f"delta_{m}" for m in product.ANSIBLE_METRICS]
     return ds.select("repo", _big("rel_no"), "filepath", *[_r6(c).alias(c) for c in cols])
 
@@ -416,7 +422,7 @@ def q_metrics_dataset(spark, sf):
     pm = ansible_versions(spark, sf).select("repo", "idx", "path", *product.ANSIBLE_METRICS)
     ds = dataset.build_dataset(h, profiles.ANSIBLE, releases_of(spark, sf), lineage_of(spark, sf),
                                prone_named(spark, sf), product=True, process=True, delta=False,
-                               process_df=process_at_releases(spark, sf), product_df=pm)
+                               process_df=process_at_releases(spark, sf), product_df=pm, axis=axis_of(spark, sf))
     return ds.select("repo", "filepath", "commit", "committed_at", _big("failure_prone"),
                      *[_metric(c) for c in PROCESS_METRICS + product.ANSIBLE_METRICS])
 

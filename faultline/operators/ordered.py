@@ -39,27 +39,43 @@ def _cols(xs: Sequence[str] | str) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs)
 
 
-def prefix_agg(df: DataFrame, keys: Sequence[str] | str, order: str, value: Column | str, how: str, out: str,
-               inclusive: bool = False, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Add ``out`` = ``how(value)`` over the rows of the same ``keys`` whose integer ``order`` is
-    strictly smaller (or smaller-or-equal when ``inclusive``).  Ties in ``order`` are treated alike,
-    so the answer does not depend on row order.  Rows with a NULL ``value`` do not contribute.
+def prefix_aggs(df: DataFrame, keys: Sequence[str] | str, order: str,
+                specs: Sequence[tuple[Column | str, str, str, bool]], width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Several prefix aggregates over the same (keys, order) axis in one two-level pass.
+
+    ``specs``: ``(value, how, out, inclusive)`` -- ``out`` = ``how(value)`` over the rows of the same
+    ``keys`` whose integer ``order`` is strictly smaller (or smaller-or-equal when ``inclusive``).
+    Ties in ``order`` are treated alike, so the answer does not depend on row order.  Rows with a
+    NULL ``value`` do not contribute.  One repartition, one bucket table, one window operator and
+    one join serve all specs.
     """
     keys = _cols(keys)
-    agg, combine = _AGG[how]
-    val = F.col(value) if isinstance(value, str) else value
-    b, v, carry, inner = "_pa_bucket", "_pa_value", "_pa_carry", "_pa_inner"
-    d = df.withColumn(b, F.floor(F.col(order) / F.lit(width))).withColumn(v, val).repartition(*keys, b)
-
-    buckets = d.groupBy(*keys, b).agg(agg(v).alias(v))
+    b = "_pa_bucket"
+    d = df.withColumn(b, F.floor(F.col(order) / F.lit(width)))
+    for i, (value, _, _, _) in enumerate(specs):
+        d = d.withColumn(f"_pa_v{i}", F.col(value) if isinstance(value, str) else value)
+    d = d.repartition(*keys, b)
+
+    buckets = d.groupBy(*keys, b).agg(*[_AGG[how][0](f"_pa_v{i}").alias(f"_pa_v{i}")
+                                        for i, (_, how, _, _) in enumerate(specs)])
     carry_w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(*keys, b, agg(v).over(carry_w).alias(carry))
-
-    hi = 0 if inclusive else -1
-    in_w = Window.partitionBy(*keys, b).orderBy(F.col(order)).rangeBetween(Window.unboundedPreceding, hi)
-    d = d.withColumn(inner, agg(v).over(in_w))
+    buckets = buckets.select(*keys, b, *[_AGG[how][0](f"_pa_v{i}").over(carry_w).alias(f"_pa_c{i}")
+                                         for i, (_, how, _, _) in enumerate(specs)])
+    for i, (_, how, _, inclusive) in enumerate(specs):
+        in_w = (Window.partitionBy(*keys, b).orderBy(F.col(order))
+                      .rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+        d = d.withColumn(f"_pa_i{i}", _AGG[how][0](f"_pa_v{i}").over(in_w))
     d = d.join(buckets, on=[*keys, b], how="left")
-    return d.withColumn(out, combine(F.col(carry), F.col(inner))).drop(b, v, carry, inner)
+    for i, (_, how, out, _) in enumerate(specs):
+        d = d.withColumn(out, _AGG[how][1](F.col(f"_pa_c{i}"), F.col(f"_pa_i{i}")))
+    tmp = [b] + [f"_pa_{k}{i}" for i in range(len(specs)) for k in ("v", "c", "i")]
+    return d.drop(*tmp)
+
+
+def prefix_agg(df: DataFrame, keys: Sequence[str] | str, order: str, value: Column | str, how: str, out: str,
+               inclusive: bool = False, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """One prefix aggregate (see ``prefix_aggs``)."""
+    return prefix_aggs(df, keys, order, [(value, how, out, inclusive)], width)
 
 
 def ordered_index(df: DataFrame, keys: Sequence[str] | str, bucket: Column, order: Sequence[Column | str],

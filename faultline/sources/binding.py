@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators.ordered import prefix_agg
+from faultline.operators.ordered import prefix_aggs
 from faultline.session import ensure_checkpoint_dir
 from faultline.sources.history import History, with_positions
 
@@ -115,7 +115,8 @@ def bind(spark: SparkSession, sf_dir: str) -> History:
                              .when(F.col("_ct") == 2, "RENAME").otherwise("MODIFY"))
                  .withColumn("slot", F.col("hunks") % 5)
                  .withColumn("_ren", (F.col("change_type") == "RENAME").cast("int")))
-    ev = prefix_agg(ev, ["repo", "p"], "idx", "_ren", "sum", "ver", inclusive=True)
+    # One ordered pass per file: version number (renames so far) and the previous event's position.
+    ev = prefix_aggs(ev, ["repo", "p"], "idx", [("_ren", "sum", "ver", True), ("idx", "max", "_prev_idx", False)])
 
     p, ver, ct = F.col("p"), F.col("ver"), F.col("change_type")
     kind = p % 4
@@ -128,11 +129,10 @@ def bind(spark: SparkSession, sf_dir: str) -> History:
             .withColumn("old_path", F.when(ct == "ADD", F.lit(None).cast("string"))
                         .when(ct == "RENAME", file_name(p, ver - 1)).otherwise(file_name(p, ver))))
     ev = ev.checkpoint()
-    # Content before = content after the file's previous event: a prefix max of positions finds
-    # that event, an equi-join fetches its content (no window over a whole file history).
-    ev_prev = prefix_agg(ev, ["repo", "p"], "idx", "idx", "max", "_prev_idx")
+    # Content before = content after the file's previous event (found by the prefix max above),
+    # fetched with an equi-join -- no window over a whole file history.
     before = ev.select("repo", "p", F.col("idx").alias("_prev_idx"), F.col("content").alias("_before"))
-    with_before = (ev_prev.join(before, ["repo", "p", "_prev_idx"], "left")
+    with_before = (ev.join(before, ["repo", "p", "_prev_idx"], "left")
                           .withColumn("content_before", F.when(ct == "ADD", F.lit(None).cast("string"))
                                       .otherwise(F.col("_before"))))
 

@@ -46,3 +46,14 @@ def test_rename_components(spark):
     got = {(r.repo, r.node): r.label for r in components(edges).collect()}
     assert got == {("r", n): "a" for n in "abcde"} | {("r", "x"): "x", ("r", "y"): "x",
                                                          ("q", "a"): "a", ("q", "c"): "a"}
+
+
+def test_prefix_aggs_many_specs_one_pass(spark):
+    from faultline.operators.ordered import prefix_aggs
+    rnd = random.Random(5)
+    data = [(rnd.randint(0, 2), rnd.randint(0, 30), rnd.choice([None, rnd.randint(-5, 9)])) for _ in range(90)]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "id long, k long, o long, v long")
+    specs = [("v", "sum", "s_in", True), ("v", "min", "mn_ex", False), ("v", "max", "mx_in", True)]
+    got = prefix_aggs(df, "k", "o", specs, width=4).orderBy("id").collect()
+    for col, (_, how, _, inc) in zip(["s_in", "mn_ex", "mx_in"], specs):
+        assert [r[col] for r in got] == _brute(data, how, inc), col

@@ -53,19 +53,27 @@ def comment_changed(files: DataFrame, diff_lines: DataFrame) -> DataFrame:
                 .withColumn("comment_changed", F.lit(True)))
 
 
-def _values_of(nodes: str, key_test: str) -> Column:
-    """Values of the keys passing ``key_test`` in document order; a nested value is the list of
-    its descendants as ``relative-depth:key=value`` (absent values are skipped, as in the original
-    key/value walk)."""
+def _keyed_values(nodes: str, tests: dict[str, str]) -> Column:
+    """One pass over a document's nodes: every key node with a value that belongs to any family in
+    ``tests`` becomes ``struct(<family flags>, repr)`` in document order.  ``repr`` is the inline
+    value, or for a nested value its descendants as ``relative-depth:key=value`` (absent values
+    are skipped, as in the original key/value walk)."""
+    any_family = " OR ".join(f"({t.replace('KEY', 'x.key')})" for t in tests.values())
+    flags = ", ".join(f"'{name}', {t.replace('KEY', 'x.key')}" for name, t in tests.items())
     return F.expr(f"""
-      array_join(transform(
-        filter({nodes}, x -> x.kind = 'key' AND ({key_test.replace('KEY', 'x.key')})
-                             AND (x.val <> '' OR x.has_children)),
-        x -> CASE WHEN x.val <> '' THEN x.val ELSE
-               array_join(transform(filter({nodes}, y -> y.ord > x.ord AND y.ord < x.end),
-                                    y -> concat(y.depth - x.depth, ':', coalesce(y.key, '-'), '=',
-                                                coalesce(y.val, ''))), ';')
-             END), '\\u0002')""")
+      transform(
+        filter({nodes}, x -> x.kind = 'key' AND ({any_family}) AND (x.val <> '' OR x.has_children)),
+        x -> named_struct({flags}, 'repr',
+               CASE WHEN x.val <> '' THEN x.val ELSE
+                 array_join(transform(filter({nodes}, y -> y.ord > x.ord AND y.ord < x.end),
+                                      y -> concat(y.depth - x.depth, ':', coalesce(y.key, '-'), '=',
+                                                  coalesce(y.val, ''))), ';')
+               END))""")
+
+
+def _family(values: Column, name: str) -> Column:
+    """The ``name`` family's values of ``_keyed_values``, joined in document order."""
+    return F.array_join(F.transform(F.filter(values, lambda e: e[name]), lambda e: e["repr"]), "\u0002")
 
 
 def ansible_change_signals(files: DataFrame, extra_config_modules: list[str] | None = None) -> DataFrame:
@@ -74,15 +82,17 @@ def ansible_change_signals(files: DataFrame, extra_config_modules: list[str] | N
     data_keys = "KEY IN (" + modules.sql_in_list(modules.config_data_modules(extra_config_modules)) + ")"
     include_keys = "KEY IN (" + modules.sql_in_list(modules.INCLUDE_KEYS) + ")"
     service_keys = "KEY IN (" + modules.sql_in_list(modules.SERVICE_KEYS) + ")"
+    tests = {"d": data_keys, "i": include_keys, "s": service_keys}
     cand = (files.filter((F.col("change_type") == "MODIFY") & is_ansible_file(F.col("new_path"))
                          & parsable(F.col("content")) & parsable(F.col("content_before")))
                  .select("repo", "commit_hash", "pos",
-                         yaml_nodes("content").alias("_now"), yaml_nodes("content_before").alias("_then")))
+                         yaml_nodes("content").alias("_now"), yaml_nodes("content_before").alias("_then"))
+                 .select("repo", "commit_hash", "pos", _keyed_values("_now", tests).alias("_now"),
+                         _keyed_values("_then", tests).alias("_then")))
     flags = cand.select(
         "repo", "commit_hash", "pos",
-        (_values_of("_now", data_keys) != _values_of("_then", data_keys)).alias("data_changed"),
-        (_values_of("_now", include_keys) != _values_of("_then", include_keys)).alias("include_changed"),
-        (_values_of("_now", service_keys) != _values_of("_then", service_keys)).alias("service_changed"))
+        *[(_family(F.col("_now"), k) != _family(F.col("_then"), k)).alias(out)
+          for k, out in (("d", "data_changed"), ("i", "include_changed"), ("s", "service_changed"))])
     first = F.min_by(F.struct("data_changed", "include_changed", "service_changed"), F.col("pos"))
     return (flags.groupBy("repo", "commit_hash").agg(first.alias("_f"))
                  .select("repo", "commit_hash", "_f.*"))

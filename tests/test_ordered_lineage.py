@@ -57,3 +57,53 @@ def test_prefix_aggs_many_specs_one_pass(spark):
     got = prefix_aggs(df, "k", "o", specs, width=4).orderBy("id").collect()
     for col, (_, how, _, inc) in zip(["s_in", "mn_ex", "mx_in"], specs):
         assert [r[col] for r in got] == _brute(data, how, inc), col
+
+
+def test_components_match_union_find(spark):
+    rnd = random.Random(17)
+    for trial in range(3):
+        edges = [(rnd.choice("rq"), f"n{rnd.randint(0, 24):02d}", f"n{rnd.randint(0, 24):02d}") for _ in range(30)]
+        edges = [e for e in edges if e[1] != e[2]]
+        parent = {}
+
+        def find(x):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for repo, a, b in edges:
+            ra, rb = find((repo, a)), find((repo, b))
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+        want = {}
+        for node in list(parent):
+            want[node] = min(n for n in parent if find(n) == find(node))[1]
+        df = spark.createDataFrame(edges, "repo string, src string, dst string")
+        got = {(r.repo, r.node): r.label for r in components(df).collect()}
+        assert got == want, trial
+
+
+def test_blame_matches_brute_force(spark):
+    from faultline.operators.blame import blame
+    rnd = random.Random(23)
+    rows, fixes = [], set()
+    for i in range(80):
+        path = rnd.choice(["a.yml", "b.yml"])
+        side = rnd.choice(["added", "deleted"])
+        rows.append(("r", f"c{i}", i, 0, path, side, rnd.randint(0, 4)))
+        if side == "deleted" and rnd.random() < 0.5:
+            fixes.add(f"c{i}")
+    diff = spark.createDataFrame(rows, "repo string, commit_hash string, idx long, pos int, path string, side string, "
+                                       "line_no int")
+    lineage = spark.createDataFrame([("r", "a.yml", "a.yml"), ("r", "b.yml", "b.yml")],
+                                    "repo string, path string, lineage string")
+    fx = spark.createDataFrame([("r", c, 0) for c in sorted(fixes)], "repo string, commit_hash string, pos int")
+    got = sorted((r.commit_hash, r.line_no, r.prev_idx) for r in blame(fx, diff, lineage).collect())
+    want = []
+    for _, c, i, _, path, side, line in rows:
+        if c in fixes and side == "deleted":
+            prev = [j for _, _, j, _, p2, _, l2 in rows if p2 == path and l2 == line and j < i]
+            want.append((c, line, max(prev) if prev else None))
+    assert got == sorted(want)

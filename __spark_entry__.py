@@ -33,8 +33,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return _q.q_fixing_commits(spark, SMOKE_DIR)
 
 
+def _training_data():
+    """The training-data operators (``faultline/llm`` and ``corpus_pipeline.py``), or None where those
+    files are not installed.  Any other import error is raised."""
+    try:
+        import corpus_pipeline
+        from faultline.llm import entry as llm_entry
+    except ModuleNotFoundError as missing:
+        if missing.name in ("corpus_pipeline", "faultline.llm", "faultline.llm.entry"):
+            return None
+        raise
+    return llm_entry, corpus_pipeline
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _q.registry()
+    found = dict(_q.registry())
+    if extra := _training_data():
+        found |= extra[0].QUERIES | {"pipeline": extra[1].run}
+    return found
 
 
 # ============================================================================ oracle SQL (DuckDB)
@@ -591,4 +607,8 @@ WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('cont
         "json_roundtrip": _sel("SELECT repo, filepath, fic, bic FROM h_fixed"),
         "csv_sink": _sel("SELECT repo, filepath, commit, fixing_commit FROM h_prone_named"),
     })
+    if extra := _training_data():
+        o |= extra[0].ORACLE_SQL
+        if extra[1].ORACLE_SQL:
+            o["pipeline"] = extra[1].ORACLE_SQL
     return o

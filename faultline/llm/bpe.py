@@ -15,7 +15,7 @@ import numpy as np
 
 REMEMBERED = 1_000_000   # words kept, about 200 MB a worker process
 LONGEST = 64             # longer words are not kept
-RENEWED = 512            # groups after which the memory is emptied, so that it follows the data
+RENEWED = 1 << 31        # characters after which the memory is emptied, so that it follows the data
 
 
 def vocabulary_path() -> str:
@@ -71,7 +71,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.lengths = byte_lengths(path)
         self.known: dict[str, bytes] = {}   # word -> ids of the word with a space before it
-        self.groups = 0
+        self.seen = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
@@ -95,26 +95,45 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text as an array of unsigned 32-bit integers."""
-        self.groups += 1
-        if self.groups % RENEWED == 0:
+        self.seen += sum(map(len, texts))
+        if self.seen > RENEWED:
             self.known.clear()
-        cut = [t.split(" ") for t in texts]
-        need: set[str] = set().union(*cut)
-        odd = {w for w in need if not w or w[0].isspace() or w[-1].isspace()}
-        new = [w for w in need if w not in self.known and w not in odd]
-        found = dict(zip(new, self._words(new)))
-        if len(self.known) < REMEMBERED:
-            self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
-        found.update((w, self.known[w]) for w in need if w in self.known)
-        heads = self._library([c[0] for c in cut])
-        get = found.__getitem__
+            self.seen = 0
+        heads, cut = [], []
+        for t in texts:
+            if t[:1] == " " and not t[1:2].isspace():
+                heads.append("")
+                cut.append(t[1:].split(" "))
+            else:
+                head, *words = t.split(" ")
+                heads.append(head)
+                cut.append(words)
+        known = self.known
+        unknown = set().union(*cut).difference(known)
+        odd = {w for w in unknown if not w or w[0].isspace() or w[-1].isspace()}
+        new = list(unknown - odd)
+        known.update(zip(new, self._words(new)))
+        odd_heads = {h for h in heads if h and h[-1].isspace()}
+        by_piece = {}
+        if odd or odd_heads:
+            by_piece = {i: pieces(t) for i, (t, h, words) in enumerate(zip(texts, heads, cut))
+                        if h in odd_heads or not odd.isdisjoint(words)}
+        rest = {h for i, h in enumerate(heads) if i not in by_piece}
+        rest.update(p for ps in by_piece.values() for p in ps if p[:1] != " " or p[1:] not in known)
+        todo = [p for p in rest if p]
+        other = {"": b"", **dict(zip(todo, self._library(todo)))}
+        get = known.__getitem__
         out = []
-        for text, words, head in zip(texts, cut, heads):
-            if odd and not odd.isdisjoint(words):
-                raw = b"".join(self._library(pieces(text)))
+        for i, (head, words) in enumerate(zip(heads, cut)):
+            if i in by_piece:
+                raw = b"".join(other[p] if p in other else known[p[1:]] for p in by_piece[i])
             else:
-                raw = head + b"".join(map(get, words[1:]))
+                raw = other[head] + b"".join(map(get, words))
             out.append(np.frombuffer(raw, dtype="<u4"))
+        full = len(known) > REMEMBERED
+        for w in new:
+            if full or len(w) > LONGEST:
+                del known[w]
         return out
 
     def encode(self, text: str) -> np.ndarray:

@@ -5,9 +5,10 @@
 2. Every text encodes the chunks that are its own or unshared.  Owners also hand out the ids of
    their shared chunks; a text that borrows some waits with holes where they belong.
 3. Borrowed ids are joined to the waiting texts.
-4. The chunks' ids are joined.  Around every chunk end the window between the nearest places where
-   both sides provably agree with the encoding of the whole text is encoded again, and widened until
-   its ends meet token ends on both sides, so the ids are those of the whole text.
+4. The chunks' ids are joined.  Where a chunk end is not itself a place at which both sides provably
+   agree with the encoding of the whole text, the window between the nearest such places is encoded
+   again, and widened until its ends meet token ends on both sides, so the ids are those of the
+   whole text.
 
 Texts are known by a 128-bit hash, so each distinct text is handled once and its copies -- a third of
 all rows may be copies -- take the result by a join of hashes.  A text crosses the network once, in
@@ -28,14 +29,16 @@ from pyspark.sql import functions as F
 from faultline.llm import bpe
 from faultline.llm.store import materialise
 
-SHORTEST, LONGEST, MASK = 256, 4096, np.uint32(0x1FF << 16)   # about 768 bytes a chunk
+SHORTEST, LONGEST = 256, 4096      # bytes of a chunk
+WORD_MASK = np.uint32(0x3F << 20)  # one in 64 word ends is a cut
+ANY_MASK = np.uint32(0x7FF << 16)  # one in 2048 characters is a cut anyway, as in texts without spaces
 _GEAR = np.random.default_rng(9001).integers(0, 2**32, 256, dtype=np.uint32)
 _WHITE_LEADS = frozenset(b"\xc2\xe1\xe2\xe3")   # lead bytes that white space beyond ASCII has in UTF-8
 
 
 def chunk_ends(raw: bytes) -> list[int]:
-    """Ends of the chunks of ``raw``: where a hash of the last 32 bytes hits, at character starts,
-    within the length bounds (the last chunk may be shorter)."""
+    """Ends of the chunks of ``raw``: where a hash of the last 32 bytes hits -- often at word ends,
+    rarely between any two characters -- within the length bounds (the last chunk may be shorter)."""
     n = len(raw)
     if n <= SHORTEST:
         return [n] if n else []
@@ -45,8 +48,10 @@ def chunk_ends(raw: bytes) -> list[int]:
         old = h.copy()
         h[step:] += old[:-step] << np.uint32(step)
     starts = (b & 0xC0) != 0x80
-    hits = np.flatnonzero(((h[:-1] & MASK) == 0) & starts[1:]) + 1
-    ends, at, k = [], 0, 0
+    words = np.zeros(n, dtype=bool)
+    words[1:-1] = (b[1:-1] == 32) & (b[:-2] > 32) & (b[2:] > 32)
+    hits = np.flatnonzero((((h[:-1] & WORD_MASK) == 0) & words[1:]) | (((h[:-1] & ANY_MASK) == 0) & starts[1:])) + 1
+    ends, at = [], 0
     while n - at > SHORTEST:
         k = int(np.searchsorted(hits, at + SHORTEST))
         end = int(hits[k]) if k < len(hits) else n
@@ -119,11 +124,15 @@ def join_chunks(raw: bytes, ends: list[int], parts: list[np.ndarray], path: str)
 
     windows: list[list] = []
     for k in range(len(parts) - 1):
+        if _safe(raw, ends[k], 0, len(raw)):
+            continue    # both sides end a pre-token here, as the whole text does: they agree
         left, right = before(k), after(k + 1)
         if windows and left[1] <= windows[-1][1][1]:
             windows[-1][1] = max(windows[-1][1], right, key=lambda w: w[1])
         else:
             windows.append([left, right])
+    if not windows:
+        return np.concatenate(parts)
     again = bpe.encoder(path).encode_all([raw[l[1]:r[1]].decode("utf-8", "surrogatepass") for l, r in windows])
     out, chunk, taken = [], 0, 0
     for (left, right), ids in zip(windows, again):

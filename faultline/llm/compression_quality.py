@@ -146,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for part in parts:
             yield pd.Series([scorer.features(t) for t in part], dtype="object")
 
-    held = (sample.where("fold = 4").withColumn("x", measure("text")).where("x IS NOT NULL").groupBy("__id", "y")
-            .agg(F.min("x").alias("x")).toPandas().sort_values(["__id", "y"]))
+    # Null measures (empty texts) are left out only here: a filter would measure all documents first.
+    held = (sample.where("fold = 4").withColumn("x", measure("text")).groupBy("__id", "y")
+            .agg(F.min("x").alias("x")).toPandas().dropna(subset=["x"]).sort_values(["__id", "y"]))
     marked = [*train.y, *held.y]
     share = float(np.mean(held.y if len(held) else marked)) if marked else 0.5
     if held.y.nunique() < 2 or not good or not bad:

@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.store import materialise, shuffle_partitions
+from faultline.llm.store import materialise
 
 TREES = 32
 BITS = 64                # length of a hash string
 SHARE = 0.45             # part of a block's rows that a query's candidates reach at least
 LEAST = 64               # candidates in a block at least
 BLOCK_ROWS = 1 << 16     # rows of a block at most, on average: bounds a task's memory
+LEAST_BLOCKS = 32        # so that small tables are searched by several tasks too
 
 
 def _usable(vec: Column) -> Column:
@@ -101,18 +102,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREE
     Exact repeats of a row (same id and vector) count once; an empty table gives an empty result.
     Score: cosine in double precision.
 
-    Vectors go to ``blocks`` by a hash of their id, at least one for every shuffle partition, so that
-    a third of all rows being one vector spreads evenly; queries stream through every block in Arrow
-    batches.  Only a block's forest is held in memory.
+    Vectors go to ``blocks`` by a hash of their id, as many as the table's size asks for, so that a
+    third of all rows being one vector spreads evenly; queries stream through every block in Arrow
+    batches, each task answers with k rows a query and block.  Only a block's forest is held in memory.
     """
-    spark = vectors.sparkSession
-
     def clean(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         return df.where(F.col("id").isNotNull() & _usable(F.col("vec"))).distinct()
 
     rows = materialise(clean(vectors), "vectors")
-    blocks = max(2 * shuffle_partitions(spark), -(-rows.count() // block_rows))
+    blocks = max(LEAST_BLOCKS, -(-rows.count() // block_rows))
     data = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
     asks = clean(queries).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
 

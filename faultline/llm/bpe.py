@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-REMEMBERED = 1_000_000   # words kept, about 200 MB a worker process
+REMEMBERED = 500_000     # words kept, about 110 MB a worker process
 LONGEST = 64             # longer words are not kept
 RENEWED = 1 << 31        # characters after which the memory is emptied, so that it follows the data
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale: AQE re-plans joins and coalesces small shuffle partitions at
 # runtime, skew-join splitting handles hot keys, and the UI (a server) stays off.
@@ -44,11 +45,19 @@ def get_spark(master: str | None = None, app: str = "faultline", shuffle_partiti
     return spark
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a fresh scan of it: the plan is cut, columns
+    can be pruned, and the planner sees the size of the files."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints.
 
     On a cluster this is ``spark.checkpoint.dir`` as configured by the operator (a shared file
-    system).  Only when it is unset -- local tests -- do we create a fresh scratch folder.
+    system); a cluster without one is an error.  Only a local master gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -56,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="faultline-ckpt-", dir=os.environ.get("FAULTLINE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(folder)
     return folder

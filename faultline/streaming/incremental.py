@@ -2,9 +2,9 @@
 
 New commits arrive as files in a folder (any producer that writes the canonical ``commits``
 schema, positions included).  Each micro-batch is classified against the (static) file-event and
-diff tables; commits already recorded as fixing are skipped with an anti-join against the output
-table, and the batch's new fixing commits are written under ``epoch=<id>`` with overwrite, so a
-re-run batch (after a failure) replaces its own output instead of duplicating it.  The output and
+diff tables; commits recorded as fixing by earlier epochs are skipped with an anti-join against the
+output table, and the batch's new fixing commits are written under ``epoch=<id>`` with overwrite, so a
+re-run batch (after a failure) writes the same rows again.  The output and
 the stream's checkpoint live in shared storage given by the caller.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators.fixes import fixing_commits
@@ -22,11 +23,17 @@ COMMITS_SCHEMA = ("repo string, commit_hash string, branch string, author string
                   "committed_at timestamp_ntz, msg string, idx bigint")
 
 
-def _known(spark: SparkSession, out_dir: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(out_dir).select("repo", "commit_hash")
-    except Exception:  # noqa: BLE001 -- no output yet
+OUTPUT_SCHEMA = "repo string, commit_hash string, idx bigint, labels array<string>, epoch bigint"
+
+
+def _known(spark: SparkSession, out_dir: str, epoch_id: int) -> DataFrame | None:
+    """Fixing commits of earlier epochs.  What this epoch wrote in an attempt before does not count:
+    the batch is about to write it again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
+    done = spark.read.schema(OUTPUT_SCHEMA).parquet(out_dir)
+    return done.where(F.col("epoch") < epoch_id).select("repo", "commit_hash")
 
 
 def start(spark: SparkSession, commits_dir: str, files: DataFrame, diff_lines: DataFrame, profile: Profile,
@@ -35,7 +42,7 @@ def start(spark: SparkSession, commits_dir: str, files: DataFrame, diff_lines: D
     stream = spark.readStream.schema(COMMITS_SCHEMA).parquet(commits_dir)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        known = _known(spark, out_dir)
+        known = _known(spark, out_dir, epoch_id)
         new = fixing_commits(df, files, diff_lines, profile.keep, profile.ansible_signals, known=known)
         (new.select("repo", "commit_hash", "idx", "labels")
             .write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}")))

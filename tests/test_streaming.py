@@ -25,3 +25,17 @@ def test_incremental_matches_batch(spark):
     want = sorted((r.repo, r.commit_hash, list(r.labels))
                   for r in miner.mine_fixing_commits(h, profiles.ANSIBLE).collect())
     assert got == want and len(got) > 0
+
+
+def test_a_repeated_batch_writes_the_same_rows(spark):
+    """The epoch ran and wrote, but its commit was lost: a new stream checkpoint runs epoch 0 again."""
+    h = bind(spark, SF001)
+    base = tempfile.mkdtemp(prefix="faultline-stream-")
+    src, out = os.path.join(base, "src"), os.path.join(base, "out")
+    h.commits.select(*[c.split()[0] for c in incremental.COMMITS_SCHEMA.split(", ")]).write.parquet(src)
+    rows = []
+    for attempt in ("one", "two"):
+        q = incremental.start(spark, src, h.files, h.diff_lines, profiles.ANSIBLE, out, os.path.join(base, attempt))
+        q.awaitTermination()
+        rows.append(sorted((r.repo, r.commit_hash) for r in spark.read.parquet(out).collect()))
+    assert rows[0] == rows[1] and len(rows[0]) > 0

@@ -4,11 +4,9 @@ Every path that ever occurs is a node; every RENAME (old -> new) is an edge.  A
 labelled by its earliest-seen path (ties: the smallest).  Only nodes that touch an edge take part
 in the iteration; all others are their own component.
 
-Each round does one hop of min-label propagation followed by one pointer jump (label of my
-label).  Labels rank by first appearance, so they fall monotonically along rename chains and
-chains converge in a logarithmic number of rounds (4 at sf0.01 and sf0.1).  Each round's labels
-are checkpointed to the shared checkpoint folder (cuts the plan and survives executor loss); the
-only driver-side action is the per-round "anything changed?" test.
+Rounds are star contractions and end when nothing changes; each is written as Parquet to the shared
+folder (cuts the plan, keeps its size estimate true, survives executor loss).  The only driver-side
+data is a count and a checksum of the edges per round.
 """
 
 from __future__ import annotations
@@ -16,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import ensure_checkpoint_dir
+from faultline.session import materialise
 
-MAX_ROUNDS = 64
 LAST_ROUNDS = [0]  # rounds used by the last call (diagnostics)
 
 
@@ -34,53 +31,47 @@ def path_nodes(files: DataFrame) -> DataFrame:
                  .filter(F.col("path").isNotNull()).distinct())
 
 
-def _jump(step: DataFrame) -> DataFrame:
-    """``label := min(label, label of label)``; carries ``_old`` through."""
-    look = step.select("repo", F.col("node").alias("_n"), F.col("label").alias("_l"))
-    return (step.alias("a")
-                .join(look.alias("b"), (F.col("a.repo") == F.col("b.repo")) & (F.col("a.label.n") == F.col("b._n")),
-                      "left")
-                .select(F.col("a.repo").alias("repo"), F.col("a.node").alias("node"), F.col("a._old").alias("_old"),
-                        F.least(F.col("a.label"), F.coalesce(F.col("b._l"), F.col("a.label"))).alias("label")))
+def components(edges: DataFrame, rank: DataFrame | None = None) -> DataFrame:
+    """``(repo, node, label)`` for every node that occurs in ``edges(repo, src, dst)``; label = the node
+    of the component that ranks first (ties: the smallest).
 
-
-def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS, rank: DataFrame | None = None) -> DataFrame:
-    """``(repo, node, label)`` for every node that occurs in ``edges(repo, src, dst)``.
-
-    Edges (both directions) and labels are kept hash-partitioned by ``(repo, node)``; checkpoints
-    keep that partitioning, so each round shuffles only the per-destination minima and the
-    pointer-jump lookup.  The previous label rides along in the row, so the convergence test is
-    a filter on the checkpointed round, not a join.
+    A round hangs every edge under the smallest neighbour of its smaller end, then of its larger end
+    (large-star and small-star contraction), which merges whole regions at once: rounds grow with the
+    logarithm of a chain's length, also where two labelled regions meet.  It ends when a round
+    changes nothing; there is no cap.  Every round is written to shared storage and read back.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    both = (edges.select("repo", "src", "dst")
-                 .unionByName(edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")))
-                 .distinct()
-                 .repartition("repo", "src")
-                 .checkpoint())
-    nodes = both.select("repo", F.col("src").alias("node")).distinct()
-    if rank is None:
-        nodes = nodes.withColumn("label", F.struct(F.lit(0).cast("bigint").alias("r"), F.col("node").alias("n")))
-    else:
-        nodes = (nodes.join(rank, ["repo", "node"], "left")
-                      .withColumn("label", F.struct(F.coalesce(F.col("rank"), F.lit(0)).cast("bigint").alias("r"),
-                                                    F.col("node").alias("n")))
-                      .drop("rank"))
-    labels = nodes.repartition("repo", "node").checkpoint()
-    for rnd in range(max_rounds):
-        hop = (both.join(labels.withColumnRenamed("node", "src"), ["repo", "src"])
-                   .groupBy("repo", F.col("dst").alias("node")).agg(F.min("label").alias("_hop")))
-        step = (labels.join(hop, ["repo", "node"], "left")
-                      .select("repo", "node", F.col("label").alias("_old"),
-                              F.least("label", "_hop").alias("label")))
-        jump = _jump(step).repartition("repo", "node").checkpoint()
-        changed = jump.filter(F.col("label") != F.col("_old")).limit(1).count()
-        labels = jump.drop("_old")
-        if changed == 0:
-            LAST_ROUNDS[0] = rnd + 1
-            return labels.withColumn("label", F.col("label.n"))
-    raise RuntimeError(f"rename components did not converge in {max_rounds} rounds")
+    ends = [F.struct(F.lit(0).cast("bigint").alias("r"), F.col(c).alias("n")) for c in ("src", "dst")]
+    pairs = edges.select("repo", "src", "dst")
+    if rank is not None:
+        for c, at in (("src", "__s"), ("dst", "__d")):
+            pairs = pairs.join(rank.select("repo", F.col("node").alias(c), F.col("rank").alias(at)), ["repo", c], "left")
+        ends = [F.struct(F.coalesce(at, F.lit(0)).cast("bigint").alias("r"), F.col(c).alias("n"))
+                for c, at in (("src", "__s"), ("dst", "__d"))]
+    loops = edges.where(F.col("src") == F.col("dst")).select("repo", F.col("src").alias("node"), F.col("src").alias("label"))
+    tree = pairs.select("repo", F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).where("a <> b").distinct()
+    tree = materialise(tree, "renames")
+    state = _state(tree)
+    LAST_ROUNDS[0] = 0
+    while state[0]:
+        LAST_ROUNDS[0] += 1
+        both = tree.union(tree.select("repo", F.col("b").alias("a"), F.col("a").alias("b")))
+        top = materialise(both.groupBy("repo", "a").agg(F.min("b").alias("m")).select("repo", "a", F.least("a", "m").alias("m")), "tops")
+        tree = materialise(tree.join(top, ["repo", "a"]).select("repo", F.col("m").alias("a"), "b").distinct(), "renames")
+        top = materialise(tree.groupBy("repo", "b").agg(F.min("a").alias("m")), "tops")
+        rest = tree.join(top, ["repo", "b"]).where("a <> m").select("repo", F.col("m").alias("a"), F.col("a").alias("b"))
+        tree = materialise(rest.union(top.select("repo", F.col("m").alias("a"), "b")).distinct(), "renames")
+        old, state = state, _state(tree)
+        if state == old:
+            break
+    roots = tree.select("repo", F.col("a.n").alias("node"), F.col("a.n").alias("label")).distinct()
+    found = tree.select("repo", F.col("b.n").alias("node"), F.col("a.n").alias("label")).union(roots)
+    return found.union(loops.join(found, ["repo", "node"], "left_anti").distinct())
+
+
+def _state(tree: DataFrame) -> tuple:
+    """Count and checksum of the edges: equal when a round changed nothing."""
+    row = tree.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("repo", "a", "b").cast("decimal(38,0)")).alias("h")).first()
+    return row["n"], row["h"]
 
 
 def first_seen(files: DataFrame) -> DataFrame:
@@ -92,9 +83,7 @@ def first_seen(files: DataFrame) -> DataFrame:
 
 def path_lineage(files: DataFrame) -> DataFrame:
     """``(repo, path, lineage)`` for every path of ``files``.  ``lineage`` names the path's rename
-    component by its earliest-seen path (ties: the smallest path) -- the file's original name.
-    Ranking by first appearance makes labels fall monotonically along rename chains, so pointer
-    jumping halves chains every round instead of stalling at lexicographic local minima."""
+    component by its earliest-seen path (ties: the smallest path) -- the file's original name."""
     e = rename_edges(files).select("repo", F.col("old_path").alias("src"), F.col("new_path").alias("dst"))
     comp = components(e, rank=first_seen(files)).select("repo", F.col("node").alias("path"),
                                                          F.col("label").alias("lineage"))

@@ -107,3 +107,17 @@ def test_blame_matches_brute_force(spark):
             prev = [j for _, _, j, _, p2, _, l2 in rows if p2 == path and l2 == line and j < i]
             want.append((c, line, max(prev) if prev else None))
     assert got == sorted(want)
+
+
+def test_components_of_meeting_chains(spark):
+    """Two chains that end in the same name, the older one short: few rounds for any length."""
+    from faultline.operators import lineage
+    for length in (20, 200):
+        a = [f"a{i:04d}" for i in range(length)] + ["end"]
+        b = [f"b{i}" for i in range(5)] + ["end"]
+        pairs = [("r", x, y) for c in (a, b) for x, y in zip(c, c[1:])]
+        rank = {n: 1000 + i for i, n in enumerate(a)} | {n: i for i, n in enumerate(b)}
+        df = spark.createDataFrame(pairs, "repo string, src string, dst string")
+        seen = spark.createDataFrame([("r", n, i) for n, i in rank.items()], "repo string, node string, rank long")
+        got = {r.node: r.label for r in lineage.components(df, rank=seen).collect()}
+        assert got == {n: "b0" for n in (*a, *b)} and lineage.LAST_ROUNDS[0] < 15

@@ -267,9 +267,51 @@ _CTES += [
   SELECT w.repo, w.filepath, cf.commit_hash AS fic, cb.commit_hash AS bic, w.fic_idx, w.bic_idx
   FROM h_w2 w JOIN h_commits cf ON cf.repo = w.repo AND cf.idx = w.fic_idx
               JOIN h_commits cb ON cb.repo = w.repo AND cb.idx = w.bic_idx"""),
+    # Per file lineage, walk rename and fix events newest first; the row carries the rename map and
+    # the list of intervals (first match by path decides).
+    ("w1_fix", """
+  SELECT e.repo, e.p, e.idx, o.bic_idx FROM h_fixev e
+           JOIN h_oldest o ON o.repo = e.repo AND o.commit_hash = e.commit_hash AND o.pos = e.p"""),
+    ("w1_range", """
+  SELECT repo, min(idx) AS lo, max(idx) AS hi FROM h_fix GROUP BY repo"""),
+    ("w1_ev", """
+  SELECT f.repo, f.p, f.idx, f.change_type, f.old_path, f.new_path, x.bic_idx,
+         row_number() OVER (PARTITION BY f.repo, f.p ORDER BY f.idx DESC) AS rn
+  FROM h_files f JOIN w1_range r ON r.repo = f.repo
+  LEFT JOIN w1_fix x ON x.repo = f.repo AND x.p = f.p AND x.idx = f.idx
+  WHERE f.idx BETWEEN r.lo AND r.hi AND (f.change_type = 'RENAME' OR x.bic_idx IS NOT NULL)"""),
+    ("w1_walk(repo, p, rn, renamed, fixed)", """
+  SELECT DISTINCT repo, p, CAST(0 AS BIGINT), MAP {}::MAP(VARCHAR, VARCHAR),
+         []::STRUCT(fp VARCHAR, fic BIGINT, bic BIGINT)[]
+  FROM w1_ev
+  UNION ALL
+  SELECT repo, p, rn,
+         CASE WHEN bic IS NOT NULL AND j IS NOT NULL AND fic < ex_bic
+              THEN map_from_entries(list_filter(map_entries(r1), lambda x: x.key <> new_path)) ELSE r1 END,
+         CASE WHEN bic IS NULL THEN fixed
+              WHEN j IS NULL THEN list_append(fixed, {'fp': fp, 'fic': fic, 'bic': bic})
+              WHEN fic < ex_bic THEN list_append(fixed, {'fp': new_path, 'fic': fic, 'bic': bic})
+              WHEN bic < ex_bic THEN list_transform(fixed, lambda x, i: CASE WHEN i = j
+                                                     THEN {'fp': x.fp, 'fic': x.fic, 'bic': bic} ELSE x END)
+              ELSE fixed END
+  FROM (SELECT *, fixed[j].bic AS ex_bic
+        FROM (SELECT *, list_position(list_transform(fixed, lambda x: x.fp), fp) AS j
+              FROM (SELECT *, coalesce(r1[new_path], new_path) AS fp
+                    FROM (SELECT w.repo, w.p, e.rn, e.idx AS fic, e.new_path, e.bic_idx AS bic, w.fixed,
+                                 CASE WHEN e.change_type = 'RENAME'
+                                      THEN map_concat(w.renamed, map([e.old_path], [coalesce(w.renamed[e.new_path], e.new_path)]))
+                                      ELSE w.renamed END AS r1
+                          FROM w1_walk w JOIN w1_ev e ON e.repo = w.repo AND e.p = w.p AND e.rn = w.rn + 1))))"""),
+    ("w1_out", """
+  SELECT repo, unnest(fixed) AS f FROM (SELECT repo, p, arg_max(fixed, rn) AS fixed FROM w1_walk GROUP BY repo, p)"""),
+    ("h_named_fixed", """
+  SELECT x.repo, x.f.fp AS filepath, cf.commit_hash AS fic, cb.commit_hash AS bic,
+       CAST(x.f.fic AS BIGINT) AS fic_idx, CAST(x.f.bic AS BIGINT) AS bic_idx
+FROM w1_out x JOIN h_commits cf ON cf.repo = x.repo AND cf.idx = x.f.fic
+              JOIN h_commits cb ON cb.repo = x.repo AND cb.idx = x.f.bic"""),
     ("h_prone", """
   SELECT f.repo, f.filepath, c.commit_hash AS commit, f.fic AS fixing_commit, c.idx
-  FROM h_fixed f JOIN h_commits c ON c.repo = f.repo AND c.idx >= f.bic_idx AND c.idx < f.fic_idx"""),
+  FROM h_named_fixed f JOIN h_commits c ON c.repo = f.repo AND c.idx >= f.bic_idx AND c.idx < f.fic_idx"""),
     ("h_ren", """
   SELECT f.repo, f.new_path, f.idx AS r_idx, f.old_path
   FROM h_files f JOIN (SELECT repo, max(idx) AS hi FROM h_fix GROUP BY repo) l ON l.repo = f.repo
@@ -335,7 +377,7 @@ _CTES += [
   FROM h_pf f JOIN h_pe e USING (repo, rel_no, lineage) JOIN h_pcs c USING (repo, rel_no)"""),
 ]
 
-_WITH = "WITH " + ",\n".join(f"{name} AS ({body}\n)" for name, body in _CTES) + "\n"
+_WITH = "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body}\n)" for name, body in _CTES) + "\n"
 
 
 def _big(c: str, alias: str | None = None) -> str:
@@ -459,48 +501,6 @@ LEFT JOIN h_pe pe ON pe.repo = d.repo AND pe.rel_no = d.rel_no AND pe.lineage =
 LEFT JOIN h_pcs s ON s.repo = d.repo AND s.rel_no = d.rel_no""")
 
 
-def _w1_sql() -> str:
-    """W1 oracle: per file lineage, walk rename and fix events newest first with a recursive CTE
-    whose row carries the rename map and the list of intervals (first match by path decides)."""
-    return ("WITH RECURSIVE " + _WITH[len("WITH "):].rstrip() + """,
-w1_fix AS (SELECT e.repo, e.p, e.idx, o.bic_idx FROM h_fixev e
-           JOIN h_oldest o ON o.repo = e.repo AND o.commit_hash = e.commit_hash AND o.pos = e.p),
-w1_range AS (SELECT repo, min(idx) AS lo, max(idx) AS hi FROM h_fix GROUP BY repo),
-w1_ev AS (
-  SELECT f.repo, f.p, f.idx, f.change_type, f.old_path, f.new_path, x.bic_idx,
-         row_number() OVER (PARTITION BY f.repo, f.p ORDER BY f.idx DESC) AS rn
-  FROM h_files f JOIN w1_range r ON r.repo = f.repo
-  LEFT JOIN w1_fix x ON x.repo = f.repo AND x.p = f.p AND x.idx = f.idx
-  WHERE f.idx BETWEEN r.lo AND r.hi AND (f.change_type = 'RENAME' OR x.bic_idx IS NOT NULL)),
-w1_walk(repo, p, rn, renamed, fixed) AS (
-  SELECT DISTINCT repo, p, CAST(0 AS BIGINT), MAP {}::MAP(VARCHAR, VARCHAR),
-         []::STRUCT(fp VARCHAR, fic BIGINT, bic BIGINT)[]
-  FROM w1_ev
-  UNION ALL
-  SELECT repo, p, rn,
-         CASE WHEN bic IS NOT NULL AND j IS NOT NULL AND fic < ex_bic
-              THEN map_from_entries(list_filter(map_entries(r1), lambda x: x.key <> new_path)) ELSE r1 END,
-         CASE WHEN bic IS NULL THEN fixed
-              WHEN j IS NULL THEN list_append(fixed, {'fp': fp, 'fic': fic, 'bic': bic})
-              WHEN fic < ex_bic THEN list_append(fixed, {'fp': new_path, 'fic': fic, 'bic': bic})
-              WHEN bic < ex_bic THEN list_transform(fixed, lambda x, i: CASE WHEN i = j
-                                                     THEN {'fp': x.fp, 'fic': x.fic, 'bic': bic} ELSE x END)
-              ELSE fixed END
-  FROM (SELECT *, fixed[j].bic AS ex_bic
-        FROM (SELECT *, list_position(list_transform(fixed, lambda x: x.fp), fp) AS j
-              FROM (SELECT *, coalesce(r1[new_path], new_path) AS fp
-                    FROM (SELECT w.repo, w.p, e.rn, e.idx AS fic, e.new_path, e.bic_idx AS bic, w.fixed,
-                                 CASE WHEN e.change_type = 'RENAME'
-                                      THEN map_concat(w.renamed, map([e.old_path], [coalesce(w.renamed[e.new_path], e.new_path)]))
-                                      ELSE w.renamed END AS r1
-                          FROM w1_walk w JOIN w1_ev e ON e.repo = w.repo AND e.p = w.p AND e.rn = w.rn + 1))))),
-w1_out AS (SELECT repo, unnest(fixed) AS f FROM (SELECT repo, p, arg_max(fixed, rn) AS fixed FROM w1_walk GROUP BY repo, p))
-SELECT x.repo, x.f.fp AS filepath, cf.commit_hash AS fic, cb.commit_hash AS bic,
-       CAST(x.f.fic AS BIGINT) AS fic_idx, CAST(x.f.bic AS BIGINT) AS bic_idx
-FROM w1_out x JOIN h_commits cf ON cf.repo = x.repo AND cf.idx = x.f.fic
-              JOIN h_commits cb ON cb.repo = x.repo AND cb.idx = x.f.bic""")
-
-
 def _locator_sql() -> str:
     rest = "regexp_extract(url, '^[a-z]+://[^/]+(.*)$', 1)"
     loc = (f"CASE WHEN regexp_matches(url, '\\.example\\.com') THEN 'https://github.com' || {rest} "
@@ -581,7 +581,7 @@ WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('cont
                         "UNION ALL SELECT repo, old_path, lineage FROM h_files) WHERE path IS NOT NULL"),
         "fixed_files": _sel("SELECT repo, filepath, fic, bic, CAST(fic_idx AS BIGINT) AS fic_idx, "
                             "CAST(bic_idx AS BIGINT) AS bic_idx FROM h_fixed"),
-        "fixed_files_renamed": _w1_sql(),
+        "fixed_files_renamed": _sel("SELECT repo, filepath, fic, bic, fic_idx, bic_idx FROM h_named_fixed"),
         "failure_prone": _sel("SELECT repo, filepath, commit, fixing_commit FROM h_prone"),
         "failure_prone_named": _sel("SELECT repo, filepath, commit, fixing_commit FROM h_prone_named"),
         "label_flag": _sel("SELECT a.repo, a.rel_no, a.path AS filepath, CAST(CASE WHEN fp.filepath IS NULL THEN 0 ELSE 1 END "
@@ -604,7 +604,7 @@ WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('cont
         "prod_tosca": _product_sql("tosca"),
         "delta_metrics": _delta_sql(),
         "metrics_dataset": _dataset_sql(),
-        "json_roundtrip": _sel("SELECT repo, filepath, fic, bic FROM h_fixed"),
+        "json_roundtrip": _sel("SELECT repo, filepath, fic, bic FROM h_named_fixed"),
         "csv_sink": _sel("SELECT repo, filepath, commit, fixing_commit FROM h_prone_named"),
     })
     if extra := _training_data():

@@ -76,7 +76,7 @@ def suspicious_comments(c: Column) -> Column:
 
 
 def entropy_col(c: Column) -> Column:
-    """M5 for one document, row-local: Shannon entropy (bits, 6 digits) of its token counts, 0 for
+    """M5 for one document, row-local: Shannon entropy (bits) of its token counts, 0 for
     no token.  Tokens are sorted inside the row and equal runs folded into ``sum(c * log2 c)``, so
     ``H = log2(n) - sum(c * log2 c) / n`` needs no shuffle of the tokens."""
     def close(run):
@@ -92,7 +92,7 @@ def entropy_col(c: Column) -> Column:
                                           (a["acc"] + close(a["run"])).alias("acc"))),
         lambda a: a["acc"] + close(a["run"]))
     n = F.size(s)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.log2(n) - folded / n, 6)).cast("double")
+    return F.when(n == 0, F.lit(0.0)).otherwise((F.log2(n) - folded / n)).cast("double")
 
 
 def entropy(df: DataFrame, keys: list[str], content: str = "content", out: str = "text_entropy") -> DataFrame:
@@ -103,7 +103,7 @@ def entropy(df: DataFrame, keys: list[str], content: str = "content", out: str =
     tok = df.select(*keys, F.explode(text.words(F.col(content))).alias("_t"))
     counts = tok.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
     per_doc = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.log2("_c")).alias("_s"))
-    h = F.round(F.log2("_n") - F.col("_s") / F.col("_n"), 6)
+    h = F.log2("_n") - F.col("_s") / F.col("_n")
     ent = per_doc.select(*keys, h.cast("double").alias(out))
     return (df.select(*keys).join(ent, keys, "left")
               .withColumn(out, F.coalesce(F.col(out), F.lit(0.0))))

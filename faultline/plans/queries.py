@@ -283,23 +283,28 @@ def q_fixed_files(spark, sf):
     return fixed_by_path(spark, sf).select("repo", "filepath", "fic", "bic", _big("fic_idx"), _big("bic_idx"))
 
 
-def q_fixed_files_renamed(spark, sf):
+def fixed_renamed(spark, sf) -> DataFrame:
+    """Intervals merged along renames; every label query starts from these."""
     h = history(spark, sf)
-    ff = miner.fixed_files(h, profiles.ANSIBLE, fixing_of(spark, sf), lineage_of(spark, sf), follow_renames=True,
-                           fixes=szz_of(spark, sf))
-    return ff.select("repo", "filepath", "fic", "bic", _big("fic_idx"), _big("bic_idx"))
+    return _once(spark, sf, "fixed:w1", lambda: miner.fixed_files(
+        h, profiles.ANSIBLE, fixing_of(spark, sf), lineage_of(spark, sf), follow_renames=True,
+        fixes=szz_of(spark, sf)))
+
+
+def q_fixed_files_renamed(spark, sf):
+    return fixed_renamed(spark, sf).select("repo", "filepath", "fic", "bic", _big("fic_idx"), _big("bic_idx"))
 
 
 def q_failure_prone(spark, sf):
     h = history(spark, sf)
-    fp = miner.label(h, fixed_by_path(spark, sf), fixing_of(spark, sf), follow_names=False)
+    fp = miner.label(h, fixed_renamed(spark, sf), fixing_of(spark, sf), follow_names=False)
     return fp.select("repo", "filepath", "commit", "fixing_commit")
 
 
 def prone_named(spark, sf) -> DataFrame:
     h = history(spark, sf)
     return _once(spark, sf, "prone:named",
-                 lambda: miner.label(h, fixed_by_path(spark, sf), fixing_of(spark, sf), follow_names=True))
+                 lambda: miner.label(h, fixed_renamed(spark, sf), fixing_of(spark, sf), follow_names=True))
 
 
 def q_failure_prone_named(spark, sf):
@@ -432,7 +437,7 @@ def _scratch(spark) -> str:
 
 
 def q_json_roundtrip(spark, sf):
-    ff = fixed_by_path(spark, sf).select("repo", "filepath", "fic", "bic")
+    ff = fixed_renamed(spark, sf).select("repo", "filepath", "fic", "bic")
     path = _scratch(spark)
     sinks.write_fixed_files_json(ff, path)
     back = sinks.read_fixed_files_json(spark, path)

@@ -104,6 +104,8 @@ def _parsable(c: str) -> str:
 
 
 def _tokens(s: str) -> str:
+    s = f"regexp_replace({s}, '--+|\\.\\.\\.|[()\\[\\]{{}}<>;@#$%&?!\"]', ' ', 'g')"
+    s = f"regexp_replace(regexp_replace({s}, '[:,]([^0-9])', ' \\1', 'g'), 'n''t\\b|''(?:s|m|d|ll|re|ve)\\b', ' ', 'gi')"
     return ("list_filter(list_transform(regexp_split_to_array(" + s + ", '[ \\t\\n\\r\\f]+'), "
             "lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), "
             "lambda w: regexp_matches(w, '^\\p{L}+$'))")

@@ -31,9 +31,17 @@ def sentences(msg: Column) -> Column:
 TOKEN = r"(?:^|[ \t\n\r\f])[^\p{L}\p{N} \t\n\r\f]*(\p{L}+)[^\p{L}\p{N} \t\n\r\f]*(?=[ \t\n\r\f]|$)"
 
 
+# Marks that end a word wherever they stand, commas and colons before anything but a digit, and
+# clitics ("don't" keeps "do", "user's" keeps "user").
+BREAKS = r"--+|\.\.\.|[()\[\]{}<>;@#$%&?!\"]"
+COMMA = r"[:,]([^0-9])"
+CLITIC = r"(?i)n't\b|'(?:s|m|d|ll|re|ve)\b"
+
+
 def tokens(sentence: Column) -> Column:
     """Alphabetic tokens of one sentence, in order."""
-    return F.regexp_extract_all(sentence, F.lit(TOKEN), 1)
+    split = F.regexp_replace(F.regexp_replace(sentence, BREAKS, " "), COMMA, " $1")
+    return F.regexp_extract_all(F.regexp_replace(split, CLITIC, " "), F.lit(TOKEN), 1)
 
 
 def sentence_texts(msg: Column) -> Column:

@@ -76,6 +76,11 @@ def _family(values: Column, name: str) -> Column:
     return F.array_join(F.transform(F.filter(values, lambda e: e[name]), lambda e: e["repr"]), "\u0002")
 
 
+def _readable(side: str) -> Column:
+    """Parsable, or empty text, which has no entries; a missing side is neither."""
+    return parsable(F.col(side)) | (F.col(side) == "")
+
+
 def ansible_change_signals(files: DataFrame, extra_config_modules: list[str] | None = None) -> DataFrame:
     """C2-C4 for Ansible: per commit, whether configuration-data, include or service values differ
     between the two sides of the first MODIFY Ansible file (by position) whose two sides parse."""
@@ -84,14 +89,14 @@ def ansible_change_signals(files: DataFrame, extra_config_modules: list[str] | N
     service_keys = "KEY IN (" + modules.sql_in_list(modules.SERVICE_KEYS) + ")"
     tests = {"d": data_keys, "i": include_keys, "s": service_keys}
     cand = (files.filter((F.col("change_type") == "MODIFY") & is_ansible_file(F.col("new_path"))
-                         & parsable(F.col("content")) & parsable(F.col("content_before")))
+                         & _readable("content") & _readable("content_before"))
                  .select("repo", "commit_hash", "pos",
                          yaml_nodes("content").alias("_now"), yaml_nodes("content_before").alias("_then"))
                  .select("repo", "commit_hash", "pos", _keyed_values("_now", tests).alias("_now"),
                          _keyed_values("_then", tests).alias("_then")))
     flags = cand.select(
         "repo", "commit_hash", "pos",
-        *[(_family(F.col("_now"), k) != _family(F.col("_then"), k)).alias(out)
+        *[(F.coalesce(_family(F.col("_now"), k), F.lit("")) != F.coalesce(_family(F.col("_then"), k), F.lit(""))).alias(out)
           for k, out in (("d", "data_changed"), ("i", "include_changed"), ("s", "service_changed"))])
     first = F.min_by(F.struct("data_changed", "include_changed", "service_changed"), F.col("pos"))
     return (flags.groupBy("repo", "commit_hash").agg(first.alias("_f"))

@@ -61,3 +61,21 @@ def test_ansible_signals_first_parsable_file(spark):
     got = {r.commit_hash: (r.data_changed, r.include_changed, r.service_changed)
            for r in classify.ansible_change_signals(files).collect()}
     assert got == {"c1": (True, False, False), "c2": (False, False, False)}
+
+
+def test_words_end_at_marks_and_clitics(spark):
+    cases = {"fix(role): wrong user": "fix role wrong user", "fix:typo": "fix typo", "bug;issue": "bug issue",
+             "don't break user's file": "do break user file", "a--b, c,d 3:4 x": "a b c d x", "": "", "v1.2 (beta2)": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "m string")
+    got = {r.m: " ".join(r.t) for r in df.select("m", text.tokens(F.col("m")).alias("t")).collect()}
+    assert got == cases
+
+
+def test_an_emptied_file_decides(spark):
+    doc = "- name: t\n  copy:\n    src: a\n"
+    rows = [("r", "c1", 0, "MODIFY", "tasks/a.yml", "", doc), ("r", "c2", 0, "MODIFY", "tasks/a.yml", doc, doc),
+            ("r", "c3", 0, "MODIFY", "tasks/a.yml", None, doc)]
+    df = spark.createDataFrame(rows, "repo string, commit_hash string, pos int, change_type string, new_path string, "
+                                     "content string, content_before string")
+    got = {r.commit_hash: r.data_changed for r in classify.ansible_change_signals(df).collect()}
+    assert got == {"c1": True, "c2": False}

@@ -22,7 +22,7 @@ from faultline.operators.lineage import path_lineage
 from faultline.operators.process import PROCESS_METRICS, process_metrics
 from faultline.operators.snapshot import checkpoint_axis, snapshot
 from faultline.plans import dataset, miner, profiles
-from faultline.session import ensure_checkpoint_dir
+from faultline.session import ensure_checkpoint_dir, materialise
 from faultline.sources import sinks
 from faultline.sources.binding import bind
 from faultline.sources.history import (History, commit_checkpoints, diff_scan, file_events, on_branch, point_scan,
@@ -33,7 +33,7 @@ _CACHE: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def history(spark: SparkSession, sf_dir: str) -> History:
-    """The bound history of ``sf_dir``, built once per session (its tables are checkpointed)."""
+    """The bound history of ``sf_dir``, built once per session (its tables are Parquet)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BOUND:
         _BOUND[key] = bind(spark, sf_dir)
@@ -41,10 +41,10 @@ def history(spark: SparkSession, sf_dir: str) -> History:
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A shared intermediate (lineage, fixing commits) checkpointed once per session."""
+    """A shared intermediate (lineage, fixing commits) written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _CACHE:
-        _CACHE[key] = build().checkpoint()
+        _CACHE[key] = materialise(build(), name.replace(":", "-"))
     return _CACHE[key]
 
 

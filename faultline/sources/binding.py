@@ -18,7 +18,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.ordered import prefix_aggs
-from faultline.session import ensure_checkpoint_dir
+from faultline.session import ensure_checkpoint_dir, materialise
 from faultline.sources.history import History, with_positions
 
 COMMITS_PER_REPO = 375
@@ -101,7 +101,7 @@ def bind(spark: SparkSession, sf_dir: str) -> History:
         _case(F.col("o_custkey") % 16, MESSAGES).alias("msg"),
     )
     # Materialised once: every canonical table below reads it.
-    positioned = with_positions(base).checkpoint()
+    positioned = materialise(with_positions(base), "commits")
     commits = positioned.drop("_key")
 
     grouped = (lineitem
@@ -128,7 +128,7 @@ def bind(spark: SparkSession, sf_dir: str) -> History:
             .withColumn("new_path", F.when(ct == "DELETE", F.lit(None).cast("string")).otherwise(file_name(p, ver)))
             .withColumn("old_path", F.when(ct == "ADD", F.lit(None).cast("string"))
                         .when(ct == "RENAME", file_name(p, ver - 1)).otherwise(file_name(p, ver))))
-    ev = ev.checkpoint()
+    ev = materialise(ev, "events")
     # Content before = content after the file's previous event (found by the prefix max above),
     # fetched with an equi-join -- no window over a whole file history.
     before = ev.select("repo", "p", F.col("idx").alias("_prev_idx"), F.col("content").alias("_before"))
@@ -136,9 +136,9 @@ def bind(spark: SparkSession, sf_dir: str) -> History:
                           .withColumn("content_before", F.when(ct == "ADD", F.lit(None).cast("string"))
                                       .otherwise(F.col("_before"))))
 
-    files = with_before.select("repo", "commit_hash", "idx", F.col("p").cast("int").alias("pos"), "change_type",
+    files = materialise(with_before.select("repo", "commit_hash", "idx", F.col("p").cast("int").alias("pos"), "change_type",
                                "old_path", "new_path", "additions", "deletions",
-                               F.col("hunks").cast("int").alias("hunks"), "content", "content_before").checkpoint()
+                               F.col("hunks").cast("int").alias("hunks"), "content", "content_before"), "files")
 
     path = F.coalesce(F.col("new_path"), F.col("old_path"))
     added = ev.filter(ct != "DELETE").select(

@@ -476,12 +476,18 @@ ds AS (SELECT a.repo, a.rel_no, a.path AS filepath, a.commit, a.lineage, {cols}
 
 
 def _delta_sql() -> str:
+    """Deltas to the file's previous checkpoint, unless its path was added since."""
     prev = ", ".join(f"lag({m}) OVER w AS p_{m}" for m in _ANS)
-    deltas = ", ".join(f"round(round(coalesce(CAST({m} AS DOUBLE), 0.0) - CAST(p_{m} AS DOUBLE), 3), 6) AS delta_{m}"
-                       for m in _ANS)
-    return (_WITH.rstrip() + ",\n" + _dataset_rel() +
+    deltas = ", ".join(f"round(round(coalesce(CAST({m} AS DOUBLE), 0.0) - CASE WHEN born IS NULL OR born <= p_cp "
+                       f"THEN CAST(p_{m} AS DOUBLE) END, 3), 6) AS delta_{m}" for m in _ANS)
+    return (_WITH.rstrip() + ",\n" + _dataset_rel() + """,
+dsb AS (SELECT ds.repo, ds.rel_no, ds.filepath, any_value(c.cp_idx) AS cp, max(f.idx) AS born
+        FROM ds JOIN h_cps c ON c.repo = ds.repo AND c.rel_no = ds.rel_no
+        LEFT JOIN h_files f ON f.repo = ds.repo AND f.new_path = ds.filepath AND f.change_type = 'ADD' AND f.idx <= c.cp_idx
+        GROUP BY ds.repo, ds.rel_no, ds.filepath)""" +
             f"\nSELECT repo, CAST(rel_no AS BIGINT) AS rel_no, filepath, {deltas} "
-            f"FROM (SELECT *, {prev} FROM ds WINDOW w AS (PARTITION BY repo, lineage ORDER BY rel_no))")
+            f"FROM (SELECT ds.*, born, lag(cp) OVER w AS p_cp, {prev} FROM ds JOIN dsb USING (repo, rel_no, filepath) "
+            f"WINDOW w AS (PARTITION BY repo, lineage ORDER BY rel_no))")
 
 
 def _dataset_sql() -> str:

@@ -10,30 +10,6 @@ FILES_SCHEMA = ("repo string, commit_hash string, idx long, pos int, change_type
                 "new_path string")
 
 
-def sequential_reference(events, lo, hi):
-    """The original walk over one repository: commits newest first, files in order, one global
-    list of fixed files searched by path."""
-    renamed, fixed = {}, []
-    for idx, pos, ct, old, new, bic in sorted(events, key=lambda e: (-e[0], e[1])):
-        if not (lo <= idx <= hi):
-            continue
-        if ct == "RENAME":
-            renamed[old] = renamed.get(new, new)
-        if bic is None:
-            continue
-        cur = [renamed.get(new, new), idx, bic]
-        same = [f for f in fixed if f[0] == cur[0]]
-        if not same:
-            fixed.append(cur)
-        elif idx < same[0][2]:
-            renamed.pop(new, None)
-            cur[0] = new
-            fixed.append(cur)
-        elif bic < same[0][2]:
-            same[0][2] = bic
-    return sorted(tuple(f) for f in fixed)
-
-
 def _run(spark, events):
     files = spark.createDataFrame([("r", f"c{i}", i, p, ct, old, new) for i, p, ct, old, new, _ in events],
                                   FILES_SCHEMA)
@@ -58,7 +34,6 @@ def test_golden_history(spark):
                (7, 1, "MODIFY", "tasks/task1.yml", "tasks/task1.yml", 2)]
     got, lo, hi, files = _run(spark, events)
     assert got == [("tasks/task1.yml", 7, 2), ("tasks/task2-renamed.yml", 19, 13), ("tasks/task2.yml", 12, 8)]
-    assert got == sequential_reference(events, lo, hi)
 
     fixed = spark.createDataFrame([("r", fp, fic, bic) for fp, fic, bic in got],
                                   "repo string, filepath string, fic_idx long, bic_idx long")
@@ -86,20 +61,50 @@ def _random_history(rnd):
     return events
 
 
-def test_w1_matches_sequential_walk(spark):
-    for seed in range(5):
+def _fix(idx, path, bic):
+    return (idx, 0, "MODIFY", path, path, bic)
+
+
+def _rename(idx, old, new):
+    return (idx, 0, "RENAME", old, new, None)
+
+
+STORIES = [
+    # overlapping fixes become one interval from the newest fix back to the oldest cause
+    ([_fix(9, "a", 4), _fix(7, "a", 2)], [("a", 9, 2)]),
+    # a fix older than the newest interval opens its own; such older ones never join each other
+    ([_fix(9, "a", 6), _fix(5, "a", 3), _fix(4, "a", 1)], [("a", 4, 1), ("a", 5, 3), ("a", 9, 6)]),
+    # a fix before the rename counts for the name the file has later
+    ([_fix(9, "b", 5), _rename(8, "a", "b"), _fix(6, "a", 2)], [("b", 9, 2)]),
+    # once a fix fell outside, the old name is on its own
+    ([_fix(9, "b", 7), _rename(8, "a", "b"), _fix(5, "a", 3), _fix(4, "a", 1)], [("a", 5, 1), ("b", 9, 7)]),
+    # two renames in a row
+    ([_fix(12, "c", 3), _rename(10, "b", "c"), _rename(6, "a", "b"), _fix(5, "a", 1)], [("c", 12, 1)]),
+    # files without a common name do not meet
+    ([_fix(9, "a", 2), _fix(8, "z", 1)], [("a", 9, 2), ("z", 8, 1)]),
+]
+
+
+def test_w1_stories(spark):
+    for events, want in STORIES:
+        assert _run(spark, events)[0] == want
+
+
+def test_w1_properties_on_random_histories(spark):
+    for seed in range(4):
         events = _random_history(random.Random(seed))
-        if not any(e[5] is not None for e in events):
-            continue
-        got, lo, hi, _ = _run(spark, events)
-        assert got == sequential_reference(events, lo, hi), seed
+        fixes = [e for e in events if e[5] is not None]
+        got = _run(spark, events)[0]
+        assert 0 < len(got) <= len(fixes)
+        assert {f[1] for f in got} <= {e[0] for e in fixes} and {f[2] for f in got} <= {e[5] for e in fixes}
+        assert max(f[1] for f in got) == max(e[0] for e in fixes)
+        assert min(f[2] for f in got) == min(e[5] for e in fixes)
 
 
-def test_w2_matches_walk_without_renames(spark):
+def test_w1_is_w2_without_renames(spark):
     rnd = random.Random(11)
-    events = [(i, 0, "MODIFY", p, p, rnd.randint(0, i - 1)) for i in range(1, 60)
-              for p in [rnd.choice(["a.yml", "b.yml"])]]
+    events = [_fix(i, rnd.choice(["a.yml", "b.yml"]), rnd.randint(0, i - 1)) for i in range(1, 60)]
     fixes = spark.createDataFrame([("r", new, i, bic) for i, _, _, _, new, bic in events],
                                   "repo string, filepath string, fic_idx long, bic_idx long")
     got = sorted((r.filepath, r.fic_idx, r.bic_idx) for r in merge_by_path(fixes).collect())
-    assert got == sequential_reference(events, 1, 59)
+    assert got == _run(spark, events)[0]

@@ -36,7 +36,7 @@ def test_row_numbers(spark):
     assert [r.k for r in got] == [None, *sorted([*range(50), 3])]
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [0])
 def test_components(spark, seed):
     rng = random.Random(seed)
     pairs = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)]

@@ -1,17 +1,19 @@
 """Fixed files: merge (fix, bug-introducing) intervals per file -- W1/W2.
 
-Walking fixes newest first, each fix is compared with the *first* stored interval of the same
-file: a fix older than that interval's bug-introducing commit starts a new interval; otherwise the
-stored interval's start moves back to the older bug-introducing commit.  Consequence (W2): the
-newest run of overlapping fixes is merged into one row and every older fix after the first gap
-stays its own row.
-
-* ``merge_by_path`` (W2) is the pure window form keyed by the path at the fix -- exact when no
-  rename happens in the fix range.
-* ``merge_with_renames`` (W1) also resolves each fix to its newest name through renames met in
-  the walk; name resolution and merging share state, so it is a sequential fold.  It runs only
-  for file lineages that have a rename inside the fix range -- all others take the W2 path --
-  and one lineage's fold holds only that lineage's fix and rename events.
+A file's newest run of overlapping fixes is one interval; every fix older than the first gap (a fix
+older than the oldest bug-introducing commit so far) is a row of its own.
+
+* ``merge_by_path`` (W2): window form keyed by the path at the fix -- exact when no rename happens in
+  the fix range.
+* ``merge_with_renames`` (W1): fixes are filed under the newest name of their file, until a gap shows
+  up; from there on a file keeps the name it had.
+
+W1 works on *stretches*: the fixes of one path up to the rename that took its name away.  A rename
+hangs the stretch it ends below the stretch it leads to, so the stretches of a file form a tree.
+Spark cuts every stretch into runs of overlapping fixes.  A run is indivisible: each of its fixes
+reaches back beyond the next one, so if its newest fix falls into an interval all of them do, also
+when other stretches feed the same interval in between.  What is left to decide in order is the name
+of each run, from one small row per run and per rename; fixes are then grouped by it in Spark.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.ordered import prefix_agg
+from faultline.operators.ordered import DEFAULT_WIDTH, prefix_agg
+from faultline.session import materialise
 
-# Ship the fold by value: executors need pandas only, not this package on their path.
+# Ship the ordered step by value: executors need pandas only, not this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FIXED_SCHEMA = "repo string, lineage string, filepath string, fic_idx long, bic_idx long"
-
+FILES_A_COMMIT = 1 << 24   # positions of one commit on the axis "newest commit first"
+OPEN = 1 << 62             # end of a stretch whose name was never taken away
+RUN_NAMES = "repo string, path string, ended long, run long, head string"
 
 def merge_by_path(fixes: DataFrame, path_col: str = "filepath") -> DataFrame:
     """``fixes(repo, <path_col>, fic_idx, bic_idx, ...)`` -> ``(repo, filepath, fic_idx, bic_idx)``."""
@@ -45,66 +49,69 @@ def merge_by_path(fixes: DataFrame, path_col: str = "filepath") -> DataFrame:
     return head.unionByName(rest)
 
 
-class _Walk:
-    """State of the newest-first walk over one lineage: rename map + intervals in insertion order."""
-
-    def __init__(self, repo: str, lineage: str):
-        self.repo, self.lineage = repo, lineage
-        self.renamed: dict[str, str] = {}
-        self.fixed: list[list] = []      # [filepath, fic_idx, bic_idx]
-        self.first: dict[str, int] = {}  # filepath -> index of its first interval
-
-    def step(self, idx: int, change_type: str, old_path, new_path, bic_idx) -> None:
-        if change_type == "RENAME":
-            self.renamed[old_path] = self.renamed.get(new_path, new_path)
-        if bic_idx is None or bic_idx != bic_idx:  # no bug-introducing commit (None / NaN)
-            return
-        bic_idx = int(bic_idx)
-        fp = self.renamed.get(new_path, new_path)
-        j = self.first.get(fp)
-        if j is None:
-            self.first[fp] = len(self.fixed)
-            self.fixed.append([fp, idx, bic_idx])
-            return
-        ex = self.fixed[j]
-        if idx < ex[2]:
-            # An older fix outside the stored interval: a new interval under the path it had then.
-            self.renamed.pop(new_path, None)
-            self.first.setdefault(new_path, len(self.fixed))
-            self.fixed.append([new_path, idx, bic_idx])
-        elif bic_idx < ex[2]:
-            ex[2] = bic_idx
-
-
-def _rows(walks: list[_Walk]) -> pd.DataFrame:
-    rows = [(w.repo, w.lineage, f[0], f[1], f[2]) for w in walks for f in w.fixed]
-    return pd.DataFrame({
-        "repo": pd.Series([r[0] for r in rows], dtype=object),
-        "lineage": pd.Series([r[1] for r in rows], dtype=object),
-        "filepath": pd.Series([r[2] for r in rows], dtype=object),
-        "fic_idx": pd.Series([r[3] for r in rows], dtype="int64"),
-        "bic_idx": pd.Series([r[4] for r in rows], dtype="int64")})
-
-
-def _fold_partition(batches):
-    """Rows arrive hash-partitioned by (repo, lineage) and sorted by (repo, lineage, idx desc, pos),
-    so each lineage is one contiguous run; state is carried across Arrow batches and emitted when
-    the run ends.  Memory holds one lineage's state only."""
-    walk: _Walk | None = None
+def _newest_first() -> F.Column:
+    """Position of a file event on an axis that runs from the newest commit to the oldest."""
+    return F.col("pos").cast("bigint") - F.col("idx") * F.lit(FILES_A_COMMIT)
+
+
+def stretches(fixes: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both inputs with the ``ended`` of the stretch they belong to: the position of the rename that
+    took the path's name away next (``OPEN``: none).  For a rename it names the stretch it leads to."""
+    cols = ["repo", "lineage", "at", "path", "was", "idx", "bic_idx"]
+    none = F.lit(None).cast("bigint")
+    fx = fixes.select("repo", "lineage", _newest_first().alias("at"), F.col("new_path").alias("path"),
+                      F.lit(None).cast("string").alias("was"), "idx", "bic_idx", none.alias("taken"))
+    rn = renames.withColumn("at", _newest_first())
+    to = rn.select("repo", "lineage", "at", F.col("new_path").alias("path"), F.col("old_path").alias("was"),
+                   "idx", none.alias("bic_idx"), none.alias("taken"))
+    away = rn.select("repo", "lineage", "at", F.col("old_path").alias("path"), F.lit(None).cast("string").alias("was"),
+                     "idx", none.alias("bic_idx"), F.col("at").alias("taken"))
+    rows = prefix_agg(fx.unionByName(to).unionByName(away), ["repo", "path"], "at", "taken", "max", "ended",
+                      inclusive=True, width=FILES_A_COMMIT * DEFAULT_WIDTH)
+    rows = materialise(rows.withColumn("ended", F.coalesce("ended", F.lit(OPEN))), "stretches")
+    # A name that was given away and used again has several stretches; they may meet in one interval
+    # fix by fix, so in such files every fix is a run.
+    again = (rows.groupBy("repo", "path").agg(F.min("ended").alias("_a"), F.max("ended").alias("_b"),
+                                              F.max("lineage").alias("lineage"))
+                 .filter("_a <> _b").select("repo", "lineage").distinct().withColumn("reused", F.lit(True)))
+    rows = rows.filter("taken IS NULL").join(again, ["repo", "lineage"], "left")
+    return (rows.filter("was IS NULL").select(*cols, "ended", F.coalesce("reused", F.lit(False)).alias("reused")),
+            rows.filter("was IS NOT NULL").select(*cols, "ended"))
+
+
+def runs(fixes: DataFrame) -> DataFrame:
+    """``fixes`` with ``run``: the number of gaps before the fix in its stretch (reused names: the fix)."""
+    key, width = ["repo", "path", "ended"], FILES_A_COMMIT * DEFAULT_WIDTH
+    d = prefix_agg(fixes, key, "at", "bic_idx", "min", "_reach", width=width)
+    gap = F.coalesce(F.col("idx") < F.col("_reach"), F.lit(False)).cast("int")
+    d = prefix_agg(d, key, "at", gap, "sum", "_gaps", inclusive=True, width=width)
+    return d.withColumn("run", F.when(F.col("reused"), F.col("at")).otherwise(F.col("_gaps")).cast("bigint")).drop(
+        "_reach", "_gaps")
+
+
+def _name_runs(batches):
+    """Name of the interval of every run (``head``; null: each fix stands alone).  Rows of one file
+    come together, newest first; memory holds the names of one file."""
+    file, names, reach = None, {}, {}
     for pdf in batches:
-        done: list[_Walk] = []
-        cols = [pdf[c].to_numpy() for c in ("repo", "lineage", "idx", "change_type", "old_path", "new_path",
-                                            "bic_idx")]
-        for repo, lineage, idx, ct, old, new, bic in zip(*cols):
-            if walk is None or walk.repo != repo or walk.lineage != lineage:
-                if walk is not None:
-                    done.append(walk)
-                walk = _Walk(repo, lineage)
-            walk.step(int(idx), ct, old, new, bic)
-        if done:
-            yield _rows(done)
-    if walk is not None:
-        yield _rows([walk])
+        out = []
+        for row in pdf.itertuples(index=False):
+            if (row.repo, row.lineage) != file:
+                file, names, reach = (row.repo, row.lineage), {}, {}
+            stretch = (row.path, row.ended)
+            filed_under = names.get(stretch, row.path)
+            if row.was is not None:              # the stretch that ends here takes over the name
+                names[(row.was, row.at)] = filed_under
+                continue
+            head = filed_under
+            if row.newest < reach.get(head, row.newest):
+                names[stretch] = row.path        # gap: from here on the file has its own name
+                head = None if row.path in reach else row.path
+            if head is not None:
+                reach[head] = min(row.oldest_bic, reach.get(head, row.oldest_bic))
+            out.append((row.repo, row.path, row.ended, row.run, head))
+        yield pd.DataFrame(out, columns=["repo", "path", "ended", "run", "head"]).astype(
+            {"ended": "int64", "run": "int64"})
 
 
 def merge_with_renames(fixes: DataFrame, files: DataFrame, lineage: DataFrame, fix_range: DataFrame) -> DataFrame:
@@ -113,27 +120,37 @@ def merge_with_renames(fixes: DataFrame, files: DataFrame, lineage: DataFrame, f
     ``fixes(repo, lineage, idx, pos, change_type, old_path, new_path, bic_idx)`` -- fix events with
     their oldest bug-introducing commit; ``fix_range(repo, lo, hi)`` -- first/last fixing commit;
     ``lineage(repo, path, lineage)``.  Returns ``(repo, lineage, filepath, fic_idx, bic_idx)``.
+    Files without a rename in the fix range take ``merge_by_path``.
     """
-    renames = (files.filter(F.col("change_type") == "RENAME")
+    renames = (files.filter((F.col("change_type") == "RENAME") & (F.col("old_path") != F.col("new_path")))
                     .join(fix_range, "repo")
                     .filter(F.col("idx").between(F.col("lo"), F.col("hi")))
                     .join(lineage.withColumnRenamed("path", "new_path"), ["repo", "new_path"])
-                    .select("repo", "lineage", "idx", "pos", "change_type", "old_path", "new_path",
-                            F.lit(None).cast("long").alias("bic_idx")))
-    renamed_lineages = renames.select("repo", "lineage").distinct()
-    fx = fixes.select("repo", "lineage", "idx", "pos", "change_type", "old_path", "new_path",
-                      F.col("bic_idx").cast("long"))
+                    .select("repo", "lineage", "idx", "pos", "old_path", "new_path"))
+    renamed = renames.select("repo", "lineage").distinct()
+    fx = (fixes.filter(F.col("bic_idx").isNotNull())
+               .select("repo", "lineage", "idx", "pos", "new_path", F.col("bic_idx").cast("long")))
 
-    plain = fx.join(renamed_lineages, ["repo", "lineage"], "left_anti")
+    plain = fx.join(renamed, ["repo", "lineage"], "left_anti")
     simple = (merge_by_path(plain.withColumnRenamed("new_path", "filepath").withColumnRenamed("idx", "fic_idx"))
               .join(plain.select("repo", F.col("new_path").alias("filepath"), "lineage").distinct(),
                     ["repo", "filepath"]))
 
-    tricky = fx.join(renamed_lineages, ["repo", "lineage"], "left_semi")
-    # A fix event that is itself a rename appears once, carrying both roles.
-    events = (tricky.unionByName(renames.join(tricky.select("repo", "lineage", "idx", "pos"),
-                                              ["repo", "lineage", "idx", "pos"], "left_anti")))
-    folded = (events.repartition("repo", "lineage")
-                    .sortWithinPartitions("repo", "lineage", F.col("idx").desc(), "pos")
-                    .mapInPandas(_fold_partition, FIXED_SCHEMA))
-    return simple.select("repo", "lineage", "filepath", "fic_idx", "bic_idx").unionByName(folded)
+    in_stretch, links = stretches(fx.join(renamed, ["repo", "lineage"], "left_semi"), renames)
+    in_run = materialise(runs(in_stretch), "runs")  # read for the steps and for the result
+    key = ["repo", "path", "ended", "run"]
+    zero = F.lit(0).cast("bigint")
+    steps = (in_run.groupBy("lineage", *key)
+                   .agg(F.min("at").alias("at"), F.max("idx").alias("newest"), F.min("bic_idx").alias("oldest_bic"))
+                   .withColumn("was", F.lit(None).cast("string"))
+                   .unionByName(links.select("repo", "lineage", "path", "ended", "at", "was", zero.alias("run"),
+                                             zero.alias("newest"), zero.alias("oldest_bic"))))
+    named = (steps.repartition("repo", "lineage")
+                  .sortWithinPartitions("repo", "lineage", "at", F.col("was").isNull())
+                  .mapInPandas(_name_runs, RUN_NAMES))
+    filed = in_run.join(named, key)
+    heads = (filed.filter("head IS NOT NULL").groupBy("repo", "lineage", F.col("head").alias("filepath"))
+                  .agg(F.max("idx").alias("fic_idx"), F.min("bic_idx").alias("bic_idx")))
+    alone = filed.filter("head IS NULL").select("repo", "lineage", F.col("path").alias("filepath"),
+                                                F.col("idx").alias("fic_idx"), "bic_idx")
+    return simple.select("repo", "lineage", "filepath", "fic_idx", "bic_idx").unionByName(heads).unionByName(alone)

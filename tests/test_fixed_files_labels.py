@@ -10,19 +10,22 @@ FILES_SCHEMA = ("repo string, commit_hash string, idx long, pos int, change_type
                 "new_path string")
 
 
-def _run(spark, events):
-    files = spark.createDataFrame([("r", f"c{i}", i, p, ct, old, new) for i, p, ct, old, new, _ in events],
-                                  FILES_SCHEMA)
+def _run_all(spark, histories):
+    """Merged intervals of several histories in one job, each its own repository."""
+    repos = [(f"r{h}", events) for h, events in enumerate(histories)]
+    files = spark.createDataFrame([(r, f"c{i}", i, p, ct, old, new) for r, events in repos
+                                   for i, p, ct, old, new, _ in events], FILES_SCHEMA)
     lin = path_lineage(files)
-    fix_rows = [("r", i, p, ct, old, new, bic) for i, p, ct, old, new, bic in events if bic is not None]
+    fix_rows = [(r, i, p, ct, old, new, bic) for r, events in repos for i, p, ct, old, new, bic in events
+                if bic is not None]
     fixes = (spark.createDataFrame(fix_rows, "repo string, idx long, pos int, change_type string, old_path string, "
                                              "new_path string, bic_idx long")
                   .join(lin.withColumnRenamed("path", "new_path"), ["repo", "new_path"]))
-    lo = min(e[0] for e in events if e[5] is not None)
-    hi = max(e[0] for e in events if e[5] is not None)
-    rng = spark.createDataFrame([("r", lo, hi)], "repo string, lo long, hi long")
+    span = [(r, min(f[1] for f in fix_rows if f[0] == r), max(f[1] for f in fix_rows if f[0] == r)) for r, _ in repos]
+    rng = spark.createDataFrame(span, "repo string, lo long, hi long")
     got = merge_with_renames(fixes, files, lin, rng).collect()
-    return sorted((r.filepath, r.fic_idx, r.bic_idx) for r in got), lo, hi, files
+    merged = [sorted((g.filepath, g.fic_idx, g.bic_idx) for g in got if g.repo == r) for r, _ in repos]
+    return merged, [hi for _, _, hi in span], files
 
 
 def test_golden_history(spark):
@@ -32,13 +35,13 @@ def test_golden_history(spark):
                (19, 1, "MODIFY", "tasks/task2-renamed.yml", "tasks/task2-renamed.yml", 13),
                (12, 1, "MODIFY", "tasks/task2.yml", "tasks/task2.yml", 8),
                (7, 1, "MODIFY", "tasks/task1.yml", "tasks/task1.yml", 2)]
-    got, lo, hi, files = _run(spark, events)
+    (got,), (hi,), files = _run_all(spark, [events])
     assert got == [("tasks/task1.yml", 7, 2), ("tasks/task2-renamed.yml", 19, 13), ("tasks/task2.yml", 12, 8)]
 
-    fixed = spark.createDataFrame([("r", fp, fic, bic) for fp, fic, bic in got],
+    fixed = spark.createDataFrame([("r0", fp, fic, bic) for fp, fic, bic in got],
                                   "repo string, filepath string, fic_idx long, bic_idx long")
-    commits = spark.createDataFrame([("r", f"c{i}", i) for i in range(20)], "repo string, commit_hash string, idx long")
-    prone = failure_prone(fixed, files, commits, spark.createDataFrame([("r", hi)], "repo string, hi long"))
+    commits = spark.createDataFrame([("r0", f"c{i}", i) for i in range(20)], "repo string, commit_hash string, idx long")
+    prone = failure_prone(fixed, files, commits, spark.createDataFrame([("r0", hi)], "repo string, hi long"))
     rows = sorted((r.filepath, r.idx, r.fixing_commit) for r in prone.collect())
     expected = ([("tasks/task2-renamed.yml", 18, "c19")] + [("tasks/task2.yml", i, "c19") for i in range(13, 18)]
                 + [("tasks/task2.yml", i, "c12") for i in range(8, 12)] + [("tasks/task1.yml", i, "c7") for i in range(2, 7)])
@@ -82,19 +85,24 @@ STORIES = [
     ([_fix(12, "c", 3), _rename(10, "b", "c"), _rename(6, "a", "b"), _fix(5, "a", 1)], [("c", 12, 1)]),
     # files without a common name do not meet
     ([_fix(9, "a", 2), _fix(8, "z", 1)], [("a", 9, 2), ("z", 8, 1)]),
+    # two files that ended under one name feed one interval, and one of them leaves it at its gap
+    ([_fix(20, "c", 15), _rename(18, "a", "c"), _rename(17, "b", "c"), _fix(16, "a", 9), _fix(12, "b", 10),
+      _fix(5, "b", 2), _fix(4, "a", 3), _fix(3, "b", 1)], [("a", 4, 3), ("b", 5, 1), ("c", 20, 9)]),
+    # a name given away and used again: its old file falls out of the newer name's interval one by one
+    ([_fix(20, "a", 19), _rename(15, "a", "b"), _fix(14, "b", 12), _fix(10, "a", 7), _fix(8, "a", 6)],
+     [("a", 8, 6), ("a", 10, 7), ("a", 20, 19), ("b", 14, 12)]),
 ]
 
 
 def test_w1_stories(spark):
-    for events, want in STORIES:
-        assert _run(spark, events)[0] == want
+    assert _run_all(spark, [events for events, _ in STORIES])[0] == [want for _, want in STORIES]
 
 
 def test_w1_properties_on_random_histories(spark):
-    for seed in range(4):
-        events = _random_history(random.Random(seed))
+    histories = [_random_history(random.Random(seed)) for seed in range(20)]
+    histories = [events for events in histories if any(e[5] is not None for e in events)]
+    for events, got in zip(histories, _run_all(spark, histories)[0]):
         fixes = [e for e in events if e[5] is not None]
-        got = _run(spark, events)[0]
         assert 0 < len(got) <= len(fixes)
         assert {f[1] for f in got} <= {e[0] for e in fixes} and {f[2] for f in got} <= {e[5] for e in fixes}
         assert max(f[1] for f in got) == max(e[0] for e in fixes)
@@ -107,4 +115,4 @@ def test_w1_is_w2_without_renames(spark):
     fixes = spark.createDataFrame([("r", new, i, bic) for i, _, _, _, new, bic in events],
                                   "repo string, filepath string, fic_idx long, bic_idx long")
     got = sorted((r.filepath, r.fic_idx, r.bic_idx) for r in merge_by_path(fixes).collect())
-    assert got == _run(spark, events)[0]
+    assert got == _run_all(spark, [events])[0][0]

@@ -143,7 +143,7 @@ _CTES = [
                  OVER (PARTITION BY repo, p ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS ver
   FROM h_ev0"""),
     ("h_ev2", f"""
-  SELECT *,
+  SELECT *, {_name('p', 'born_ver')} || '@' || {_s('born')} AS life,
     CASE WHEN change_type = 'DELETE' THEN NULL
          WHEN p % 4 <= 1 THEN CASE WHEN additions % 17 = 0
                                    THEN replace({_ANSIBLE_DOC}, {NL} || '  when', {NL} || {TAB} || 'when')
@@ -156,7 +156,9 @@ _CTES = [
     CASE WHEN change_type = 'ADD' THEN NULL WHEN change_type = 'RENAME' THEN {_name('p', 'ver - 1')}
          ELSE {_name('p', 'ver')} END AS old_path,
     {_name('p', '0')} AS lineage
-  FROM h_ev1"""),
+  FROM (SELECT *, coalesce(max(CASE WHEN change_type = 'ADD' THEN idx END) OVER w, -1) AS born,
+               coalesce(max(CASE WHEN change_type = 'ADD' THEN ver END) OVER w, 0) AS born_ver
+        FROM h_ev1 WINDOW w AS (PARTITION BY repo, p ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""),
     ("h_files", """
   SELECT *, CASE WHEN change_type = 'ADD' THEN NULL ELSE lag(content) OVER w END AS content_before,
          lag(slot) OVER w AS b_slot, lag(additions) OVER w AS b_add
@@ -164,12 +166,12 @@ _CTES = [
     ("h_diff", """
   SELECT repo, commit_hash, idx, p AS pos, coalesce(new_path, old_path) AS path, 'added' AS side, slot AS line_no,
          CASE WHEN hunks % 3 = 0 THEN '  # c' || CAST(additions AS VARCHAR) ELSE 'x = ' || CAST(additions AS VARCHAR) END AS text,
-         lineage
+         life
   FROM h_files WHERE change_type <> 'DELETE'
   UNION ALL
   SELECT repo, commit_hash, idx, p, coalesce(new_path, old_path), 'deleted', slot + 1 + hunks % 2,
          CASE WHEN deletions % 4 = 0 THEN '# note ' || CAST(deletions AS VARCHAR) ELSE 'y = ' || CAST(deletions AS VARCHAR) END,
-         lineage
+         life
   FROM h_files WHERE change_type <> 'ADD' AND deletions > 0"""),
     ("h_msg", f"""
   SELECT repo, commit_hash, idx, committed_at,
@@ -238,15 +240,15 @@ _CTES += [
   SELECT f.* FROM h_files f JOIN h_fix x ON x.repo = f.repo AND x.commit_hash = f.commit_hash
   WHERE f.change_type IN ('MODIFY', 'RENAME') AND {_is_ansible('f.new_path')}"""),
     ("h_prev", """
-  SELECT repo, lineage, line_no, idx,
-         max(idx) OVER (PARTITION BY repo, lineage, line_no ORDER BY idx
+  SELECT repo, life, line_no, idx,
+         max(idx) OVER (PARTITION BY repo, life, line_no ORDER BY idx
                         RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_idx
-  FROM (SELECT DISTINCT repo, lineage, line_no, idx FROM h_diff)"""),
+  FROM (SELECT DISTINCT repo, life, line_no, idx FROM h_diff)"""),
     ("h_blame", """
   SELECT d.repo, d.commit_hash, d.pos, d.line_no, pr.prev_idx
   FROM h_diff d
   JOIN h_fixev e ON e.repo = d.repo AND e.commit_hash = d.commit_hash AND e.p = d.pos
-  JOIN h_prev pr ON pr.repo = d.repo AND pr.lineage = d.lineage AND pr.line_no = d.line_no AND pr.idx = d.idx
+  JOIN h_prev pr ON pr.repo = d.repo AND pr.life = d.life AND pr.line_no = d.line_no AND pr.idx = d.idx
   WHERE d.side = 'deleted'"""),
     ("h_oldest", """
   SELECT repo, commit_hash, pos, min(prev_idx) AS bic_idx FROM h_blame WHERE prev_idx IS NOT NULL
@@ -327,15 +329,15 @@ FROM w1_out x JOIN h_commits cf ON cf.repo = x.repo AND cf.idx = x.f.fic
   FROM h_commits WHERE idx % 25 = 24"""),
     ("h_states", """
   SELECT repo, path, idx, arg_max(alive, pos) AS alive, arg_max_null(content, pos) AS content,
-         arg_max(lineage, pos) AS lineage
-  FROM (SELECT repo, new_path AS path, idx, p AS pos, true AS alive, content, lineage FROM h_files WHERE change_type <> 'DELETE'
+         arg_max(life, pos) AS life
+  FROM (SELECT repo, new_path AS path, idx, p AS pos, true AS alive, content, life FROM h_files WHERE change_type <> 'DELETE'
         UNION ALL
-        SELECT repo, old_path, idx, p, false, NULL, lineage FROM h_files
+        SELECT repo, old_path, idx, p, false, NULL, life FROM h_files
         WHERE change_type = 'DELETE' OR (change_type = 'RENAME' AND old_path <> new_path))
   WHERE path IS NOT NULL GROUP BY repo, path, idx"""),
     ("h_snap", """
   SELECT c.repo, c.rel_no, c.commit_hash AS commit, s.path, arg_max(s.alive, s.idx) AS alive,
-         arg_max_null(s.content, s.idx) AS content, arg_max(s.lineage, s.idx) AS lineage
+         arg_max_null(s.content, s.idx) AS content, arg_max(s.life, s.idx) AS life
   FROM h_cps c JOIN h_states s ON s.repo = c.repo AND s.idx <= c.cp_idx
   GROUP BY c.repo, c.rel_no, c.commit_hash, s.path"""),
     ("h_alive", """
@@ -345,41 +347,52 @@ FROM w1_out x JOIN h_commits cf ON cf.repo = x.repo AND cf.idx = x.f.fic
   FROM h_cps"""),
     ("h_wev", """
   SELECT w.repo, w.rel_no, f.commit_hash, f.idx, f.p, f.change_type, coalesce(f.new_path, f.old_path) AS path,
-         f.additions, f.deletions, f.hunks, f.lineage, c.author
+         f.additions, f.deletions, f.hunks, f.life, c.author
   FROM h_win w JOIN h_files f ON f.repo = w.repo AND f.idx BETWEEN w.lo AND w.hi
   JOIN h_commits c ON c.repo = f.repo AND c.commit_hash = f.commit_hash"""),
     ("h_pc", """
-  SELECT repo, rel_no, lineage, commit_hash, any_value(author) AS author, sum(additions) AS adds,
+  SELECT repo, rel_no, life, commit_hash, any_value(author) AS author, sum(additions) AS adds,
          sum(deletions) AS dels, sum(hunks) AS hunks,
          sum(CASE WHEN change_type <> 'ADD' THEN additions - deletions END) AS churn,
          arg_max(path, idx * 1000 + p) AS path, max(idx * 1000 + p) AS at_key
-  FROM h_wev GROUP BY repo, rel_no, lineage, commit_hash"""),
+  FROM h_wev GROUP BY repo, rel_no, life, commit_hash"""),
     ("h_pf", """
-  SELECT repo, rel_no, lineage, arg_max(path, at_key) AS filepath,
+  SELECT repo, rel_no, life, arg_max(path, at_key) AS filepath,
          CAST(coalesce(sum(churn), 0) AS BIGINT) AS code_churn_count,
          CAST(coalesce(max(churn), 0) AS BIGINT) AS code_churn_max,
          coalesce(avg(churn), 0.0) AS code_churn_avg, CAST(count(*) AS BIGINT) AS commits_count,
          CAST(count(DISTINCT author) AS BIGINT) AS contributors_count, CAST(median(hunks) AS DOUBLE) AS hunks_median,
          CAST(sum(adds) AS BIGINT) AS additions, CAST(max(adds) AS BIGINT) AS additions_max, avg(adds) AS additions_avg,
          CAST(sum(dels) AS BIGINT) AS deletions, CAST(max(dels) AS BIGINT) AS deletions_max, avg(dels) AS deletions_avg
-  FROM h_pc GROUP BY repo, rel_no, lineage"""),
+  FROM h_pc GROUP BY repo, rel_no, life"""),
     ("h_pe", """
-  SELECT repo, rel_no, lineage, CAST(count(*) FILTER (WHERE share < 0.05) AS BIGINT) AS minor_contributors_count,
+  SELECT repo, rel_no, life, CAST(count(*) FILTER (WHERE share < 0.05) AS BIGINT) AS minor_contributors_count,
          coalesce(max(share), 0.0) * 100 AS highest_contributor_experience
   FROM (SELECT *, CASE WHEN sum(lines) OVER g > 0 THEN lines / sum(lines) OVER g END AS share
-        FROM (SELECT repo, rel_no, lineage, author, sum(adds + dels) AS lines FROM h_pc GROUP BY repo, rel_no, lineage, author)
-        WINDOW g AS (PARTITION BY repo, rel_no, lineage))
-  GROUP BY repo, rel_no, lineage"""),
+        FROM (SELECT repo, rel_no, life, author, sum(adds + dels) AS lines FROM h_pc GROUP BY repo, rel_no, life, author)
+        WINDOW g AS (PARTITION BY repo, rel_no, life))
+  GROUP BY repo, rel_no, life"""),
     ("h_pcs", """
   SELECT repo, rel_no, CAST(max(n) AS BIGINT) AS change_set_max, avg(n) AS change_set_avg
   FROM (SELECT repo, rel_no, commit_hash, count(*) AS n FROM h_wev GROUP BY repo, rel_no, commit_hash)
   GROUP BY repo, rel_no"""),
     ("h_proc", """
   SELECT f.*, e.minor_contributors_count, e.highest_contributor_experience, c.change_set_max, c.change_set_avg
-  FROM h_pf f JOIN h_pe e USING (repo, rel_no, lineage) JOIN h_pcs c USING (repo, rel_no)"""),
+  FROM h_pf f JOIN h_pe e USING (repo, rel_no, life) JOIN h_pcs c USING (repo, rel_no)"""),
 ]
 
-_WITH = "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body}\n)" for name, body in _CTES) + "\n"
+
+def _with(**instead: str) -> str:
+    """The history's common tables; ``instead`` replaces some of them by name."""
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({instead.get(name, body)}\n)" for name, body in _CTES) + "\n"
+
+
+_WITH = _with()
+# The same tables with a checkpoint at every commit, and with the fixes of the TOSCA profile.
+_WITH_COMMITS = _with(h_cps="SELECT repo, commit_hash, idx AS cp_idx, idx AS rel_no FROM h_commits")
+_WITH_TOSCA = _with(h_fix=dict(_CTES)["h_fix_tosca"], h_fixev=f"""
+  SELECT f.* FROM h_files f JOIN h_fix x ON x.repo = f.repo AND x.commit_hash = f.commit_hash
+  WHERE f.change_type IN ('MODIFY', 'RENAME') AND {_is_tosca('f.new_path', 'f.content')}""")
 
 
 def _big(c: str, alias: str | None = None) -> str:
@@ -458,55 +471,64 @@ def _m(c: str, prefix: str = "") -> str:
     return _r6(prefix + c, c) if c in _DOUBLE else _big(prefix + c, c)
 
 
-def _dataset_rel() -> str:
-    """Dataset rows (Ansible profile, releases) with product metrics of the file version."""
+def _dataset_rel(kind: str = "ansible") -> str:
+    """Dataset rows of a profile with product metrics of the file version."""
     ok = _parsable("a.content")
-    prod = {
-        "lines_code": _lines_code("a.content"), "lines_blank": _lines_blank("a.content"),
-        "num_conditions": "1", "num_keys": "4", "num_tokens": f"len({_words('a.content')})",
-        "text_entropy": "e.text_entropy", "avg_play_size": f"CAST({_lines_code('a.content')} AS DOUBLE)",
+    text = {"lines_code": _lines_code("a.content"), "lines_blank": _lines_blank("a.content"),
+            "num_tokens": f"len({_words('a.content')})", "text_entropy": "e.text_entropy"}
+    keep = _is_ansible("a.path") if kind == "ansible" else _is_tosca("a.path", "a.content")
+    prod = text | {
+        "num_keys": "9", "num_imports": "1", "num_inputs": "0", "num_interfaces": "0", "num_node_templates": "1",
+        "num_node_types": "0", "num_parameters": "0", "num_properties": "2", "num_relationship_templates": "0",
+        "num_relationship_types": "0", "num_shell_scripts": "1",
+        "num_suspicious_comments": "CASE WHEN contains(a.content, '# TODO') THEN 1 ELSE 0 END",
+    } if kind == "tosca" else text | {
+        "num_conditions": "1", "num_keys": "4", "avg_play_size": f"CAST({_lines_code('a.content')} AS DOUBLE)",
         "num_distinct_modules": "1", "num_parameters": "1", "num_tasks": "1", "num_unique_names": "1",
     }
     cols = ", ".join(f"CASE WHEN {ok} THEN {v} END AS {k}" for k, v in prod.items())
     ent = _entropy_sql("h_alive", ["repo", "rel_no", "path"], "content")
     return f"""ds_ent AS ({ent}),
-ds AS (SELECT a.repo, a.rel_no, a.path AS filepath, a.commit, a.lineage, {cols}
+ds AS (SELECT a.repo, a.rel_no, a.path AS filepath, a.commit, a.life, {cols}
        FROM h_alive a JOIN ds_ent e USING (repo, rel_no, path)
-       WHERE a.content IS NOT NULL AND length(a.content) > 0 AND {_is_ansible('a.path')})"""
+       WHERE a.content IS NOT NULL AND length(a.content) > 0 AND {keep})"""
 
 
 def _delta_sql() -> str:
-    """Deltas to the file's previous checkpoint, unless its path was added since."""
+    """Deltas to the previous checkpoint of the same life of the file."""
     prev = ", ".join(f"lag({m}) OVER w AS p_{m}" for m in _ANS)
-    deltas = ", ".join(f"round(round(coalesce(CAST({m} AS DOUBLE), 0.0) - CASE WHEN born IS NULL OR born <= p_cp "
-                       f"THEN CAST(p_{m} AS DOUBLE) END, 3), 6) AS delta_{m}" for m in _ANS)
-    return (_WITH.rstrip() + ",\n" + _dataset_rel() + """,
-dsb AS (SELECT ds.repo, ds.rel_no, ds.filepath, any_value(c.cp_idx) AS cp, max(f.idx) AS born
-        FROM ds JOIN h_cps c ON c.repo = ds.repo AND c.rel_no = ds.rel_no
-        LEFT JOIN h_files f ON f.repo = ds.repo AND f.new_path = ds.filepath AND f.change_type = 'ADD' AND f.idx <= c.cp_idx
-        GROUP BY ds.repo, ds.rel_no, ds.filepath)""" +
+    deltas = ", ".join(f"round(round(coalesce(CAST({m} AS DOUBLE), 0.0) - CAST(p_{m} AS DOUBLE), 3), 6) "
+                       f"AS delta_{m}" for m in _ANS)
+    return (_WITH.rstrip() + ",\n" + _dataset_rel() +
             f"\nSELECT repo, CAST(rel_no AS BIGINT) AS rel_no, filepath, {deltas} "
-            f"FROM (SELECT ds.*, born, lag(cp) OVER w AS p_cp, {prev} FROM ds JOIN dsb USING (repo, rel_no, filepath) "
-            f"WINDOW w AS (PARTITION BY repo, lineage ORDER BY rel_no))")
-
-
-def _dataset_sql() -> str:
-    def pm(c: str) -> str:
-        src = "pe" if c in ("minor_contributors_count", "highest_contributor_experience") else "p"
-        return (_r6 if c in _DOUBLE else _big)(f"coalesce({src}.{c}, 0)", c)
-    proc = ", ".join(pm(c) for c in _q.PROCESS_METRICS if c not in ("change_set_max", "change_set_avg"))
-    cs = f"{_big('coalesce(s.change_set_max, 0)', 'change_set_max')}, {_r6('coalesce(s.change_set_avg, 0)', 'change_set_avg')}"
-    prod = ", ".join(_m(c, "d.") for c in _ANS)
-    return (_WITH.rstrip() + ",\n" + _dataset_rel() + f"""
-SELECT d.repo, d.filepath, d.commit, CAST(c.committed_at AS VARCHAR) AS committed_at,
-       CAST(CASE WHEN fp.filepath IS NULL THEN 0 ELSE 1 END AS BIGINT) AS failure_prone, {cs}, {proc}, {prod}
+            f"FROM (SELECT ds.*, {prev} FROM ds WINDOW w AS (PARTITION BY repo, life ORDER BY rel_no))")
+
+
+def _dataset_sql(tables: str = _WITH, kind: str = "ansible", delta: bool = False) -> str:
+    """Ids, label, process and product metrics (and the deltas of both) of every dataset row."""
+    names = _ANS if kind == "ansible" else _TOS
+    by_file = [c for c in _q.PROCESS_METRICS if c not in ("change_set_max", "change_set_avg")]
+    of = {c: f"coalesce(p.{c}, 0)" for c in by_file} | {c: f"d.{c}" for c in names}
+    of |= {c: f"coalesce(pe.{c}, 0)" for c in ("minor_contributors_count", "highest_contributor_experience")}
+    of = {c: f"coalesce(s.{c}, 0)" for c in ("change_set_max", "change_set_avg")} | of
+    rows = f"""full_rows AS (
+SELECT d.repo, d.rel_no, d.life, d.filepath, d.commit, CAST(c.committed_at AS VARCHAR) AS committed_at,
+       CAST(CASE WHEN fp.filepath IS NULL THEN 0 ELSE 1 END AS BIGINT) AS failure_prone,
+       {", ".join(f"{v} AS {c}" for c, v in of.items())}
 FROM ds d
 JOIN h_commits c ON c.repo = d.repo AND c.commit_hash = d.commit
 LEFT JOIN (SELECT DISTINCT repo, filepath, commit FROM h_prone_named) fp
        ON fp.repo = d.repo AND fp.filepath = d.filepath AND fp.commit = d.commit
-LEFT JOIN h_pf p ON p.repo = d.repo AND p.rel_no = d.rel_no AND p.lineage = d.lineage
-LEFT JOIN h_pe pe ON pe.repo = d.repo AND pe.rel_no = d.rel_no AND pe.lineage = d.lineage
-LEFT JOIN h_pcs s ON s.repo = d.repo AND s.rel_no = d.rel_no""")
+LEFT JOIN h_pf p ON p.repo = d.repo AND p.rel_no = d.rel_no AND p.life = d.life
+LEFT JOIN h_pe pe ON pe.repo = d.repo AND pe.rel_no = d.rel_no AND pe.life = d.life
+LEFT JOIN h_pcs s ON s.repo = d.repo AND s.rel_no = d.rel_no)"""
+    cols = [_m(c) for c in of]
+    if delta:
+        cols += [f"round(round(coalesce(CAST({c} AS DOUBLE), 0.0) - CAST(lag({c}) OVER w AS DOUBLE), 3), 6) AS delta_{c}"
+                 for c in of]
+    window = " WINDOW w AS (PARTITION BY repo, life ORDER BY rel_no)" if delta else ""
+    return (tables.rstrip() + ",\n" + _dataset_rel(kind) + ",\n" + rows +
+            f"\nSELECT repo, filepath, commit, committed_at, failure_prone, {', '.join(cols)} FROM full_rows{window}")
 
 
 def _locator_sql() -> str:
@@ -587,6 +609,8 @@ WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('cont
                            "JOIN h_commits c ON c.repo = o.repo AND c.idx = o.bic_idx"),
         "lineage": _sel("SELECT DISTINCT repo, path, lineage FROM (SELECT repo, new_path AS path, lineage FROM h_files "
                         "UNION ALL SELECT repo, old_path, lineage FROM h_files) WHERE path IS NOT NULL"),
+        "file_lives": _sel("SELECT repo, commit_hash, CAST(p AS BIGINT) AS pos, coalesce(new_path, old_path) AS path, life "
+                           "FROM h_files"),
         "fixed_files": _sel("SELECT repo, filepath, fic, bic, CAST(fic_idx AS BIGINT) AS fic_idx, "
                             "CAST(bic_idx AS BIGINT) AS bic_idx FROM h_fixed"),
         "fixed_files_renamed": _sel("SELECT repo, filepath, fic, bic, fic_idx, bic_idx FROM h_named_fixed"),
@@ -598,7 +622,7 @@ WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('cont
         "snapshot": _sel("SELECT repo, rel_no, path FROM h_alive"),
     })
     for name, cols in _PROC_GROUPS.items():
-        o[name] = _sel("SELECT repo, rel_no, lineage, filepath, " + ", ".join(_m(c) for c in cols) + " FROM h_proc")
+        o[name] = _sel("SELECT repo, rel_no, life, filepath, " + ", ".join(_m(c) for c in cols) + " FROM h_proc")
     o.update({
         "valid_content": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(length(text) AS BIGINT) AS n_chars "
                          "FROM documents WHERE text IS NOT NULL AND length(text) > 0",
@@ -612,6 +636,11 @@ WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('cont
         "prod_tosca": _product_sql("tosca"),
         "delta_metrics": _delta_sql(),
         "metrics_dataset": _dataset_sql(),
+        "dataset_process_delta": _dataset_sql(delta=True),
+        "dataset_commit_mode": _dataset_sql(_WITH_COMMITS),
+        "dataset_tosca": _dataset_sql(_WITH_TOSCA, "tosca"),
+        "prone_json_codec": _sel("""SELECT filepath, commit, fixing_commit, '{"filepath":"' || filepath || '","commit":"' || commit
+       || '","fixing_commit":"' || fixing_commit || '"}' AS json FROM h_prone_named"""),
         "json_roundtrip": _sel("SELECT repo, filepath, fic, bic FROM h_named_fixed"),
         "csv_sink": _sel("SELECT repo, filepath, commit, fixing_commit FROM h_prone_named"),
     })

@@ -2,11 +2,11 @@
 
 Input lines are ``diff_lines`` whose ``line_no`` names a line slot of the file (stable across
 versions in this model).  A fix blames, for every line it deleted/changed, the latest earlier
-commit of the same file lineage that touched that line (an as-of join, backward and strict); the
+commit of the same file life that touched that line (an as-of join, backward and strict); the
 bug-introducing commit of the (fix, file) pair is the oldest of those (J5).  Pairs with no blamed
 line are dropped.
 
-The as-of step is a prefix max over the (repo, lineage, line) axis, computed with the two-level
+The as-of step is a prefix max over the (repo, life, line) axis, computed with the two-level
 bucketed scan of ``ordered.prefix_agg`` -- no range join, and a hot file is split by buckets.
 """
 
@@ -18,29 +18,30 @@ from pyspark.sql import functions as F
 from faultline.operators.ordered import prefix_agg
 
 
-def touches(diff_lines: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Every (repo, lineage, line_no, idx) touched by a diff line, with the event key."""
-    return (diff_lines.join(lineage, ["repo", "path"])
-                      .select("repo", "lineage", "line_no", "idx", "commit_hash", "pos", "side"))
+def touches(diff_lines: DataFrame, lives: DataFrame) -> DataFrame:
+    """Every (repo, life, line_no, idx) touched by a diff line, with the event key."""
+    return (diff_lines.join(lives.select("repo", "commit_hash", "pos", "life"), ["repo", "commit_hash", "pos"])
+                      .select("repo", "life", "line_no", "idx", "commit_hash", "pos", "side"))
 
 
-def blame(fix_events: DataFrame, diff_lines: DataFrame, lineage: DataFrame) -> DataFrame:
+def blame(fix_events: DataFrame, diff_lines: DataFrame, lives: DataFrame) -> DataFrame:
     """``(repo, commit_hash, pos, line_no, prev_idx)`` for each deleted line of each fix event;
     ``prev_idx`` = position of the latest earlier commit touching the same line (NULL if none).
 
-    ``fix_events(repo, commit_hash, pos)`` selects the file events to blame.
+    ``fix_events(repo, commit_hash, pos)`` selects the file events to blame; ``lives`` comes from
+    ``lives.file_lives``: lines of a file that had the same name earlier are never blamed.
     """
-    t = touches(diff_lines, lineage)
+    t = touches(diff_lines, lives)
     t = t.join(fix_events.select("repo", "commit_hash", "pos").withColumn("_fix", F.lit(True)),
                ["repo", "commit_hash", "pos"], "left")
-    t = prefix_agg(t, ["repo", "lineage", "line_no"], "idx", "idx", "max", "prev_idx")
+    t = prefix_agg(t, ["repo", "life", "line_no"], "idx", "idx", "max", "prev_idx")
     return (t.filter(F.col("_fix") & (F.col("side") == "deleted"))
-             .select("repo", "commit_hash", "pos", "lineage", "line_no", "prev_idx"))
+             .select("repo", "commit_hash", "pos", "life", "line_no", "prev_idx"))
 
 
 def oldest_inducing(blamed: DataFrame, commits: DataFrame) -> DataFrame:
-    """``(repo, commit_hash, pos, lineage, bic, bic_idx)`` -- the oldest blamed commit per fix event."""
+    """``(repo, commit_hash, pos, bic, bic_idx)`` -- the oldest blamed commit per fix event."""
     agg = (blamed.filter(F.col("prev_idx").isNotNull())
-                 .groupBy("repo", "commit_hash", "pos", "lineage").agg(F.min("prev_idx").alias("bic_idx")))
+                 .groupBy("repo", "commit_hash", "pos").agg(F.min("prev_idx").alias("bic_idx")))
     return agg.join(commits.select("repo", F.col("idx").alias("bic_idx"), F.col("commit_hash").alias("bic")),
                     ["repo", "bic_idx"])

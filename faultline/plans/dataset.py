@@ -5,9 +5,9 @@ Rows: files present at a checkpoint (S9) with non-empty content (S10) that the p
 missing -> 0) + product metrics (computed once per file version, then spread over the checkpoints
 that version covers) + ``delta_<m>`` = round(m - m at the file's previous appearance, 3).
 
-The previous appearance follows renames through the file lineage, but not past the latest ADD of the
-path: a file that was deleted and added again starts anew.  It is found with a prefix max over
-checkpoint numbers per lineage and an equi-join -- no window over a whole lineage.
+Process metrics and the previous appearance belong to the file's life (``operators/lives.py``): they
+follow its renames, and a file that was deleted and added again starts anew.  The previous appearance
+is found with a prefix max over checkpoint numbers per life and an equi-join.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.labels import label_flag
-from faultline.operators.ordered import prefix_agg, prefix_aggs
+from faultline.operators.ordered import prefix_agg
 from faultline.operators.process import PROCESS_METRICS, process_metrics
 from faultline.operators.product import ANSIBLE_METRICS, TOSCA_METRICS
 from faultline.operators.snapshot import alive_intervals, checkpoint_axis, expand_to_checkpoints, valid_content
@@ -31,18 +31,14 @@ def product_profile(profile: Profile) -> str | None:
     return profile.metrics
 
 
-def add_deltas(df: DataFrame, metrics: list[str], key: list[str], order: str = "rel_no",
-               since: str | None = None) -> DataFrame:
-    """``delta_m`` for each metric against the previous row of the same ``key`` by ``order``.  With
-    ``since``, rows before that value of ``order`` belong to an earlier life and are no predecessors."""
+def add_deltas(df: DataFrame, metrics: list[str], key: list[str], order: str = "rel_no") -> DataFrame:
+    """``delta_m`` for each metric against the previous row of the same ``key`` by ``order``."""
     d = prefix_agg(df, key, order, order, "max", "_prev")
-    # One previous row per (key, order): if a lineage shows two paths at one checkpoint, the
+    # One previous row per (key, order): if a life shows two paths at one checkpoint, the
     # greatest path is its representative.
     prev = (df.groupBy(*key, F.col(order).alias("_prev"))
               .agg(F.max_by(F.struct(*[F.col(m).alias(f"_p_{m}") for m in metrics]), F.col("filepath")).alias("_p"))
               .select(*key, "_prev", "_p.*"))
-    if since:
-        d = d.withColumn("_prev", F.when(F.col(since).isNull() | (F.col(since) <= F.col("_prev")), F.col("_prev")))
     d = d.join(prev, [*key, "_prev"], "left")
     for m in metrics:
         d = d.withColumn(f"delta_{m}", F.round(F.coalesce(F.col(m).cast("double"), F.lit(0.0))
@@ -50,22 +46,12 @@ def add_deltas(df: DataFrame, metrics: list[str], key: list[str], order: str = "
     return d.drop("_prev", *[f"_p_{m}" for m in metrics])
 
 
-def births(files: DataFrame, axis: DataFrame) -> DataFrame:
-    """``(repo, path, idx, born)`` per state of a path: checkpoints before its latest ADD (null: none).
-    A row at a checkpoint with a smaller number shows an earlier life of the path."""
-    add = F.when(F.col("change_type") == "ADD", F.col("idx"))
-    states = (files.where("new_path IS NOT NULL AND change_type <> 'DELETE'")
-              .groupBy("repo", F.col("new_path").alias("path"), "idx").agg(F.max(add).alias("_add")))
-    states = prefix_aggs(states, ["repo", "path"], "idx", [("_add", "max", "_at", True)])
-    before = axis.select("repo", F.col("idx").alias("_at"), F.col("before").alias("born"))
-    return states.join(before, ["repo", "_at"], "left").select("repo", "path", "idx", "born")
-
-
-def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage: DataFrame,
+def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lives: DataFrame,
                   prone: DataFrame | None, product: bool = True, process: bool = True,
                   delta: bool = False, process_df: DataFrame | None = None,
                   product_df: DataFrame | None = None, axis: DataFrame | None = None) -> DataFrame:
-    """``checkpoints(repo, commit_hash, idx, rel_no)``; ``prone(repo, filepath, commit)`` or None.
+    """``checkpoints(repo, commit_hash, idx, rel_no)``; ``prone(repo, filepath, commit)`` or None;
+    ``lives`` from ``lives.file_lives``.
 
     ``process_df`` (output of ``process_metrics`` for these checkpoints), ``product_df``
     (``repo, idx, path`` + product metrics of each file version) and ``axis`` (``checkpoint_axis``)
@@ -77,7 +63,9 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage:
     iv = valid_content(alive_intervals(h.files))
     iv = iv.filter(~F.regexp_extract("path", r"^(.*)/", 1).contains(".git"))
     iv = iv.filter(profile.keep(F.col("path"), F.col("content")))
-    iv = materialise(iv.join(lineage, ["repo", "path"]), "versions")
+    # The state a path has after a commit is that of the commit's last event on it.
+    state = lives.groupBy("repo", "path", "idx").agg(F.max_by("life", "pos").alias("life"))
+    iv = materialise(iv.join(state, ["repo", "path", "idx"]), "versions")
     metric_cols: list[str] = []
     prod = product_profile(profile) if product else None
     if prod:
@@ -87,8 +75,6 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage:
             pm = product_df
         iv = iv.join(pm, ["repo", "path", "idx"], "left")
         metric_cols = list(ANSIBLE_METRICS if prod == "ansible" else TOSCA_METRICS)
-    if delta:
-        iv = iv.join(births(h.files, axis), ["repo", "path", "idx"], "left")
     rows = expand_to_checkpoints(iv.drop("content"), axis)
 
     cp = (checkpoints.select("repo", "rel_no", F.col("commit_hash").alias("commit"))
@@ -101,16 +87,16 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lineage:
     else:
         rows = rows.withColumn("failure_prone", F.lit(0))
     if process:
-        pr = (process_df if process_df is not None else process_metrics(h.files, h.commits, axis, lineage)
+        pr = (process_df if process_df is not None else process_metrics(h.files, h.commits, axis, lives)
               ).drop("filepath")
         per_cp = pr.select("repo", "rel_no", "change_set_max", "change_set_avg").distinct()
-        rows = (rows.join(pr.drop("change_set_max", "change_set_avg"), ["repo", "rel_no", "lineage"], "left")
+        rows = (rows.join(pr.drop("change_set_max", "change_set_avg"), ["repo", "rel_no", "life"], "left")
                     .join(per_cp, ["repo", "rel_no"], "left"))
         for m in PROCESS_METRICS:
             rows = rows.withColumn(m, F.coalesce(F.col(m), F.lit(0)))
         metric_cols = PROCESS_METRICS + metric_cols
-    out = rows.select("repo", "rel_no", "lineage", *(["born"] if delta else []), *ID_COLUMNS, *metric_cols)
+    out = rows.select("repo", "rel_no", "life", *ID_COLUMNS, *metric_cols)
     if delta and metric_cols:
         # Deltas read the rows twice (own row, previous row): materialise them first.
-        out = add_deltas(materialise(out, "rows"), metric_cols, ["repo", "lineage"], since="born")
-    return out.drop("born")
+        out = add_deltas(materialise(out, "rows"), metric_cols, ["repo", "life"])
+    return out

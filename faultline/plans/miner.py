@@ -16,8 +16,9 @@ from faultline.operators.fixed_files import merge_by_path, merge_with_renames
 from faultline.operators.fixes import fixing_commits
 from faultline.operators.labels import failure_prone
 from faultline.operators.lineage import path_lineage
+from faultline.operators.lives import file_lives
 from faultline.plans.profiles import Profile
-from faultline.session import ensure_checkpoint_dir
+from faultline.session import ensure_checkpoint_dir, materialise
 from faultline.sources.history import History, on_branch
 
 
@@ -35,13 +36,14 @@ def fix_events(h: History, profile: Profile, fixing: DataFrame) -> DataFrame:
                            & profile.keep(F.col("new_path"), F.col("content"))))
 
 
-def szz_fixes(h: History, profile: Profile, fixing: DataFrame, lineage: DataFrame) -> DataFrame:
+def szz_fixes(h: History, profile: Profile, fixing: DataFrame, lineage: DataFrame, lives: DataFrame) -> DataFrame:
     """J4+J5: fix events with their oldest bug-introducing commit
     ``(repo, commit_hash, idx, pos, lineage, change_type, old_path, new_path, bic, bic_idx)``."""
     ev = fix_events(h, profile, fixing)
-    oldest = oldest_inducing(blame(ev, h.diff_lines, lineage), h.commits)
+    oldest = oldest_inducing(blame(ev, h.diff_lines, lives), h.commits)
     return (ev.select("repo", "commit_hash", "idx", "pos", "change_type", "old_path", "new_path")
-              .join(oldest, ["repo", "commit_hash", "pos"]))
+              .join(oldest, ["repo", "commit_hash", "pos"])
+              .join(lineage.withColumnRenamed("path", "new_path"), ["repo", "new_path"]))
 
 
 def fix_range(fixing: DataFrame) -> DataFrame:
@@ -56,12 +58,14 @@ def attach_hashes(fixed: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def fixed_files(h: History, profile: Profile, fixing: DataFrame, lineage: DataFrame | None = None,
-                follow_renames: bool = True, fixes: DataFrame | None = None) -> DataFrame:
-    """``(repo, filepath, fic, bic, fic_idx, bic_idx)``.  ``fixes`` = a precomputed ``szz_fixes``."""
+                follow_renames: bool = True, fixes: DataFrame | None = None, lives: DataFrame | None = None) -> DataFrame:
+    """``(repo, filepath, fic, bic, fic_idx, bic_idx)``.  ``fixes`` = a precomputed ``szz_fixes``;
+    ``lineage`` and ``lives`` may be passed when they are known."""
     lineage = lineage if lineage is not None else path_lineage(h.files)
     if fixes is None:
         # The fix table (one row per blamed fix event) feeds several branches below: compute it once.
-        fixes = szz_fixes(h, profile, fixing, lineage).checkpoint()
+        lives = lives if lives is not None else file_lives(h.files)
+        fixes = materialise(szz_fixes(h, profile, fixing, lineage, lives), "fixes")
     if follow_renames:
         merged = merge_with_renames(fixes, h.files, lineage, fix_range(fixing))
     else:
@@ -86,9 +90,9 @@ class Mined:
 def mine(h: History, profile: Profile, known: DataFrame | None = None, follow_renames: bool = True,
          branch: str | None = None) -> Mined:
     """Whole plan.  Lineage and fixing commits are each used several times downstream, so they are
-    checkpointed once (reliable checkpoint in the shared folder): computed once, short plans."""
+    written once (Parquet in the shared folder): computed once, short plans."""
     ensure_checkpoint_dir(h.commits.sparkSession)
-    lineage = path_lineage(h.files).checkpoint()
-    fixing = mine_fixing_commits(h, profile, known, branch=branch).checkpoint()
+    lineage = materialise(path_lineage(h.files), "lineage")
+    fixing = materialise(mine_fixing_commits(h, profile, known, branch=branch), "fixing")
     fixed = fixed_files(h, profile, fixing, lineage, follow_renames)
     return Mined(lineage, fixing, fixed, label(h, fixed, fixing, follow_renames))

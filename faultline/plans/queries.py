@@ -19,6 +19,7 @@ from faultline.operators import classify, product
 from faultline.operators.blame import blame
 from faultline.operators.fixes import merge_known, sort_commits
 from faultline.operators.lineage import path_lineage
+from faultline.operators.lives import file_lives
 from faultline.operators.process import PROCESS_METRICS, process_metrics
 from faultline.operators.snapshot import checkpoint_axis, snapshot
 from faultline.plans import dataset, miner, profiles
@@ -52,6 +53,10 @@ def lineage_of(spark, sf_dir) -> DataFrame:
     return _once(spark, sf_dir, "lineage", lambda: path_lineage(history(spark, sf_dir).files))
 
 
+def lives_of(spark, sf_dir) -> DataFrame:
+    return _once(spark, sf_dir, "lives", lambda: file_lives(history(spark, sf_dir).files))
+
+
 def fixing_of(spark, sf_dir, profile: str = "ansible") -> DataFrame:
     h = history(spark, sf_dir)
     return _once(spark, sf_dir, f"fixing:{profile}",
@@ -253,7 +258,7 @@ def _fix_events(spark, sf):
 
 def q_szz_blame(spark, sf):
     h = history(spark, sf)
-    b = blame(_fix_events(spark, sf), h.diff_lines, lineage_of(spark, sf))
+    b = blame(_fix_events(spark, sf), h.diff_lines, lives_of(spark, sf))
     return b.select("repo", "commit_hash", _big("pos"), _big("line_no"), _big("prev_idx"))
 
 
@@ -261,7 +266,7 @@ def szz_of(spark, sf) -> DataFrame:
     """J4+J5 for the Ansible fixing commits, computed once per session."""
     h = history(spark, sf)
     return _once(spark, sf, "szz", lambda: miner.szz_fixes(h, profiles.ANSIBLE, fixing_of(spark, sf),
-                                                           lineage_of(spark, sf)))
+                                                           lineage_of(spark, sf), lives_of(spark, sf)))
 
 
 def q_szz_oldest(spark, sf):
@@ -272,6 +277,10 @@ def q_lineage(spark, sf):
     return lineage_of(spark, sf).select("repo", "path", "lineage")
 
 
+def q_file_lives(spark, sf):
+    return lives_of(spark, sf).select("repo", "commit_hash", _big("pos"), "path", "life")
+
+
 def fixed_by_path(spark, sf) -> DataFrame:
     h = history(spark, sf)
     return _once(spark, sf, "fixed:w2", lambda: miner.fixed_files(
@@ -332,7 +341,7 @@ def q_snapshot(spark, sf):
 def process_at_releases(spark, sf) -> DataFrame:
     h = history(spark, sf)
     return _once(spark, sf, "process", lambda: process_metrics(
-        h.files, h.commits, axis_of(spark, sf), lineage_of(spark, sf)))
+        h.files, h.commits, axis_of(spark, sf), lives_of(spark, sf)))
 
 
 PROC_GROUPS = {
@@ -359,7 +368,7 @@ def _proc_query(name: str):
 
     def q(spark, sf):
         p = process_at_releases(spark, sf)
-        return p.select("repo", _big("rel_no"), "lineage", "filepath", *[_metric(c) for c in cols])
+        return p.select("repo", _big("rel_no"), "life", "filepath", *[_metric(c) for c in cols])
     q.__name__ = f"q_{name}"
     return q
 
@@ -416,7 +425,7 @@ def q_prod_tosca(spark, sf):
 def q_delta_metrics(spark, sf):
     h = history(spark, sf)
     pm = ansible_versions(spark, sf).select("repo", "idx", "path", *product.ANSIBLE_METRICS)
-    ds = dataset.build_dataset(h, profiles.ANSIBLE, releases_of(spark, sf), lineage_of(spark, sf), None,
+    ds = dataset.build_dataset(h, profiles.ANSIBLE, releases_of(spark, sf), lives_of(spark, sf), None,
                                product=True, process=False, delta=True, product_df=pm, axis=axis_of(spark, sf))
     cols = [f"delta_{m}" for m in product.ANSIBLE_METRICS]
     return ds.select("repo", _big("rel_no"), "filepath", *[_r6(c).alias(c) for c in cols])
@@ -425,13 +434,60 @@ def q_delta_metrics(spark, sf):
 def q_metrics_dataset(spark, sf):
     h = history(spark, sf)
     pm = ansible_versions(spark, sf).select("repo", "idx", "path", *product.ANSIBLE_METRICS)
-    ds = dataset.build_dataset(h, profiles.ANSIBLE, releases_of(spark, sf), lineage_of(spark, sf),
+    ds = dataset.build_dataset(h, profiles.ANSIBLE, releases_of(spark, sf), lives_of(spark, sf),
                                prone_named(spark, sf), product=True, process=True, delta=False,
                                process_df=process_at_releases(spark, sf), product_df=pm, axis=axis_of(spark, sf))
     return ds.select("repo", "filepath", "commit", "committed_at", _big("failure_prone"),
                      *[_metric(c) for c in PROCESS_METRICS + product.ANSIBLE_METRICS])
 
 
+def q_dataset_process_delta(spark, sf):
+    """Process and product metrics with the deltas of both."""
+    h = history(spark, sf)
+    pm = ansible_versions(spark, sf).select("repo", "idx", "path", *product.ANSIBLE_METRICS)
+    ds = dataset.build_dataset(h, profiles.ANSIBLE, releases_of(spark, sf), lives_of(spark, sf),
+                               prone_named(spark, sf), product=True, process=True, delta=True,
+                               process_df=process_at_releases(spark, sf), product_df=pm, axis=axis_of(spark, sf))
+    cols = PROCESS_METRICS + product.ANSIBLE_METRICS
+    return ds.select("repo", "filepath", "commit", "committed_at", _big("failure_prone"), *[_metric(c) for c in cols],
+                     *[_r6(f"delta_{c}").alias(f"delta_{c}") for c in cols])
+
+
+def q_dataset_commit_mode(spark, sf):
+    """The dataset with a checkpoint at every commit."""
+    h = history(spark, sf)
+    pm = ansible_versions(spark, sf).select("repo", "idx", "path", *product.ANSIBLE_METRICS)
+    ds = dataset.build_dataset(h, profiles.ANSIBLE, commit_checkpoints(h.commits), lives_of(spark, sf),
+                               prone_named(spark, sf), product=True, process=True, product_df=pm)
+    return ds.select("repo", "filepath", "commit", "committed_at", _big("failure_prone"),
+                     *[_metric(c) for c in PROCESS_METRICS + product.ANSIBLE_METRICS])
+
+
+def prone_tosca(spark, sf) -> DataFrame:
+    h, p = history(spark, sf), profiles.TOSCA
+    fixing = fixing_of(spark, sf, "tosca")
+    fixes = _once(spark, sf, "szz:tosca", lambda: miner.szz_fixes(h, p, fixing, lineage_of(spark, sf), lives_of(spark, sf)))
+    fixed = _once(spark, sf, "fixed:tosca", lambda: miner.fixed_files(h, p, fixing, lineage_of(spark, sf), fixes=fixes))
+    return _once(spark, sf, "prone:tosca", lambda: miner.label(h, fixed, fixing))
+
+
+def q_dataset_tosca(spark, sf):
+    """The dataset of the TOSCA profile, its labels from TOSCA fixes."""
+    h = history(spark, sf)
+    ds = dataset.build_dataset(h, profiles.TOSCA, releases_of(spark, sf), lives_of(spark, sf), prone_tosca(spark, sf),
+                               product=True, process=True, process_df=process_at_releases(spark, sf),
+                               axis=axis_of(spark, sf))
+    return ds.select("repo", "filepath", "commit", "committed_at", _big("failure_prone"),
+                     *[_metric(c) for c in PROCESS_METRICS + product.TOSCA_METRICS])
+
+
+def q_prone_json_codec(spark, sf):
+    """Failure-prone files encoded as JSON strings, decoded, and encoded again."""
+    back = sinks.decode_failure_prone(sinks.encode_failure_prone(prone_named(spark, sf)))
+    return back.select("filepath", "commit", "fixing_commit",
+                       F.to_json(F.struct("filepath", "commit", "fixing_commit")).alias("json"))
+
+
 def _scratch(spark) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
 
@@ -485,6 +541,7 @@ def registry() -> dict:
         "szz_blame": q_szz_blame,
         "szz_oldest": q_szz_oldest,
         "lineage": q_lineage,
+        "file_lives": q_file_lives,
         "fixed_files": q_fixed_files,
         "fixed_files_renamed": q_fixed_files_renamed,
         "failure_prone": q_failure_prone,
@@ -503,7 +560,11 @@ def registry() -> dict:
         "prod_tosca": q_prod_tosca,
         "delta_metrics": q_delta_metrics,
         "metrics_dataset": q_metrics_dataset,
+        "dataset_process_delta": q_dataset_process_delta,
+        "dataset_commit_mode": q_dataset_commit_mode,
+        "dataset_tosca": q_dataset_tosca,
         "json_roundtrip": q_json_roundtrip,
+        "prone_json_codec": q_prone_json_codec,
         "csv_sink": q_csv_sink,
     })
     return q

@@ -97,10 +97,10 @@ def test_blame_matches_brute_force(spark):
             fixes.add(f"c{i}")
     diff = spark.createDataFrame(rows, "repo string, commit_hash string, idx long, pos int, path string, side string, "
                                        "line_no int")
-    lineage = spark.createDataFrame([("r", "a.yml", "a.yml"), ("r", "b.yml", "b.yml")],
-                                    "repo string, path string, lineage string")
+    lives = spark.createDataFrame([r[:2] + (r[3], r[4]) for r in rows],
+                                  "repo string, commit_hash string, pos int, life string")
     fx = spark.createDataFrame([("r", c, 0) for c in sorted(fixes)], "repo string, commit_hash string, pos int")
-    got = sorted((r.commit_hash, r.line_no, r.prev_idx) for r in blame(fx, diff, lineage).collect())
+    got = sorted((r.commit_hash, r.line_no, r.prev_idx) for r in blame(fx, diff, lives).collect())
     want = []
     for _, c, i, _, path, side, line in rows:
         if c in fixes and side == "deleted":

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text
 from faultline.operators import classify
-from faultline.operators.lineage import path_lineage
+from faultline.operators.lives import file_lives
 from faultline.operators.process import PROCESS_METRICS
 from faultline.operators.snapshot import read_text_files
 from faultline.plans import dataset, profiles
@@ -42,11 +42,11 @@ def test_focus_words_restrict_categories(spark):
 
 def test_dataset_shapes_commit_mode(spark):
     h = bind(spark, SF001)
-    lin = path_lineage(h.files).checkpoint()
+    lives = file_lives(h.files).checkpoint()
     cps = commit_checkpoints(h.commits)
-    plain = dataset.build_dataset(h, profiles.BASE, cps, lin, None, product=True, process=False)
+    plain = dataset.build_dataset(h, profiles.BASE, cps, lives, None, product=True, process=False)
     assert plain.columns[3:] == dataset.ID_COLUMNS and plain.count() > 0
-    full = dataset.build_dataset(h, profiles.BASE, cps.filter(F.col("idx") < 60), lin, None,
+    full = dataset.build_dataset(h, profiles.BASE, cps.filter(F.col("idx") < 60), lives, None,
                                  product=True, process=True, delta=True)
     metric_cols = full.columns[3:]
     assert len(metric_cols) == 4 + 16 + 16

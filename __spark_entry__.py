@@ -19,11 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from faultline.functions import rules as _rules  # noqa: E402
-from faultline.operators.classify import LABEL_NAMES as _LABELS  # noqa: E402
-from faultline.operators.product import ANSIBLE_METRICS as _ANS, TOSCA_METRICS as _TOS  # noqa: E402
 from faultline.plans import queries as _q  # noqa: E402
-from faultline.sources.binding import MESSAGES as _MESSAGES, MODULES as _MODULES  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -56,6 +52,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ============================================================================ oracle SQL (DuckDB)
 NL, TAB = "chr(10)", "chr(9)"
 
+# --- fixed values, written out here so that a slip in the engine's own lists shows up ---
+_RULES = {
+    "defect": "error|bug|fix|issu|mistake|incorrect|fault|defect|flaw",
+    "conditional": "logic|condit|boolean",
+    "storage_configuration": "sql|db|databas",
+    "file_configuration": "file|permiss",
+    "network_configuration": "network|ip|address|port|tcp|dhcp",
+    "user_configuration": "user|usernam|password",
+    "cache_configuration": "cach",
+    "dependency": "requir|depend|relat|order|sync|compat|ensur|inherit",
+    "documentation": "doc|comment|spec|licens|copyright|notic|header|readm",
+    "idempotency": "idempot",
+    "security": "vul|ssl|secr|authent|password|secur|cve",
+    "service": "servic|server",
+    "syntax": "compil|lint|warn|typo|spell|indent|regex|variabl|whitespac",
+}
+_LABEL_RULES = {
+    "CONDITIONAL": ("conditional",),
+    "CONFIGURATION_DATA": ("storage_configuration", "file_configuration", "network_configuration",
+                           "user_configuration", "cache_configuration"),
+    "DEPENDENCY": ("dependency",),
+    "DOCUMENTATION": ("documentation",),
+    "IDEMPOTENCY": ("idempotency",),
+    "SECURITY": ("security",),
+    "SERVICE": ("service",),
+    "SYNTAX": ("syntax",),
+}
+_LABELS = list(_LABEL_RULES)
+_MESSAGES = [
+    "Fix wrong condition in main.yml",
+    "Fixed cache problem. Bump version",
+    "fix wrong package dependency for Debian/Ubuntu",
+    "Fix task idempotency",
+    "Fix lint issue and typo",
+    "Fix nginx service",
+    "Refactored code",
+    "Fix typo in README",
+    "Fixed SSL certificate validation",
+    "Bump version. Update database password",
+    "Update docs. Fix broken loop",
+    "Merge branch develop",
+    "Correct network port for sshd",
+    "Fix incorrect user permissions on file",
+    "Resolve issue with ip address",
+    "Fix wrong include of tasks",
+]
+_MODULES = ["copy", "mysql_user", "service", "include_tasks", "zfs"]
+_ANS = ["lines_code", "lines_blank", "num_conditions", "num_keys", "num_tokens", "text_entropy",
+        "avg_play_size", "num_distinct_modules", "num_parameters", "num_tasks", "num_unique_names"]
+_TOS = ["lines_code", "lines_blank", "num_keys", "num_suspicious_comments", "num_tokens", "text_entropy",
+        "num_imports", "num_inputs", "num_interfaces", "num_node_templates", "num_node_types",
+        "num_parameters", "num_properties", "num_relationship_templates", "num_relationship_types",
+        "num_shell_scripts"]
+
 
 def _s(x: str) -> str:
     return f"CAST({x} AS VARCHAR)"
@@ -75,14 +125,46 @@ def _msg_case() -> str:
     return "CASE o_custkey % 16 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MESSAGES)) + " END"
 
 
+def _lines_if(n: str, *groups: tuple[str, ...]) -> str:
+    """The lines of the first ``n`` groups."""
+    return " || ".join(f"CASE WHEN {n} > {i} THEN " + " || ".join(f"'{line}' || {NL}" for line in group) + " ELSE '' END"
+                       for i, group in enumerate(groups))
+
+
+def _block(n: str, head: str, first: str, second: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN '{head}:' || {NL} ELSE '' END || " + _lines_if(n, (f"  {first}",), (f"  {second}",))
+
+
 _ANSIBLE_DOC = (f"('- name: t' || {_s('slot')} || {NL} || '  ' || {_module('slot')} || ':' || {NL} || "
-                f"'    src: f' || {_s('additions')} || {NL} || '  when: a == ' || {_s('hunks')} || {NL})")
+                f"'    src: f' || {_s('additions')} || {NL} || '  when: a == ' || {_s('hunks')} || {NL} || "
+                + _lines_if("additions % 4", ("- name: e1", "  command:", "    cmd: c1", "    chdir: d", "  when: b1"),
+                            ("- name: e2", "  shell:", "    cmd: c2", "    chdir: d"),
+                            ("- name: e1", "  command:", "    cmd: c3", "    chdir: d", "  when: b3 < 1 and b4 >= 2"))
+                + " || " + _lines_if("hunks % 3", ("- hosts: w1",), ("- hosts: w2",)) + " || "
+                + _lines_if("(additions // 4) % 3", ("",), ("",)) + ")")
+# Entries of each TOSCA section beyond the fixed part of the document.
+_TOSCA_MORE = {
+    "imports": "(hunks + slot) % 3", "properties": "(additions // 5) % 3", "node_templates": "(additions // 7) % 3",
+    "node_types": "additions % 3", "relationship_types": "hunks % 3", "relationship_templates": "(additions + hunks) % 3",
+    "inputs": "(additions // 3) % 3", "interfaces": "slot % 3", "parameters": "(additions // 2) % 3"}
 _TOSCA_DOC = (f"('tosca_definitions_version: tosca_simple_yaml_1_3' || {NL} || "
               f"CASE WHEN slot = 0 THEN '# TODO: pin versions' || {NL} ELSE '' END || "
-              f"'imports:' || {NL} || '  - types' || {_s('slot')} || '.yml' || {NL} || "
-              f"'topology_template:' || {NL} || '  node_templates:' || {NL} || '    app:' || {NL} || "
+              + _lines_if("additions % 2", ("# FIXME names",)) +
+              f" || 'imports:' || {NL} || '  - types' || {_s('slot')} || '.yml' || {NL} || "
+              + _lines_if(_TOSCA_MORE["imports"], ("  - lib1.yml",), ("  - lib2.yml",)) +
+              f" || 'topology_template:' || {NL} || '  node_templates:' || {NL} || '    app:' || {NL} || "
               f"'      type: my.nodes.App' || {NL} || '      properties:' || {NL} || "
-              f"'        port: ' || {_s('additions')} || {NL} || '        script: run' || {_s('hunks')} || '.sh' || {NL})")
+              f"'        port: ' || {_s('additions')} || {NL} || '        script: run' || {_s('hunks')} || '.sh' || {NL} || "
+              + " || ".join([
+                  _lines_if(_TOSCA_MORE["properties"], ("        q1: 1",), ("        q2: 2",)),
+                  _lines_if(_TOSCA_MORE["node_templates"], ("    n1:", "      type: t.N1"), ("    n2:", "      type: t.N2")),
+                  _block(_TOSCA_MORE["node_types"], "node_types", "t.N1: root", "t.N2: root"),
+                  _block(_TOSCA_MORE["relationship_types"], "relationship_types", "t.R1: root", "t.R2: root"),
+                  _block(_TOSCA_MORE["relationship_templates"], "relationship_templates", "r1: t.R1", "r2: t.R2"),
+                  _block(_TOSCA_MORE["inputs"], "inputs", "i1: string", "i2: string"),
+                  _block(_TOSCA_MORE["interfaces"], "interfaces", "start: s1.sh", "stop: s2.sh"),
+                  _block(_TOSCA_MORE["parameters"], "parameters", "p1: int", "p2: int"),
+                  _lines_if("(additions // 4) % 3", ("",), ("",))]) + ")")
 
 
 def _is_ansible(p: str) -> str:
@@ -116,11 +198,9 @@ def _sentences(t: str) -> str:
 
 
 def _rx(*rule_names: str) -> str:
-    return _rules.pattern(*rule_names)
+    return "|".join(_RULES[r] for r in rule_names)
 
 
-_LABEL_RULES = dict(_rules.LABELS)
-
 _CTES = [
     ("h_commits", f"""
   SELECT 'r' || {_s('CAST(floor(o_orderkey / 375) AS BIGINT)')} AS repo, {_s('o_orderkey')} AS commit_hash,
@@ -188,8 +268,8 @@ _CTES = [
   WHERE f.change_type = 'MODIFY' AND regexp_matches(d.text, '^[ \\t\\r\\f]*#')"""),
     ("h_cand", f"""
   SELECT repo, commit_hash, p AS pos,
-    CASE WHEN {_module('slot')} IN ('copy', 'template') THEN '1:src=f' || {_s('additions')} ELSE '' END AS d_now,
-    CASE WHEN {_module('b_slot')} IN ('copy', 'template') THEN '1:src=f' || {_s('b_add')} ELSE '' END AS d_then,
+    CASE WHEN {_module('slot')} IN ('copy', 'mysql_user', 'zfs') THEN '1:src=f' || {_s('additions')} ELSE '' END AS d_now,
+    CASE WHEN {_module('b_slot')} IN ('copy', 'mysql_user', 'zfs') THEN '1:src=f' || {_s('b_add')} ELSE '' END AS d_then,
     CASE WHEN {_module('slot')} = 'include_tasks' THEN '1:src=f' || {_s('additions')} ELSE '' END AS i_now,
     CASE WHEN {_module('b_slot')} = 'include_tasks' THEN '1:src=f' || {_s('b_add')} ELSE '' END AS i_then,
     CASE WHEN {_module('slot')} = 'service' THEN '1:src=f' || {_s('additions')} ELSE '' END AS s_now,
@@ -337,7 +417,7 @@ FROM w1_out x JOIN h_commits cf ON cf.repo = x.repo AND cf.idx = x.f.fic
   WHERE path IS NOT NULL GROUP BY repo, path, idx"""),
     ("h_snap", """
   SELECT c.repo, c.rel_no, c.commit_hash AS commit, s.path, arg_max(s.alive, s.idx) AS alive,
-         arg_max_null(s.content, s.idx) AS content, arg_max(s.life, s.idx) AS life
+         arg_max_null(s.content, s.idx) AS content, arg_max(s.life, s.idx) AS life, max(s.idx) AS state_idx
   FROM h_cps c JOIN h_states s ON s.repo = c.repo AND s.idx <= c.cp_idx
   GROUP BY c.repo, c.rel_no, c.commit_hash, s.path"""),
     ("h_alive", """
@@ -431,18 +511,26 @@ def _product_rel(kind: str) -> str:
     """Non-deleted versions of Ansible / TOSCA files with their metrics (generator-derived structure)."""
     ok = _parsable("content")
     keep = _is_ansible("new_path") if kind == "ansible" else _is_tosca("new_path", "content")
+    more = "additions % 4"
     if kind == "ansible":
-        struct = ", ".join(f"CASE WHEN {ok} THEN CAST({v} AS BIGINT) END AS {n}" for n, v in [
-            ("num_conditions", 1), ("num_keys", 4), ("num_distinct_modules", 1), ("num_parameters", 1),
-            ("num_tasks", 1), ("num_unique_names", 1)])
-        struct += f", CASE WHEN {ok} THEN CAST({_lines_code('content')} AS DOUBLE) END AS avg_play_size"
+        counts = {
+            "num_conditions": f"[1, 2, 2, 4][{more} + 1]", "num_keys": f"[4, 9, 13, 18][{more} + 1] + hunks % 3",
+            "num_distinct_modules": f"least(1 + {more}, 3)", "num_parameters": f"1 + 2 * ({more})",
+            "num_tasks": f"1 + {more}", "num_unique_names": f"least(1 + {more}, 3)"}
     else:
-        fixed = {"num_keys": 9, "num_imports": 1, "num_inputs": 0, "num_interfaces": 0, "num_node_templates": 1,
-                 "num_node_types": 0, "num_parameters": 0, "num_properties": 2, "num_relationship_templates": 0,
-                 "num_relationship_types": 0, "num_shell_scripts": 1}
-        struct = ", ".join(f"CASE WHEN {ok} THEN CAST({v} AS BIGINT) END AS {n}" for n, v in fixed.items())
-        struct += f", CASE WHEN {ok} THEN CAST(CASE WHEN slot = 0 THEN 1 ELSE 0 END AS BIGINT) END AS num_suspicious_comments"
-    return f"""(SELECT repo, commit_hash, p AS pos, content,
+        base = {"imports": 1, "node_templates": 1, "properties": 2}
+        counts = {f"num_{k}": f"{base.get(k, 0)} + {v}" for k, v in _TOSCA_MORE.items()}
+        counts["num_shell_scripts"] = "1 + slot % 3"
+        counts["num_suspicious_comments"] = "CASE WHEN slot = 0 THEN 1 ELSE 0 END + additions % 2"
+        counts["num_keys"] = "9 + " + " + ".join(
+            [_TOSCA_MORE["properties"], f"2 * ({_TOSCA_MORE['node_templates']})"]
+            + [f"{v} + CASE WHEN {v} > 0 THEN 1 ELSE 0 END" for k, v in _TOSCA_MORE.items()
+               if k not in ("imports", "properties", "node_templates")])
+    struct = ", ".join(f"CASE WHEN {ok} THEN CAST({v} AS BIGINT) END AS {n}" for n, v in counts.items())
+    if kind == "ansible":
+        struct += (f", CASE WHEN {ok} THEN CAST({_lines_code('content')} AS DOUBLE) / greatest(1, hunks % 3) END "
+                   f"AS avg_play_size")
+    return f"""(SELECT repo, commit_hash, idx, p AS pos, new_path, content,
        CASE WHEN {ok} THEN {_lines_code('content')} END AS lines_code,
        CASE WHEN {ok} THEN {_lines_blank('content')} END AS lines_blank,
        CASE WHEN {ok} THEN CAST(len({_words('content')}) AS BIGINT) END AS num_tokens, {ok} AS ok, {struct}
@@ -451,7 +539,7 @@ def _product_rel(kind: str) -> str:
 
 def _product_sql(kind: str) -> str:
     names = _ANS if kind == "ansible" else _TOS
-    cols = ", ".join(("m." + n) if n != "text_entropy" else "CASE WHEN m.ok THEN e.text_entropy END AS text_entropy"
+    cols = ", ".join(_m(n, "m.") if n != "text_entropy" else "CASE WHEN m.ok THEN e.text_entropy END AS text_entropy"
                      for n in names)
     ent = _entropy_sql("pv", ["repo", "commit_hash", "pos"], "content")
     return (_WITH.rstrip() + f",\npv AS {_product_rel(kind)},\nent AS ({ent})\n"
@@ -459,6 +547,10 @@ def _product_sql(kind: str) -> str:
             f"FROM pv m JOIN ent e USING (repo, commit_hash, pos)")
 
 
+def _entries(*rows: tuple) -> str:
+    return "[" + ", ".join(f"{{'o': {o}, 'd': {d}, 'k': '{k}', 'v': '{v}'}}" for o, d, k, v in rows) + "]"
+
+
 def _sel(body: str) -> str:
     return _WITH + body
 
@@ -472,26 +564,16 @@ def _m(c: str, prefix: str = "") -> str:
 
 
 def _dataset_rel(kind: str = "ansible") -> str:
-    """Dataset rows of a profile with product metrics of the file version."""
-    ok = _parsable("a.content")
-    text = {"lines_code": _lines_code("a.content"), "lines_blank": _lines_blank("a.content"),
-            "num_tokens": f"len({_words('a.content')})", "text_entropy": "e.text_entropy"}
-    keep = _is_ansible("a.path") if kind == "ansible" else _is_tosca("a.path", "a.content")
-    prod = text | {
-        "num_keys": "9", "num_imports": "1", "num_inputs": "0", "num_interfaces": "0", "num_node_templates": "1",
-        "num_node_types": "0", "num_parameters": "0", "num_properties": "2", "num_relationship_templates": "0",
-        "num_relationship_types": "0", "num_shell_scripts": "1",
-        "num_suspicious_comments": "CASE WHEN contains(a.content, '# TODO') THEN 1 ELSE 0 END",
-    } if kind == "tosca" else text | {
-        "num_conditions": "1", "num_keys": "4", "avg_play_size": f"CAST({_lines_code('a.content')} AS DOUBLE)",
-        "num_distinct_modules": "1", "num_parameters": "1", "num_tasks": "1", "num_unique_names": "1",
-    }
-    cols = ", ".join(f"CASE WHEN {ok} THEN {v} END AS {k}" for k, v in prod.items())
-    ent = _entropy_sql("h_alive", ["repo", "rel_no", "path"], "content")
-    return f"""ds_ent AS ({ent}),
-ds AS (SELECT a.repo, a.rel_no, a.path AS filepath, a.commit, a.life, {cols}
-       FROM h_alive a JOIN ds_ent e USING (repo, rel_no, path)
-       WHERE a.content IS NOT NULL AND length(a.content) > 0 AND {keep})"""
+    """Dataset rows of a profile: files at a checkpoint with the metrics of the version they show."""
+    names = [n for n in (_ANS if kind == "ansible" else _TOS) if n != "text_entropy"]
+    ent = _entropy_sql("pv", ["repo", "commit_hash", "pos"], "content")
+    return f"""pv AS {_product_rel(kind)},
+ds_ent AS ({ent}),
+ds AS (SELECT a.repo, a.rel_no, a.path AS filepath, a.commit, a.life, {", ".join("pv." + n for n in names)},
+              CASE WHEN pv.ok THEN e.text_entropy END AS text_entropy
+       FROM h_alive a JOIN pv ON pv.repo = a.repo AND pv.idx = a.state_idx AND pv.new_path = a.path
+       JOIN ds_ent e ON e.repo = pv.repo AND e.commit_hash = pv.commit_hash AND e.pos = pv.pos
+       WHERE length(a.content) > 0)"""
 
 
 def _delta_sql() -> str:
@@ -578,8 +660,8 @@ def oracle_sql() -> dict[str, str]:
                                f"{_is_ansible('new_path')} AS keep_ansible, {_is_tosca('new_path', 'content')} AS keep_tosca "
                                f"FROM h_files WHERE change_type <> 'DELETE'"),
     }
-    for key, rule in _q.RULE_KEYS.items():
-        o[key] = _sel(f"SELECT repo, commit_hash, coalesce(regexp_matches(lower(msg), '{_rx(rule)}'), false) AS hit "
+    for rule in _RULES:
+        o[f"rule_{rule}"] = _sel(f"SELECT repo, commit_hash, coalesce(regexp_matches(lower(msg), '{_rx(rule)}'), false) AS hit "
                       f"FROM h_commits")
     o["sentence_tokens"] = _sentence_sql()
     for label in _LABELS:
@@ -599,7 +681,16 @@ FROM h_files, (SELECT unnest([
     {{'o': 1, 'd': 1, 'k': 'name', 'v': 't' || {_s('slot')}}},
     {{'o': 2, 'd': 1, 'k': {_module('slot')}, 'v': ''}},
     {{'o': 4, 'd': 2, 'k': 'src', 'v': 'f' || {_s('additions')}}},
-    {{'o': 6, 'd': 1, 'k': 'when', 'v': 'a == ' || {_s('hunks')}}}]) AS e)
+    {{'o': 6, 'd': 1, 'k': 'when', 'v': 'a == ' || {_s('hunks')}}}]
+    || CASE WHEN additions % 4 > 0 THEN {_entries((9, 1, 'name', 'e1'), (10, 1, 'command', ''), (12, 2, 'cmd', 'c1'),
+                                                  (14, 2, 'chdir', 'd'), (16, 1, 'when', 'b1'))} ELSE [] END
+    || CASE WHEN additions % 4 > 1 THEN {_entries((19, 1, 'name', 'e2'), (20, 1, 'shell', ''), (22, 2, 'cmd', 'c2'),
+                                                  (24, 2, 'chdir', 'd'))} ELSE [] END
+    || CASE WHEN additions % 4 > 2 THEN {_entries((27, 1, 'name', 'e1'), (28, 1, 'command', ''), (30, 2, 'cmd', 'c3'),
+                                                  (32, 2, 'chdir', 'd'), (34, 1, 'when', 'b3 < 1 and b4 >= 2'))} ELSE [] END
+    || CASE WHEN hunks % 3 > 0 THEN {_entries(('[9, 19, 27, 37][additions % 4 + 1]', 1, 'hosts', 'w1'))} ELSE [] END
+    || CASE WHEN hunks % 3 > 1 THEN {_entries(('[11, 21, 29, 39][additions % 4 + 1]', 1, 'hosts', 'w2'))} ELSE [] END
+    ) AS e)
 WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('content')}""").replace(
             "FROM h_files, (SELECT unnest([", "FROM h_files, LATERAL (SELECT unnest([", 1),
         "szz_blame": _sel("SELECT repo, commit_hash, CAST(pos AS BIGINT) AS pos, CAST(line_no AS BIGINT) AS line_no, "

@@ -1,9 +1,8 @@
 """Key families that decide the Ansible change signals.
 
-The configuration-data family is the union of five module families.  The three small ones are
-fixed values below.  The storage (170 names) and network (about 1,070 names) families are long
-catalogues of vendor modules; they are a parameter here (``extra`` / a text file with one module
-name per line, see ``load_module_names``) rather than a table copied into the code.
+The configuration-data family is the union of five module families.  Four are fixed values below.
+The network family (about 1,070 names) is a long catalogue of vendor modules; it is a parameter here
+(``extra`` / a text file with one module name per line, see ``load_module_names``).
 """
 
 from __future__ import annotations
@@ -28,6 +27,43 @@ FILE_MODULES = [
     "lineinfile", "patch", "read_csv", "replace", "stat", "synchronize", "tempfile", "template", "unarchive",
     "xattr", "xml",
 ]
+STORAGE_MODULES = [
+    "emc_vnx_sg_member", "gluster_heal_facts", "gluster_peer", "gluster_volume", "ss_3par_cpg", "ibm_sa_domain",
+    "ibm_sa_host", "ibm_sa_host_ports", "ibm_sa_pool", "ibm_sa_vol", "ibm_sa_vol_map", "infini_export",
+    "infini_export_client", "infini_fs", "infini_host", "infini_pool", "infini_vol", "na_cdot_aggregate",
+    "na_cdot_license", "na_cdot_lun", "na_cdot_qtree", "na_cdot_svm", "na_cdot_user", "na_cdot_user_role",
+    "na_cdot_volume", "na_elementsw_access_group", "na_elementsw_account", "na_elementsw_admin_users",
+    "na_elementsw_backup", "na_elementsw_check_connections", "na_elementsw_cluster", "na_elementsw_cluster_config",
+    "na_elementsw_cluster_pair", "na_elementsw_cluster_snmp", "na_elementsw_drive", "na_elementsw_initiators",
+    "na_elementsw_ldap", "na_elementsw_network_interfaces", "na_elementsw_node", "na_elementsw_snapshot",
+    "na_elementsw_snapshot_restore", "na_elementsw_snapshot_schedule", "na_elementsw_vlan", "na_elementsw_volume",
+    "na_elementsw_volume_clone", "na_elementsw_volume_pair", "na_ontap_aggregate", "na_ontap_autosupport",
+    "na_ontap_broadcast_domain", "na_ontap_broadcast_domain_ports", "na_ontap_cg_snapshot", "na_ontap_cifs",
+    "na_ontap_cifs_acl", "na_ontap_cifs_server", "na_ontap_cluster", "na_ontap_cluster_ha", "na_ontap_cluster_peer",
+    "na_ontap_command", "na_ontap_disks", "na_ontap_dns", "na_ontap_export_policy", "na_ontap_export_policy_rule",
+    "na_ontap_fcp", "na_ontap_firewall_policy", "na_ontap_flexcache", "na_ontap_gather_facts", "na_ontap_igroup",
+    "na_ontap_igroup_initiator", "na_ontap_interface", "na_ontap_iscsi", "na_ontap_job_schedule",
+    "na_ontap_license", "na_ontap_lun", "na_ontap_lun_copy", "na_ontap_lun_map", "na_ontap_motd",
+    "na_ontap_net_ifgrp", "na_ontap_net_port", "na_ontap_net_routes", "na_ontap_net_subnet", "na_ontap_net_vlan",
+    "na_ontap_nfs", "na_ontap_node", "na_ontap_ntp", "na_ontap_nvme", "na_ontap_nvme_namespace",
+    "na_ontap_nvme_subsystem", "na_ontap_portset", "na_ontap_qos_policy_group", "na_ontap_qtree", "na_ontap_quotas",
+    "na_ontap_security_key_manager", "na_ontap_service_processor_network", "na_ontap_snapmirror",
+    "na_ontap_snapshot", "na_ontap_snapshot_policy", "na_ontap_snmp", "na_ontap_software_update", "na_ontap_svm",
+    "na_ontap_svm_options", "na_ontap_ucadapter", "na_ontap_unix_group", "na_ontap_unix_user", "na_ontap_user",
+    "na_ontap_user_role", "na_ontap_volume", "na_ontap_volume_clone", "na_ontap_vscan_on_access_policy",
+    "na_ontap_vscan_on_demand_task", "na_ontap_vscan_scanner_pool", "na_ontap_vserver_peer", "netapp_e_alerts",
+    "netapp_e_amg", "netapp_e_amg_role", "netapp_e_amg_sync", "netapp_e_asup", "netapp_e_auditlog", "netapp_e_auth",
+    "netapp_e_facts", "netapp_e_flashcache", "netapp_e_global", "netapp_e_host", "netapp_e_hostgroup",
+    "netapp_e_iscsi_interface", "netapp_e_iscsi_target", "netapp_e_ldap", "netapp_e_lun_mapping",
+    "netapp_e_mgmt_interface", "netapp_e_snapshot_group", "netapp_e_snapshot_images", "netapp_e_snapshot_volume",
+    "netapp_e_storage_system", "netapp_e_storagepool", "netapp_e_syslog", "netapp_e_volume", "netapp_e_volume_copy",
+    "sf_account_manager", "sf_check_connections", "sf_snapshot_schedule_manager", "sf_volume_access_group_manager",
+    "sf_volume_manager", "purefa_dns", "purefa_ds", "purefa_dsrole", "purefa_facts", "purefa_hg", "purefa_host",
+    "purefa_ntp", "purefa_offload", "purefa_pg", "purefa_pgsnap", "purefa_ra", "purefa_snap", "purefa_user",
+    "purefa_volume", "purefb_bucket", "purefb_ds", "purefb_dsrole", "purefb_facts", "purefb_fs", "purefb_network",
+    "purefb_s3acc", "purefb_s3user", "purefb_snap", "purefb_subnet", "vexata_volume", "zfs", "zfs_delegate_admin",
+    "zfs_facts", "zpool_facts",
+]
 IDENTITY_MODULES = [
     "onepassword_info", "cyberark_authentication", "cyberark_user", "ipa_config", "ipa_dnsrecord", "ipa_dnszone",
     "ipa_group", "ipa_hbacrule", "ipa_host", "ipa_hostgroup", "ipa_role", "ipa_service", "ipa_subca", "ipa_sudocmd",
@@ -51,8 +87,8 @@ def load_module_names(path: str | Path) -> list[str]:
 
 
 def config_data_modules(extra: list[str] | None = None) -> list[str]:
-    """Configuration-data family: the fixed families plus caller-supplied storage/network names."""
-    names = DATABASE_MODULES + FILE_MODULES + IDENTITY_MODULES + list(extra or [])
+    """Configuration-data family: the fixed families plus caller-supplied network names."""
+    names = DATABASE_MODULES + FILE_MODULES + STORAGE_MODULES + IDENTITY_MODULES + list(extra or [])
     return sorted(set(names))
 
 

@@ -44,7 +44,7 @@ MESSAGES = [
     "Fix wrong include of tasks",
 ]
 # --- fixed values: module written into the generated Ansible task, chosen by slot ---
-MODULES = ["copy", "template", "service", "include_tasks", "debug"]
+MODULES = ["copy", "mysql_user", "service", "include_tasks", "zfs"]
 
 
 def _case(key: Column, values: list[str]) -> Column:
@@ -66,20 +66,47 @@ def file_name(p: Column, ver: Column) -> Column:
     return F.concat(prefix, _s(p), F.lit("_v"), _s(ver), ext)
 
 
+def _some(n: Column, *parts: str) -> Column:
+    """The first ``n`` of ``parts``, joined."""
+    return F.concat(*[F.when(n > i, F.lit(part)).otherwise(F.lit("")) for i, part in enumerate(parts)])
+
+
+def _section(n: Column, head: str, *parts: str) -> Column:
+    return F.when(n > 0, F.concat(F.lit(f"{head}:\n"), _some(n, *parts))).otherwise(F.lit(""))
+
+
 def ansible_doc(slot: Column, additions: Column, hunks: Column) -> Column:
-    body = F.concat(F.lit("- name: t"), _s(slot), F.lit("\n  "), _case(slot, MODULES),
-                    F.lit(":\n    src: f"), _s(additions), F.lit("\n  when: a == "), _s(hunks), F.lit("\n"))
+    """A task with the slot's module, 0-3 further tasks and 0-2 plays."""
+    body = F.concat(
+        F.lit("- name: t"), _s(slot), F.lit("\n  "), _case(slot, MODULES),
+        F.lit(":\n    src: f"), _s(additions), F.lit("\n  when: a == "), _s(hunks), F.lit("\n"),
+        _some(additions % 4, "- name: e1\n  command:\n    cmd: c1\n    chdir: d\n  when: b1\n",
+              "- name: e2\n  shell:\n    cmd: c2\n    chdir: d\n",
+              "- name: e1\n  command:\n    cmd: c3\n    chdir: d\n  when: b3 < 1 and b4 >= 2\n"),
+        _some(hunks % 3, "- hosts: w1\n", "- hosts: w2\n"), _some(F.floor(additions / 4) % 3, "\n", "\n"))
     return F.when(additions % 17 == 0, F.replace(body, F.lit("\n  when"), F.lit("\n\twhen"))).otherwise(body)
 
 
 def tosca_doc(slot: Column, additions: Column, hunks: Column) -> Column:
+    """A template with 1-3 imports and nodes, 2-4 properties and 0-2 entries of every other section."""
     body = F.concat(
         F.lit("tosca_definitions_version: tosca_simple_yaml_1_3\n"),
         F.when(slot == 0, F.lit("# TODO: pin versions\n")).otherwise(F.lit("")),
+        _some(additions % 2, "# FIXME names\n"),
         F.lit("imports:\n  - types"), _s(slot), F.lit(".yml\n"),
+        _some((hunks + slot) % 3, "  - lib1.yml\n", "  - lib2.yml\n"),
         F.lit("topology_template:\n  node_templates:\n    app:\n      type: my.nodes.App\n"
               "      properties:\n        port: "), _s(additions),
-        F.lit("\n        script: run"), _s(hunks), F.lit(".sh\n"))
+        F.lit("\n        script: run"), _s(hunks), F.lit(".sh\n"),
+        _some(F.floor(additions / 5) % 3, "        q1: 1\n", "        q2: 2\n"),
+        _some(F.floor(additions / 7) % 3, "    n1:\n      type: t.N1\n", "    n2:\n      type: t.N2\n"),
+        _section(additions % 3, "node_types", "  t.N1: root\n", "  t.N2: root\n"),
+        _section(hunks % 3, "relationship_types", "  t.R1: root\n", "  t.R2: root\n"),
+        _section((additions + hunks) % 3, "relationship_templates", "  r1: t.R1\n", "  r2: t.R2\n"),
+        _section(F.floor(additions / 3) % 3, "inputs", "  i1: string\n", "  i2: string\n"),
+        _section(slot % 3, "interfaces", "  start: s1.sh\n", "  stop: s2.sh\n"),
+        _section(F.floor(additions / 2) % 3, "parameters", "  p1: int\n", "  p2: int\n"),
+        _some(F.floor(additions / 4) % 3, "\n", "\n"))
     return F.when(additions % 17 == 0,
                   F.replace(body, F.lit("\n  node_templates"), F.lit("\n\tnode_templates"))).otherwise(body)
 

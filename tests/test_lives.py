@@ -57,3 +57,16 @@ def test_a_name_used_again_has_its_own_process_metrics(spark):
     got = process_metrics(files, commits, checkpoint_axis(commits, cps), lives.file_lives(files)).filter("rel_no = 1")
     assert sorted((r.life, r.filepath, r.additions, r.commits_count) for r in got.collect()) == [
         ("a@0", "b", 108, 3), ("a@2", "a", 8, 1)]
+
+
+def test_every_metric_and_delta_varies(spark):
+    from conftest import SF001
+    from faultline.plans import queries
+
+    from pyspark.sql import functions as F
+    for q in (queries.q_prod_ansible, queries.q_prod_tosca, queries.q_dataset_process_delta, queries.q_dataset_tosca):
+        df = q(spark, SF001)
+        cols = [c for c, t in df.dtypes if t in ("bigint", "double") and c not in ("pos", "failure_prone")]
+        values = df.agg(*[F.countDistinct(c).alias(c) for c in cols]).first().asDict()
+        few = {"minor_contributors_count": 2}  # a window of 25 commits has no or one such author
+        assert not {c: n for c, n in values.items() if n < few.get(c, 3)}

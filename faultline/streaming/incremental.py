@@ -1,22 +1,25 @@
 """Incremental fixing-commit mining (P5 "resume from known fixing commits") as a stream.
 
 New commits arrive as files in a folder (any producer that writes the canonical ``commits``
-schema, positions included).  Each micro-batch is classified against the (static) file-event and
-diff tables; commits recorded as fixing by earlier epochs are skipped with an anti-join against the
-output table, and the batch's new fixing commits are written under ``epoch=<id>`` with overwrite, so a
-re-run batch (after a failure) writes the same rows again.  The output and
-the stream's checkpoint live in shared storage given by the caller.
+schema, positions included).  Each micro-batch is classified against the file-event and diff tables,
+which are read anew for it when they are given as functions; commits recorded as fixing by earlier
+epochs are skipped with an anti-join against the output table, and the batch's new fixing commits are
+written under ``epoch=<id>`` with overwrite, so a re-run batch (after a failure) writes the same rows
+again.  Commits without any file event wait in the folder ``pending_dir(out_dir)`` and are taken up by
+the next batch, which runs when new commits arrive.  The events and diff lines of a commit must appear
+together.  The output and the stream's checkpoint live in shared storage given by the caller.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from faultline.operators.fixes import fixing_commits
+from faultline.operators.fixes import KEY, fixing_commits, skip_known
 from faultline.plans.profiles import Profile
 
 COMMITS_SCHEMA = ("repo string, commit_hash string, branch string, author string, "
@@ -36,14 +39,40 @@ def _known(spark: SparkSession, out_dir: str, epoch_id: int) -> DataFrame | None
     return done.where(F.col("epoch") < epoch_id).select("repo", "commit_hash")
 
 
-def start(spark: SparkSession, commits_dir: str, files: DataFrame, diff_lines: DataFrame, profile: Profile,
+def pending_dir(out_dir: str) -> str:
+    return out_dir.rstrip("/") + "-pending"
+
+
+def _pending(spark: SparkSession, out_dir: str, epoch_id: int) -> DataFrame | None:
+    """Commits that the latest earlier epoch left without file events."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(pending_dir(out_dir))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    done = [int(n[len("epoch="):]) for n in names if n.startswith("epoch=")]
+    done = [e for e in done if e < epoch_id]
+    return spark.read.schema(COMMITS_SCHEMA).parquet(os.path.join(pending_dir(out_dir), f"epoch={max(done)}")) if done else None
+
+
+Table = DataFrame | Callable[[], DataFrame]
+
+
+def start(spark: SparkSession, commits_dir: str, files: Table, diff_lines: Table, profile: Profile,
           out_dir: str, checkpoint_location: str, available_now: bool = True) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it processes what is there and stops."""
+    """Start the stream; with ``available_now`` it processes what is there and stops.  Tables that grow
+    while it runs are given as functions that read them; a DataFrame keeps the files it listed."""
     stream = spark.readStream.schema(COMMITS_SCHEMA).parquet(commits_dir)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         known = _known(spark, out_dir, epoch_id)
-        new = fixing_commits(df, files, diff_lines, profile.keep, profile.ansible_signals, known=known)
+        events, lines = (t() if callable(t) else t for t in (files, diff_lines))
+        waiting = _pending(spark, out_dir, epoch_id)
+        todo = df if waiting is None else df.unionByName(waiting.join(df, KEY, "left_anti"))
+        # Written first: an event that appears in between leaves its commit pending, not lost.
+        left = os.path.join(pending_dir(out_dir), f"epoch={epoch_id}")
+        skip_known(todo, known).join(events, KEY, "left_anti").write.mode("overwrite").parquet(left)
+        todo = todo.join(spark.read.schema(COMMITS_SCHEMA).parquet(left), KEY, "left_anti")
+        new = fixing_commits(todo, events, lines, profile.keep, profile.ansible_signals, known=known)
         (new.select("repo", "commit_hash", "idx", "labels")
             .write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}")))
 

@@ -39,3 +39,24 @@ def test_a_repeated_batch_writes_the_same_rows(spark):
         q.awaitTermination()
         rows.append(sorted((r.repo, r.commit_hash) for r in spark.read.parquet(out).collect()))
     assert rows[0] == rows[1] and len(rows[0]) > 0
+
+
+def test_late_file_events_are_not_lost(spark):
+    """The events of the first batch's commits arrive with the second batch, in one running setup."""
+    h = bind(spark, SF001)
+    base = tempfile.mkdtemp(prefix="faultline-stream-")
+    src, out, ckpt, ev, dl = (os.path.join(base, d) for d in ("src", "out", "ckpt", "ev", "dl"))
+    commits = h.commits.select(*[c.split()[0] for c in incremental.COMMITS_SCHEMA.split(", ")])
+    tables = [lambda: spark.read.parquet(ev), lambda: spark.read.parquet(dl)]
+    for early in (True, False):
+        part = F.col("idx") < 200
+        commits.filter(part if early else ~part).write.mode("append").parquet(src)
+        # Events lag: at first only those before position 100 are there.
+        there = F.col("idx") < 100
+        h.files.filter(there if early else ~there).write.mode("append").parquet(ev)
+        h.diff_lines.filter(there if early else ~there).write.mode("append").parquet(dl)
+        incremental.start(spark, src, *tables, profiles.ANSIBLE, out, ckpt).awaitTermination()
+    got = sorted((r.repo, r.commit_hash, list(r.labels)) for r in spark.read.parquet(out).collect())
+    want = sorted((r.repo, r.commit_hash, list(r.labels))
+                  for r in miner.mine_fixing_commits(h, profiles.ANSIBLE).collect())
+    assert got == want and len(got) > 0

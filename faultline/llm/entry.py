@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import (ann_forest, bpe_chunks, compression_quality, feistel_shards, grammar_tokens, mixing,
-                           simhash_pivots, url_aliases, warc_archive, weighted_fingerprints)
+from faultline.llm import (ann_forest, bpe_chunks, collocations, compression_quality, exact_dedup, feistel_shards,
+                           grammar_tokens, mixing, simhash_pivots, source_divergence, url_aliases, warc_archive,
+                           weighted_fingerprints)
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 THRESHOLD = 0.3
@@ -69,9 +70,22 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_pivots.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.label(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ann_forest, op2_bpe_chunks, op3_grammar_tokens, op4_url_aliases, op5_compression_quality, op6_warc_archive,
-    op7_weighted_fingerprints, op8_feistel_shards, op9_mixing, op10_simhash_pivots)}
+    op7_weighted_fingerprints, op8_feistel_shards, op9_mixing, op10_simhash_pivots,
+    op11_source_divergence, op12_exact_dedup, op13_collocations)}
 
 _HOST = "coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = "coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
@@ -145,4 +159,61 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
 
-ORACLE_SQL = {"op4_url_aliases": _OP4, "op6_warc_archive": _OP6, "op9_mixing": _OP9}
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+# Dense: every group of a lang meets every kept term of the lang.
+_OP11 = f"""WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 translate(coalesce(text, ''), {_UPPER}, {_LOWER}) AS text FROM documents),
+t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY lang, source, term),
+gc AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c FROM g JOIN kept k ON k.lang = g.lang
+       LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gp AS (SELECT gc.*, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v.v) AS p
+       FROM gc JOIN v USING (lang)),
+lc AS (SELECT lang, term, sum(c) AS c FROM gc GROUP BY lang, term),
+lp AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * v.v) AS q FROM lc JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN gp x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN gp y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+          GROUP BY a.lang, a.source, b.source),
+terms AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM gp JOIN lp USING (lang, term) WHERE gp.c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM terms QUALIFY rank <= 50"""
+
+_OP12 = """WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
+
+# Every n-gram is generated here, order by order.
+_OP13 = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_UPPER}, {_LOWER}) AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+grams AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+          WHERE i + k - 1 <= len(words)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k >= 2),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+scored AS (SELECT cuts.lang, cuts.phrase, a, n, cut, x.f AS l, y.f AS r,
+                  ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM cuts JOIN total USING (lang)
+           JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(words[1:cut], ' ')
+           JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(words[cut + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, a, k, words, unnest(range(2, k)) AS size FROM c),
+parts AS (SELECT lang, a, size, words, unnest(range(1, k - size + 2)) AS i FROM inner_),
+longer AS (SELECT lang, array_to_string(words[i:i + size - 1], ' ') AS phrase, max(a) AS longer FROM parts GROUP BY 1, 2)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase,
+       a, l, r, n, score
+FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000"""
+
+ORACLE_SQL = {"op4_url_aliases": _OP4, "op6_warc_archive": _OP6, "op9_mixing": _OP9, "op11_source_divergence": _OP11,
+              "op12_exact_dedup": _OP12, "op13_collocations": _OP13}

@@ -1,13 +1,18 @@
 """Source divergence audit by chunk factorization.
 
 1. Chunks (runs without ASCII white space, A-Z lower-cased) are counted per document and combined
-   per (lang, source, chunk): documents, occurrences and, while there are fewer than ``least`` of
-   them, the documents' row numbers.
-2. Every globally distinct chunk is tokenized once; its terms are joined back to the chunk counts.
+   per (lang, chunk) into numbers of documents; partial counts meet by chunk.
+2. Every globally distinct chunk is tokenized there, once.  A chunk that is a term itself needs no
+   entry; for every other chunk its terms are kept as (chunk, term, times).
 3. A term's documents in a lang: at least those of its most widespread chunk, at most the sum over
-   its chunks.  Where only the exact number can tell whether it reaches ``least``, the distinct
-   documents of its chunks are counted; these chunks are all rare, so their row numbers are at hand.
-4. Smoothed shares of the kept terms give each source's distance to every other source of its lang
+   its chunks.  Terms whose sum stays below ``least`` are done with, and so are their chunks: the
+   second count leaves them out by a bitmap of the chunks that are left (fixed largest size,
+   ``MOST_BITS``; an overfull one lets more chunks through, and the joins drop them).
+4. The second count combines (lang, source, chunk): occurrences and, while there are fewer than
+   ``least`` of them, the documents' row numbers.  Terms are joined back and their occurrences summed.
+   Where the two bounds leave it open whether a term reaches ``least``, its distinct documents are
+   counted; all its chunks are rare, so their row numbers are at hand.
+5. Smoothed shares of the kept terms give each source's distance to every other source of its lang
    and the terms it uses more than the lang does.
 
 All arithmetic is on integers and decimals.
@@ -19,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,86 +34,198 @@ from faultline.llm.store import materialise
 LEAST = 30
 SMOOTH = 5
 SCALE = 1_000_000_000
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Chunk entries and row numbers a worker holds before it hands them on.
-HELD = 400_000
+#: Terms of a chunk: ASCII letters and everything beyond ASCII, byte by byte in UTF-8.
+_TERM = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
+#: Entries a worker holds before it hands them on.
+HELD = 800_000
+#: Bits of the bitmap for each chunk in it, and their number: 2**16 to 2**28 (32 MB).
+BITS_PER_CHUNK = 16
+LEAST_BITS, MOST_BITS = 16, 28
+_SEED = 42  # of Spark's xxhash64
 _SLICE = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _chunks(text: bytes) -> Counter:
-    """Counts of a text's chunks; a very long text is cut into slices at white space."""
-    found: Counter = Counter()
+def _slices(text: bytes) -> Iterator[list[bytes]]:
+    """The chunks of a text, lower-cased; a very long text comes in slices cut at white space."""
     at = 0
     while len(text) - at > _SLICE:
         cut = _SPACE.search(text, at + _SLICE)
         end = cut.start() if cut else len(text)
-        found.update(text[at:end].lower().split())
+        yield text[at:end].lower().split()
         at = end
-    found.update(text[at:].lower().split())
-    return found
+    yield text[at:].lower().split()
 
 
-def chunk_counts(docs: DataFrame, least: int = LEAST, held: int = HELD) -> DataFrame:
-    """Partial counts ``(lang, source, chunk, documents, occurrences, rows)`` of ``docs(lang, source, text)``;
-    ``rows`` numbers the documents and is null where there are ``least`` or more."""
-    rows = docs.select("lang", "source", F.col("text").cast("binary").alias("text"),
-                       F.monotonically_increasing_id().alias("row"))
+def chunk_spread(docs: DataFrame, held: int = HELD) -> DataFrame:
+    """Partial counts ``(lang, chunk, documents)`` of ``docs(lang, text binary)``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[str, Counter] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, table in tables.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(table), pa.string()), pa.array(list(table), pa.binary()),
+                     pa.array(list(table.values()), pa.int64())], ["lang", "chunk", "documents"])
+
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
+                table = tables.setdefault(lang, Counter())
+                before = len(table)
+                table.update(set().union(*_slices(text.as_py())))
+                size += len(table) - before
+                if size > held:
+                    yield from out()
+                    tables, size = {}, 0
+        yield from out()
+
+    return docs.select("lang", "text").mapInArrow(count, "lang string, chunk binary, documents long")
+
+
+def tokenize(spread: DataFrame, held: int = HELD) -> DataFrame:
+    """``(lang, term, low, high, chunk, times)`` from partial chunk counts, every distinct chunk tokenized once.
+
+    low and high bound the term's documents by the chunks seen in one place; ``chunk`` and ``times`` are
+    set in rows of their own (without lang) for chunks that are not a term by themselves."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds: dict[str, dict[bytes, list[int]]] = {}
+        parts: list[tuple[bytes, bytes, int]] = []
+        now, of_lang, size = None, {}, 0
+
+        def close() -> int:
+            if now is None:
+                return 0
+            terms = Counter(now.translate(_TERM).split())
+            if terms and now not in terms:
+                parts.extend((now, term, times) for term, times in terms.items())
+            for lang, n in of_lang.items():
+                table = bounds.setdefault(lang, {})
+                for term in terms:
+                    seen = table.get(term)
+                    if seen is None:
+                        table[term] = [n, n]
+                    else:
+                        seen[0] = max(seen[0], n)
+                        seen[1] += n
+            return len(terms) * (len(of_lang) + 1)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = ["lang", "term", "low", "high", "chunk", "times"]
+            for lang, table in bounds.items():
+                n, seen = len(table), list(table.values())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * n, pa.string()), pa.array(list(table), pa.binary()), pa.array([s[0] for s in seen], pa.int64()),
+                     pa.array([s[1] for s in seen], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+            if parts:
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(n, pa.string()), pa.array([p[1] for p in parts], pa.binary()), pa.nulls(n, pa.int64()),
+                     pa.nulls(n, pa.int64()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.int64())], names)
+
+        for b in batches:
+            for lang, chunk, n in zip(*(b.column(c).to_pylist() for c in ("lang", "chunk", "documents"))):
+                if chunk != now:
+                    size += close()
+                    now, of_lang = chunk, {}
+                    if size > held:
+                        yield from out()
+                        bounds, parts, size = {}, [], 0
+                of_lang[lang] = of_lang.get(lang, 0) + n
+        close()
+        yield from out()
+
+    met = spread.repartition("chunk").sortWithinPartitions("chunk")
+    return met.mapInArrow(split, "lang string, term binary, low long, high long, chunk binary, times long")
+
+
+def _bucket(chunk: Column, bits: int) -> Column:
+    return F.xxhash64(chunk).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _bitmap(chunks: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each hash bucket that holds a chunk, in little bit order."""
+    at = _bucket(F.col("chunk"), bits) + 1
+    maps = chunks.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bitmap = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in maps.toLocalIterator():  # 4 KB for each 32,768 buckets: 2**MOST_BITS / 8 bytes at most
+        bitmap[(row["part"] - 1) * 4096:row["part"] * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return bitmap
+
+
+def chunk_counts(docs: DataFrame, chunks: DataFrame, least: int = LEAST, held: int = HELD) -> DataFrame:
+    """Partial counts ``(lang, source, chunk, occurrences, rows)`` of ``docs(lang, source, text binary)`` for
+    the given ``chunks`` and a few others; ``rows`` numbers the documents and is null from ``least`` on."""
+    rows = docs.select("lang", "source", "text", F.monotonically_increasing_id().alias("row"))
+    bits = int(np.clip(np.ceil(np.log2(max(chunks.count() * BITS_PER_CHUNK, 1))), LEAST_BITS, MOST_BITS))
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(chunks, bits).tobytes())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        bitmap, mask = wanted.value, (1 << bits) - 1
         tables: dict[tuple, dict] = {}
         size = 0
 
+        class Wanted(dict):
+            def __missing__(self, chunk: bytes) -> bool:
+                at = xxh64_intdigest(chunk, _SEED) & mask
+                self[chunk] = found = bool(bitmap[at >> 3] >> (at & 7) & 1)
+                return found
+
+        known = Wanted()
+
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), table in tables.items():
                 n, seen = len(table), list(table.values())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()),
                      pa.array(list(table), pa.binary()), pa.array([s[0] for s in seen], pa.int64()),
-                     pa.array([s[1] for s in seen], pa.int64()),
-                     pa.array([s[2] if s[0] < least else None for s in seen], pa.list_(pa.int64()))],
-                    ["lang", "source", "chunk", "documents", "occurrences", "rows"])
+                     pa.array([s[1] if len(s[1]) < least else None for s in seen], pa.list_(pa.int64()))],
+                    ["lang", "source", "chunk", "occurrences", "rows"])
 
         for b in batches:
-            for lang, source, text, row in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text", "row"))):
+            for lang, source, text, row in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text"),
+                                               b.column("row").to_pylist()):
                 table = tables.setdefault((lang, source), {})
-                for chunk, n in _chunks(text).items():
-                    seen = table.get(chunk)
-                    if seen is None:
-                        table[chunk] = [1, n, [row]]
-                        size += 1
-                    else:
-                        seen[0] += 1
-                        seen[1] += n
-                        if seen[0] < least:
-                            seen[2].append(row)
+                found: Counter = Counter()
+                for chunks_ in _slices(text.as_py()):
+                    found.update(chunks_)
+                for chunk, n in found.items():
+                    if known[chunk]:
+                        seen = table.get(chunk)
+                        if seen is None:
+                            table[chunk] = [n, [row]]
                             size += 1
+                        else:
+                            seen[0] += n
+                            if len(seen[1]) < least:
+                                seen[1].append(row)
+                                size += 1
                 if size > held:
                     yield from out()
                     tables, size = {}, 0
+                if len(known) > held:
+                    known.clear()
         yield from out()
 
-    return rows.mapInArrow(count, "lang string, source string, chunk binary, documents long, occurrences long, rows array<long>")
-
-
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """``(chunk, term, times)``: every distinct chunk tokenized once."""
-    terms = F.explode(F.regexp_extract_all(F.col("chunk").cast("string"), F.lit(f"({TERM})")))
-    return chunks.select("chunk").distinct().select("chunk", terms.alias("term")).groupBy("chunk", "term").agg(
-        F.count(F.lit(1)).alias("times"))
+    return rows.mapInArrow(count, "lang string, source string, chunk binary, occurrences long, rows array<long>")
 
 
 def term_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``(lang, source, term, n)``: occurrences of every term that is in at least ``least`` documents of
     its lang, for the sources that have it.  ``docs`` holds lang, source and text without nulls."""
-    parts = materialise(chunk_counts(docs, least), "chunks")
-    totals = parts.groupBy("lang", "source", "chunk").agg(F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"))
-    totals = materialise(totals, "chunk_totals")
-    terms = materialise(chunk_terms(totals), "chunk_terms")
-    spread = totals.groupBy("lang", "chunk").agg(F.sum("documents").alias("documents"))
-    bounds = spread.join(terms, "chunk").groupBy("lang", "term").agg(
-        F.max("documents").alias("low"), F.sum("documents").alias("high"))
+    docs = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
+    tokens = materialise(tokenize(chunk_spread(docs)), "tokens")
+    bounds = tokens.where("chunk IS NULL").groupBy("lang", "term").agg(F.max("low").alias("low"), F.sum("high").alias("high"))
     bounds = materialise(bounds.where(F.col("high") >= least), "bounds")
+    left = bounds.select("term").distinct()
+    terms = tokens.where("chunk IS NOT NULL").select("chunk", "term", "times").join(left, "term", "left_semi")
+    terms = materialise(terms.union(left.select("term", "term", F.lit(1).cast("long"))), "chunk_terms")
+
+    parts = materialise(chunk_counts(docs, terms.select("chunk").distinct(), least), "chunks")
     open_ = bounds.where(F.col("low") < least).select("lang", "term")
     counted = (parts.where("rows IS NOT NULL").select("lang", "chunk", "rows")
                .join(terms.select("chunk", "term").join(open_, "term"), ["lang", "chunk"])
@@ -115,9 +233,10 @@ def term_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
                .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("documents")))
     kept = bounds.where(F.col("low") >= least).select("lang", "term").union(
         counted.where(F.col("documents") >= least).select("lang", "term"))
+    totals = parts.groupBy("lang", "source", "chunk").agg(F.sum("occurrences").alias("occurrences"))
     found = totals.join(terms, "chunk").groupBy("lang", "source", "term").agg(
         F.sum(F.col("occurrences") * F.col("times")).alias("n"))
-    return found.join(materialise(kept, "kept"), ["lang", "term"]).select("lang", "source", "term", "n")
+    return found.join(materialise(kept, "kept"), ["lang", "term"]).select("lang", "source", F.col("term").cast("string").alias("term"), "n")
 
 
 def _share(n: Column | str, total: Column | str, kinds: Column | str) -> Column:

@@ -51,8 +51,9 @@ class _Words(dict):
         return n
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, _Words]]:
-    """Bounded streams ``(lang, word numbers with 0 after each piece, words)`` of the texts of a task."""
+def _streams(batches: Iterator[pa.RecordBatch], most: int, known: int) -> Iterator[tuple[str, np.ndarray, _Words]]:
+    """Bounded streams ``(lang, word numbers with 0 after each piece, words)`` of the texts of a task: of
+    ``most`` words, or of the words read when ``known`` distinct ones are remembered."""
     words, held, size = _Words(), {}, 0
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
@@ -63,10 +64,10 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarra
                     into.extend(map(words.__getitem__, found))
                     into.append(0)
                     size += len(found)
-                    if size >= BATCH_WORDS or len(words) >= KNOWN_WORDS:
+                    if size >= most or len(words) >= known:
                         yield from ((k, np.array(v, dtype=np.int64), words) for k, v in held.items())
                         held, size = {}, 0
-                        if len(words) >= KNOWN_WORDS:
+                        if len(words) >= known:
                             words = _Words()
     yield from ((k, np.array(v, dtype=np.int64), words) for k, v in held.items())
 
@@ -89,9 +90,10 @@ def _pairs(ids: np.ndarray) -> np.ndarray:
 
 def frequent_pairs(docs: DataFrame, bits: int, least: int) -> np.ndarray:
     """Bitmap (little bit order) of the buckets in which word pairs occur ``least`` times or more."""
+    limits = BATCH_WORDS, KNOWN_WORDS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, words in _streams(batches):
+        for lang, ids, words in _streams(batches, *limits):
             bucket, n = np.unique(_buckets(lang, ids, words, bits)[_pairs(ids)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
 
@@ -109,11 +111,11 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size * BITS_PER_BYTE, 1))), LEAST_BITS, MOST_BITS))
     known = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, bits, least))
-    names = [f"w{i + 1}" for i in range(longest)]
+    names, limits = [f"w{i + 1}" for i in range(longest)], (BATCH_WORDS, KNOWN_WORDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = known.value
-        for lang, ids, words in _streams(batches):
+        for lang, ids, words in _streams(batches, *limits):
             bucket = _buckets(lang, ids, words, bits)
             linked = _pairs(ids) & ((bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
             first = ids != 0

@@ -345,5 +345,5 @@ def test_pipeline(spark):
 
 
 def test_every_operator_is_registered():
-    assert [q.split("_")[0] for q in entry.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in entry.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 4

@@ -260,18 +260,26 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
     """One row of every component, columns unchanged: that with the smallest id, null ids last; among
     rows of one id that with the smallest hash of its columns, and any one of equal rows.
 
-    Rows are told apart by a number written with them, so ids may repeat or be null: an id in two
-    components names a row of each, and a component of null ids alone keeps one row.  With ``repeats``
-    the rows of the component that share the kept row's id stay as well.
+    Ids may repeat or be null: an id in two components names a row of each, and a component of null ids
+    alone keeps one row.  With ``repeats`` the rows of the component that share the kept row's id stay as
+    well.  Only (id, hash, fingerprint) of the rows is written; texts go through one shuffle, to meet the
+    keys of the rows that stay, and only copies of a kept row that are equal in every column are grouped.
     """
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = materialise(docs.withColumns({"__row": F.monotonically_increasing_id(), "__tie": F.xxhash64(*hashed)}), "rows")
-    fps = materialise(fingerprints(rows, words, id_col, text_col, ("__tie", "__row")), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__tie", "__row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*hashed).alias("tie"),
+                       F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    fps = materialise(fingerprints(rows.select("doc_id", "text", "tie"), words, carry=("tie",)), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
     member = _members(materialise(fps.groupBy("fp").agg(F.min(order).alias("best")), "kinds"), max_bits)
     best = materialise(member.groupBy("root").agg(F.min("best").alias("best")), "named")
-    kept = best.select(F.col("best.__row").alias("__row"))
-    if repeats:
-        label = member.select("fp", "root").join(best.where("NOT best.no_id"), "root")
-        kept = kept.union(fps.join(label.select("fp", F.col("best.doc_id").alias("doc_id")), ["fp", "doc_id"]).select("__row"))
-    return rows.join(materialise(kept, "kept"), "__row", "left_semi").drop("__row", "__tie")
+    mine = fps.join(member.select("fp", "root").join(best, "root"), "fp").where(F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    one = (F.col("tie") == F.col("best.tie")) & ~(F.lit(repeats) & F.col("doc_id").isNotNull())
+    kept = mine.where((F.lit(repeats) & F.col("doc_id").isNotNull()) | one).groupBy("doc_id", "tie").agg(
+        F.count(F.lit(1)).alias("n"), F.first(one).alias("one"))
+    kept = materialise(kept.select(F.col("doc_id").alias("keep_id"), F.col("tie").alias("keep_tie"),
+                                   (F.col("one") & (F.col("n") > 1)).alias("single")), "kept")
+    # The same join at every size: texts are shuffled by key once, never broadcast.
+    found = rows.drop("text").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")))
+    plain = found.where("NOT single").select("row")
+    copies = found.where("single").groupBy("doc_id", "tie").agg(F.first("row").alias("row")).select("row")
+    return plain.union(copies).select([F.col("row").getField(c).alias(c) for c in docs.columns])

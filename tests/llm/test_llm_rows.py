@@ -198,6 +198,23 @@ def test_mixing(docs):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: v for k, v in drawn.items() if v})
 
 
+def test_repeated_rows_reach_their_target(spark):
+    """1,000 rows without an id, 600 copies of one row and single rows: every source comes near its target."""
+    rows = [(None, "a b c", "s1", 1)] * 1000 + [(5, "d e", "s2", 2)] * 600 + [(100 + i, "x y z w", "s3", 3) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long").repartition(5)
+    taken, target = Counter(), {}
+    for r in mixing.copies(docs).collect():
+        taken[r.source] += r.copies * r.size
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) < 0.05 * t for s, t in target.items()) and len(target) == 3
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = Counter()
+    for r in mixed.collect():
+        got[r.source] += len(r.text.split())
+    assert got == taken
+
+
 def test_uniform_is_uniform(spark):
     u = [r.u for r in spark.range(4000).select(mixing.uniform(1, F.col("id")).alias("u")).collect()]
     assert 0 <= min(u) and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.02

@@ -243,16 +243,23 @@ _CTES = [
   SELECT *, CASE WHEN change_type = 'ADD' THEN NULL ELSE lag(content) OVER w END AS content_before,
          lag(slot) OVER w AS b_slot, lag(additions) OVER w AS b_add
   FROM h_ev2 WINDOW w AS (PARTITION BY repo, p ORDER BY idx)"""),
+    # Two hunks an event: at old line a (da lines go, ia come) and at old line b (db go, ib come).
+    ("h_hunks", """
+  SELECT *, slot + 1 AS a, hunks + 8 AS b, CASE WHEN deletions > 0 THEN 1 + hunks % 2 ELSE 0 END AS da,
+         CASE WHEN deletions > 0 AND deletions % 3 = 0 THEN 1 ELSE 0 END AS db, 1 + additions % 2 AS ia, additions % 3 AS ib
+  FROM h_files"""),
     ("h_diff", """
-  SELECT repo, commit_hash, idx, p AS pos, coalesce(new_path, old_path) AS path, 'added' AS side, slot AS line_no,
+  SELECT repo, commit_hash, idx, p AS pos, coalesce(new_path, old_path) AS path, 'added' AS side,
+         unnest(CASE WHEN change_type = 'ADD' THEN range(1, 11 + additions % 8)
+                     ELSE range(a, a + ia) || range(b + ia - da, b + ia - da + ib) END) AS line_no,
          CASE WHEN hunks % 3 = 0 THEN '  # c' || CAST(additions AS VARCHAR) ELSE 'x = ' || CAST(additions AS VARCHAR) END AS text,
          life
-  FROM h_files WHERE change_type <> 'DELETE'
+  FROM h_hunks WHERE change_type <> 'DELETE'
   UNION ALL
-  SELECT repo, commit_hash, idx, p, coalesce(new_path, old_path), 'deleted', slot + 1 + hunks % 2,
+  SELECT repo, commit_hash, idx, p, coalesce(new_path, old_path), 'deleted', unnest(range(a, a + da) || range(b, b + db)),
          CASE WHEN deletions % 4 = 0 THEN '# note ' || CAST(deletions AS VARCHAR) ELSE 'y = ' || CAST(deletions AS VARCHAR) END,
          life
-  FROM h_files WHERE change_type <> 'ADD' AND deletions > 0"""),
+  FROM h_hunks WHERE change_type <> 'ADD' AND deletions > 0"""),
     ("h_msg", f"""
   SELECT repo, commit_hash, idx, committed_at,
          list_transform({_sentences('msg')}, lambda s: lower(array_to_string({_tokens('s')}, ' '))) AS st
@@ -330,8 +337,27 @@ _CTES += [
   JOIN h_fixev e ON e.repo = d.repo AND e.commit_hash = d.commit_hash AND e.p = d.pos
   JOIN h_prev pr ON pr.repo = d.repo AND pr.life = d.life AND pr.line_no = d.line_no AND pr.idx = d.idx
   WHERE d.side = 'deleted'"""),
+    # Real line numbers: every life is replayed event by event, the row carrying the writer of each line.
+    ("l_ev", """
+  SELECT repo, life, idx, commit_hash, p, change_type, a, b, da, db, ia, ib, additions,
+         row_number() OVER (PARTITION BY repo, life ORDER BY idx) AS rn FROM h_hunks"""),
+    ("l_walk(repo, life, rn, known, after)", """
+  SELECT DISTINCT repo, life, CAST(0 AS BIGINT), []::BIGINT[], []::BIGINT[] FROM l_ev
+  UNION ALL
+  SELECT repo, life, rn, o, CASE change_type
+      WHEN 'ADD' THEN list_resize([]::BIGINT[], 10 + additions % 8, idx)
+      WHEN 'DELETE' THEN []::BIGINT[]
+      ELSE o[1:a - 1] || list_resize([]::BIGINT[], ia, idx) || o[a + da:b - 1] || list_resize([]::BIGINT[], ib, idx) || o[b + db:] END
+  FROM (SELECT e.*, list_resize(w.after, greatest(len(w.after), 40), NULL) AS o
+        FROM l_walk w JOIN l_ev e ON e.repo = w.repo AND e.life = w.life AND e.rn = w.rn + 1)"""),
+    ("h_lines", """
+  SELECT e.repo, e.commit_hash, e.p AS pos, d.line_no, w.known[d.line_no] AS prev_idx
+  FROM h_fixev e JOIN h_diff d ON d.repo = e.repo AND d.commit_hash = e.commit_hash AND d.pos = e.p AND d.side = 'deleted'
+  JOIN l_ev l ON l.repo = e.repo AND l.commit_hash = e.commit_hash AND l.p = e.p
+  JOIN l_walk w ON w.repo = l.repo AND w.life = l.life AND w.rn = l.rn
+  WHERE w.known[d.line_no] IS NOT NULL"""),
     ("h_oldest", """
-  SELECT repo, commit_hash, pos, min(prev_idx) AS bic_idx FROM h_blame WHERE prev_idx IS NOT NULL
+  SELECT repo, commit_hash, pos, min(prev_idx) AS bic_idx FROM h_lines
   GROUP BY repo, commit_hash, pos"""),
     ("h_w2a", """
   SELECT e.repo, e.new_path AS filepath, e.idx AS fic_idx, o.bic_idx,
@@ -695,6 +721,8 @@ WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('cont
             "FROM h_files, (SELECT unnest([", "FROM h_files, LATERAL (SELECT unnest([", 1),
         "szz_blame": _sel("SELECT repo, commit_hash, CAST(pos AS BIGINT) AS pos, CAST(line_no AS BIGINT) AS line_no, "
                           "CAST(prev_idx AS BIGINT) AS prev_idx FROM h_blame"),
+        "szz_lines": _sel("SELECT repo, commit_hash, CAST(pos AS BIGINT) AS pos, CAST(line_no AS BIGINT) AS line_no, "
+                          "CAST(prev_idx AS BIGINT) AS prev_idx FROM h_lines"),
         "szz_oldest": _sel("SELECT o.repo, o.commit_hash, CAST(o.pos AS BIGINT) AS pos, c.commit_hash AS bic, "
                            "CAST(o.bic_idx AS BIGINT) AS bic_idx FROM h_oldest o "
                            "JOIN h_commits c ON c.repo = o.repo AND c.idx = o.bic_idx"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.blame import blame, oldest_inducing
+from faultline.operators.line_identity import blame_lines
 from faultline.operators.fixed_files import merge_by_path, merge_with_renames
 from faultline.operators.fixes import fixing_commits
 from faultline.operators.labels import failure_prone
@@ -36,11 +37,16 @@ def fix_events(h: History, profile: Profile, fixing: DataFrame) -> DataFrame:
                            & profile.keep(F.col("new_path"), F.col("content"))))
 
 
-def szz_fixes(h: History, profile: Profile, fixing: DataFrame, lineage: DataFrame, lives: DataFrame) -> DataFrame:
+def szz_fixes(h: History, profile: Profile, fixing: DataFrame, lineage: DataFrame, lives: DataFrame,
+              lines: bool = True) -> DataFrame:
     """J4+J5: fix events with their oldest bug-introducing commit
-    ``(repo, commit_hash, idx, pos, lineage, change_type, old_path, new_path, bic, bic_idx)``."""
+    ``(repo, commit_hash, idx, pos, lineage, change_type, old_path, new_path, bic, bic_idx)``.
+
+    ``line_no`` of the diff lines is a line number of the old or new version; with ``lines=False`` it is
+    a slot that keeps its meaning between versions (``blame.blame``)."""
     ev = fix_events(h, profile, fixing)
-    oldest = oldest_inducing(blame(ev, h.diff_lines, lives), h.commits)
+    blamed = blame_lines(ev, h.files, h.diff_lines, lives) if lines else blame(ev, h.diff_lines, lives)
+    oldest = oldest_inducing(blamed, h.commits)
     return (ev.select("repo", "commit_hash", "idx", "pos", "change_type", "old_path", "new_path")
               .join(oldest, ["repo", "commit_hash", "pos"])
               .join(lineage.withColumnRenamed("path", "new_path"), ["repo", "new_path"]))

@@ -18,6 +18,7 @@ from faultline.functions.yaml import yaml_nodes
 from faultline.operators import classify, product
 from faultline.operators.blame import blame
 from faultline.operators.fixes import merge_known, sort_commits
+from faultline.operators.line_identity import blame_lines, by_line
 from faultline.operators.lineage import path_lineage
 from faultline.operators.lives import file_lives
 from faultline.operators.process import PROCESS_METRICS, process_metrics
@@ -262,6 +263,12 @@ def q_szz_blame(spark, sf):
     return b.select("repo", "commit_hash", _big("pos"), _big("line_no"), _big("prev_idx"))
 
 
+def q_szz_lines(spark, sf):
+    h = history(spark, sf)
+    b = by_line(blame_lines(_fix_events(spark, sf), h.files, h.diff_lines, lives_of(spark, sf)))
+    return b.select("repo", "commit_hash", _big("pos"), _big("line_no"), _big("prev_idx"))
+
+
 def szz_of(spark, sf) -> DataFrame:
     """J4+J5 for the Ansible fixing commits, computed once per session."""
     h = history(spark, sf)
@@ -539,6 +546,7 @@ def registry() -> dict:
         "service_changed": _signal_query("service_changed"),
         "yaml_entries": q_yaml_entries,
         "szz_blame": q_szz_blame,
+        "szz_lines": q_szz_lines,
         "szz_oldest": q_szz_oldest,
         "lineage": q_lineage,
         "file_lives": q_file_lives,

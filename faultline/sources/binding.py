@@ -7,7 +7,8 @@ The benchmark tables hold no version history, so a history is derived from typed
 * the ``lineitem`` rows of an order grouped by ``l_partkey % 40`` are the files the commit modified
   (file ``p`` is the true lineage: ``p % 4`` 0/1 Ansible-like, 2 TOSCA-like, 3 other);
 * a RENAME gives the file its next version name ``..._v{n}``;
-* file contents are small generated YAML / TOSCA documents, diff lines are generated as well.
+* file contents are small generated YAML / TOSCA documents; diff lines are generated in two hunks an event,
+  with the line numbers of the old and the new version.
 
 The SQL in ``__spark_entry__.oracle_sql`` builds the same tables in DuckDB.
 """
@@ -66,6 +67,11 @@ def file_name(p: Column, ver: Column) -> Column:
     return F.concat(prefix, _s(p), F.lit("_v"), _s(ver), ext)
 
 
+def _span(first: Column, n: Column) -> Column:
+    """The ``n`` line numbers from ``first`` on."""
+    return F.when(n > 0, F.sequence(first.cast("int"), (first + n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
 def _some(n: Column, *parts: str) -> Column:
     """The first ``n`` of ``parts``, joined."""
     return F.concat(*[F.when(n > i, F.lit(part)).otherwise(F.lit("")) for i, part in enumerate(parts)])
@@ -167,15 +173,21 @@ def bind(spark: SparkSession, sf_dir: str) -> History:
                                "old_path", "new_path", "additions", "deletions",
                                F.col("hunks").cast("int").alias("hunks"), "content", "content_before"), "files")
 
+    # Two hunks an event, in real line numbers: old lines from a and b on go, new lines take their place.
     path = F.coalesce(F.col("new_path"), F.col("old_path"))
+    a, b = F.col("slot") + 1, F.col("hunks") + 8
+    gone_a = F.when(F.col("deletions") > 0, 1 + F.col("hunks") % 2).otherwise(0)
+    gone_b = F.when((F.col("deletions") > 0) & (F.col("deletions") % 3 == 0), 1).otherwise(0)
+    new_a, new_b = 1 + F.col("additions") % 2, F.col("additions") % 3
     added = ev.filter(ct != "DELETE").select(
-        "repo", "commit_hash", "idx", F.col("p").cast("int").alias("pos"), path.alias("path"),
-        F.lit("added").alias("side"), F.col("slot").cast("int").alias("line_no"),
+        "repo", "commit_hash", "idx", F.col("p").cast("int").alias("pos"), path.alias("path"), F.lit("added").alias("side"),
+        F.explode(F.when(ct == "ADD", _span(F.lit(1), 10 + F.col("additions") % 8))
+                   .otherwise(F.concat(_span(a, new_a), _span(b + new_a - gone_a, new_b)))).alias("line_no"),
         F.when(F.col("hunks") % 3 == 0, F.concat(F.lit("  # c"), _s(F.col("additions"))))
          .otherwise(F.concat(F.lit("x = "), _s(F.col("additions")))).alias("text"))
     deleted = ev.filter((ct != "ADD") & (F.col("deletions") > 0)).select(
-        "repo", "commit_hash", "idx", F.col("p").cast("int").alias("pos"), path.alias("path"),
-        F.lit("deleted").alias("side"), (F.col("slot") + 1 + F.col("hunks") % 2).cast("int").alias("line_no"),
+        "repo", "commit_hash", "idx", F.col("p").cast("int").alias("pos"), path.alias("path"), F.lit("deleted").alias("side"),
+        F.explode(F.concat(_span(a, gone_a), _span(b, gone_b))).alias("line_no"),
         F.when(F.col("deletions") % 4 == 0, F.concat(F.lit("# note "), _s(F.col("deletions"))))
          .otherwise(F.concat(F.lit("y = "), _s(F.col("deletions")))).alias("text"))
     diff_lines = added.unionByName(deleted)

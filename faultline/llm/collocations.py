@@ -29,8 +29,8 @@ TOP = 2000
 BITS_PER_BYTE = 1 / 12
 LEAST_BITS, MOST_BITS = 16, 28
 #: Words a worker collects before it counts them, and distinct words it remembers.
-BATCH_WORDS = 1_000_000
-KNOWN_WORDS = 400_000
+BATCH_WORDS = 300_000
+KNOWN_WORDS = 300_000
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,25 +51,33 @@ class _Words(dict):
         return n
 
 
-def _streams(batches: Iterator[pa.RecordBatch], most: int, known: int) -> Iterator[tuple[str, np.ndarray, _Words]]:
-    """Bounded streams ``(lang, word numbers with 0 after each piece, words)`` of the texts of a task: of
-    ``most`` words, or of the words read when ``known`` distinct ones are remembered."""
-    words, held, size = _Words(), {}, 0
+def _streams(batches: Iterator[pa.RecordBatch], most: int, known: int) -> Iterator[tuple[str, _Words, np.ndarray, bool]]:
+    """Bounded streams ``(lang, words, word numbers with 0 after each piece, last)`` of the texts of a task: of
+    ``most`` words in all.  ``last``: the numbering of ``words`` ends here, as ``known`` are remembered in all."""
+    held: dict[str, tuple[_Words, list[int]]] = {}
+    size = 0
+
+    def out(last: bool) -> Iterator[tuple[str, _Words, np.ndarray, bool]]:
+        for lang, (words, ids) in held.items():
+            yield lang, words, np.array(ids, dtype=np.int64), last
+            ids.clear()
+
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
             for piece in text.as_py().lower().translate(_BREAKS).split(b"\n"):
                 found = piece.split()
                 if found:
-                    into = held.setdefault(lang, [])
-                    into.extend(map(words.__getitem__, found))
-                    into.append(0)
+                    words, ids = held.setdefault(lang, (_Words(), []))
+                    ids.extend(map(words.__getitem__, found))
+                    ids.append(0)
                     size += len(found)
-                    if size >= most or len(words) >= known:
-                        yield from ((k, np.array(v, dtype=np.int64), words) for k, v in held.items())
-                        held, size = {}, 0
-                        if len(words) >= known:
-                            words = _Words()
-    yield from ((k, np.array(v, dtype=np.int64), words) for k, v in held.items())
+                    if size >= most:
+                        full = sum(len(w) for w, _ in held.values()) >= known
+                        yield from out(full)
+                        size = 0
+                        if full:
+                            held = {}
+    yield from out(True)
 
 
 def _buckets(lang: str, ids: np.ndarray, words: _Words, bits: int) -> np.ndarray:
@@ -93,7 +101,7 @@ def frequent_pairs(docs: DataFrame, bits: int, least: int) -> np.ndarray:
     limits = BATCH_WORDS, KNOWN_WORDS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, words in _streams(batches, *limits):
+        for lang, words, ids, _ in _streams(batches, *limits):
             bucket, n = np.unique(_buckets(lang, ids, words, bits)[_pairs(ids)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
 
@@ -115,38 +123,62 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = known.value
-        for lang, ids, words in _streams(batches, *limits):
-            bucket = _buckets(lang, ids, words, bits)
-            linked = _pairs(ids) & ((bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
-            first = ids != 0
-            columns, open_ = [ids[first]], np.ones(len(ids), dtype=bool)
-            for lead in range(1, longest):
-                open_ &= np.roll(linked, 1 - lead)
-                columns.append(np.where(open_, np.roll(ids, -lead), 0)[first])
-            table = pa.table(columns, names).group_by(names).aggregate([([], "count_all")])
+        alone: dict[str, np.ndarray] = {}    # windows of one word, while their words keep their numbers
+
+        def out(lang: str, words: _Words, columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
             vocabulary = pa.array(words.names, pa.binary())
-            for part in table.to_batches(max_chunksize=1 << 16):
-                n = part.num_rows
+            for at in range(0, len(n), 1 << 16):
+                part = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), *(vocabulary.take(part.column(w)) for w in names),
-                     part.column("count_all").cast(pa.int64())], ["lang", *names, "n"])
+                    [pa.array([lang] * len(n[part]), pa.string()), *(vocabulary.take(pa.array(c[part])) for c in columns),
+                     pa.array(n[part])], ["lang", *names, "n"])
+
+        for lang, words, ids, last in _streams(batches, *limits):
+            if len(ids):
+                bucket = _buckets(lang, ids, words, bits)
+                linked = _pairs(ids) & ((bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
+                single = np.bincount(ids[~linked & (ids != 0)], minlength=len(words.names))
+                before = alone.get(lang, single[:0])
+                single[:len(before)] += before
+                alone[lang] = single
+                starts = np.flatnonzero(linked)
+                columns, open_ = [ids[starts]], np.ones(len(starts), dtype=bool)
+                for lead in range(1, longest):
+                    open_ &= linked[(starts + lead - 1) % len(ids)]
+                    columns.append(np.where(open_, ids[(starts + lead) % len(ids)], 0))
+                table = pa.table(columns, names).group_by(names).aggregate([([], "count_all")]).combine_chunks()
+                yield from out(lang, words, [table[w].to_numpy() for w in names], table["count_all"].to_numpy())
+            if last and lang in alone:
+                single = alone.pop(lang)
+                found = np.flatnonzero(single)
+                yield from out(lang, words, [found] + [np.zeros(len(found), dtype=np.int64)] * (longest - 1), single[found])
 
     return docs.mapInArrow(count, "lang string, " + ", ".join(f"{w} binary" for w in names) + ", n long")
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """``(lang, k, phrase, words, f)`` of every phrase of up to ``longest`` words that occurs ``least`` times
-    in its lang, and one row with k = 0 for each lang: the number of all its words."""
+    in its lang, and one row with k = 0 for each lang: the number of all its words.
+
+    A window of one word is its own only prefix, so it need not go through the ROLLUP; its count is added
+    to the word's."""
     names = [f"w{i + 1}" for i in range(longest)]
-    counted = windows(docs, longest, least).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    rolled = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
+    counted = materialise(windows(docs, longest, least), "windows")
+    single = F.length("w2") == 0
+    rolled = counted.where(~single).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    rolled = rolled.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
     k = F.lit(longest)
     for i in range(longest):
         k = F.when(F.col("gid") == (1 << (longest - i)) - 1, i).otherwise(k)
     words = F.slice(F.array(*[F.col(w).cast("string") for w in names]), F.lit(1), F.col("k"))
     rolled = rolled.where(F.col("gid") < (1 << (longest + 1)) - 1).withColumn("k", k).withColumn("words", words)
-    whole = (F.col("k") == 0) | ((F.element_at("words", -1) != "") & (F.col("f") >= least))
-    return rolled.where(whole).select("lang", "k", F.concat_ws(" ", "words").alias("phrase"), "words", "f")
+    rolled = rolled.where((F.col("k") == 0) | (F.element_at("words", -1) != "")).select("lang", "k", "words", "f")
+    alone = counted.where(single).groupBy("lang", "w1").agg(F.sum("n").alias("f"))
+    alone = alone.select("lang", F.lit(1).alias("k"), F.array(F.col("w1").cast("string")).alias("words"), "f")
+    total = alone.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.lit(0).alias("k"), F.array().cast("array<string>").alias("words"), "f")
+    short = alone.union(total).union(rolled.where("k < 2")).groupBy("lang", "k", "words").agg(F.sum("f").alias("f"))
+    found = rolled.where("k > 1").union(short).where((F.col("k") == 0) | (F.col("f") >= least))
+    return found.select("lang", "k", F.concat_ws(" ", "words").alias("phrase"), "words", "f")
 
 
 def _decimal(c: Column | str) -> Column:

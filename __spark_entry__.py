@@ -137,9 +137,10 @@ def _block(n: str, head: str, first: str, second: str) -> str:
 
 _ANSIBLE_DOC = (f"('- name: t' || {_s('slot')} || {NL} || '  ' || {_module('slot')} || ':' || {NL} || "
                 f"'    src: f' || {_s('additions')} || {NL} || '  when: a == ' || {_s('hunks')} || {NL} || "
-                + _lines_if("additions % 4", ("- name: e1", "  command:", "    cmd: c1", "    chdir: d", "  when: b1"),
-                            ("- name: e2", "  shell:", "    cmd: c2", "    chdir: d"),
-                            ("- name: e1", "  command:", "    cmd: c3", "    chdir: d", "  when: b3 < 1 and b4 >= 2"))
+                + _lines_if("additions % 5", ("- name: e1", "  command:", "    cmd: c1", "    chdir: d", "  when: b1"),
+                            ("- name: e2", "  shell: |", "    a: b", "    - x: y", "  args:", "    chdir: d"),
+                            ("- name: e1", "  command:", "    cmd: c3", "    chdir: d", "  when: b3 < 1 and b4 >= 2"),
+                            ("- name: e4", "  copy: {src: a, dest: [b, c]}"))
                 + " || " + _lines_if("hunks % 3", ("- hosts: w1",), ("- hosts: w2",)) + " || "
                 + _lines_if("(additions // 4) % 3", ("",), ("",)) + ")")
 # Entries of each TOSCA section beyond the fixed part of the document.
@@ -148,6 +149,7 @@ _TOSCA_MORE = {
     "node_types": "additions % 3", "relationship_types": "hunks % 3", "relationship_templates": "(additions + hunks) % 3",
     "inputs": "(additions // 3) % 3", "interfaces": "slot % 3", "parameters": "(additions // 2) % 3"}
 _TOSCA_DOC = (f"('tosca_definitions_version: tosca_simple_yaml_1_3' || {NL} || "
+              + _lines_if("hunks % 2", ("description: >", "  inputs: all", "  - of them")) + " || "
               f"CASE WHEN slot = 0 THEN '# TODO: pin versions' || {NL} ELSE '' END || "
               + _lines_if("additions % 2", ("# FIXME names",)) +
               f" || 'imports:' || {NL} || '  - types' || {_s('slot')} || '.yml' || {NL} || "
@@ -181,8 +183,14 @@ def _is_tosca(p: str, c: str | None) -> str:
     return f"(CASE WHEN length({c}) > 0 THEN {by_content} ELSE {by_path} END)"
 
 
-def _parsable(c: str) -> str:
-    return f"coalesce(length({c}) > 0 AND NOT regexp_matches({c}, '(^|\\n)[ ]*\\t'), false)"
+def _parsable(c: str, additions: str = "additions") -> str:
+    """Documents with a tab in an indentation or an open bracket or quote do not parse."""
+    return f"coalesce(length({c}) > 0 AND {additions} % 17 <> 0 AND {additions} % 19 <> 0, false)"
+
+
+def _broken(doc: str, tab_at: str, open_at: str, opened: str) -> str:
+    tabbed = f"CASE WHEN additions % 17 = 0 THEN replace({doc}, {NL} || '  {tab_at}', {NL} || {TAB} || '{tab_at}') ELSE {doc} END"
+    return f"CASE WHEN additions % 19 = 0 THEN replace({tabbed}, '{open_at}', '{opened}') ELSE {tabbed} END"
 
 
 def _tokens(s: str) -> str:
@@ -225,12 +233,8 @@ _CTES = [
     ("h_ev2", f"""
   SELECT *, {_name('p', 'born_ver')} || '@' || {_s('born')} AS life,
     CASE WHEN change_type = 'DELETE' THEN NULL
-         WHEN p % 4 <= 1 THEN CASE WHEN additions % 17 = 0
-                                   THEN replace({_ANSIBLE_DOC}, {NL} || '  when', {NL} || {TAB} || 'when')
-                                   ELSE {_ANSIBLE_DOC} END
-         WHEN p % 4 = 2 THEN CASE WHEN additions % 17 = 0
-                                  THEN replace({_TOSCA_DOC}, {NL} || '  node_templates', {NL} || {TAB} || 'node_templates')
-                                  ELSE {_TOSCA_DOC} END
+         WHEN p % 4 <= 1 THEN {_broken(_ANSIBLE_DOC, 'when', 'src: f', 'src: [f')}
+         WHEN p % 4 = 2 THEN {_broken(_TOSCA_DOC, 'node_templates', 'type: my.nodes', 'type: "my.nodes')}
          ELSE 'x = ' || {_s('additions')} || {NL} END AS content,
     CASE WHEN change_type = 'DELETE' THEN NULL ELSE {_name('p', 'ver')} END AS new_path,
     CASE WHEN change_type = 'ADD' THEN NULL WHEN change_type = 'RENAME' THEN {_name('p', 'ver - 1')}
@@ -275,14 +279,16 @@ _CTES = [
   WHERE f.change_type = 'MODIFY' AND regexp_matches(d.text, '^[ \\t\\r\\f]*#')"""),
     ("h_cand", f"""
   SELECT repo, commit_hash, p AS pos,
-    CASE WHEN {_module('slot')} IN ('copy', 'mysql_user', 'zfs') THEN '1:src=f' || {_s('additions')} ELSE '' END AS d_now,
-    CASE WHEN {_module('b_slot')} IN ('copy', 'mysql_user', 'zfs') THEN '1:src=f' || {_s('b_add')} ELSE '' END AS d_then,
+    CASE WHEN {_module('slot')} IN ('copy', 'mysql_user', 'zfs') THEN '1:src=f' || {_s('additions')} ELSE '' END
+      || CASE WHEN additions % 5 = 4 THEN ' e4' ELSE '' END AS d_now,
+    CASE WHEN {_module('b_slot')} IN ('copy', 'mysql_user', 'zfs') THEN '1:src=f' || {_s('b_add')} ELSE '' END
+      || CASE WHEN b_add % 5 = 4 THEN ' e4' ELSE '' END AS d_then,
     CASE WHEN {_module('slot')} = 'include_tasks' THEN '1:src=f' || {_s('additions')} ELSE '' END AS i_now,
     CASE WHEN {_module('b_slot')} = 'include_tasks' THEN '1:src=f' || {_s('b_add')} ELSE '' END AS i_then,
     CASE WHEN {_module('slot')} = 'service' THEN '1:src=f' || {_s('additions')} ELSE '' END AS s_now,
     CASE WHEN {_module('b_slot')} = 'service' THEN '1:src=f' || {_s('b_add')} ELSE '' END AS s_then
   FROM h_files
-  WHERE change_type = 'MODIFY' AND {_is_ansible('new_path')} AND {_parsable('content')} AND {_parsable('content_before')}"""),
+  WHERE change_type = 'MODIFY' AND {_is_ansible('new_path')} AND {_parsable('content')} AND {_parsable('content_before', 'b_add')}"""),
     ("h_sig", """
   SELECT repo, commit_hash, arg_min(d_now <> d_then, pos) AS data_changed,
          arg_min(i_now <> i_then, pos) AS include_changed, arg_min(s_now <> s_then, pos) AS service_changed
@@ -537,18 +543,19 @@ def _product_rel(kind: str) -> str:
     """Non-deleted versions of Ansible / TOSCA files with their metrics (generator-derived structure)."""
     ok = _parsable("content")
     keep = _is_ansible("new_path") if kind == "ansible" else _is_tosca("new_path", "content")
-    more = "additions % 4"
+    more = "additions % 5"
     if kind == "ansible":
         counts = {
-            "num_conditions": f"[1, 2, 2, 4][{more} + 1]", "num_keys": f"[4, 9, 13, 18][{more} + 1] + hunks % 3",
-            "num_distinct_modules": f"least(1 + {more}, 3)", "num_parameters": f"1 + 2 * ({more})",
-            "num_tasks": f"1 + {more}", "num_unique_names": f"least(1 + {more}, 3)"}
+            "num_conditions": f"[1, 2, 2, 4, 4][{more} + 1]", "num_keys": f"[4, 9, 13, 18, 22][{more} + 1] + hunks % 3",
+            "num_distinct_modules": f"least(1 + {more}, 3) + CASE WHEN {more} = 4 AND slot <> 0 THEN 1 ELSE 0 END",
+            "num_parameters": f"[1, 3, 3, 5, 7][{more} + 1]",
+            "num_tasks": f"1 + {more}", "num_unique_names": f"[1, 2, 3, 3, 4][{more} + 1]"}
     else:
         base = {"imports": 1, "node_templates": 1, "properties": 2}
         counts = {f"num_{k}": f"{base.get(k, 0)} + {v}" for k, v in _TOSCA_MORE.items()}
         counts["num_shell_scripts"] = "1 + slot % 3"
         counts["num_suspicious_comments"] = "CASE WHEN slot = 0 THEN 1 ELSE 0 END + additions % 2"
-        counts["num_keys"] = "9 + " + " + ".join(
+        counts["num_keys"] = "9 + hunks % 2 + " + " + ".join(
             [_TOSCA_MORE["properties"], f"2 * ({_TOSCA_MORE['node_templates']})"]
             + [f"{v} + CASE WHEN {v} > 0 THEN 1 ELSE 0 END" for k, v in _TOSCA_MORE.items()
                if k not in ("imports", "properties", "node_templates")])
@@ -574,7 +581,28 @@ def _product_sql(kind: str) -> str:
 
 
 def _entries(*rows: tuple) -> str:
-    return "[" + ", ".join(f"{{'o': {o}, 'd': {d}, 'k': '{k}', 'v': '{v}'}}" for o, d, k, v in rows) + "]"
+    """Nodes (depth, key or None for a list entry, SQL of the value)."""
+    return "[" + ", ".join(f"{{'d': {d}, 'k': {k if k else 'NULL::VARCHAR'}, 'v': {v}}}" for d, k, v in rows) + "]"
+
+
+def _more_nodes(n: str, at_least: int, *rows: tuple) -> str:
+    return f"CASE WHEN {n} > {at_least} THEN {_entries(*rows)} ELSE [] END"
+
+
+# Every node of a generated Ansible document in reading order.
+_ITEM = (0, None, "''")
+_ANSIBLE_NODES = " || ".join([
+    _entries(_ITEM, (1, "'name'", f"'t' || {_s('slot')}"), (1, _module("slot"), "''"), (2, "'src'", f"'f' || {_s('additions')}"),
+             (1, "'when'", f"'a == ' || {_s('hunks')}")),
+    _more_nodes("additions % 5", 0, _ITEM, (1, "'name'", "'e1'"), (1, "'command'", "''"), (2, "'cmd'", "'c1'"), (2, "'chdir'", "'d'"),
+                (1, "'when'", "'b1'")),
+    _more_nodes("additions % 5", 1, _ITEM, (1, "'name'", "'e2'"), (1, "'shell'", f"'a: b' || {NL} || '- x: y'"), (1, "'args'", "''"),
+                (2, "'chdir'", "'d'")),
+    _more_nodes("additions % 5", 2, _ITEM, (1, "'name'", "'e1'"), (1, "'command'", "''"), (2, "'cmd'", "'c3'"), (2, "'chdir'", "'d'"),
+                (1, "'when'", "'b3 < 1 and b4 >= 2'")),
+    _more_nodes("additions % 5", 3, _ITEM, (1, "'name'", "'e4'"), (1, "'copy'", "''"), (2, "'src'", "'a'"), (2, "'dest'", "''"),
+                (3, None, "'b'"), (3, None, "'c'")),
+    _more_nodes("hunks % 3", 0, _ITEM, (1, "'hosts'", "'w1'")), _more_nodes("hunks % 3", 1, _ITEM, (1, "'hosts'", "'w2'"))])
 
 
 def _sel(body: str) -> str:
@@ -701,24 +729,11 @@ def oracle_sql() -> dict[str, str]:
         "data_changed": _sel("SELECT repo, commit_hash, data_changed AS changed FROM h_sig"),
         "include_changed": _sel("SELECT repo, commit_hash, include_changed AS changed FROM h_sig"),
         "service_changed": _sel("SELECT repo, commit_hash, service_changed AS changed FROM h_sig"),
-        "yaml_entries": _sel(f"""SELECT repo, commit_hash, CAST(p AS BIGINT) AS pos, CAST(e.o AS BIGINT) AS ord,
-       CAST(e.d AS BIGINT) AS depth, e.k AS key, e.v AS val
-FROM h_files, (SELECT unnest([
-    {{'o': 1, 'd': 1, 'k': 'name', 'v': 't' || {_s('slot')}}},
-    {{'o': 2, 'd': 1, 'k': {_module('slot')}, 'v': ''}},
-    {{'o': 4, 'd': 2, 'k': 'src', 'v': 'f' || {_s('additions')}}},
-    {{'o': 6, 'd': 1, 'k': 'when', 'v': 'a == ' || {_s('hunks')}}}]
-    || CASE WHEN additions % 4 > 0 THEN {_entries((9, 1, 'name', 'e1'), (10, 1, 'command', ''), (12, 2, 'cmd', 'c1'),
-                                                  (14, 2, 'chdir', 'd'), (16, 1, 'when', 'b1'))} ELSE [] END
-    || CASE WHEN additions % 4 > 1 THEN {_entries((19, 1, 'name', 'e2'), (20, 1, 'shell', ''), (22, 2, 'cmd', 'c2'),
-                                                  (24, 2, 'chdir', 'd'))} ELSE [] END
-    || CASE WHEN additions % 4 > 2 THEN {_entries((27, 1, 'name', 'e1'), (28, 1, 'command', ''), (30, 2, 'cmd', 'c3'),
-                                                  (32, 2, 'chdir', 'd'), (34, 1, 'when', 'b3 < 1 and b4 >= 2'))} ELSE [] END
-    || CASE WHEN hunks % 3 > 0 THEN {_entries(('[9, 19, 27, 37][additions % 4 + 1]', 1, 'hosts', 'w1'))} ELSE [] END
-    || CASE WHEN hunks % 3 > 1 THEN {_entries(('[11, 21, 29, 39][additions % 4 + 1]', 1, 'hosts', 'w2'))} ELSE [] END
-    ) AS e)
-WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('content')}""").replace(
-            "FROM h_files, (SELECT unnest([", "FROM h_files, LATERAL (SELECT unnest([", 1),
+        "yaml_entries": _sel(f"""SELECT repo, commit_hash, pos, CAST(n.o AS BIGINT) AS ord, CAST(n.d AS BIGINT) AS depth, n.k AS key, n.v AS val
+FROM (SELECT repo, commit_hash, CAST(p AS BIGINT) AS pos,
+             unnest(list_transform({_ANSIBLE_NODES}, lambda n, i: {{'o': i - 1, 'd': n.d, 'k': n.k, 'v': n.v}})) AS n
+      FROM h_files WHERE change_type <> 'DELETE' AND {_is_ansible('new_path')} AND {_parsable('content')})
+WHERE n.k IS NOT NULL"""),
         "szz_blame": _sel("SELECT repo, commit_hash, CAST(pos AS BIGINT) AS pos, CAST(line_no AS BIGINT) AS line_no, "
                           "CAST(prev_idx AS BIGINT) AS prev_idx FROM h_blame"),
         "szz_lines": _sel("SELECT repo, commit_hash, CAST(pos AS BIGINT) AS pos, CAST(line_no AS BIGINT) AS line_no, "

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import modules, rules, text
 from faultline.functions.paths import is_ansible_file
-from faultline.functions.yaml import parsable, yaml_nodes
+from faultline.functions.yaml import NODE_TYPE, yaml_nodes
 
 LABEL_NAMES = [name for name, _ in rules.LABELS]
 # Which commit-level signal also lets a category hold (besides its words).
@@ -54,49 +54,41 @@ def comment_changed(files: DataFrame, diff_lines: DataFrame) -> DataFrame:
 
 
 def _keyed_values(nodes: str, tests: dict[str, str]) -> Column:
-    """One pass over a document's nodes: every key node with a value that belongs to any family in
-    ``tests`` becomes ``struct(<family flags>, repr)`` in document order.  ``repr`` is the inline
-    value, or for a nested value its descendants as ``relative-depth:key=value`` (absent values
-    are skipped, as in the original key/value walk)."""
+    """One pass over a document's nodes: every key node with a value (null is none) that belongs to any
+    family in ``tests`` becomes ``struct(<family flags>, sub)`` in document order.  ``sub`` stands for the
+    whole value: nested ones carry the hash of their subtree, so no node is visited again."""
     any_family = " OR ".join(f"({t.replace('KEY', 'x.key')})" for t in tests.values())
     flags = ", ".join(f"'{name}', {t.replace('KEY', 'x.key')}" for name, t in tests.items())
-    return F.expr(f"""
-      transform(
-        filter({nodes}, x -> x.kind = 'key' AND ({any_family}) AND (x.val <> '' OR x.has_children)),
-        x -> named_struct({flags}, 'repr',
-               CASE WHEN x.val <> '' THEN x.val ELSE
-                 array_join(transform(filter({nodes}, y -> y.ord > x.ord AND y.ord < x.end),
-                                      y -> concat(y.depth - x.depth, ':', coalesce(y.key, '-'), '=',
-                                                  coalesce(y.val, ''))), ';')
-               END))""")
+    return F.expr(f"transform(filter({nodes}, x -> x.kind = 'key' AND ({any_family}) AND x.sub <> 'n'), "
+                  f"x -> named_struct({flags}, 'sub', x.sub))")
 
 
 def _family(values: Column, name: str) -> Column:
-    """The ``name`` family's values of ``_keyed_values``, joined in document order."""
-    return F.array_join(F.transform(F.filter(values, lambda e: e[name]), lambda e: e["repr"]), "\u0002")
-
-
-def _readable(side: str) -> Column:
-    """Parsable, or empty text, which has no entries; a missing side is neither."""
-    return parsable(F.col(side)) | (F.col(side) == "")
+    """The ``name`` family's values of ``_keyed_values``, in document order."""
+    return F.transform(F.filter(values, lambda e: e[name]), lambda e: e["sub"])
 
 
 def ansible_change_signals(files: DataFrame, extra_config_modules: list[str] | None = None) -> DataFrame:
     """C2-C4 for Ansible: per commit, whether configuration-data, include or service values differ
-    between the two sides of the first MODIFY Ansible file (by position) whose two sides parse."""
+    between the two sides of the first MODIFY Ansible file (by position) whose two sides parse.
+    Empty text has no entries; a missing side does not count as parsed."""
     data_keys = "KEY IN (" + modules.sql_in_list(modules.config_data_modules(extra_config_modules)) + ")"
     include_keys = "KEY IN (" + modules.sql_in_list(modules.INCLUDE_KEYS) + ")"
     service_keys = "KEY IN (" + modules.sql_in_list(modules.SERVICE_KEYS) + ")"
     tests = {"d": data_keys, "i": include_keys, "s": service_keys}
+
+    def nodes(side: str) -> Column:
+        return F.coalesce(yaml_nodes(side, hashes=True), F.when(F.col(side) == "", F.array().cast(NODE_TYPE)))
+
     cand = (files.filter((F.col("change_type") == "MODIFY") & is_ansible_file(F.col("new_path"))
-                         & _readable("content") & _readable("content_before"))
-                 .select("repo", "commit_hash", "pos",
-                         yaml_nodes("content").alias("_now"), yaml_nodes("content_before").alias("_then"))
+                         & F.col("content").isNotNull() & F.col("content_before").isNotNull())
+                 .select("repo", "commit_hash", "pos", nodes("content").alias("_now"), nodes("content_before").alias("_then"))
+                 .filter("_now IS NOT NULL AND _then IS NOT NULL")
                  .select("repo", "commit_hash", "pos", _keyed_values("_now", tests).alias("_now"),
                          _keyed_values("_then", tests).alias("_then")))
     flags = cand.select(
         "repo", "commit_hash", "pos",
-        *[(F.coalesce(_family(F.col("_now"), k), F.lit("")) != F.coalesce(_family(F.col("_then"), k), F.lit(""))).alias(out)
+        *[(_family(F.col("_now"), k) != _family(F.col("_then"), k)).alias(out)
           for k, out in (("d", "data_changed"), ("i", "include_changed"), ("s", "service_changed"))])
     first = F.min_by(F.struct("data_changed", "include_changed", "service_changed"), F.col("pos"))
     return (flags.groupBy("repo", "commit_hash").agg(first.alias("_f"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text
 from faultline.functions.modules import sql_in_list
-from faultline.functions.yaml import parsable, yaml_nodes
+from faultline.functions.yaml import yaml_nodes
 
 # --- our task keywords: keys of a task that are not its module ---
 TASK_KEYWORDS = ["name", "when", "loop", "loop_control", "register", "tags", "become", "become_user",
@@ -154,7 +154,7 @@ def product_metrics(df: DataFrame, keys: list[str], profile: str, content: str =
         return base.join(entropy(df, keys, content), keys).select(*keys, *TEXT_METRICS)
 
     with_nodes = df.select(*keys, content, yaml_nodes(content).alias("_nodes"))
-    ok = parsable(c)
+    ok = F.col("_nodes").isNotNull()
     m = yaml_metric_exprs("_nodes", content)
     common = {
         "lines_code": lines_code(c), "lines_blank": lines_blank(c), "num_tokens": num_tokens(c),

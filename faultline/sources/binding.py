@@ -81,22 +81,31 @@ def _section(n: Column, head: str, *parts: str) -> Column:
     return F.when(n > 0, F.concat(F.lit(f"{head}:\n"), _some(n, *parts))).otherwise(F.lit(""))
 
 
+def _broken(body: Column, additions: Column, tab_at: str, open_at: str, opened: str) -> Column:
+    """Some documents do not parse: every 17th has a tab in an indentation, every 19th never closes what it opens."""
+    tabbed = F.when(additions % 17 == 0, F.replace(body, F.lit(f"\n  {tab_at}"), F.lit(f"\n\t{tab_at}"))).otherwise(body)
+    return F.when(additions % 19 == 0, F.replace(tabbed, F.lit(open_at), F.lit(opened))).otherwise(tabbed)
+
+
 def ansible_doc(slot: Column, additions: Column, hunks: Column) -> Column:
-    """A task with the slot's module, 0-3 further tasks and 0-2 plays."""
+    """A task with the slot's module, 0-4 further tasks (one with a block scalar, one in flow style) and 0-2 plays."""
     body = F.concat(
         F.lit("- name: t"), _s(slot), F.lit("\n  "), _case(slot, MODULES),
         F.lit(":\n    src: f"), _s(additions), F.lit("\n  when: a == "), _s(hunks), F.lit("\n"),
-        _some(additions % 4, "- name: e1\n  command:\n    cmd: c1\n    chdir: d\n  when: b1\n",
-              "- name: e2\n  shell:\n    cmd: c2\n    chdir: d\n",
-              "- name: e1\n  command:\n    cmd: c3\n    chdir: d\n  when: b3 < 1 and b4 >= 2\n"),
+        _some(additions % 5, "- name: e1\n  command:\n    cmd: c1\n    chdir: d\n  when: b1\n",
+              "- name: e2\n  shell: |\n    a: b\n    - x: y\n  args:\n    chdir: d\n",
+              "- name: e1\n  command:\n    cmd: c3\n    chdir: d\n  when: b3 < 1 and b4 >= 2\n",
+              "- name: e4\n  copy: {src: a, dest: [b, c]}\n"),
         _some(hunks % 3, "- hosts: w1\n", "- hosts: w2\n"), _some(F.floor(additions / 4) % 3, "\n", "\n"))
-    return F.when(additions % 17 == 0, F.replace(body, F.lit("\n  when"), F.lit("\n\twhen"))).otherwise(body)
+    return _broken(body, additions, "when", "src: f", "src: [f")
 
 
 def tosca_doc(slot: Column, additions: Column, hunks: Column) -> Column:
-    """A template with 1-3 imports and nodes, 2-4 properties and 0-2 entries of every other section."""
+    """A template with 1-3 imports and nodes, 2-4 properties, 0-2 entries of every other section and, at times, a
+    folded description."""
     body = F.concat(
         F.lit("tosca_definitions_version: tosca_simple_yaml_1_3\n"),
+        _some(hunks % 2, "description: >\n  inputs: all\n  - of them\n"),
         F.when(slot == 0, F.lit("# TODO: pin versions\n")).otherwise(F.lit("")),
         _some(additions % 2, "# FIXME names\n"),
         F.lit("imports:\n  - types"), _s(slot), F.lit(".yml\n"),
@@ -113,8 +122,7 @@ def tosca_doc(slot: Column, additions: Column, hunks: Column) -> Column:
         _section(slot % 3, "interfaces", "  start: s1.sh\n", "  stop: s2.sh\n"),
         _section(F.floor(additions / 2) % 3, "parameters", "  p1: int\n", "  p2: int\n"),
         _some(F.floor(additions / 4) % 3, "\n", "\n"))
-    return F.when(additions % 17 == 0,
-                  F.replace(body, F.lit("\n  node_templates"), F.lit("\n\tnode_templates"))).otherwise(body)
+    return _broken(body, additions, "node_templates", "type: my.nodes", 'type: "my.nodes')
 
 
 def bind(spark: SparkSession, sf_dir: str) -> History:

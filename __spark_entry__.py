@@ -452,6 +452,32 @@ FROM w1_out x JOIN h_commits cf ON cf.repo = x.repo AND cf.idx = x.f.fic
          arg_max_null(s.content, s.idx) AS content, arg_max(s.life, s.idx) AS life, max(s.idx) AS state_idx
   FROM h_cps c JOIN h_states s ON s.repo = c.repo AND s.idx <= c.cp_idx
   GROUP BY c.repo, c.rel_no, c.commit_hash, s.path"""),
+    # Names along all renames: from the commit where the fixed file has its name, back from rename to rename.
+    ("c_ren", """
+  SELECT repo, idx, old_path, new_path FROM h_files WHERE change_type = 'RENAME' AND old_path <> new_path"""),
+    ("c_birth", """
+  SELECT repo, new_path AS path, idx, true AS renamed FROM c_ren
+  UNION ALL SELECT repo, new_path, idx, false FROM h_files WHERE change_type = 'ADD'"""),
+    ("c_pred", """
+  SELECT r.repo, r.idx, r.old_path, CASE WHEN arg_max(b.renamed, b.idx) THEN max(b.idx) END AS since
+  FROM c_ren r LEFT JOIN c_birth b ON b.repo = r.repo AND b.path = r.old_path AND b.idx < r.idx
+  GROUP BY r.repo, r.idx, r.old_path"""),
+    ("c_held", """
+  SELECT f.repo, f.filepath, f.fic, f.fic_idx, f.bic_idx,
+         CASE WHEN arg_max(s.alive, s.idx) FILTER (WHERE s.idx <= f.fic_idx) THEN f.fic_idx
+              ELSE min(s.idx) FILTER (WHERE s.alive AND s.idx > f.fic_idx) END AS bound
+  FROM h_named_fixed f LEFT JOIN h_states s ON s.repo = f.repo AND s.path = f.filepath
+  GROUP BY f.repo, f.filepath, f.fic, f.fic_idx, f.bic_idx"""),
+    ("c_start", """
+  SELECT h.repo, h.filepath, h.fic, h.fic_idx, h.bic_idx, h.bound, CASE WHEN arg_max(b.renamed, b.idx) THEN max(b.idx) END AS since
+  FROM c_held h LEFT JOIN c_birth b ON b.repo = h.repo AND b.path = h.filepath AND b.idx <= h.bound
+  GROUP BY h.repo, h.filepath, h.fic, h.fic_idx, h.bic_idx, h.bound"""),
+    ("c_walk(repo, fic, fic_idx, bic_idx, path, name, since, until)", """
+  SELECT repo, fic, fic_idx, bic_idx, filepath, filepath, since, bound + 1 FROM c_start
+  UNION ALL
+  SELECT w.repo, w.fic, w.fic_idx, w.bic_idx, r.old_path, r.old_path, p.since, w.since
+  FROM c_walk w JOIN c_ren r ON r.repo = w.repo AND r.idx = w.since AND r.new_path = w.name
+  JOIN c_pred p ON p.repo = r.repo AND p.idx = r.idx AND p.old_path = r.old_path"""),
     ("h_alive", """
   SELECT * FROM h_snap WHERE alive AND NOT contains(regexp_extract(path, '^(.*)/', 1), '.git')"""),
     ("h_win", """
@@ -750,6 +776,9 @@ WHERE n.k IS NOT NULL"""),
         "fixed_files_renamed": _sel("SELECT repo, filepath, fic, bic, fic_idx, bic_idx FROM h_named_fixed"),
         "failure_prone": _sel("SELECT repo, filepath, commit, fixing_commit FROM h_prone"),
         "failure_prone_named": _sel("SELECT repo, filepath, commit, fixing_commit FROM h_prone_named"),
+        "failure_prone_chain": _sel("SELECT w.repo, w.name AS filepath, c.commit_hash AS commit, w.fic AS fixing_commit FROM c_walk w "
+                                    "JOIN h_commits c ON c.repo = w.repo AND c.idx >= w.bic_idx AND c.idx < w.fic_idx "
+                                    "AND c.idx >= coalesce(w.since, -1) AND c.idx < w.until"),
         "label_flag": _sel("SELECT a.repo, a.rel_no, a.path AS filepath, CAST(CASE WHEN fp.filepath IS NULL THEN 0 ELSE 1 END "
                            "AS BIGINT) AS failure_prone FROM h_alive a LEFT JOIN (SELECT DISTINCT repo, filepath, commit "
                            "FROM h_prone_named) fp ON fp.repo = a.repo AND fp.filepath = a.path AND fp.commit = a.commit"),

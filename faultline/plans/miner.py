@@ -80,9 +80,13 @@ def fixed_files(h: History, profile: Profile, fixing: DataFrame, lineage: DataFr
         "repo", "filepath", "fic", "bic", "fic_idx", "bic_idx")
 
 
-def label(h: History, fixed: DataFrame, fixing: DataFrame, follow_names: bool = True) -> DataFrame:
-    """``(repo, filepath, commit, idx, fixing_commit, fic_idx)`` failure-prone file versions."""
-    return failure_prone(fixed, h.files, h.commits, fix_range(fixing).select("repo", "hi"), follow_names)
+def label(h: History, fixed: DataFrame, fixing: DataFrame, follow_names: bool = True, follow_chain: bool = False,
+          lives: DataFrame | None = None) -> DataFrame:
+    """``(repo, filepath, commit, idx, fixing_commit, fic_idx)`` failure-prone file versions.  Names follow one
+    rename, or with ``follow_chain`` all renames of the file's life (``lives`` may be passed when known)."""
+    if follow_chain and lives is None:
+        lives = materialise(file_lives(h.files), "lives")
+    return failure_prone(fixed, h.files, h.commits, fix_range(fixing).select("repo", "hi"), follow_names, lives, follow_chain)
 
 
 @dataclass(frozen=True)

@@ -327,6 +327,12 @@ def q_failure_prone_named(spark, sf):
     return prone_named(spark, sf).select("repo", "filepath", "commit", "fixing_commit")
 
 
+def q_failure_prone_chain(spark, sf):
+    h = history(spark, sf)
+    fp = miner.label(h, fixed_renamed(spark, sf), fixing_of(spark, sf), follow_chain=True, lives=lives_of(spark, sf))
+    return fp.select("repo", "filepath", "commit", "fixing_commit")
+
+
 def q_label_flag(spark, sf):
     from faultline.operators.labels import label_flag
     h = history(spark, sf)
@@ -554,6 +560,7 @@ def registry() -> dict:
         "fixed_files_renamed": q_fixed_files_renamed,
         "failure_prone": q_failure_prone,
         "failure_prone_named": q_failure_prone_named,
+        "failure_prone_chain": q_failure_prone_chain,
         "label_flag": q_label_flag,
         "snapshot": q_snapshot,
     })

@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.plans import miner, profiles
@@ -10,53 +11,102 @@ from faultline.streaming import incremental
 from conftest import SF001
 
 
-def test_incremental_matches_batch(spark):
+@pytest.fixture(scope="module")
+def feeds(spark):
     h = bind(spark, SF001)
-    base = tempfile.mkdtemp(prefix="faultline-stream-")
-    src, out, ckpt = (os.path.join(base, d) for d in ("src", "out", "ckpt"))
     commits = h.commits.select(*[c.split()[0] for c in incremental.COMMITS_SCHEMA.split(", ")])
-    commits.filter(F.col("idx") < 200).write.mode("append").parquet(src)
-    q = incremental.start(spark, src, h.files, h.diff_lines, profiles.ANSIBLE, out, ckpt)
-    q.awaitTermination()
-    commits.filter(F.col("idx") >= 200).write.mode("append").parquet(src)
-    q = incremental.start(spark, src, h.files, h.diff_lines, profiles.ANSIBLE, out, ckpt)
-    q.awaitTermination()
-    got = sorted((r.repo, r.commit_hash, list(r.labels)) for r in spark.read.parquet(out).collect())
-    want = sorted((r.repo, r.commit_hash, list(r.labels))
-                  for r in miner.mine_fixing_commits(h, profiles.ANSIBLE).collect())
-    assert got == want and len(got) > 0
+    events = incremental.event_feed(h.files, h.diff_lines)
+    base = tempfile.mkdtemp(prefix="faultline-feeds-")
+    events.write.parquet(os.path.join(base, "events"))
+    want = sorted((r.repo, r.commit_hash, list(r.labels)) for r in miner.mine_fixing_commits(h, profiles.ANSIBLE).collect())
+    assert want
+    return commits, spark.read.schema(incremental.EVENTS_SCHEMA).parquet(os.path.join(base, "events")), want
 
 
-def test_a_repeated_batch_writes_the_same_rows(spark):
-    """The epoch ran and wrote, but its commit was lost: a new stream checkpoint runs epoch 0 again."""
-    h = bind(spark, SF001)
+def folders():
     base = tempfile.mkdtemp(prefix="faultline-stream-")
-    src, out = os.path.join(base, "src"), os.path.join(base, "out")
-    h.commits.select(*[c.split()[0] for c in incremental.COMMITS_SCHEMA.split(", ")]).write.parquet(src)
-    rows = []
+    return [os.path.join(base, d) for d in ("commits", "events", "out", "ckpt")]
+
+
+def result(spark, out):
+    return sorted((r.repo, r.commit_hash, list(r.labels)) for r in spark.read.parquet(out).collect())
+
+
+def run(spark, src, ev, out, ckpt, **options):
+    q = incremental.start(spark, src, ev, profiles.ANSIBLE, out, ckpt, **options)
+    q.awaitTermination()
+    return q
+
+
+def test_late_rows_in_either_feed(spark, feeds):
+    """Events lag behind commits, then run ahead of them; the events of one commit are split over batches."""
+    commits, events, want = feeds
+    src, ev, out, ckpt = folders()
+    commits.where("idx < 200").write.mode("append").parquet(src)
+    events.where("idx < 100").write.mode("append").parquet(ev)
+    run(spark, src, ev, out, ckpt)
+    first = result(spark, out)
+    assert 0 < len(first) < len(want) and set(map(str, first)) <= set(map(str, want))
+    events.where("idx >= 100 AND pos % 2 = 0").write.mode("append").parquet(ev)
+    run(spark, src, ev, out, ckpt)
+    events.where("idx >= 100 AND pos % 2 = 1").write.mode("append").parquet(ev)
+    commits.where("idx >= 200").write.mode("append").parquet(src)
+    run(spark, src, ev, out, ckpt)
+    assert result(spark, out) == want
+
+
+def test_repeated_rows_and_restart(spark, feeds):
+    """Rows that producers send again, within a batch and later, change nothing; a restart goes on from the state."""
+    commits, events, want = feeds
+    src, ev, out, ckpt = folders()
+    for _ in range(2):
+        commits.where("idx < 300").write.mode("append").parquet(src)
+        events.where("idx < 250").write.mode("append").parquet(ev)
+    run(spark, src, ev, out, ckpt)
+    run(spark, src, ev, out, ckpt)                       # nothing new
+    commits.write.mode("append").parquet(src)            # everything again, and the rest
+    events.write.mode("append").parquet(ev)
+    run(spark, src, ev, out, ckpt)
+    assert result(spark, out) == want
+
+
+def test_an_epoch_that_runs_again_writes_the_same_rows(spark, feeds):
+    """The epoch wrote its rows but was not committed: another checkpoint runs it again."""
+    commits, events, want = feeds
+    src, ev, out, _ = folders()
+    commits.write.parquet(src)
+    events.write.parquet(ev)
     for attempt in ("one", "two"):
-        q = incremental.start(spark, src, h.files, h.diff_lines, profiles.ANSIBLE, out, os.path.join(base, attempt))
-        q.awaitTermination()
-        rows.append(sorted((r.repo, r.commit_hash) for r in spark.read.parquet(out).collect()))
-    assert rows[0] == rows[1] and len(rows[0]) > 0
+        run(spark, src, ev, out, os.path.join(os.path.dirname(out), attempt))
+        assert result(spark, out) == want
 
 
-def test_late_file_events_are_not_lost(spark):
-    """The events of the first batch's commits arrive with the second batch, in one running setup."""
-    h = bind(spark, SF001)
-    base = tempfile.mkdtemp(prefix="faultline-stream-")
-    src, out, ckpt, ev, dl = (os.path.join(base, d) for d in ("src", "out", "ckpt", "ev", "dl"))
-    commits = h.commits.select(*[c.split()[0] for c in incremental.COMMITS_SCHEMA.split(", ")])
-    tables = [lambda: spark.read.parquet(ev), lambda: spark.read.parquet(dl)]
-    for early in (True, False):
-        part = F.col("idx") < 200
-        commits.filter(part if early else ~part).write.mode("append").parquet(src)
-        # Events lag: at first only those before position 100 are there.
-        there = F.col("idx") < 100
-        h.files.filter(there if early else ~there).write.mode("append").parquet(ev)
-        h.diff_lines.filter(there if early else ~there).write.mode("append").parquet(dl)
-        incremental.start(spark, src, *tables, profiles.ANSIBLE, out, ckpt).awaitTermination()
-    got = sorted((r.repo, r.commit_hash, list(r.labels)) for r in spark.read.parquet(out).collect())
-    want = sorted((r.repo, r.commit_hash, list(r.labels))
-                  for r in miner.mine_fixing_commits(h, profiles.ANSIBLE).collect())
-    assert got == want and len(got) > 0
+def test_work_of_an_epoch_follows_its_input(spark, feeds):
+    """After a long history an epoch with one commit reads that commit's rows only, and no output of before."""
+    commits, events, _ = feeds
+    src, ev, out, ckpt = folders()
+    last = commits.agg(F.max("idx")).first()[0]
+    commits.where(F.col("idx") < last).write.mode("append").parquet(src)
+    events.where(F.col("idx") < last).write.mode("append").parquet(ev)
+    run(spark, src, ev, out, ckpt)
+    new, more = commits.where(F.col("idx") == last), events.where(F.col("idx") == last)
+    new.write.mode("append").parquet(src)
+    more.write.mode("append").parquet(ev)
+    for folder in os.listdir(out):
+        if folder.startswith("epoch="):                  # earlier output is out of reach
+            os.rename(os.path.join(out, folder), os.path.join(out, "_" + folder))
+    q = run(spark, src, ev, out, ckpt)
+    progress = [p for p in q.recentProgress if p["numInputRows"]]
+    assert sum(p["numInputRows"] for p in progress) == new.count() + more.count()
+    state = progress[-1]["stateOperators"][0]
+    assert state["numRowsUpdated"] <= new.count()
+
+
+def test_known_commits_are_skipped(spark, feeds):
+    commits, events, want = feeds
+    src, ev, out, ckpt = folders()
+    commits.write.parquet(src)
+    events.write.parquet(ev)
+    known = spark.createDataFrame([w[:2] for w in want[:100]], "repo string, commit_hash string")
+    run(spark, src, ev, out, ckpt, known=known, files_a_batch=1)
+    assert result(spark, out) == want[100:]

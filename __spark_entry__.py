@@ -98,7 +98,11 @@ _MESSAGES = [
     "Resolve issue with ip address",
     "Fix wrong include of tasks",
 ]
-_MODULES = ["copy", "mysql_user", "service", "include_tasks", "zfs"]
+_MODULES = ["copy", "mysql_user", "service", "include_tasks", "zfs",
+            "template", "redis", "service", "import_role", "nxos_vlan",
+            "nxos", "vyos_config", "systemd", "include_vars", "ipa_user"]
+_DATA_MODULES = "('copy', 'mysql_user', 'zfs', 'template', 'redis', 'nxos_vlan', 'vyos_config', 'ipa_user')"
+_INCLUDES = "('include_tasks', 'import_role', 'include_vars')"
 _ANS = ["lines_code", "lines_blank", "num_conditions", "num_keys", "num_tokens", "text_entropy",
         "avg_play_size", "num_distinct_modules", "num_parameters", "num_tasks", "num_unique_names"]
 _TOS = ["lines_code", "lines_blank", "num_keys", "num_suspicious_comments", "num_tokens", "text_entropy",
@@ -117,8 +121,8 @@ def _name(p: str, v: str) -> str:
             f"CASE {p} % 4 WHEN 2 THEN '.tosca.yml' WHEN 3 THEN '.py' ELSE '.yml' END)")
 
 
-def _module(slot: str) -> str:
-    return "(CASE " + slot + " " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MODULES)) + " END)"
+def _module(slot: str, additions: str = "additions") -> str:
+    return f"(CASE {additions} % 3 * 5 + {slot} " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MODULES)) + " END)"
 
 
 def _msg_case() -> str:
@@ -279,14 +283,14 @@ _CTES = [
   WHERE f.change_type = 'MODIFY' AND regexp_matches(d.text, '^[ \\t\\r\\f]*#')"""),
     ("h_cand", f"""
   SELECT repo, commit_hash, p AS pos,
-    CASE WHEN {_module('slot')} IN ('copy', 'mysql_user', 'zfs') THEN '1:src=f' || {_s('additions')} ELSE '' END
+    CASE WHEN {_module('slot')} IN {_DATA_MODULES} THEN '1:src=f' || {_s('additions')} ELSE '' END
       || CASE WHEN additions % 5 = 4 THEN ' e4' ELSE '' END AS d_now,
-    CASE WHEN {_module('b_slot')} IN ('copy', 'mysql_user', 'zfs') THEN '1:src=f' || {_s('b_add')} ELSE '' END
+    CASE WHEN {_module('b_slot', 'b_add')} IN {_DATA_MODULES} THEN '1:src=f' || {_s('b_add')} ELSE '' END
       || CASE WHEN b_add % 5 = 4 THEN ' e4' ELSE '' END AS d_then,
-    CASE WHEN {_module('slot')} = 'include_tasks' THEN '1:src=f' || {_s('additions')} ELSE '' END AS i_now,
-    CASE WHEN {_module('b_slot')} = 'include_tasks' THEN '1:src=f' || {_s('b_add')} ELSE '' END AS i_then,
+    CASE WHEN {_module('slot')} IN {_INCLUDES} THEN '1:src=f' || {_s('additions')} ELSE '' END AS i_now,
+    CASE WHEN {_module('b_slot', 'b_add')} IN {_INCLUDES} THEN '1:src=f' || {_s('b_add')} ELSE '' END AS i_then,
     CASE WHEN {_module('slot')} = 'service' THEN '1:src=f' || {_s('additions')} ELSE '' END AS s_now,
-    CASE WHEN {_module('b_slot')} = 'service' THEN '1:src=f' || {_s('b_add')} ELSE '' END AS s_then
+    CASE WHEN {_module('b_slot', 'b_add')} = 'service' THEN '1:src=f' || {_s('b_add')} ELSE '' END AS s_then
   FROM h_files
   WHERE change_type = 'MODIFY' AND {_is_ansible('new_path')} AND {_parsable('content')} AND {_parsable('content_before', 'b_add')}"""),
     ("h_sig", """
@@ -526,6 +530,12 @@ def _with(**instead: str) -> str:
 
 
 _WITH = _with()
+# The same tables with every document as a commit message of its own.
+_TEXTS = """SELECT repo, commit_hash, idx, committed_at, msg FROM h_commits
+  UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), NULL, NULL, text FROM documents"""
+_WITH_TEXTS = _with(h_msg=f"""
+  SELECT repo, commit_hash, idx, committed_at, list_transform({_sentences('msg')}, lambda s: lower(array_to_string({_tokens('s')}, ' '))) AS st
+  FROM ({_TEXTS})""").rstrip() + f",\nh_texts AS ({_TEXTS})\n"
 # The same tables with a checkpoint at every commit, and with the fixes of the TOSCA profile.
 _WITH_COMMITS = _with(h_cps="SELECT repo, commit_hash, idx AS cp_idx, idx AS rel_no FROM h_commits")
 _WITH_TOSCA = _with(h_fix=dict(_CTES)["h_fix_tosca"], h_fixev=f"""
@@ -573,7 +583,7 @@ def _product_rel(kind: str) -> str:
     if kind == "ansible":
         counts = {
             "num_conditions": f"[1, 2, 2, 4, 4][{more} + 1]", "num_keys": f"[4, 9, 13, 18, 22][{more} + 1] + hunks % 3",
-            "num_distinct_modules": f"least(1 + {more}, 3) + CASE WHEN {more} = 4 AND slot <> 0 THEN 1 ELSE 0 END",
+            "num_distinct_modules": f"least(1 + {more}, 3) + CASE WHEN {more} = 4 AND (slot <> 0 OR additions % 3 <> 0) THEN 1 ELSE 0 END",
             "num_parameters": f"[1, 3, 3, 5, 7][{more} + 1]",
             "num_tasks": f"1 + {more}", "num_unique_names": f"[1, 2, 3, 3, 4][{more} + 1]"}
     else:
@@ -706,6 +716,15 @@ def _locator_sql() -> str:
 FROM (SELECT CAST(page_id AS BIGINT) AS page_id, {loc} AS locator FROM pages)"""
 
 
+def _focus_sql() -> str:
+    """Labels where a sentence has a defect word and its first or last word has a word of the category."""
+    ends = "(string_split(s, ' ')[1] || ' ' || string_split(s, ' ')[-1])"
+    hit = lambda n: (f"coalesce(list_bool_or(list_transform(st, lambda s: regexp_matches(s, '{_rx('defect')}') "
+                     f"AND regexp_matches({ends}, '{_rx(*_LABEL_RULES[n])}'))), false)")
+    return _WITH_TEXTS + ("SELECT repo, commit_hash, concat_ws(',', " + ", ".join(f"CASE WHEN {hit(n)} THEN '{n}' END" for n in _LABELS)
+                          + ") AS labels FROM h_msg")
+
+
 def _sentence_sql() -> str:
     st = f"list_transform({_sentences('text')}, lambda s: array_to_string({_tokens('s')}, ' '))"
     return f"""SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len({_sentences('text')}) AS BIGINT) AS n_sentences,
@@ -741,11 +760,12 @@ def oracle_sql() -> dict[str, str]:
                                f"FROM h_files WHERE change_type <> 'DELETE'"),
     }
     for rule in _RULES:
-        o[f"rule_{rule}"] = _sel(f"SELECT repo, commit_hash, coalesce(regexp_matches(lower(msg), '{_rx(rule)}'), false) AS hit "
-                      f"FROM h_commits")
+        o[f"rule_{rule}"] = _WITH_TEXTS + (f"SELECT repo, commit_hash, coalesce(regexp_matches(lower(msg), '{_rx(rule)}'), false) AS hit "
+                                           f"FROM h_texts")
     o["sentence_tokens"] = _sentence_sql()
     for label in _LABELS:
-        o[f"fix_{label.lower()}"] = _sel(f"SELECT repo, commit_hash, {_flag(label, False)} AS hit FROM h_lab")
+        o[f"fix_{label.lower()}"] = _WITH_TEXTS + f"SELECT repo, commit_hash, {_flag(label, False)} AS hit FROM h_lab"
+    o["fix_focus"] = _focus_sql()
     o.update({
         "fixing_commits": _sel("SELECT repo, commit_hash, idx, labels FROM h_fix"),
         "fixing_commits_tosca": _sel("SELECT repo, commit_hash, idx, labels FROM h_fix_tosca"),
@@ -786,6 +806,12 @@ WHERE n.k IS NOT NULL"""),
     })
     for name, cols in _PROC_GROUPS.items():
         o[name] = _sel("SELECT repo, rel_no, life, filepath, " + ", ".join(_m(c) for c in cols) + " FROM h_proc")
+    bad = "(doc_id % 11 <> 5 AND (doc_id % 7 = 3 OR doc_id % 13 = 4))"
+    body = "CASE WHEN doc_id % 11 = 5 THEN '' ELSE coalesce(text, '') END"
+    o["content_scan"] = f"""SELECT CAST(doc_id AS BIGINT) AS doc_id,
+       CAST(strlen({body}) + CASE WHEN {bad} THEN 1 ELSE 0 END AS BIGINT) AS n_bytes, NOT {bad} AS is_text,
+       CASE WHEN NOT {bad} THEN CAST(length({body}) AS BIGINT) END AS n_chars, CASE WHEN NOT {bad} THEN md5({body}) END AS content_md5
+FROM documents"""
     o.update({
         "valid_content": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(length(text) AS BIGINT) AS n_chars "
                          "FROM documents WHERE text IS NOT NULL AND length(text) > 0",

@@ -1,14 +1,21 @@
-"""Key families that decide the Ansible change signals.
+"""Key families that decide the Ansible change signals, as a table.
 
-The configuration-data family is the union of five module families.  Four are fixed values below.
-The network family (about 1,070 names) is a long catalogue of vendor modules; it is a parameter here
-(``extra`` / a text file with one module name per line, see ``load_module_names``).
+A key belongs to a family when its whole name is listed or when it starts with a prefix of the family.
+Four of the five families of configuration-data modules are lists of names.  The network family (over a
+thousand modules) is a rule: its modules carry the name of a platform in front.  Callers may add names,
+also from a file with one name per line.
+
+``family_table`` gives the families as rows ``(match, family)``; ``matches`` gives the values under which a
+key finds its rows, so keys meet families in an equi-join however large the table is.
 """
 
 from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 # --- fixed values: module families (exact names) ---
 DATABASE_MODULES = [
     "aerospike_migrations", "influxdb_database", "influxdb_query", "influxdb_retention_policy", "influxdb_user",
@@ -70,6 +77,15 @@ IDENTITY_MODULES = [
     "ipa_sudocmdgroup", "ipa_sudorule", "ipa_user", "ipa_vault", "keycloak_client", "keycloak_clienttemplate",
     "keycloak_group", "opendj_backendprop",
 ]
+# --- fixed values: platforms whose modules make up the network family, and its modules without one ---
+NETWORK_PLATFORMS = [
+    "a10", "aci", "aireos", "aos", "aruba", "asa", "avi", "bcf", "bigip", "bigiq", "bigmon", "ce", "checkpoint", "cli",
+    "cnos", "cv", "dellos10", "dellos6", "dellos9", "dladm", "edgeos", "edgeswitch", "enos", "eos", "exos", "fmgr",
+    "fortios", "frr", "ftd", "iap", "ig", "ios", "iosxr", "ipadm", "ironware", "junos", "meraki", "mso", "net", "netact",
+    "netconf", "netscaler", "nos", "nso", "nuage", "nxos", "onyx", "openvswitch", "opx", "ordnance", "panos", "pn",
+    "restconf", "routeros", "skydive", "slxos", "sros", "vdirect", "voss", "vyos",
+]
+NETWORK_MODULES = ["flowadm", "nclu"]
 # --- fixed values: keys that include other tasks/roles/playbooks, and the service key ---
 INCLUDE_KEYS = ["include", "include_role", "include_tasks", "include_vars", "import_playbook", "import_tasks",
                 "import_role"]
@@ -86,10 +102,25 @@ def load_module_names(path: str | Path) -> list[str]:
     return out
 
 
-def config_data_modules(extra: list[str] | None = None) -> list[str]:
-    """Configuration-data family: the fixed families plus caller-supplied network names."""
-    names = DATABASE_MODULES + FILE_MODULES + STORAGE_MODULES + IDENTITY_MODULES + list(extra or [])
-    return sorted(set(names))
+def family_table(spark: SparkSession, extra: list[str] | DataFrame | None = None) -> DataFrame:
+    """``(match, family)``: ``=name`` for whole names, ``^prefix_`` for prefixes; families ``data``, ``include``,
+    ``service``.  ``extra`` adds names to ``data``: a list, or a table with a column ``module``."""
+    exact = {"data": DATABASE_MODULES + FILE_MODULES + STORAGE_MODULES + IDENTITY_MODULES + NETWORK_MODULES,
+             "include": INCLUDE_KEYS, "service": SERVICE_KEYS}
+    rows = [("=" + name, family) for family, names in exact.items() for name in names]
+    rows += [(f"^{platform}_", "data") for platform in NETWORK_PLATFORMS]
+    table = spark.createDataFrame(rows, "match string, family string")
+    if extra is not None and not isinstance(extra, DataFrame):
+        extra = spark.createDataFrame([(name,) for name in extra], "module string")
+    if extra is not None:
+        table = table.union(extra.select(F.concat(F.lit("="), "module"), F.lit("data")))
+    return table.distinct()
+
+
+def matches(key: Column) -> Column:
+    """The values of ``match`` that a key satisfies: its whole name and what it has up to the first underscore."""
+    return F.array_compact(F.array(F.concat(F.lit("="), key), F.when(
+        F.instr(key, "_") > 1, F.concat(F.lit("^"), F.substring_index(key, "_", 1), F.lit("_")))))
 
 
 def sql_in_list(names: list[str]) -> str:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from faultline.functions import modules, rules, text
 from faultline.functions.paths import is_ansible_file
 from faultline.functions.yaml import NODE_TYPE, yaml_nodes
+from faultline.session import materialise
 
 LABEL_NAMES = [name for name, _ in rules.LABELS]
 # Which commit-level signal also lets a category hold (besides its words).
@@ -53,56 +54,59 @@ def comment_changed(files: DataFrame, diff_lines: DataFrame) -> DataFrame:
                 .withColumn("comment_changed", F.lit(True)))
 
 
-def _keyed_values(nodes: str, tests: dict[str, str]) -> Column:
-    """One pass over a document's nodes: every key node with a value (null is none) that belongs to any
-    family in ``tests`` becomes ``struct(<family flags>, sub)`` in document order.  ``sub`` stands for the
-    whole value: nested ones carry the hash of their subtree, so no node is visited again."""
-    any_family = " OR ".join(f"({t.replace('KEY', 'x.key')})" for t in tests.values())
-    flags = ", ".join(f"'{name}', {t.replace('KEY', 'x.key')}" for name, t in tests.items())
-    return F.expr(f"transform(filter({nodes}, x -> x.kind = 'key' AND ({any_family}) AND x.sub <> 'n'), "
-                  f"x -> named_struct({flags}, 'sub', x.sub))")
+#: A table of families up to this many rows is sent to every task; a larger one is shuffled by name.
+BROADCAST_FAMILIES = 100_000
+_FAMILIES = {"data": "data_changed", "include": "include_changed", "service": "service_changed"}
 
 
-def _family(values: Column, name: str) -> Column:
-    """The ``name`` family's values of ``_keyed_values``, in document order."""
-    return F.transform(F.filter(values, lambda e: e[name]), lambda e: e["sub"])
-
-
-def ansible_change_signals(files: DataFrame, extra_config_modules: list[str] | None = None) -> DataFrame:
+def ansible_change_signals(files: DataFrame, families: DataFrame | None = None) -> DataFrame:
     """C2-C4 for Ansible: per commit, whether configuration-data, include or service values differ
     between the two sides of the first MODIFY Ansible file (by position) whose two sides parse.
-    Empty text has no entries; a missing side does not count as parsed."""
-    data_keys = "KEY IN (" + modules.sql_in_list(modules.config_data_modules(extra_config_modules)) + ")"
-    include_keys = "KEY IN (" + modules.sql_in_list(modules.INCLUDE_KEYS) + ")"
-    service_keys = "KEY IN (" + modules.sql_in_list(modules.SERVICE_KEYS) + ")"
-    tests = {"d": data_keys, "i": include_keys, "s": service_keys}
+    Empty text has no entries; a missing side does not count as parsed.
+
+    Only keys with a value (null is none) count; ``sub`` stands for the whole value, nested ones carrying the hash
+    of their subtree.  Keys meet the table of ``families`` (``modules.family_table``) in an equi-join; matches
+    are gathered per document in reading order.  Only what matches is shuffled.
+    """
+    families = modules.family_table(files.sparkSession) if families is None else families
 
-    def nodes(side: str) -> Column:
-        return F.coalesce(yaml_nodes(side, hashes=True), F.when(F.col(side) == "", F.array().cast(NODE_TYPE)))
+    def keyed(side: str) -> Column:
+        nodes = F.coalesce(yaml_nodes(side, hashes=True), F.when(F.col(side) == "", F.array().cast(NODE_TYPE)))
+        found = F.filter(nodes, lambda x: (x["kind"] == "key") & (x["sub"] != "n"))
+        return F.transform(found, lambda x: F.struct(x["ord"].alias("ord"), x["key"].alias("key"), x["sub"].alias("sub")))
 
+    event = ["repo", "commit_hash", "pos"]
     cand = (files.filter((F.col("change_type") == "MODIFY") & is_ansible_file(F.col("new_path"))
                          & F.col("content").isNotNull() & F.col("content_before").isNotNull())
-                 .select("repo", "commit_hash", "pos", nodes("content").alias("_now"), nodes("content_before").alias("_then"))
-                 .filter("_now IS NOT NULL AND _then IS NOT NULL")
-                 .select("repo", "commit_hash", "pos", _keyed_values("_now", tests).alias("_now"),
-                         _keyed_values("_then", tests).alias("_then")))
-    flags = cand.select(
-        "repo", "commit_hash", "pos",
-        *[(_family(F.col("_now"), k) != _family(F.col("_then"), k)).alias(out)
-          for k, out in (("d", "data_changed"), ("i", "include_changed"), ("s", "service_changed"))])
-    first = F.min_by(F.struct("data_changed", "include_changed", "service_changed"), F.col("pos"))
-    return (flags.groupBy("repo", "commit_hash").agg(first.alias("_f"))
-                 .select("repo", "commit_hash", "_f.*"))
+                 .select(*event, keyed("content").alias("now"), keyed("content_before").alias("then"))
+                 .filter("now IS NOT NULL AND then IS NOT NULL"))
+    first = cand.groupBy("repo", "commit_hash").agg(F.min_by(F.struct("pos", "now", "then"), F.col("pos")).alias("f"))
+    first = materialise(first.select("repo", "commit_hash", "f.now", "f.then"), "first-files")
+    sides = first.select("repo", "commit_hash", F.explode(F.array(
+        F.struct(F.lit("now").alias("side"), F.col("now").alias("keys")), F.struct(F.lit("then").alias("side"), F.col("then").alias("keys")))).alias("s"))
+    keys = sides.select("repo", "commit_hash", "s.side", F.explode("s.keys").alias("k")).select(
+        "repo", "commit_hash", "side", "k.ord", "k.sub", F.explode(modules.matches(F.col("k.key"))).alias("match"))
+    small = families.limit(BROADCAST_FAMILIES + 1).count() <= BROADCAST_FAMILIES
+    hits = keys.join(F.broadcast(families) if small else families, "match").select(
+        "repo", "commit_hash", "side", "family", "ord", "sub").distinct()
+    values = hits.groupBy("repo", "commit_hash", "family", "side").agg(F.array_sort(F.collect_list(F.struct("ord", "sub"))).alias("v"))
+    values = values.withColumn("v", F.col("v.sub"))
+    changed = values.groupBy("repo", "commit_hash", "family").agg(
+        F.max(F.when(F.col("side") == "now", F.col("v"))).alias("now"), F.max(F.when(F.col("side") == "then", F.col("v"))).alias("then"))
+    changed = changed.filter(~F.col("now").eqNullSafe(F.col("then"))).groupBy("repo", "commit_hash").agg(
+        *[F.max(F.col("family") == f).alias(out) for f, out in _FAMILIES.items()])
+    return first.select("repo", "commit_hash").join(changed, ["repo", "commit_hash"], "left").select(
+        "repo", "commit_hash", *[F.coalesce(out, F.lit(False)).alias(out) for out in _FAMILIES.values()])
 
 
 def change_signals(files: DataFrame, diff_lines: DataFrame, ansible: bool,
-                   extra_config_modules: list[str] | None = None) -> DataFrame:
+                   families: DataFrame | None = None) -> DataFrame:
     """Commit-level signals ``(repo, commit_hash, comment_changed, data_changed, include_changed,
     service_changed)``; only commits with at least one signal set appear."""
     c1 = comment_changed(files, diff_lines)
     if not ansible:
         return c1.select("repo", "commit_hash", "comment_changed", *[F.lit(False).alias(s) for s in SIGNALS[1:]])
-    c24 = ansible_change_signals(files, extra_config_modules)
+    c24 = ansible_change_signals(files, families)
     return (c1.join(c24, ["repo", "commit_hash"], "full")
               .select("repo", "commit_hash", *[F.coalesce(F.col(s), F.lit(False)).alias(s) for s in SIGNALS]))
 

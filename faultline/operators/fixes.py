@@ -38,14 +38,14 @@ def sort_commits(hashes: DataFrame, commits: DataFrame) -> DataFrame:
 
 def fixing_commits(commits: DataFrame, files: DataFrame, diff_lines: DataFrame, keep: Keep,
                    ansible_signals: bool, known: DataFrame | None = None, focus: str | None = None,
-                   extra_config_modules: list[str] | None = None) -> DataFrame:
+                   families: DataFrame | None = None) -> DataFrame:
     """New fixing commits ``(repo, commit_hash, idx, labels)`` -- commits not in ``known``
     whose labels are non-empty and that modify a file the profile keeps."""
     todo = skip_known(commits, known)
     # Change signals only matter for commits with a defect word; parse only their files.
     hot = defect_commits(todo)
     signals = change_signals(files.join(hot, KEY, "left_semi"), diff_lines.join(hot, KEY, "left_semi"),
-                             ansible=ansible_signals, extra_config_modules=extra_config_modules)
+                             ansible=ansible_signals, families=families)
     labelled = classify(todo, signals, focus).filter(F.size("labels") > 0)
     return discard_undesired(labelled, files, keep).select(*KEY, "idx", "labels")
 

@@ -88,7 +88,19 @@ def valid_content(df: DataFrame, col: str = "content") -> DataFrame:
     return df.filter(F.col(col).isNotNull() & (F.length(col) > 0))
 
 
-def read_text_files(spark, path_glob: str) -> DataFrame:
-    """S10 on real files: ``(path, content)``; bytes that are not valid UTF-8 give NULL content."""
-    raw = spark.read.format("binaryFile").load(path_glob)
-    return raw.select("path", F.expr("try_validate_utf8(cast(content AS string))").alias("content"))
+def write_text_files(docs: DataFrame, name_col: str, content_col: str, path: str) -> None:
+    """One file per row below ``path``, in a folder ``<name_col>=<name>``: the content (text or bytes, null:
+    empty) and a final newline.  Names must be unique."""
+    rows = docs.select(F.col(name_col), F.coalesce(F.col(content_col).cast("binary"), F.lit(b"")).cast("string").alias("value"))
+    rows.write.partitionBy(name_col).text(path)
+
+
+def read_text_files(spark, path: str, final_newline: bool = False) -> DataFrame:
+    """S10 on real files: ``(path, length, content, ...)`` and the columns that folder names ``a=b`` give; bytes that
+    are not valid UTF-8 give a null content.  ``final_newline``: one newline at the end is not part of it."""
+    raw = spark.read.format("binaryFile").load(path)
+    body = F.col("content")
+    if final_newline:
+        body = F.expr("CASE WHEN right(content, 1) = X'0A' THEN substring(content, 1, length(content) - 1) ELSE content END")
+    return raw.drop("modificationTime").withColumn("content", body).withColumn("length", F.length("content").cast("bigint")).withColumn(
+        "content", F.try_validate_utf8(F.col("content").cast("string")))

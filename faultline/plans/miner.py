@@ -24,10 +24,10 @@ from faultline.sources.history import History, on_branch
 
 
 def mine_fixing_commits(h: History, profile: Profile, known: DataFrame | None = None,
-                        extra_config_modules: list[str] | None = None, branch: str | None = None) -> DataFrame:
+                        families: DataFrame | None = None, branch: str | None = None) -> DataFrame:
     """``(repo, commit_hash, idx, labels)`` of new fixing commits (of one branch when given, S2)."""
     return fixing_commits(on_branch(h.commits, branch), h.files, h.diff_lines, profile.keep, profile.ansible_signals,
-                          known=known, extra_config_modules=extra_config_modules)
+                          known=known, families=families)
 
 
 def fix_events(h: History, profile: Profile, fixing: DataFrame) -> DataFrame:

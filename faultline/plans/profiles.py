@@ -27,11 +27,11 @@ class Profile:
         return ~self.keep(path, content)
 
     def change_signals(self, files: DataFrame, diff_lines: DataFrame,
-                       extra_config_modules: list[str] | None = None) -> DataFrame:
+                       families: DataFrame | None = None) -> DataFrame:
         """Commit-level change signals of this technology."""
         from faultline.operators.classify import change_signals
         return change_signals(files, diff_lines, ansible=self.ansible_signals,
-                              extra_config_modules=extra_config_modules)
+                              families=families)
 
     def product_metrics(self, docs: DataFrame, keys: list[str], content: str = "content") -> DataFrame | None:
         """Product metrics of documents (one per row), or None for a profile without any."""

@@ -166,9 +166,16 @@ def q_profile_ignore(spark, sf):
                     *[profiles.get(n).keep(p, c).alias(f"keep_{n}") for n in ("base", "ansible", "tosca")])
 
 
+def messages(spark, sf) -> DataFrame:
+    """Commit messages and, as messages of a further repository, the whole text of every document."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = d.select(F.lit("documents").alias("repo"), F.col("doc_id").cast("string").alias("commit_hash"), F.col("text").alias("msg"))
+    return history(spark, sf).commits.select("repo", "commit_hash", "msg").unionByName(texts)
+
+
 def _rule_query(rule: str):
     def q(spark, sf):
-        c = history(spark, sf).commits
+        c = messages(spark, sf)
         return c.select("repo", "commit_hash", rules.has(F.col("msg"), rule).alias("hit"))
     q.__name__ = f"q_rule_{rule}"
     return q
@@ -189,7 +196,7 @@ def q_sentence_tokens(spark, sf):
 # ---------------------------------------------------------------- classification
 def base_classified(spark, sf) -> DataFrame:
     h = history(spark, sf)
-    return classify.classify(h.commits, classify.change_signals(h.files, h.diff_lines, ansible=False))
+    return classify.classify(messages(spark, sf), classify.change_signals(h.files, h.diff_lines, ansible=False))
 
 
 def _fix_query(label: str):
@@ -201,6 +208,16 @@ def _fix_query(label: str):
     return q
 
 
+def q_fix_focus(spark, sf):
+    """T5: category words are looked for in the caller's focus words only -- here the first and the last
+    word of a sentence, blanks collapsed (T4), in place of a parser's choice."""
+    m = messages(spark, sf)
+    ends = F.transform(text.sentence_texts(F.col("msg")), lambda s: text.collapse_ws(F.concat(
+        F.substring_index(s, " ", 1), F.lit("  \t"), F.substring_index(s, " ", -1))))
+    return classify.classify(m.withColumn("focus", ends), focus="focus").select(
+        "repo", "commit_hash", F.array_join("labels", ",").alias("labels"))
+
+
 def q_fixing_commits(spark, sf):
     return fixing_of(spark, sf, "ansible").select("repo", "commit_hash", "idx",
                                                    F.array_join("labels", ",").alias("labels"))
@@ -216,7 +233,7 @@ def q_resume_known(spark, sf):
     prof = profiles.ANSIBLE
     # A previous run covered history before 1998: its fixing commits are "known".
     before = h.commits.filter(F.col("committed_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    known = miner.mine_fixing_commits(History(before, h.files, h.diff_lines, h.tags), prof).checkpoint()
+    known = materialise(miner.mine_fixing_commits(History(before, h.files, h.diff_lines, h.tags), prof), "known")
     new = miner.mine_fixing_commits(h, prof, known=known)
     merged = merge_known(new, known, h.commits)
     return (merged.join(new.select("repo", "commit_hash", F.lit(True).alias("is_new")), ["repo", "commit_hash"], "left")
@@ -393,6 +410,20 @@ def q_valid_content(spark, sf):
     return valid_content(d, "text").select(_big("doc_id"), F.length("text").cast("bigint").alias("n_chars"))
 
 
+def q_content_scan(spark, sf):
+    """Every document as a file, some with bytes that are no UTF-8 and some empty, and read back."""
+    from faultline.operators.snapshot import read_text_files, write_text_files
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    text_ = F.coalesce("text", F.lit("")).cast("binary")
+    body = (F.when(F.col("doc_id") % 11 == 5, F.lit(b"")).when(F.col("doc_id") % 7 == 3, F.concat(text_, F.lit(b"\xff")))
+             .when(F.col("doc_id") % 13 == 4, F.concat(F.lit(b"\xc3"), text_)).otherwise(text_))
+    path = _scratch(spark)
+    write_text_files(d.select("doc_id", body.alias("body")), "doc_id", "body", path)
+    found = read_text_files(spark, path, final_newline=True)
+    return found.select(_big("doc_id"), F.col("length").alias("n_bytes"), F.col("content").isNotNull().alias("is_text"),
+                        F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
 def _doc_metrics(spark, sf) -> DataFrame:
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("content"))
     return product.product_metrics(d, ["doc_id"], "text")
@@ -542,6 +573,7 @@ def registry() -> dict:
     for label in classify.LABEL_NAMES:
         q[f"fix_{label.lower()}"] = _fix_query(label)
     q.update({
+        "fix_focus": q_fix_focus,
         "fixing_commits": q_fixing_commits,
         "fixing_commits_tosca": q_fixing_commits_tosca,
         "resume_known": q_resume_known,
@@ -568,6 +600,7 @@ def registry() -> dict:
         q[name] = _proc_query(name)
     q.update({
         "valid_content": q_valid_content,
+        "content_scan": q_content_scan,
         "prod_lines": q_prod_lines,
         "prod_tokens": q_prod_tokens,
         "prod_entropy": q_prod_entropy,

@@ -44,8 +44,10 @@ MESSAGES = [
     "Resolve issue with ip address",
     "Fix wrong include of tasks",
 ]
-# --- fixed values: module written into the generated Ansible task, chosen by slot ---
-MODULES = ["copy", "mysql_user", "service", "include_tasks", "zfs"]
+# --- fixed values: module written into the generated Ansible task, chosen by additions % 3 (row) and slot ---
+MODULES = ["copy", "mysql_user", "service", "include_tasks", "zfs",
+           "template", "redis", "service", "import_role", "nxos_vlan",
+           "nxos", "vyos_config", "systemd", "include_vars", "ipa_user"]
 
 
 def _case(key: Column, values: list[str]) -> Column:
@@ -90,7 +92,7 @@ def _broken(body: Column, additions: Column, tab_at: str, open_at: str, opened:
 def ansible_doc(slot: Column, additions: Column, hunks: Column) -> Column:
     """A task with the slot's module, 0-4 further tasks (one with a block scalar, one in flow style) and 0-2 plays."""
     body = F.concat(
-        F.lit("- name: t"), _s(slot), F.lit("\n  "), _case(slot, MODULES),
+        F.lit("- name: t"), _s(slot), F.lit("\n  "), _case(additions % 3 * 5 + slot, MODULES),
         F.lit(":\n    src: f"), _s(additions), F.lit("\n  when: a == "), _s(hunks), F.lit("\n"),
         _some(additions % 5, "- name: e1\n  command:\n    cmd: c1\n    chdir: d\n  when: b1\n",
               "- name: e2\n  shell: |\n    a: b\n    - x: y\n  args:\n    chdir: d\n",

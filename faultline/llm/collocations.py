@@ -5,10 +5,11 @@ columns w1..w5, padded with '' past the end.  ROLLUP over (lang, w1, ..., w5) su
 shorter prefixes, and a prefix that ends in a word is an n-gram with its exact frequency, so no n-gram
 of another order is ever generated.
 
-Before that, one pass counts neighbouring word pairs by hash bucket.  A pair in a bucket below the
-least frequency is in no candidate, so windows are padded from there on: buckets only overestimate,
-so no candidate loses an occurrence, and few windows stay long.  The bitmap of full buckets has a
-fixed largest size (``MOST_BITS``); a corpus that overfills it is cut less, never wrongly.
+Before that, one pass counts words and neighbouring word pairs by hash bucket.  A pair in a bucket
+below the least frequency is in no candidate, so windows are padded from there on, and words of such
+buckets are counted by number only: buckets only overestimate, so no candidate loses an occurrence, and
+few windows stay long.  The bitmap of full buckets has a fixed largest size (``MOST_BITS``); a corpus
+that overfills it is cut less, never wrongly.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ BATCH_WORDS = 300_000
 KNOWN_WORDS = 300_000
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = 1 << 16
 
 
 class _Words(dict):
@@ -80,15 +82,17 @@ def _streams(batches: Iterator[pa.RecordBatch], most: int, known: int) -> Iterat
     yield from out(True)
 
 
-def _buckets(lang: str, ids: np.ndarray, words: _Words, bits: int) -> np.ndarray:
-    """Hash bucket of every word and its follower (the last one's is of no meaning)."""
+def _buckets(lang: str, ids: np.ndarray, words: _Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of every word, and of every word with its follower (the last one's is of no meaning)."""
     import xxhash
 
     with np.errstate(over="ignore"):
-        h = np.array(words.hashes, dtype=np.uint64)[ids]
-        pair = (h * _MIX) ^ np.roll(h, -1) ^ np.uint64(xxhash.xxh64_intdigest(lang, 7))
-        pair = (pair ^ (pair >> np.uint64(29))) * _MIX
-    return (pair >> np.uint64(64 - bits)).astype(np.int64)
+        h = np.array(words.hashes, dtype=np.uint64)[ids] ^ np.uint64(xxhash.xxh64_intdigest(lang, 7))
+        h = (h ^ (h >> np.uint64(31))) * _MIX
+        pair = (h ^ (h >> np.uint64(29))) * _MIX + np.roll(h, -1)
+        pair = (pair ^ (pair >> np.uint64(32))) * _MIX
+    shift = np.uint64(64 - bits)
+    return (h >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
 
 
 def _pairs(ids: np.ndarray) -> np.ndarray:
@@ -96,21 +100,48 @@ def _pairs(ids: np.ndarray) -> np.ndarray:
     return (ids != 0) & (np.roll(ids, -1) != 0)
 
 
-def frequent_pairs(docs: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Bitmap (little bit order) of the buckets in which word pairs occur ``least`` times or more."""
+def frequent_buckets(docs: DataFrame, bits: int, least: int) -> np.ndarray:
+    """Bitmap (little bit order) of the buckets that words or word pairs hit ``least`` times or more.
+
+    Tasks hand on, for each block of ``_BLOCK`` buckets, the buckets hit and how often (``least`` at most, which
+    tells as much); blocks are summed up one at a time."""
     limits = BATCH_WORDS, KNOWN_WORDS
+    kind = np.uint8 if least < 256 else np.uint32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids, _ in _streams(batches, *limits):
-            bucket, n = np.unique(_buckets(lang, ids, words, bits)[_pairs(ids)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
-
-    full = docs.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    maps = full.groupBy(F.bitmap_bucket_number(F.col("bucket") + 1).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bucket") + 1)).alias("bits"))
-    bitmap = np.zeros(max(1 << bits, 32768) // 8, dtype=np.uint8)
-    for row in maps.toLocalIterator():  # 4 KB for each 32,768 buckets: 2**MOST_BITS / 8 bytes at most
-        bitmap[(row["part"] - 1) * 4096:row["part"] * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
+            word, pair = _buckets(lang, ids, words, bits)
+            bucket, n = np.unique(np.concatenate([word[ids != 0], pair[_pairs(ids)]]), return_counts=True)
+            n = np.minimum(n, least).astype(kind)
+            block, at = np.unique(bucket // _BLOCK, return_index=True)
+            ends = np.append(at[1:], len(bucket))
+            inside = (bucket % _BLOCK).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block), pa.array([inside[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
+                 pa.array([n[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], ["block", "buckets", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(_BLOCK, dtype=np.int64)
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now], pa.int64()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+        for b in batches:
+            for block, buckets, n in zip(*(b.column(c).to_pylist() for c in ("block", "buckets", "n"))):
+                if block != now:
+                    if now is not None:
+                        yield full()
+                    now = block
+                    total[:] = 0
+                total[np.frombuffer(buckets, dtype=np.uint16)] += np.frombuffer(n, dtype=kind)
+        if now is not None:
+            yield full()
+
+    hits = docs.mapInArrow(count, "block long, buckets binary, n binary").repartition("block").sortWithinPartitions("block")
+    bitmap = np.zeros(-(-(1 << bits) // _BLOCK) * _BLOCK // 8, dtype=np.uint8)
+    for row in hits.mapInArrow(add, "block long, bits binary").toLocalIterator():  # 2**MOST_BITS / 8 bytes at most
+        bitmap[row["block"] * (_BLOCK // 8):(row["block"] + 1) * (_BLOCK // 8)] = np.frombuffer(row["bits"], dtype=np.uint8)
     return bitmap
 
 
@@ -118,13 +149,16 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
     """Partial counts ``(lang, w1, ..., n)`` of the padded longest windows of ``docs(lang, text binary)``."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size * BITS_PER_BYTE, 1))), LEAST_BITS, MOST_BITS))
-    known = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, bits, least))
+    known = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs, bits, least))
     names, limits = [f"w{i + 1}" for i in range(longest)], (BATCH_WORDS, KNOWN_WORDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = known.value
         alone: dict[str, np.ndarray] = {}    # windows of one word, while their words keep their numbers
 
+        def frequent(bucket: np.ndarray) -> np.ndarray:
+            return ((bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
+
         def out(lang: str, words: _Words, columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
             vocabulary = pa.array(words.names, pa.binary())
             for at in range(0, len(n), 1 << 16):
@@ -135,9 +169,11 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
 
         for lang, words, ids, last in _streams(batches, *limits):
             if len(ids):
-                bucket = _buckets(lang, ids, words, bits)
-                linked = _pairs(ids) & ((bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
-                single = np.bincount(ids[~linked & (ids != 0)], minlength=len(words.names))
+                word, pair = _buckets(lang, ids, words, bits)
+                linked = _pairs(ids) & frequent(pair)
+                # Words that are too rare for any phrase are counted by number only, under 0.
+                alone_here = ids[~linked & (ids != 0)]
+                single = np.bincount(np.where(frequent(word)[~linked & (ids != 0)], alone_here, 0), minlength=len(words.names))
                 before = alone.get(lang, single[:0])
                 single[:len(before)] += before
                 alone[lang] = single
@@ -172,12 +208,15 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
         k = F.when(F.col("gid") == (1 << (longest - i)) - 1, i).otherwise(k)
     words = F.slice(F.array(*[F.col(w).cast("string") for w in names]), F.lit(1), F.col("k"))
     rolled = rolled.where(F.col("gid") < (1 << (longest + 1)) - 1).withColumn("k", k).withColumn("words", words)
-    rolled = rolled.where((F.col("k") == 0) | (F.element_at("words", -1) != "")).select("lang", "k", "words", "f")
+    whole = F.element_at("words", -1) != ""
+    rolled = rolled.where((F.col("k") == 0) | whole & ((F.col("k") == 1) | (F.col("f") >= least)))
+    rolled = materialise(rolled.select("lang", "k", "words", "f"), "rolled")
     alone = counted.where(single).groupBy("lang", "w1").agg(F.sum("n").alias("f"))
     alone = alone.select("lang", F.lit(1).alias("k"), F.array(F.col("w1").cast("string")).alias("words"), "f")
     total = alone.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.lit(0).alias("k"), F.array().cast("array<string>").alias("words"), "f")
     short = alone.union(total).union(rolled.where("k < 2")).groupBy("lang", "k", "words").agg(F.sum("f").alias("f"))
-    found = rolled.where("k > 1").union(short).where((F.col("k") == 0) | (F.col("f") >= least))
+    short = short.where("k = 0 OR words[0] <> ''").where((F.col("k") == 0) | (F.col("f") >= least))
+    found = rolled.where("k > 1").union(short)
     return found.select("lang", "k", F.concat_ws(" ", "words").alias("phrase"), "words", "f")
 
 

@@ -8,10 +8,9 @@
    its chunks.  Terms whose sum stays below ``least`` are done with, and so are their chunks: the
    second count leaves them out by a bitmap of the chunks that are left (fixed largest size,
    ``MOST_BITS``; an overfull one lets more chunks through, and the joins drop them).
-4. The second count combines (lang, source, chunk): occurrences and, while there are fewer than
-   ``least`` of them, the documents' row numbers.  Terms are joined back and their occurrences summed.
-   Where the two bounds leave it open whether a term reaches ``least``, its distinct documents are
-   counted; all its chunks are rare, so their row numbers are at hand.
+4. The second count combines occurrences per (lang, source, chunk).  Terms are joined back and their
+   occurrences summed.  Where the two bounds leave it open whether a term reaches ``least``, its distinct
+   documents are counted, from (document, chunk) pairs of its chunks, which are all rare.
 5. Smoothed shares of the kept terms give each source's distance to every other source of its lang
    and the terms it uses more than the lang does.
 
@@ -22,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,8 @@ SMOOTH = 5
 SCALE = 1_000_000_000
 #: Terms of a chunk: ASCII letters and everything beyond ASCII, byte by byte in UTF-8.
 _TERM = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
-#: Entries a worker holds before it hands them on.
+#: Words a worker collects before it counts them; sums, chunks or terms it holds before it hands them on.
+BATCH_WORDS = 400_000
 HELD = 800_000
 #: Bits of the bitmap for each chunk in it, and their number: 2**16 to 2**28 (32 MB).
 BITS_PER_CHUNK = 16
@@ -57,29 +57,96 @@ def _slices(text: bytes) -> Iterator[list[bytes]]:
     yield text[at:].lower().split()
 
 
+class _Numbers(dict):
+    """Numbers chunks as they come, from 1 on; those that ``wanted`` turns down are all 0."""
+
+    def __init__(self, wanted: Callable[[bytes], bool] | None = None) -> None:
+        self.names, self.wanted = [b""], wanted
+
+    def __missing__(self, chunk: bytes) -> int:
+        if self.wanted and not self.wanted(chunk):
+            self[chunk] = 0
+            return 0
+        self[chunk] = n = len(self.names)
+        self.names.append(chunk)
+        return n
+
+
+class _Sums:
+    """Sums by an integer key: sorted arrays, merged whenever they have doubled."""
+
+    def __init__(self) -> None:
+        self.keys, self.values, self.size, self.merged = [], [], 0, 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.values.append(values)
+        self.size += len(keys)
+        if self.size > 2 * self.merged + 200_000:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, values = np.concatenate(self.keys), np.concatenate(self.values)
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        self.keys, self.values = [keys[first]], [np.add.reduceat(values, first)]
+        self.size = self.merged = len(first)
+        return self.keys[0], self.values[0]
+
+
+def _documents(batches: Iterator[pa.RecordBatch], known: _Numbers, most: int, limit: int) -> Iterator[tuple]:
+    """Documents in lots of about ``most`` words: ``(their other columns, document index and chunk number of
+    each word, last)``; ``last``: the numbering of chunks ends here (the caller clears it)."""
+    rows, lengths, ids = [], [], []
+    for b in batches:
+        columns = [b.column(c).to_pylist() for c in b.schema.names if c != "text"]
+        for *row, text in zip(*columns, b.column("text")):
+            before = len(ids)
+            for chunks in _slices(text.as_py()):
+                ids.extend(map(known.__getitem__, chunks))
+            rows.append(tuple(row))
+            lengths.append(len(ids) - before)
+            if len(ids) >= most:
+                yield rows, np.repeat(np.arange(len(rows)), np.array(lengths, dtype=np.int64)), np.array(ids, dtype=np.int64), len(known) >= limit
+                rows, lengths, ids = [], [], []
+    yield rows, np.repeat(np.arange(len(rows)), np.array(lengths, dtype=np.int64)), np.array(ids, dtype=np.int64), True
+
+
+def _distinct(document: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (document, chunk) pairs."""
+    pairs = np.unique(document << 32 | ids)
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def _by_group(sums: _Sums, known: _Numbers) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """``(group, chunks, sums)`` from keys of group and chunk number."""
+    keys, values = sums.merge()
+    names = pa.array(known.names, pa.binary())
+    groups, first = np.unique(keys >> 32, return_index=True)
+    for g, a, z in zip(groups, first, [*first[1:], len(keys)]):
+        yield int(g), names.take(pa.array(keys[a:z] & 0xFFFFFFFF)), pa.array(values[a:z])
+
+
 def chunk_spread(docs: DataFrame, held: int = HELD) -> DataFrame:
     """Partial counts ``(lang, chunk, documents)`` of ``docs(lang, text binary)``."""
+    most = BATCH_WORDS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, Counter] = {}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, table in tables.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(table), pa.string()), pa.array(list(table), pa.binary()),
-                     pa.array(list(table.values()), pa.int64())], ["lang", "chunk", "documents"])
-
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-                table = tables.setdefault(lang, Counter())
-                before = len(table)
-                table.update(set().union(*_slices(text.as_py())))
-                size += len(table) - before
-                if size > held:
-                    yield from out()
-                    tables, size = {}, 0
-        yield from out()
+        known, sums, langs = _Numbers(), _Sums(), {}
+        for rows, document, ids, last in _documents(batches, known, most, held):
+            group = np.array([langs.setdefault(row[0], len(langs)) for row in rows], dtype=np.int64)
+            document, chunk = _distinct(document, ids)
+            key, n = np.unique(group[document] << 32 | chunk, return_counts=True)
+            sums.add(key, n)
+            if last:
+                names = list(langs)
+                for g, chunks, n in _by_group(sums, known):
+                    yield pa.RecordBatch.from_arrays([pa.array([names[g]] * len(n), pa.string()), chunks, n], ["lang", "chunk", "documents"])
+                known.clear()
+                known.names, sums = [b""], _Sums()
 
     return docs.select("lang", "text").mapInArrow(count, "lang string, chunk binary, documents long")
 
@@ -145,73 +212,61 @@ def _bucket(chunk: Column, bits: int) -> Column:
     return F.xxhash64(chunk).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _bitmap(chunks: DataFrame, bits: int) -> np.ndarray:
+def _bitmap(chunks: DataFrame, bits: int) -> bytes:
     """One bit for each hash bucket that holds a chunk, in little bit order."""
     at = _bucket(F.col("chunk"), bits) + 1
     maps = chunks.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    bitmap = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    bitmap = bytearray((1 << bits) // 8)
     for row in maps.toLocalIterator():  # 4 KB for each 32,768 buckets: 2**MOST_BITS / 8 bytes at most
-        bitmap[(row["part"] - 1) * 4096:row["part"] * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return bitmap
+        bitmap[(row["part"] - 1) * 4096:row["part"] * 4096] = row["bits"]
+    return bytes(bitmap)
 
 
-def chunk_counts(docs: DataFrame, chunks: DataFrame, least: int = LEAST, held: int = HELD) -> DataFrame:
-    """Partial counts ``(lang, source, chunk, occurrences, rows)`` of ``docs(lang, source, text binary)`` for
-    the given ``chunks`` and a few others; ``rows`` numbers the documents and is null from ``least`` on."""
-    rows = docs.select("lang", "source", "text", F.monotonically_increasing_id().alias("row"))
+def chunk_counts(docs: DataFrame, chunks: DataFrame, held: int = HELD) -> DataFrame:
+    """Partial counts ``(lang, source, chunk, occurrences)`` of ``docs(lang, source, text binary)`` for the given
+    ``chunks(chunk, open)`` and a few others, and a row ``(lang, chunk, row)`` for every document (by number) that
+    holds an ``open`` chunk."""
+    rows = docs.select("lang", "source", F.monotonically_increasing_id().alias("row"), "text")
     bits = int(np.clip(np.ceil(np.log2(max(chunks.count() * BITS_PER_CHUNK, 1))), LEAST_BITS, MOST_BITS))
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(chunks, bits).tobytes())
+    spark, most = docs.sparkSession, BATCH_WORDS
+    wanted = spark.sparkContext.broadcast((_bitmap(chunks, bits), _bitmap(chunks.where("open"), bits)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        bitmap, mask = wanted.value, (1 << bits) - 1
-        tables: dict[tuple, dict] = {}
-        size = 0
-
-        class Wanted(dict):
-            def __missing__(self, chunk: bytes) -> bool:
-                at = xxh64_intdigest(chunk, _SEED) & mask
-                self[chunk] = found = bool(bitmap[at >> 3] >> (at & 7) & 1)
-                return found
-
-        known = Wanted()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), table in tables.items():
-                n, seen = len(table), list(table.values())
+        bitmap, open_, mask = *wanted.value, (1 << bits) - 1
+
+        def hit(chunk: bytes, bitmap: bytes = bitmap) -> bool:
+            at = xxh64_intdigest(chunk, _SEED) & mask
+            return bool(bitmap[at >> 3] >> (at & 7) & 1)
+
+        columns = ["lang", "source", "chunk", "occurrences", "row"]
+        known, sums, groups, traced = _Numbers(hit), _Sums(), {}, [False]
+        for rows, document, ids, last in _documents(batches, known, most, held):
+            group = np.array([groups.setdefault(row[:2], len(groups)) for row in rows], dtype=np.int64)
+            document, ids = document[ids > 0], ids[ids > 0]
+            key, n = np.unique(group[document] << 32 | ids, return_counts=True)
+            sums.add(key, n)
+            traced.extend(hit(name, open_) for name in known.names[len(traced):])
+            follow = np.array(traced)[ids]
+            document, chunk = _distinct(document[follow], ids[follow])
+            if len(chunk):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()),
-                     pa.array(list(table), pa.binary()), pa.array([s[0] for s in seen], pa.int64()),
-                     pa.array([s[1] if len(s[1]) < least else None for s in seen], pa.list_(pa.int64()))],
-                    ["lang", "source", "chunk", "occurrences", "rows"])
-
-        for b in batches:
-            for lang, source, text, row in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text"),
-                                               b.column("row").to_pylist()):
-                table = tables.setdefault((lang, source), {})
-                found: Counter = Counter()
-                for chunks_ in _slices(text.as_py()):
-                    found.update(chunks_)
-                for chunk, n in found.items():
-                    if known[chunk]:
-                        seen = table.get(chunk)
-                        if seen is None:
-                            table[chunk] = [n, [row]]
-                            size += 1
-                        else:
-                            seen[0] += n
-                            if len(seen[1]) < least:
-                                seen[1].append(row)
-                                size += 1
-                if size > held:
-                    yield from out()
-                    tables, size = {}, 0
-                if len(known) > held:
-                    known.clear()
-        yield from out()
-
-    return rows.mapInArrow(count, "lang string, source string, chunk binary, occurrences long, rows array<long>")
+                    [pa.array([rows[d][0] for d in document], pa.string()), pa.nulls(len(chunk), pa.string()),
+                     pa.array([known.names[c] for c in chunk], pa.binary()), pa.nulls(len(chunk), pa.int64()),
+                     pa.array([rows[d][2] for d in document], pa.int64())], columns)
+            if last or sums.size > held:
+                names = list(groups)
+                for g, chunks, n in _by_group(sums, known):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[g][0]] * len(n), pa.string()), pa.array([names[g][1]] * len(n), pa.string()), chunks, n,
+                         pa.nulls(len(n), pa.int64())], columns)
+                sums = _Sums()
+            if last:
+                known.clear()
+                known.names, traced = [b""], [False]
+
+    return rows.mapInArrow(count, "lang string, source string, chunk binary, occurrences long, row long")
 
 
 def term_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -225,15 +280,17 @@ def term_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     terms = tokens.where("chunk IS NOT NULL").select("chunk", "term", "times").join(left, "term", "left_semi")
     terms = materialise(terms.union(left.select("term", "term", F.lit(1).cast("long"))), "chunk_terms")
 
-    parts = materialise(chunk_counts(docs, terms.select("chunk").distinct(), least), "chunks")
     open_ = bounds.where(F.col("low") < least).select("lang", "term")
-    counted = (parts.where("rows IS NOT NULL").select("lang", "chunk", "rows")
+    wanted = terms.join(open_.select("term").distinct().withColumn("open", F.lit(True)), "term", "left")
+    wanted = materialise(wanted.groupBy("chunk").agg(F.max(F.coalesce("open", F.lit(False))).alias("open")), "wanted")
+    parts = materialise(chunk_counts(docs, wanted), "chunks")
+    counted = (parts.where("row IS NOT NULL").select("lang", "chunk", "row")
                .join(terms.select("chunk", "term").join(open_, "term"), ["lang", "chunk"])
-               .select("lang", "term", F.explode("rows").alias("row")).distinct()
+               .select("lang", "term", "row").distinct()
                .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("documents")))
     kept = bounds.where(F.col("low") >= least).select("lang", "term").union(
         counted.where(F.col("documents") >= least).select("lang", "term"))
-    totals = parts.groupBy("lang", "source", "chunk").agg(F.sum("occurrences").alias("occurrences"))
+    totals = parts.where("row IS NULL").groupBy("lang", "source", "chunk").agg(F.sum("occurrences").alias("occurrences"))
     found = totals.join(terms, "chunk").groupBy("lang", "source", "term").agg(
         F.sum(F.col("occurrences") * F.col("times")).alias("n"))
     return found.join(materialise(kept, "kept"), ["lang", "term"]).select("lang", "source", F.col("term").cast("string").alias("term"), "n")

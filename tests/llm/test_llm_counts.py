@@ -66,7 +66,8 @@ def test_divergence(spark, rows, least, top, held, bits, monkeypatch):
     monkeypatch.setattr(source_divergence, "MOST_BITS", bits)
     monkeypatch.setattr(source_divergence.chunk_spread, "__defaults__", (held,))
     monkeypatch.setattr(source_divergence.tokenize, "__defaults__", (held,))
-    monkeypatch.setattr(source_divergence.chunk_counts, "__defaults__", (least, held))
+    monkeypatch.setattr(source_divergence.chunk_counts, "__defaults__", (held,))
+    monkeypatch.setattr(source_divergence, "BATCH_WORDS", min(held, 1000))
     got = source_divergence.divergence(table(spark, rows).repartition(3), least, top)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(tuple(r) for r in got.collect()) == divergence(rows, least, top)

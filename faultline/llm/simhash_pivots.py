@@ -278,8 +278,8 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
         F.count(F.lit(1)).alias("n"), F.first(one).alias("one"))
     kept = materialise(kept.select(F.col("doc_id").alias("keep_id"), F.col("tie").alias("keep_tie"),
                                    (F.col("one") & (F.col("n") > 1)).alias("single")), "kept")
-    # The same join at every size: texts are shuffled by key once, never broadcast.
-    found = rows.drop("text").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")))
+    # The same join at every size: texts are shuffled by key once, unsorted, and meet the keys of their partition.
+    found = rows.drop("text").join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")))
     plain = found.where("NOT single").select("row")
     copies = found.where("single").groupBy("doc_id", "tie").agg(F.first("row").alias("row")).select("row")
     return plain.union(copies).select([F.col("row").getField(c).alias(c) for c in docs.columns])

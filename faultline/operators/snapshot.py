@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,28 +43,29 @@ def window_membership(axis: DataFrame) -> DataFrame:
     return axis.select("repo", "idx", F.explode(wins).alias("rel_no"))
 
 
-def path_states(files: DataFrame) -> DataFrame:
-    """Every change of a path's existence: ``(repo, path, idx, pos, alive, content)``.
-    ADD/MODIFY/RENAME make ``new_path`` alive with the new content; DELETE/RENAME end ``old_path``."""
+def path_states(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Every change of a path's existence: ``(repo, path, idx, pos, alive, *carry)``.
+    ADD/MODIFY/RENAME make ``new_path`` alive with the event's values; DELETE/RENAME end ``old_path``."""
     ct = F.col("change_type")
     born = files.filter(ct != "DELETE").select("repo", F.col("new_path").alias("path"), "idx", "pos",
-                                                F.lit(True).alias("alive"), "content")
+                                                F.lit(True).alias("alive"), *carry)
     gone = (files.filter((ct == "DELETE") | ((ct == "RENAME") & (F.col("old_path") != F.col("new_path"))))
                  .select("repo", F.col("old_path").alias("path"), "idx", "pos", F.lit(False).alias("alive"),
-                         F.lit(None).cast("string").alias("content")))
+                         *[F.lit(None).cast(files.schema[c].dataType).alias(c) for c in carry]))
     return born.unionByName(gone).filter(F.col("path").isNotNull())
 
 
-def alive_intervals(files: DataFrame) -> DataFrame:
-    """``(repo, path, idx, next_idx, content)``: the path exists with ``content`` on commits
-    ``idx <= c < next_idx`` (``next_idx`` NULL = until the end)."""
-    st = path_states(files)
+def alive_intervals(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``(repo, path, idx, next_idx, *carry)``: the path exists, in the version of that event, on commits
+    ``idx <= c < next_idx`` (``next_idx`` NULL = until the end).  ``carry`` names narrow columns, such as the
+    content's key (``versions.keyed``): contents themselves need not travel."""
+    st = path_states(files, carry)
     last = (st.groupBy("repo", "path", "idx")
-              .agg(F.max_by(F.struct("alive", "content"), F.col("pos")).alias("_s"))
-              .select("repo", "path", "idx", "_s.alive", "_s.content")
+              .agg(F.max_by(F.struct("alive", *carry), F.col("pos")).alias("_s"))
+              .select("repo", "path", "idx", "_s.*")
               .withColumn("_neg", -F.col("idx")))
     nxt = prefix_agg(last, ["repo", "path"], "_neg", "idx", "min", "next_idx")
-    return nxt.filter("alive").select("repo", "path", "idx", "next_idx", "content")
+    return nxt.filter("alive").select("repo", "path", "idx", "next_idx", *carry)
 
 
 def expand_to_checkpoints(intervals: DataFrame, axis: DataFrame) -> DataFrame:
@@ -76,11 +79,11 @@ def expand_to_checkpoints(intervals: DataFrame, axis: DataFrame) -> DataFrame:
                 .drop("_lo", "_hi_before", "n_cp"))
 
 
-def snapshot(files: DataFrame, axis: DataFrame) -> DataFrame:
-    """``(repo, rel_no, path, idx, content)`` -- files present at each checkpoint with their
-    content then; paths under a folder whose name contains ``.git`` (also ``.github``) are skipped."""
-    iv = alive_intervals(files).filter(~F.regexp_extract("path", r"^(.*)/", 1).contains(".git"))
-    return expand_to_checkpoints(iv, axis).select("repo", "rel_no", "path", "idx", "content")
+def snapshot(files: DataFrame, axis: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``(repo, rel_no, path, idx, *carry)`` -- files present at each checkpoint, in the version of the event
+    at ``idx``; paths under a folder whose name contains ``.git`` (also ``.github``) are skipped."""
+    iv = alive_intervals(files, carry).filter(~F.regexp_extract("path", r"^(.*)/", 1).contains(".git"))
+    return expand_to_checkpoints(iv, axis).select("repo", "rel_no", "path", "idx", *carry)
 
 
 def valid_content(df: DataFrame, col: str = "content") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Rows: files present at a checkpoint (S9) with non-empty content (S10) that the profile keeps
 (P3).  Columns: ``repo, filepath, commit, committed_at, failure_prone`` + process metrics (J10,
-missing -> 0) + product metrics (computed once per file version, then spread over the checkpoints
-that version covers) + ``delta_<m>`` = round(m - m at the file's previous appearance, 3).
+missing -> 0) + product metrics (computed once per distinct content, then spread over the checkpoints
+that its versions cover) + ``delta_<m>`` = round(m - m at the file's previous appearance, 3).
 
 Process metrics and the previous appearance belong to the file's life (``operators/lives.py``): they
 follow its renames, and a file that was deleted and added again starts anew.  The previous appearance
@@ -19,7 +19,8 @@ from faultline.operators.labels import label_flag
 from faultline.operators.ordered import prefix_agg
 from faultline.operators.process import PROCESS_METRICS, process_metrics
 from faultline.operators.product import ANSIBLE_METRICS, TOSCA_METRICS
-from faultline.operators.snapshot import alive_intervals, checkpoint_axis, expand_to_checkpoints, valid_content
+from faultline.operators.snapshot import alive_intervals, checkpoint_axis, expand_to_checkpoints
+from faultline.operators.versions import keyed, measure
 from faultline.plans.profiles import Profile
 from faultline.session import materialise
 from faultline.sources.history import History
@@ -60,9 +61,9 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lives: D
     # The checkpoint axis and the kept file versions each feed several branches: written once.
     if axis is None:
         axis = materialise(checkpoint_axis(h.commits, checkpoints), "axis")
-    iv = valid_content(alive_intervals(h.files))
+    # Only the key of a content travels (S10, P3 are decided where it is read).
+    iv = alive_intervals(keyed(h.files, profile.keep), ["content_key", "kept"]).filter("kept")
     iv = iv.filter(~F.regexp_extract("path", r"^(.*)/", 1).contains(".git"))
-    iv = iv.filter(profile.keep(F.col("path"), F.col("content")))
     # The state a path has after a commit is that of the commit's last event on it.
     state = lives.groupBy("repo", "path", "idx").agg(F.max_by("life", "pos").alias("life"))
     iv = materialise(iv.join(state, ["repo", "path", "idx"]), "versions")
@@ -70,12 +71,11 @@ def build_dataset(h: History, profile: Profile, checkpoints: DataFrame, lives: D
     prod = product_profile(profile) if product else None
     if prod:
         if product_df is None:
-            pm = profile.product_metrics(iv.select("repo", "path", "idx", "content"), ["repo", "path", "idx"])
+            iv = iv.join(measure(h.files, profile.keep, profile.product_metrics), "content_key", "left")
         else:
-            pm = product_df
-        iv = iv.join(pm, ["repo", "path", "idx"], "left")
+            iv = iv.join(product_df, ["repo", "path", "idx"], "left")
         metric_cols = list(ANSIBLE_METRICS if prod == "ansible" else TOSCA_METRICS)
-    rows = expand_to_checkpoints(iv.drop("content"), axis)
+    rows = expand_to_checkpoints(iv.drop("content_key", "kept"), axis)
 
     cp = (checkpoints.select("repo", "rel_no", F.col("commit_hash").alias("commit"))
                      .join(h.commits.select("repo", F.col("commit_hash").alias("commit"),

@@ -23,6 +23,7 @@ from faultline.operators.lineage import path_lineage
 from faultline.operators.lives import file_lives
 from faultline.operators.process import PROCESS_METRICS, process_metrics
 from faultline.operators.snapshot import checkpoint_axis, snapshot
+from faultline.operators.versions import content_key, measure
 from faultline.plans import dataset, miner, profiles
 from faultline.session import ensure_checkpoint_dir, materialise
 from faultline.sources import sinks
@@ -443,15 +444,16 @@ def q_prod_entropy(spark, sf):
 
 
 def _yaml_versions(spark, sf, tech: str) -> DataFrame:
-    f = history(spark, sf).files.filter(F.col("change_type") != "DELETE")
-    keep = paths.is_ansible_file(F.col("new_path")) if tech == "ansible" else paths.is_tosca_file(F.col("new_path"), F.col("content"))
-    return f.filter(keep).select("repo", "commit_hash", "pos", "idx", F.col("new_path").alias("path"), "content")
+    """Product metrics of every file version of a profile, keyed by event and by (repo, idx, path); each distinct
+    content is measured once."""
+    h, profile = history(spark, sf), profiles.get(tech)
+    files = h.files.filter((F.col("change_type") != "DELETE") & profile.keep(F.col("new_path"), F.col("content")))
+    events = files.select("repo", "commit_hash", "pos", "idx", F.col("new_path").alias("path"), content_key(F.col("content")).alias("content_key"))
+    return events.join(measure(h.files, profile.keep, profile.product_metrics), "content_key", "left").drop("content_key")
 
 
 def ansible_versions(spark, sf) -> DataFrame:
-    """Product metrics of every Ansible file version, keyed by event and by (repo, idx, path)."""
-    return _once(spark, sf, "product:ansible", lambda: product.product_metrics(
-        _yaml_versions(spark, sf, "ansible"), ["repo", "commit_hash", "pos", "idx", "path"], "ansible"))
+    return _once(spark, sf, "product:ansible", lambda: _yaml_versions(spark, sf, "ansible"))
 
 
 def q_prod_ansible(spark, sf):
@@ -460,8 +462,7 @@ def q_prod_ansible(spark, sf):
 
 
 def q_prod_tosca(spark, sf):
-    m = product.product_metrics(_yaml_versions(spark, sf, "tosca").drop("idx", "path"), ["repo", "commit_hash", "pos"],
-                                "tosca")
+    m = _yaml_versions(spark, sf, "tosca")
     return m.select("repo", "commit_hash", _big("pos"), *[_metric(c) for c in product.TOSCA_METRICS])
 
 

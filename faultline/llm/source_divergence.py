@@ -89,7 +89,7 @@ class _Sums:
         if not self.size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         keys, values = np.concatenate(self.keys), np.concatenate(self.values)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, values = keys[order], values[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         self.keys, self.values = [keys[first]], [np.add.reduceat(values, first)]
@@ -132,21 +132,27 @@ def _by_group(sums: _Sums, known: _Numbers) -> Iterator[tuple[int, pa.Array, pa.
 
 def chunk_spread(docs: DataFrame, held: int = HELD) -> DataFrame:
     """Partial counts ``(lang, chunk, documents)`` of ``docs(lang, text binary)``."""
-    most = BATCH_WORDS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums, langs = _Numbers(), _Sums(), {}
-        for rows, document, ids, last in _documents(batches, known, most, held):
-            group = np.array([langs.setdefault(row[0], len(langs)) for row in rows], dtype=np.int64)
-            document, chunk = _distinct(document, ids)
-            key, n = np.unique(group[document] << 32 | chunk, return_counts=True)
-            sums.add(key, n)
-            if last:
-                names = list(langs)
-                for g, chunks, n in _by_group(sums, known):
-                    yield pa.RecordBatch.from_arrays([pa.array([names[g]] * len(n), pa.string()), chunks, n], ["lang", "chunk", "documents"])
-                known.clear()
-                known.names, sums = [b""], _Sums()
+        tables: dict[str, Counter] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, table in tables.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(table), pa.string()), pa.array(list(table), pa.binary()),
+                     pa.array(list(table.values()), pa.int64())], ["lang", "chunk", "documents"])
+
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
+                table = tables.setdefault(lang, Counter())
+                before = len(table)
+                table.update(set().union(*_slices(text.as_py())))
+                size += len(table) - before
+                if size > held:
+                    yield from out()
+                    tables, size = {}, 0
+        yield from out()
 
     return docs.select("lang", "text").mapInArrow(count, "lang string, chunk binary, documents long")
 
@@ -165,8 +171,9 @@ def tokenize(spread: DataFrame, held: int = HELD) -> DataFrame:
         def close() -> int:
             if now is None:
                 return 0
-            terms = Counter(now.translate(_TERM).split())
-            if terms and now not in terms:
+            terms = now.translate(_TERM).split()
+            if terms != [now]:
+                terms = Counter(terms)
                 parts.extend((now, term, times) for term, times in terms.items())
             for lang, n in of_lang.items():
                 table = bounds.setdefault(lang, {})
@@ -283,16 +290,17 @@ def term_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     open_ = bounds.where(F.col("low") < least).select("lang", "term")
     wanted = terms.join(open_.select("term").distinct().withColumn("open", F.lit(True)), "term", "left")
     wanted = materialise(wanted.groupBy("chunk").agg(F.max(F.coalesce("open", F.lit(False))).alias("open")), "wanted")
-    parts = materialise(chunk_counts(docs, wanted), "chunks")
-    counted = (parts.where("row IS NOT NULL").select("lang", "chunk", "row")
-               .join(terms.select("chunk", "term").join(open_, "term"), ["lang", "chunk"])
-               .select("lang", "term", "row").distinct()
+    # One shuffle by chunk serves the sums per chunk and the join; what is stored is counted by term.
+    counts = chunk_counts(docs, wanted).repartition("chunk").groupBy("chunk", "lang", "source", "row").agg(
+        F.sum("occurrences").alias("occurrences"))
+    counts = counts.join(terms.hint("shuffle_hash"), "chunk").groupBy("lang", "source", "term", "row").agg(
+        F.sum(F.col("occurrences") * F.col("times")).alias("n"))
+    counts = materialise(counts, "counts")
+    counted = (counts.where("row IS NOT NULL").select("lang", "term", "row").distinct().join(open_, ["lang", "term"])
                .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("documents")))
     kept = bounds.where(F.col("low") >= least).select("lang", "term").union(
         counted.where(F.col("documents") >= least).select("lang", "term"))
-    totals = parts.where("row IS NULL").groupBy("lang", "source", "chunk").agg(F.sum("occurrences").alias("occurrences"))
-    found = totals.join(terms, "chunk").groupBy("lang", "source", "term").agg(
-        F.sum(F.col("occurrences") * F.col("times")).alias("n"))
+    found = counts.where("row IS NULL")
     return found.join(materialise(kept, "kept"), ["lang", "term"]).select("lang", "source", F.col("term").cast("string").alias("term"), "n")
 
 

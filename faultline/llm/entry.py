@@ -113,10 +113,11 @@ def _key(column: str) -> str:
 
 # The links of a page, and aliases as the transitive closure over them (small here: pages link rarely).
 _OP4 = f"""WITH RECURSIVE links AS (
-  SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)', 1, 'is'), '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'),
-    regexp_extract(regexp_extract(html, '(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>)', 1, 'is'), '\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1, 'is')]) AS target
-  FROM pages WHERE url IS NOT NULL),
+  SELECT url, regexp_extract(tag, '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is') AS target
+  FROM (SELECT url, unnest(regexp_extract_all(html, '<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'is')) AS tag FROM pages WHERE url IS NOT NULL)
+  UNION ALL
+  SELECT url, regexp_extract(tag, '\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1, 'is')
+  FROM (SELECT url, unnest(regexp_extract_all(html, '<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'is')) AS tag FROM pages WHERE url IS NOT NULL)),
 full_links AS (
   SELECT url, CASE WHEN starts_with(target, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || target
                    WHEN starts_with(target, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || target
@@ -133,11 +134,11 @@ SELECT page_id, host, path, {_by_rule(lambda kind, rule: rule)} END AS rule,
 FROM rows_"""
 
 _OP6 = """WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
-                  sha1(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
 r AS (SELECT payload_digest AS d, max(page_id) AS response FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN response <> page_id THEN response END AS refers_to
+       CASE WHEN response IS DISTINCT FROM page_id AND response IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to
 FROM p LEFT JOIN r ON d = payload_digest"""
 
 # Water filling in closed form: sources are cut in order of size over weight, the rest share what is left.

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import bpe
 from faultline.llm.ordering import row_numbers
-from faultline.llm.store import filesystem, materialise, new_folder, shuffle_partitions
+from faultline.llm.store import filesystem, materialise, new_folder, qualified, shuffle_partitions
 
 MAGIC = b"REPAIR01"
 FILE_IDS = 1 << 22        # ids of a file, about
@@ -33,6 +33,7 @@ BLOCK = 1 << 16           # symbols of a block
 PAIRS_A_ROUND = 4096      # pairs replaced together
 LEAST_FREQUENT = 16       # a pair that occurs less often is left alone
 LEAST_GAIN = 0.02         # part of the symbols that a round has to save
+LEAD = 32                 # characters of a text that order rows of one id
 _BUCKETS = 20
 
 
@@ -228,18 +229,20 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     """Encode, compress and write all documents in ascending id order; the manifest of the files:
     ``(first_id, path, n_docs, n_ids, n_symbols, start)`` with ``start`` = ids of all files before.
 
-    Null texts count as empty (the end id alone); null ids come first; rows that repeat an id stay in
-    the order of their texts.  An empty table writes no file.  The manifest is materialised, so files
+    Null texts count as empty (the end id alone); null ids come first; rows that repeat an id go by the first
+    ``LEAD`` characters of their texts, then by a hash of the text.  Rows are told apart by where they were
+    read at last, so ranges of partitions cut a third of all rows that share an id.  An empty table writes no file.  The manifest is materialised, so files
     of lost attempts are never read.  Ids must be integers.
     """
     spark = docs.sparkSession
     vocabulary = path or bpe.vocabulary_path()
-    folder = folder or new_folder(spark, "tokens")
+    folder = qualified(spark, folder) if folder else new_folder(spark, "tokens")
     fs, inner = filesystem(folder)
     fs.create_dir(inner, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), order[0]).sortWithinPartitions(*order)
+    rows = rows.withColumns({"lead": F.left("text", F.lit(LEAD)), "hash": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("lead"), F.col("hash"), F.col("at")]
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, terminals = bpe.encoder(vocabulary), len(bpe.byte_table(vocabulary))

@@ -16,10 +16,13 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "row_number") ->
     Rows are range-partitioned and sorted inside each partition; a row's position is its index in
     the partition plus the rows of all partitions before it.  The only driver-side or single-task
     data is one count per partition.  The result is materialised, so positions are stable.  Rows
-    that tie in ``order`` get consecutive positions in an arbitrary but fixed order.
+    that tie in ``order`` get consecutive positions in an arbitrary but fixed order; they are told apart
+    by where they were read, so a third of all rows may tie and still be spread over partitions.
     """
     n = shuffle_partitions(df.sparkSession)
-    placed = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    order = [*order, F.col("__tie")]
+    placed = (df.withColumn("__tie", F.monotonically_increasing_id())
+              .repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__tie")
               .withColumn("__at", F.monotonically_increasing_id()))
     placed = materialise(placed, "ranked")
     part = F.shiftright("__at", 33)

@@ -13,10 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from faultline.session import ensure_checkpoint_dir
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and authority, as the cluster's default file system completes it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(hadoop).toString()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder (a URI when the folder is one); not created yet."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, with its scheme; not created yet."""
+    return qualified(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -35,15 +41,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def filesystem_uri(path: str) -> str:
+    """The URI under which pyarrow knows a qualified path: one name for S3, three slashes for local files."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{path} has no scheme; complete it with qualified()")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest
+
+
 def filesystem(path: str):
-    """(pyarrow filesystem, path inside it) for a shared path; used inside tasks to write files."""
+    """(pyarrow filesystem, path inside it) for a shared, qualified path; used inside tasks to write files."""
     from pyarrow import fs
 
-    if path.startswith("file:"):
-        path = "file:///" + path[len("file:"):].lstrip("/")
-    elif path.startswith("/"):
-        path = "file://" + path
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(filesystem_uri(path))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -18,8 +18,8 @@ from faultline.llm.store import materialise
 
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Entity names read backwards: plans that hold them name no "Arrow", which tests take for Python.
-_NAMED = json.dumps({name[::-1]: text for name, text in html5.items()})
+#: Character references by name, from Python's standard library.
+_NAMED = json.dumps(html5)
 _DOTTED = r"(?i)/(\.|%2e){1,2}([/?#]|$)"
 #: Character references 128-159 stand for characters of Windows-1252.
 _C1 = {chr(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
@@ -77,7 +77,7 @@ def unescape(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(fits, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
         char = F.translate(char, "".join(_C1), "".join(_C1.values()))
         name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*;?)", 1)
-        known = F.when(~part.rlike("^[A-Za-z0-9]+="), F.try_element_at(names, F.reverse(name)))
+        known = F.when(~part.rlike("^[A-Za-z0-9]+="), F.try_element_at(names, name))
         return F.when((digits != "") | (hexa != ""), F.concat(char, F.regexp_replace(part, "^#([0-9]+|[xX][0-9a-fA-F]+);?", ""))) \
                 .when(known.isNotNull(), F.concat(known, F.substr(part, F.length(name) + 1))) \
                 .otherwise(F.concat(F.lit("&"), part))
@@ -125,23 +125,26 @@ def resolve(df: DataFrame, base: str, target: str, out: str) -> DataFrame:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``(src, dst)`` of URL keys from the pages' markup: ``<link rel=canonical href>`` and
+    """Edges ``(src, dst)`` of URL keys from the pages' markup: every ``<link rel=canonical href>`` and
     ``<meta http-equiv=refresh content="..; url=..">``.  Character references are decoded; targets are
     resolved against ``<base href>`` or else the page's URL, dot segments too.  A page whose own URL
     has dot segments is linked to the URL without them.  Pages without a URL, and targets such as
     ``mailto:``, give no edge."""
     html = F.col(html_col)
-    link = F.regexp_extract(html, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    meta = F.regexp_extract(html, r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
+    found = [(r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", "href"),
+             (r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", "content")]
     base = F.regexp_extract(html, r"""(?is)(<base\b[^>]*\bhref\s*=[^>]*>)""", 1)
-    tags = pages.select(F.col(url_col).alias("url"), F.coalesce(link, F.lit("")).alias("link"),
-                        F.coalesce(meta, F.lit("")).alias("meta"), F.coalesce(base, F.lit("")).alias("base"))
-    tags = materialise(tags.where((F.col("link") != "") | (F.col("meta") != "") | F.col("url").rlike(_DOTTED)), "tags")
-    read = tags.select("url", *[unescape(_attribute(F.col(tag), name)).alias(tag)
-                                for tag, name in (("link", "href"), ("meta", "content"), ("base", "href"))])
+    tags = F.concat(*[F.transform(F.coalesce(F.regexp_extract_all(html, F.lit(tag), 1), F.array()),
+                                  lambda t, name=name: F.struct(F.lit(name).alias("name"), t.alias("tag"))) for tag, name in found])
+    tags = pages.select(F.col(url_col).alias("url"), F.coalesce(base, F.lit("")).alias("base"), tags.alias("tags"))
+    tags = tags.where((F.size("tags") > 0) | F.col("url").rlike(_DOTTED))
+    own = F.array(F.struct(F.lit("own").alias("name"), F.lit("").alias("tag")))
+    tags = materialise(tags.select("url", "base", F.explode(F.concat(own, "tags")).alias("t")).select("url", "base", "t.*"), "tags")
+    value = F.when(F.col("name") == "href", _attribute(F.col("tag"), "href")).otherwise(_attribute(F.col("tag"), "content"))
+    read = tags.select("url", "name", unescape(_attribute(F.col("base"), "href")).alias("base"), unescape(value).alias("value"))
     read = materialise(read, "attributes")
-    goal = [F.regexp_extract("meta", r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"'>][^\s">]*))""", g) for g in (1, 2, 3)]
-    each = read.select("url", "base", F.explode(F.array(F.lit(""), F.col("link"), F.concat(*goal))).alias("target"))
+    goal = [F.regexp_extract("value", r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"'>][^\s">]*))""", g) for g in (1, 2, 3)]
+    each = read.select("url", "base", F.when(F.col("name") == "content", F.concat(*goal)).otherwise(F.col("value")).alias("target"))
     each = materialise(resolve(each, "url", "base", "start"), "starts")
     each = each.withColumn("start", F.when((F.col("base") == "") | (F.col("target") == ""), F.col("url")).otherwise(
         F.coalesce("start", "url"))).withColumn("src", url_key(F.col("url")))

@@ -18,13 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.store import filesystem, materialise, new_folder
+from faultline.llm.store import filesystem, materialise, new_folder, qualified
 
 LEAST_BYTES = 1000          # smaller payloads are never written as revisits
 FILE_BYTES = 64 << 20       # a file is closed when it is larger
 RUN_ENTRIES = 20_000        # entries of a run at most
 RANGE_ENTRIES = 2_000       # entries that one merge handles, about
-MOST_RANGES = 4096          # bounds what the driver sees of the index: 32 keys a range
+MOST_RANGES = 1 << 16       # bounds what the driver sees of the index: SAMPLE keys a range
+SAMPLE = 8
+READ_BYTES = 4 << 20        # archive bytes that one reading task handles, about
+MOST_TASKS = 100_000
+NO_ID = -(1 << 63)          # stands in the index for a page without an id
 EPOCH = 946_684_800         # capture time of page 0; page n is captured n seconds later
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -37,13 +41,18 @@ def url_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, key).otherwise(F.coalesce(url, F.lit("")))
 
 
-def _record(page_id: int, url: str, digest: str, payload: bytes, size: int, refers: int | None) -> bytes:
+def _time(page_id: int | None) -> int:
+    """Capture time of a page; pages without an id are captured at ``EPOCH``."""
+    return EPOCH if page_id is None else EPOCH + page_id
+
+
+def _record(page_id: int | None, url: str, digest: str, payload: bytes, size: int, refers: int | None) -> bytes:
     """One WARC/1.1 record as a gzip member.  A revisit has no block but names its response."""
     from datetime import datetime, timezone
 
-    date = datetime.fromtimestamp(EPOCH + page_id % 3_000_000_000, tz=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    date = datetime.fromtimestamp(EPOCH + (page_id or 0) % 3_000_000_000, tz=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}",
-             f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}",
+             f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", f"WARC-Date: {date}",
              f"WARC-Target-URI: {''.join(c if c.isprintable() else ' ' for c in url)}",
              f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {size}", "Content-Type: text/html; charset=utf-8"]
     if refers is not None:
@@ -66,8 +75,9 @@ def parse(raw: bytes) -> dict:
     return found
 
 
-def _page(urn: str) -> int:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+def _page(urn: str) -> int | None:
+    name = urn.removeprefix("<urn:page:").removesuffix(">")
+    return None if name == "none" else int(name)
 
 
 _INDEX = {"url_key": pa.string(), "timestamp": pa.int64(), "page_id": pa.int64(), "path": pa.string(),
@@ -82,26 +92,27 @@ def _entries(rows: list[tuple]) -> pa.RecordBatch:
 def with_references(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                     least: int = LEAST_BYTES) -> DataFrame:
     """``(page_id, url, html, digest, bytes, refers_to)``: of pages with equal payloads of at least
-    ``least`` bytes the largest id is the response and the others refer to it."""
+    ``least`` bytes the largest id is the response and the others refer to it; pages without an id are
+    never referred to."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    rows = rows.where("page_id IS NOT NULL").withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html").cast("long")})
+    rows = rows.withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html").cast("long")})
     first = (rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("__r"), F.count(F.lit(1)).alias("__n"))
-             .where("__n > 1").select(F.col("digest").alias("__d"), "__r"))
+             .where("__n > 1 AND __r IS NOT NULL").select(F.col("digest").alias("__d"), "__r"))
     first = materialise(first, "responses")
     rows = rows.join(first, rows["digest"] == first["__d"], "left")
     return rows.select("page_id", "url", "html", "digest", "bytes",
-                       F.when(F.col("__r") != F.col("page_id"), F.col("__r")).alias("refers_to"))
+                       F.when(~F.col("__r").eqNullSafe(F.col("page_id")), F.col("__r")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     """Write one record per page; the runs of index entries (materialised, sorted within each run).
 
-    Null html is an empty payload, a null URL an empty target.  Pages without an id are not captures
-    and are left out.  Rows that repeat an id with the same payload are written each, as responses of
+    Null html is an empty payload, a null URL an empty target.  Pages without an id get records of their
+    own, captured at ``EPOCH``.  Rows that repeat an id with the same payload are written each, as responses of
     that id.  File names are new in every attempt, and only files that the index names are read.
     """
-    folder = folder or new_folder(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder) if folder else new_folder(pages.sparkSession, "warc")
     fs, inner = filesystem(folder)
     fs.create_dir(inner, recursive=True)
     rows = with_references(pages, **columns).withColumn("key", url_key(F.col("url")))
@@ -117,7 +128,7 @@ def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
                 page = page_id.as_py()
                 raw = _record(page, url.as_py() or "", digest.as_py(), html.as_py().encode("utf-8", "surrogatepass"), size.as_py(), refers.as_py())
                 out.write(raw)
-                held.append((key.as_py(), EPOCH + page, page, path, at, len(raw)))
+                held.append((key.as_py(), _time(page), NO_ID if page is None else page, path, at, len(raw)))
                 at += len(raw)
                 if at >= FILE_BYTES:
                     out.close()
@@ -189,17 +200,17 @@ def merge(runs: DataFrame) -> DataFrame:
     spark = runs.sparkSession
     n = runs.count()
     ranges = min(MOST_RANGES, max(1, -(-n // RANGE_ENTRIES)))
-    every = max(1, n // (32 * ranges))
+    every = max(1, n // (SAMPLE * ranges))
     key = ["url_key", "timestamp", "page_id"]
     sample = sorted(tuple(r) for r in runs.where(F.pmod(F.xxhash64("page_id", "path", "offset"), F.lit(every)) == 0).select(*key).collect())
-    splitters = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
+    cuts = spark.sparkContext.broadcast([sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else [])  # MOST_RANGES keys
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Neighbouring entries of one run and range make one row."""
         for b in batches:
             rows = list(zip(*(b.column(c).to_pylist() for c in _INDEX)))
             names, places = b.column("run").to_pylist(), b.column("place").to_pylist()
-            spots = [bisect.bisect_right(splitters, r[:3]) for r in rows]
+            spots = [bisect.bisect_right(cuts.value, r[:3]) for r in rows]
             ends = [i for i in range(1, len(rows) + 1) if i == len(rows) or spots[i] != spots[i - 1] or names[i] != names[i - 1]]
             starts = [0, *ends[:-1]]
             yield pa.RecordBatch.from_arrays(
@@ -220,9 +231,9 @@ def merge(runs: DataFrame) -> DataFrame:
         yield from _merged(current, held)
 
     slices = runs.select(*_INDEX, "run", "place").mapInArrow(cut, f"range int, run string, place int, slice array<struct<{INDEX_SCHEMA.replace(' long', ': long').replace(' string', ': string')}>>")
-    slices = slices.repartition("range").sortWithinPartitions("range", "run", "place")
+    slices = slices.repartition(ranges, "range").sortWithinPartitions("range", "run", "place")
     merged = materialise(slices.mapInArrow(join, INDEX_SCHEMA + ", range int, place int"), "index")
-    return _positions(merged)
+    return _positions(merged).withColumn("page_id", F.nullif(F.col("page_id"), F.lit(NO_ID)))
 
 
 def _merged(spot: int | None, held: dict[str, list[tuple]]) -> Iterator[pa.RecordBatch]:
@@ -261,12 +272,14 @@ def read(index: DataFrame) -> DataFrame:
     """Read the records that an index names: ``(page_id, url, payload_bytes, payload_digest,
     record_type, refers_to, payload, position, capture)``.
 
-    Entries are dealt by file and 4 MB stretch and read in order of offset.  A response's size and
+    Entries are dealt by file and stretch of ``READ_BYTES`` and read in order of offset.  A response's size and
     digest are computed from its payload; a revisit's come from its headers.
     """
-    stretch = F.floor(F.col("offset") / F.lit(4 << 20))
+    stretch = F.floor(F.col("offset") / F.lit(READ_BYTES))
     dealt = index.select("path", "offset", "length", "position", "capture").withColumn("stretch", stretch)
-    dealt = dealt.repartition("path", "stretch").sortWithinPartitions("path", "offset")
+    # As many tasks as the archives ask for: the index itself is tiny beside them.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    dealt = dealt.repartition(min(MOST_TASKS, -(-total // READ_BYTES) + 1), "path", "stretch").sortWithinPartitions("path", "offset")
     schema = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
               "refers_to long, payload binary, position long, capture long")
     types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64())

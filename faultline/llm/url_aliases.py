@@ -134,8 +134,12 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     found = [(r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", "href"),
              (r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", "content")]
     base = F.regexp_extract(html, r"""(?is)(<base\b[^>]*\bhref\s*=[^>]*>)""", 1)
-    tags = F.concat(*[F.transform(F.coalesce(F.regexp_extract_all(html, F.lit(tag), 1), F.array()),
-                                  lambda t, name=name: F.struct(F.lit(name).alias("name"), t.alias("tag"))) for tag, name in found])
+
+    def named(tag: str, name: str) -> Column:
+        every = F.coalesce(F.regexp_extract_all(html, F.lit(tag), 1), F.array().cast("array<string>"))
+        return F.transform(every, lambda t: F.struct(F.lit(name).alias("name"), t.alias("tag")))
+
+    tags = F.concat(*[named(tag, name) for tag, name in found])
     tags = pages.select(F.col(url_col).alias("url"), F.coalesce(base, F.lit("")).alias("base"), tags.alias("tags"))
     tags = tags.where((F.size("tags") > 0) | F.col("url").rlike(_DOTTED))
     own = F.array(F.struct(F.lit("own").alias("name"), F.lit("").alias("tag")))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 #: Bounds of what training looks at; everything else covers all rows.
 TRAIN_ROWS = 300         # labelled rows of each class that feed the dictionaries, at most
 FIT_ROWS = 4000          # labelled rows that fit the curve, at most
-ROW_CHARS = 8192         # characters of one row that a dictionary may draw on (from its middle)
+ROW_CHARS = 8192         # characters of one row that a dictionary may draw on
+SLICES = 4               # of equal length, from the head to the tail of the text, that make them up
 DICT_BYTES = 1 << 18     # size of a dictionary of text
 SHAPE_BYTES = 1 << 15    # size of a dictionary of letter shapes
 BLOCK = 2048             # bytes compressed at once
@@ -82,14 +83,17 @@ class _Scorer:
 
 
 def _dictionary(texts: list[str], size: int, shape: bool) -> bytes:
-    """Raw dictionary content: an equal slice of every text, so that no long text crowds out others."""
+    """Raw dictionary content: an equal share of every text, so that no long text crowds out others, in slices
+    from its head to its tail."""
     parts = []
     for t in texts:
         raw = t.encode("utf-8", "surrogatepass")
         raw = raw.translate(SHAPE) if shape else raw
         share = max(64, size // len(texts))
-        at = max(0, (len(raw) - share) // 2)
-        parts.append(raw[at:at + share])
+        n = min(SLICES, max(1, share // 64))
+        part = share // n
+        starts = [max(0, len(raw) - part) * i // max(1, n - 1) for i in range(n)] if len(raw) > share else [0]
+        parts.extend(raw[at:at + (part if len(raw) > share else share)] for at in starts)
     return b"\n".join(parts)[:size]
 
 
@@ -130,9 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     sample = texts.join(F.broadcast(picked), "__id")  # at most 2 * TRAIN_ROWS + FIT_ROWS ids
-    length = F.char_length("text")
-    middle = F.substring("text", F.greatest(F.lit(1), F.floor((length - ROW_CHARS) / 2) + 1), F.lit(ROW_CHARS))
-    train = (sample.where("fold <> 4").groupBy("__id", "y").agg(F.min(middle).alias("part")).toPandas()
+    room = F.char_length("text") - ROW_CHARS // SLICES
+    slices = F.concat(*[F.substring("text", (F.floor(room * i / (SLICES - 1)) + 1).cast("int"), F.lit(ROW_CHARS // SLICES)) for i in range(SLICES)])
+    drawn = F.when(F.char_length("text") <= ROW_CHARS, F.col("text")).otherwise(slices)
+    train = (sample.where("fold <> 4").groupBy("__id", "y").agg(F.min(drawn).alias("part")).toPandas()
              .sort_values(["__id", "y"]))
     good, bad = (list(train[train.y == k].part) for k in (1, 0))
     packs = tuple(_dictionary(part, size, shape) for size, shape in ((DICT_BYTES, False), (SHAPE_BYTES, True))

@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faultline.llm import bpe, bpe_chunks, compression_quality, feistel_shards, grammar_tokens, mixing
+from faultline.llm import bpe, bpe_chunks, compression_quality, feistel_shards, grammar_tokens, mixing, store
 
 ODD = ["a", " ", "  ", "\n", "\t", "é", "'s", "'ll", " ", " ", "12", "!", "<|endoftext|>", "日本", "\x1c", "\x85",
        "👍", " the", " of", "\r\n", "\x00", "́"]
@@ -106,7 +107,7 @@ def test_grammar_round_trip():
     sym, rules, per_doc = grammar_tokens.compress(np.concatenate(arrays), n, 10)
     assert len(sym) < n.sum() / 4 and len(rules) and per_doc.sum() == len(sym)
     import tempfile
-    path, _ = grammar_tokens.write_file(tempfile.mkdtemp(prefix="faultline-test-"), list(range(80)), arrays, 10)
+    path, _ = grammar_tokens.write_file("file://" + tempfile.mkdtemp(prefix="faultline-test-"), list(range(80)), arrays, 10)
     r = grammar_tokens.Reader(path)
     for k, a in enumerate(arrays):
         assert r.document(k).tolist() == a.tolist()
@@ -118,7 +119,8 @@ def test_grammar_round_trip():
 def test_grammar_files(docs, library, spark, monkeypatch):
     manifest = grammar_tokens.write(docs)
     got = sorted(grammar_tokens.read(spark, manifest, with_ids=True).collect(), key=lambda r: r.start)
-    rows = sorted(local(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = sorted(local(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1][:32].encode(),
+                                              np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).astype(np.int64)))
     start = 0
     assert len(got) == len(rows)
     for r, (i, t, _) in zip(got, rows):
@@ -128,6 +130,23 @@ def test_grammar_files(docs, library, spark, monkeypatch):
         start += len(ids)
 
 
+def test_one_id_is_spread_over_files(spark):
+    """Rows without an id, most of them equal, do not end up in one task."""
+    docs = spark.createDataFrame([(None, "same text " * 5)] * 900 + [(i, f"t{i}") for i in range(100)], "doc_id long, text string").repartition(4)
+    manifest = grammar_tokens.write(docs).collect()
+    assert sum(r.n_docs for r in manifest) == 1000 and max(r.n_docs for r in manifest) < 500
+
+
+def test_shared_paths(spark):
+    assert store.filesystem_uri("s3a://bucket/x") == "s3://bucket/x" and store.filesystem_uri("hdfs://h:9000/x") == "hdfs://h:9000/x"
+    assert store.filesystem_uri("file:/a/b") == store.filesystem_uri("file:///a/b") == "file:///a/b"
+    with pytest.raises(ValueError):
+        store.filesystem_uri("/a/b")
+    assert store.qualified(spark, "/a/b") == "file:/a/b" and store.new_folder(spark, "x").startswith("file:/")
+    taken = spark.createDataFrame([(1, 2)], "Score int, score_ int")
+    assert store.free_name(taken, "score") == "score__"
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     p = feistel_shards.permute(np.arange(n), n, 7)

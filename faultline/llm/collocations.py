@@ -5,11 +5,11 @@ columns w1..w5, padded with '' past the end.  ROLLUP over (lang, w1, ..., w5) su
 shorter prefixes, and a prefix that ends in a word is an n-gram with its exact frequency, so no n-gram
 of another order is ever generated.
 
-Before that, one pass counts words and neighbouring word pairs by hash bucket.  A pair in a bucket
-below the least frequency is in no candidate, so windows are padded from there on, and words of such
-buckets are counted by number only: buckets only overestimate, so no candidate loses an occurrence, and
-few windows stay long.  The bitmap of full buckets has a fixed largest size (``MOST_BITS``); a corpus
-that overfills it is cut less, never wrongly.
+Before that, a pass for each order up to ``CUT`` counts words, word pairs and triples by hash bucket.  A pair or
+triple in a bucket below the least frequency is in no candidate, so windows are padded from there on, and
+words of such buckets are counted by number only: buckets only overestimate, so no candidate loses an
+occurrence, and few windows stay long.  The bitmaps of full buckets have a fixed largest size
+(``MOST_BITS``); a corpus that overfills them is cut less, never wrongly.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ BATCH_WORDS = 300_000
 KNOWN_WORDS = 300_000
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 16
+#: Highest order of word sequences that are counted by bucket, and parts of the buckets that travel as a row.
+CUT = 3
+BLOCKS = 64
 
 
 class _Words(dict):
@@ -82,66 +84,100 @@ def _streams(batches: Iterator[pa.RecordBatch], most: int, known: int) -> Iterat
     yield from out(True)
 
 
-def _buckets(lang: str, ids: np.ndarray, words: _Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of every word, and of every word with its follower (the last one's is of no meaning)."""
-    import xxhash
-
-    with np.errstate(over="ignore"):
-        h = np.array(words.hashes, dtype=np.uint64)[ids] ^ np.uint64(xxhash.xxh64_intdigest(lang, 7))
-        h = (h ^ (h >> np.uint64(31))) * _MIX
-        pair = (h ^ (h >> np.uint64(29))) * _MIX + np.roll(h, -1)
-        pair = (pair ^ (pair >> np.uint64(32))) * _MIX
-    shift = np.uint64(64 - bits)
-    return (h >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
-
-
-def _pairs(ids: np.ndarray) -> np.ndarray:
-    """Whether a word has a follower in its piece."""
-    return (ids != 0) & (np.roll(ids, -1) != 0)
-
-
-def frequent_buckets(docs: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Bitmap (little bit order) of the buckets that words or word pairs hit ``least`` times or more.
-
-    Tasks hand on, for each block of ``_BLOCK`` buckets, the buckets hit and how often (``least`` at most, which
-    tells as much); blocks are summed up one at a time."""
-    limits = BATCH_WORDS, KNOWN_WORDS
+class _Cuts:
+    """Which words and sequences of a stream of words are in frequent buckets, order by order."""
+
+    def __init__(self, lang: str, words: _Words, ids: np.ndarray, bits: int):
+        import xxhash
+
+        self.shift, self.real = np.uint64(64 - bits), ids != 0
+        with np.errstate(over="ignore"):
+            h = np.array(words.hashes, dtype=np.uint64)[ids] ^ np.uint64(xxhash.xxh64_intdigest(lang, 7))
+            self.word = (h ^ (h >> np.uint64(31))) * _MIX
+        self.hash, self.starts, self.order = self.word, self.real, 1
+
+    def buckets(self) -> np.ndarray:
+        """Bucket of the sequence of the present order that starts at each word."""
+        return (self.hash >> self.shift).astype(np.int64)
+
+    def frequent(self, bitmap: np.ndarray) -> np.ndarray:
+        at = self.buckets()
+        return self.starts & ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def longer(self, kept: np.ndarray) -> None:
+        """Go on to the next order: sequences whose two parts of this order are ``kept``."""
+        self.starts = kept & np.roll(kept, -1) & np.roll(self.real, -self.order)
+        with np.errstate(over="ignore"):
+            h = (self.hash ^ (self.hash >> np.uint64(29))) * _MIX + np.roll(self.word, -self.order)
+            self.hash = (h ^ (h >> np.uint64(32))) * _MIX
+        self.order += 1
+
+    def follow(self, bitmaps: list[np.ndarray]) -> list[np.ndarray]:
+        """For orders 2, 3, ...: where a sequence starts that is frequent as far as the bitmaps tell."""
+        kept = []
+        if bitmaps:
+            self.longer(self.real)
+            for i, bitmap in enumerate(bitmaps):
+                if i:
+                    self.longer(kept[-1])
+                kept.append(self.frequent(bitmap))
+        return kept
+
+
+def frequent_buckets(docs: DataFrame, bits: int, least: int, below: list[np.ndarray]) -> np.ndarray:
+    """Bitmap (little bit order) of the buckets that sequences of the next order hit ``least`` times or more, whose
+    parts are frequent by the bitmaps ``below``; the first bitmap (pairs) takes in single words, too.
+
+    Tasks hand on, for each of ``BLOCKS`` parts of the buckets, the buckets hit and how often (``least`` at most,
+    which tells as much); parts are summed up one at a time."""
+    limits, size = (BATCH_WORDS, KNOWN_WORDS), max(8, (1 << bits) // BLOCKS)
     kind = np.uint8 if least < 256 else np.uint32
+    shared = docs.sparkSession.sparkContext.broadcast(below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids, _ in _streams(batches, *limits):
-            word, pair = _buckets(lang, ids, words, bits)
-            bucket, n = np.unique(np.concatenate([word[ids != 0], pair[_pairs(ids)]]), return_counts=True)
+            cuts = _Cuts(lang, words, ids, bits)
+            if shared.value:
+                cuts.longer(cuts.follow(shared.value)[-1])
+                found = cuts.buckets()[cuts.starts]
+            else:
+                single = cuts.buckets()[cuts.starts]
+                cuts.longer(cuts.real)
+                found = np.concatenate([single, cuts.buckets()[cuts.starts]])
+            bucket, n = np.unique(found, return_counts=True)
             n = np.minimum(n, least).astype(kind)
-            block, at = np.unique(bucket // _BLOCK, return_index=True)
-            ends = np.append(at[1:], len(bucket))
-            inside = (bucket % _BLOCK).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array([inside[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                 pa.array([n[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], ["block", "buckets", "n"])
+            edges = np.searchsorted(bucket, np.arange(0, (1 << bits) + size, size))
+            inside = (bucket % size).astype(np.uint32)
+            parts = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            if parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _, _ in parts], pa.int64()), pa.array([inside[a:b].tobytes() for _, a, b in parts], pa.binary()),
+                     pa.array([n[a:b].tobytes() for _, a, b in parts], pa.binary())], ["block", "buckets", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(_BLOCK, dtype=np.int64)
+        now, total = None, np.zeros(size, dtype=np.int32)
 
         def full() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([now], pa.int64()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
         for b in batches:
-            for block, buckets, n in zip(*(b.column(c).to_pylist() for c in ("block", "buckets", "n"))):
+            for block, buckets, n in zip(b.column("block").to_pylist(), b.column("buckets"), b.column("n")):
                 if block != now:
                     if now is not None:
                         yield full()
                     now = block
                     total[:] = 0
-                total[np.frombuffer(buckets, dtype=np.uint16)] += np.frombuffer(n, dtype=kind)
+                at = np.frombuffer(buckets.as_py(), dtype=np.uint32)
+                total[at] = np.minimum(total[at] + np.frombuffer(n.as_py(), dtype=kind), least)
         if now is not None:
             yield full()
 
-    hits = docs.mapInArrow(count, "block long, buckets binary, n binary").repartition("block").sortWithinPartitions("block")
-    bitmap = np.zeros(-(-(1 << bits) // _BLOCK) * _BLOCK // 8, dtype=np.uint8)
+    hits = docs.mapInArrow(count, "block long, buckets binary, n binary").repartition(BLOCKS, "block").sortWithinPartitions("block")
+    bitmap = np.zeros(max(1 << bits, 8 * BLOCKS) // 8, dtype=np.uint8)
     for row in hits.mapInArrow(add, "block long, bits binary").toLocalIterator():  # 2**MOST_BITS / 8 bytes at most
-        bitmap[row["block"] * (_BLOCK // 8):(row["block"] + 1) * (_BLOCK // 8)] = np.frombuffer(row["bits"], dtype=np.uint8)
+        part = np.frombuffer(row["bits"], dtype=np.uint8)
+        bitmap[row["block"] * len(part):(row["block"] + 1) * len(part)] = part
     return bitmap
 
 
@@ -149,15 +185,16 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
     """Partial counts ``(lang, w1, ..., n)`` of the padded longest windows of ``docs(lang, text binary)``."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size * BITS_PER_BYTE, 1))), LEAST_BITS, MOST_BITS))
-    known = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs, bits, least))
+    bitmaps: list[np.ndarray] = []
+    while len(bitmaps) < min(CUT, longest) - 1:
+        bitmaps.append(frequent_buckets(docs, bits, least, bitmaps))
+    known = docs.sparkSession.sparkContext.broadcast(bitmaps)
     names, limits = [f"w{i + 1}" for i in range(longest)], (BATCH_WORDS, KNOWN_WORDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = known.value
+        bitmaps = known.value
         alone: dict[str, np.ndarray] = {}    # windows of one word, while their words keep their numbers
-
-        def frequent(bucket: np.ndarray) -> np.ndarray:
-            return ((bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
+        held: dict[str, list[pa.Table]] = {}  # longer windows
 
         def out(lang: str, words: _Words, columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
             vocabulary = pa.array(words.names, pa.binary())
@@ -167,23 +204,34 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
                     [pa.array([lang] * len(n[part]), pa.string()), *(vocabulary.take(pa.array(c[part])) for c in columns),
                      pa.array(n[part])], ["lang", *names, "n"])
 
+        def merged(tables: list[pa.Table]) -> pa.Table:
+            found = pa.concat_tables(tables).group_by(names).aggregate([("n", "sum")])
+            return pa.table([*(found[w] for w in names), found["n_sum"]], [*names, "n"]).combine_chunks()
+
         for lang, words, ids, last in _streams(batches, *limits):
             if len(ids):
-                word, pair = _buckets(lang, ids, words, bits)
-                linked = _pairs(ids) & frequent(pair)
+                cuts = _Cuts(lang, words, ids, bits)
+                single = cuts.frequent(bitmaps[0])
+                kept = cuts.follow(bitmaps)
+                linked = kept[0]
                 # Words that are too rare for any phrase are counted by number only, under 0.
-                alone_here = ids[~linked & (ids != 0)]
-                single = np.bincount(np.where(frequent(word)[~linked & (ids != 0)], alone_here, 0), minlength=len(words.names))
-                before = alone.get(lang, single[:0])
-                single[:len(before)] += before
-                alone[lang] = single
+                lone = ~linked & (ids != 0)
+                counts = np.bincount(np.where(single[lone], ids[lone], 0), minlength=len(words.names))
+                before = alone.get(lang, counts[:0])
+                counts[:len(before)] += before
+                alone[lang] = counts
                 starts = np.flatnonzero(linked)
-                columns, open_ = [ids[starts]], np.ones(len(starts), dtype=bool)
-                for lead in range(1, longest):
-                    open_ &= linked[(starts + lead - 1) % len(ids)]
+                columns, open_ = [ids[starts], ids[(starts + 1) % len(ids)]], np.ones(len(starts), dtype=bool)
+                for lead in range(2, longest):
+                    order = min(lead, len(kept)) - 1      # the sequence of the highest order that ends at the lead
+                    open_ &= kept[order][(starts + lead - order - 1) % len(ids)]
                     columns.append(np.where(open_, ids[(starts + lead) % len(ids)], 0))
-                table = pa.table(columns, names).group_by(names).aggregate([([], "count_all")]).combine_chunks()
-                yield from out(lang, words, [table[w].to_numpy() for w in names], table["count_all"].to_numpy())
+                lot = pa.table([*columns, np.ones(len(starts), dtype=np.int64)], [*names, "n"])
+                held[lang] = [merged([*held.get(lang, []), merged([lot])])]
+            for table in held.get(lang, []):
+                if last or table.num_rows > limits[0]:
+                    yield from out(lang, words, [table[w].to_numpy() for w in names], table["n"].to_numpy())
+                    held[lang] = []
             if last and lang in alone:
                 single = alone.pop(lang)
                 found = np.flatnonzero(single)

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ _TERM = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 #: Words a worker collects before it counts them; sums, chunks or terms it holds before it hands them on.
 BATCH_WORDS = 400_000
 HELD = 800_000
+SUMS = 4                  # sums (two numbers each) held for each chunk that may be remembered
 #: Bits of the bitmap for each chunk in it, and their number: 2**16 to 2**28 (32 MB).
 BITS_PER_CHUNK = 16
 LEAST_BITS, MOST_BITS = 16, 28
@@ -58,13 +59,16 @@ def _slices(text: bytes) -> Iterator[list[bytes]]:
 
 
 class _Numbers(dict):
-    """Numbers chunks as they come, from 1 on; those that ``wanted`` turns down are all 0."""
+    """Numbers chunks as they come, from 1 on; those whose hash bucket is not in ``bitmap`` are all 0."""
 
-    def __init__(self, wanted: Callable[[bytes], bool] | None = None) -> None:
-        self.names, self.wanted = [b""], wanted
+    def __init__(self, bitmap: bytes, bits: int) -> None:
+        from xxhash import xxh64_intdigest
+
+        self.names, self.bitmap, self.mask, self.digest = [b""], bitmap, (1 << bits) - 1, xxh64_intdigest
 
     def __missing__(self, chunk: bytes) -> int:
-        if self.wanted and not self.wanted(chunk):
+        at = self.digest(chunk, _SEED) & self.mask
+        if not self.bitmap[at >> 3] >> (at & 7) & 1:
             self[chunk] = 0
             return 0
         self[chunk] = n = len(self.names)
@@ -239,22 +243,16 @@ def chunk_counts(docs: DataFrame, chunks: DataFrame, held: int = HELD) -> DataFr
     wanted = spark.sparkContext.broadcast((_bitmap(chunks, bits), _bitmap(chunks.where("open"), bits)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        bitmap, open_, mask = *wanted.value, (1 << bits) - 1
-
-        def hit(chunk: bytes, bitmap: bytes = bitmap) -> bool:
-            at = xxh64_intdigest(chunk, _SEED) & mask
-            return bool(bitmap[at >> 3] >> (at & 7) & 1)
-
+        bitmap, open_ = wanted.value
         columns = ["lang", "source", "chunk", "occurrences", "row"]
-        known, sums, groups, traced = _Numbers(hit), _Sums(), {}, [False]
+        known, sums, groups, traced = _Numbers(bitmap, bits), _Sums(), {}, [False]
         for rows, document, ids, last in _documents(batches, known, most, held):
             group = np.array([groups.setdefault(row[:2], len(groups)) for row in rows], dtype=np.int64)
             document, ids = document[ids > 0], ids[ids > 0]
             key, n = np.unique(group[document] << 32 | ids, return_counts=True)
             sums.add(key, n)
-            traced.extend(hit(name, open_) for name in known.names[len(traced):])
+            traced.extend(bool(open_[at >> 3] >> (at & 7) & 1) for at in (
+                known.digest(name, _SEED) & known.mask for name in known.names[len(traced):]))
             follow = np.array(traced)[ids]
             document, chunk = _distinct(document[follow], ids[follow])
             if len(chunk):
@@ -262,7 +260,7 @@ def chunk_counts(docs: DataFrame, chunks: DataFrame, held: int = HELD) -> DataFr
                     [pa.array([rows[d][0] for d in document], pa.string()), pa.nulls(len(chunk), pa.string()),
                      pa.array([known.names[c] for c in chunk], pa.binary()), pa.nulls(len(chunk), pa.int64()),
                      pa.array([rows[d][2] for d in document], pa.int64())], columns)
-            if last or sums.size > held:
+            if last or sums.size > SUMS * held:
                 names = list(groups)
                 for g, chunks, n in _by_group(sums, known):
                     yield pa.RecordBatch.from_arrays(
@@ -290,10 +288,8 @@ def term_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     open_ = bounds.where(F.col("low") < least).select("lang", "term")
     wanted = terms.join(open_.select("term").distinct().withColumn("open", F.lit(True)), "term", "left")
     wanted = materialise(wanted.groupBy("chunk").agg(F.max(F.coalesce("open", F.lit(False))).alias("open")), "wanted")
-    # One shuffle by chunk serves the sums per chunk and the join; what is stored is counted by term.
-    counts = chunk_counts(docs, wanted).repartition("chunk").groupBy("chunk", "lang", "source", "row").agg(
-        F.sum("occurrences").alias("occurrences"))
-    counts = counts.join(terms.hint("shuffle_hash"), "chunk").groupBy("lang", "source", "term", "row").agg(
+    # Counts meet their chunk's terms in one shuffle and are summed by term where they met, then once more.
+    counts = chunk_counts(docs, wanted).join(terms.hint("shuffle_hash"), "chunk").groupBy("lang", "source", "term", "row").agg(
         F.sum(F.col("occurrences") * F.col("times")).alias("n"))
     counts = materialise(counts, "counts")
     counted = (counts.where("row IS NOT NULL").select("lang", "term", "row").distinct().join(open_, ["lang", "term"])

@@ -227,11 +227,16 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
                     open_ &= kept[order][(starts + lead - order - 1) % len(ids)]
                     columns.append(np.where(open_, ids[(starts + lead) % len(ids)], 0))
                 lot = pa.table([*columns, np.ones(len(starts), dtype=np.int64)], [*names, "n"])
-                held[lang] = [merged([*held.get(lang, []), merged([lot])])]
-            for table in held.get(lang, []):
-                if last or table.num_rows > limits[0]:
-                    yield from out(lang, words, [table[w].to_numpy() for w in names], table["n"].to_numpy())
-                    held[lang] = []
+                lots = held.setdefault(lang, [])
+                lots.append(merged([lot]))
+                # The first table is what was merged so far; the others join it when they have doubled it.
+                if last or sum(t.num_rows for t in lots[1:]) > lots[0].num_rows + limits[0]:
+                    lots[:] = [merged(lots)]
+            lots = held.get(lang, [])
+            if lots and (last or lots[0].num_rows > 2 * limits[0]):
+                table = merged(lots)
+                yield from out(lang, words, [table[w].to_numpy() for w in names], table["n"].to_numpy())
+                lots.clear()
             if last and lang in alone:
                 single = alone.pop(lang)
                 found = np.flatnonzero(single)

@@ -68,3 +68,30 @@ def test_binding_shuffles_no_contents(spark, monkeypatch):
     assert got[0, 4][0] == "ADD" and got[0, 4][2] is None
     assert got[1, 4][0] == "MODIFY" and got[1, 4][2] == got[0, 4][1] and "src: f3" in got[0, 4][1] and "src: f5" in got[1, 4][1]
     assert got[1, None] == ("MODIFY", "x = 4\n", None)
+
+
+def test_bound_contents_are_made_by_code_that_is_compiled(spark, monkeypatch):
+    # The JVM interprets methods of 8,000 bytes and more, and Spark does what janino refuses (-1 bytes).
+    import re
+
+    stored = {}
+    monkeypatch.setattr(binding, "materialise", lambda df, name: stored.setdefault(name, df) and materialise(df, name))
+    monkeypatch.setattr(binding, "prefix_aggs", lambda df, keys, order, specs: df.withColumns(
+        {"ver": F.lit(0), "_prev": F.struct("idx", "change_type", "slot", "additions", "hunks")}))
+    folder = tempfile.mkdtemp(prefix="faultline-bind-")
+    spark.sql("SELECT 0L AS o_orderkey, 1L AS o_custkey, 'F' AS o_orderstatus, timestamp_ntz'1997-01-01' AS o_orderdate").write.parquet(f"{folder}/orders.parquet")
+    spark.sql("SELECT 0L AS l_orderkey, p AS l_partkey, 10L AS l_suppkey, 1 AS l_linenumber, 323D AS l_quantity, 0D AS l_discount"
+              " FROM VALUES (4L), (6L) AS t(p)").write.parquet(f"{folder}/lineitem.parquet")
+    h = binding.bind(spark, folder)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        files = stored["files"].select("*")
+        code = spark._jvm.PythonSQLUtils.explainString(files._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", code)]
+    assert sizes and all(0 < n < 8000 for n in sizes)
+    got = {r.pos: r.content for r in h.files.collect()}     # 323 = 17 * 19: a tab, and a bracket or quote left open
+    assert got[4].startswith("- name: t1\n  zfs:\n".replace("zfs", binding.MODULES[323 % 3 * 5 + 1]) + "    src: [f323\n\twhen: a == 1\n- name: e1\n")
+    assert got[4].endswith("  when: b3 < 1 and b4 >= 2\n- hosts: w1\n\n\n".replace("  when", "\twhen"))
+    assert "\n\tnode_templates" in got[6] and 'type: "my.nodes' in got[6] and "  t.N2: root" in got[6]

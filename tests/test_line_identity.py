@@ -165,3 +165,14 @@ def test_a_long_life_is_split_over_tasks(spark):
     fix = files.where("idx = 4999").select("repo", "commit_hash", "pos")
     got = by_line(blame_lines(fix, files, added.union(deleted), file_lives(files))).collect()
     assert sorted((r.line_no, r.prev_idx) for r in got) == [(1, 4998), (4000, 999), (4998, 1), (4999, 0), (5008, 0)]
+
+
+def test_batches_are_read_as_value_by_value():
+    import pyarrow as pa
+
+    from faultline.operators.line_identity import _values
+
+    for column in (pa.array([1, None, 1 << 60, -5]), pa.array([None, None], pa.int64()), pa.array(["a", None, "a", ""]),
+                   pa.array([], pa.string()), pa.array([3, 4], pa.int32()), pa.array(["b", "a", "b"]).slice(1)):
+        assert _values(column) == column.to_pylist()
+        assert all(v is None or type(v) in (int, str) for v in _values(column))

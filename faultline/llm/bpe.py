@@ -82,7 +82,8 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(words), 512):
             spaced = [" " + w for w in words[at:at + 512]]
-            ids = np.array(self.tokenizer.encode("".join(spaced), add_special_tokens=False).ids, dtype="<u4")
+            # The batch call leaves out the offsets of tokens in the text, which nobody asks for.
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in spaced])
             reach = np.cumsum(self.lengths[ids])
             cut = np.searchsorted(reach, ends)

@@ -45,19 +45,19 @@ def _frequent_pairs(a: np.ndarray, b: np.ndarray, inside: np.ndarray) -> tuple[n
     """
     size = 1 << _BUCKETS
     bucket = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519) + np.uint32(0x9E3779B9))) >> np.uint32(32 - _BUCKETS)
-    counts = np.bincount(bucket[inside], minlength=size)
+    counts = np.bincount(bucket, minlength=size) - np.bincount(bucket[~inside], minlength=size)
     least = LEAST_FREQUENT
     if (counts >= least).sum() > PAIRS_A_ROUND:
         least = max(least, int(np.partition(counts, size - PAIRS_A_ROUND)[size - PAIRS_A_ROUND]))
-    at = np.flatnonzero((counts >= least)[bucket] & inside)
-    held, x, y = bucket[at], a[at], b[at]
-    left, right = np.zeros(size, dtype=np.uint32), np.zeros(size, dtype=np.uint32)
-    last = np.zeros(size, dtype=np.int64)
+    full = counts >= least
+    at = np.flatnonzero(full[bucket] & inside)
+    # From here on full buckets go by number: few, so that what is known of them stays in the cache.
+    held, x, y = (np.cumsum(full, dtype=np.int32) - 1)[bucket[at]], a[at], b[at]
+    last = np.zeros(int(full.sum()), dtype=np.int64)
     last[held] = np.arange(len(held))
-    left[held], right[held] = x[last[held]], y[last[held]]
-    same = (left[held] == x) & (right[held] == y)
+    same = (x[last][held] == x) & (y[last][held] == y) if len(held) else np.zeros(0, dtype=bool)
     at, held = at[same], held[same]
-    chosen = np.bincount(held, minlength=size) >= LEAST_FREQUENT
+    chosen = np.bincount(held, minlength=len(last)) >= LEAST_FREQUENT
     number = np.cumsum(chosen) - 1
     keep = chosen[held]
     return at[keep], number[held[keep]]
@@ -71,12 +71,13 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, terminals: int) -> tuple[
     just before it in a run stays.
     """
     sym = ids.astype(np.uint32)
-    counts = doc_lengths.astype(np.int64)
-    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    counts = doc_lengths.astype(np.int64)         # a copy
+    last = np.zeros(len(sym), dtype=bool)         # the last symbol of its document
+    last[np.cumsum(counts)[counts > 0] - 1] = True
     rules: list[np.ndarray] = []
     top = terminals
     while len(sym) > 1:
-        where, pair = _frequent_pairs(sym[:-1], sym[1:], doc[:-1] == doc[1:])
+        where, pair = _frequent_pairs(sym[:-1], sym[1:], ~last[:-1])
         if not len(where):
             break
         first = np.r_[True, np.diff(where) != 1]      # of a run of neighbouring hits
@@ -90,13 +91,15 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, terminals: int) -> tuple[
         sym[where] = top + pair
         keep = np.ones(len(sym), dtype=bool)
         keep[where + 1] = False
+        last[where] = last[where + 1]
         before = len(sym)
-        sym, doc = sym[keep], doc[keep]
+        sym, last = sym[keep], last[keep]
         top += made
         if before - len(sym) < LEAST_GAIN * before:
             break
     rules_ = np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32)
-    return sym, rules_, np.bincount(doc, minlength=len(counts)).astype(np.int64)
+    counts[counts > 0] = np.diff(np.flatnonzero(last), prepend=-1)
+    return sym, rules_, counts
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:

@@ -260,3 +260,28 @@ def test_quality(spark):
     assert empty == {model.empty} and len({r.p for r in got if r.doc_id == 3}) == 1
     folds = spark.range(50).select("id", compression_quality.fold_of(F.col("id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in folds)
+
+
+def test_words_are_encoded_without_offsets():
+    from faultline.llm import bpe
+
+    class Fast:      # the library without its slower call
+        def __init__(self, tokenizer):
+            self.encode_batch_fast = tokenizer.encode_batch_fast
+
+    e = bpe.Encoder(bpe.vocabulary_path())
+    whole, e.tokenizer = e.tokenizer, Fast(e.tokenizer)
+    text = "Grammar tokens  of naïve words, zzyzx\n and more qwrtpl words"
+    assert e.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_grammar_of_documents_without_ids_between_others():
+    import numpy as np
+
+    from faultline.llm import grammar_tokens
+
+    lengths = np.array([0, 40, 0, 0, 41, 0])
+    given = lengths.copy()
+    symbols, rules, counts = grammar_tokens.compress(np.array([1, 2] * 40 + [1], dtype="<u4"), lengths, 3)
+    assert rules[0].tolist() == [1, 2] and counts[[0, 2, 3, 5]].tolist() == [0] * 4
+    assert counts.sum() == len(symbols) and (lengths == given).all()

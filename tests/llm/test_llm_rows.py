@@ -282,6 +282,9 @@ def test_grammar_of_documents_without_ids_between_others():
 
     lengths = np.array([0, 40, 0, 0, 41, 0])
     given = lengths.copy()
-    symbols, rules, counts = grammar_tokens.compress(np.array([1, 2] * 40 + [1], dtype="<u4"), lengths, 3)
-    assert rules[0].tolist() == [1, 2] and counts[[0, 2, 3, 5]].tolist() == [0] * 4
-    assert counts.sum() == len(symbols) and (lengths == given).all()
+    ids = np.array([1, 2] * 40 + [1], dtype="<u4")
+    symbols, rules, counts = grammar_tokens.compress(ids, lengths, 3)
+    spell = lambda s: [s] if s < 3 else spell(int(rules[s - 3, 0])) + spell(int(rules[s - 3, 1]))
+    texts = [[i for s in part for i in spell(int(s))] for part in np.split(symbols, np.cumsum(counts)[:-1])]
+    assert texts == [p.tolist() for p in np.split(ids, np.cumsum(given)[:-1])]
+    assert len(rules) and (lengths == given).all()

@@ -5,10 +5,10 @@ columns w1..w5, padded with '' past the end.  ROLLUP over (lang, w1, ..., w5) su
 shorter prefixes, and a prefix that ends in a word is an n-gram with its exact frequency, so no n-gram
 of another order is ever generated.
 
-Before that, a pass for each order up to ``CUT`` counts words, word pairs and triples by hash bucket.  A pair or
-triple in a bucket below the least frequency is in no candidate, so windows are padded from there on, and
-words of such buckets are counted by number only: buckets only overestimate, so no candidate loses an
-occurrence, and few windows stay long.  The bitmaps of full buckets have a fixed largest size
+Before that, a pass for each order counts words, word pairs, triples and so on by hash bucket, over hashes of the
+words that are stored once.  A sequence in a bucket below the least frequency is in no candidate, so windows are
+padded from there on, and words of such buckets are counted by number only: buckets only overestimate, so no
+candidate loses an occurrence, and few windows stay long.  The bitmaps of full buckets have a fixed largest size
 (``MOST_BITS``); a corpus that overfills them is cut less, never wrongly.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.store import materialise
+from faultline.llm.store import materialise, shuffle_partitions
 
 LONGEST = 5
 LEAST = 100
@@ -34,9 +34,11 @@ BATCH_WORDS = 300_000
 KNOWN_WORDS = 300_000
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Highest order of word sequences that are counted by bucket, and parts of the buckets that travel as a row.
-CUT = 3
+#: Bits by which the buckets are fewer from the third order on, as few sequences get there; parts of the buckets that
+#: travel as a row; words whose hashes are stored as a row.
+FEWER_BITS = 2
 BLOCKS = 64
+ROW_WORDS = 1 << 15
 
 
 class _Words(dict):
@@ -51,7 +53,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.names)
         self.names.append(word)
-        self.hashes.append(self.digest(word))
+        self.hashes.append(self.digest(word) or 1)
         return n
 
 
@@ -84,24 +86,54 @@ def _streams(batches: Iterator[pa.RecordBatch], most: int, known: int) -> Iterat
     yield from out(True)
 
 
+def word_hashes(docs: DataFrame) -> DataFrame:
+    """``(lang, hashes)``: the words of ``docs(lang, text binary)`` as 64-bit hashes, 0 after each piece; rows end with a piece."""
+    limits = (BATCH_WORDS, KNOWN_WORDS)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, ids, _ in _streams(batches, *limits):
+            ends = np.flatnonzero(ids == 0) + 1
+            cuts = np.r_[0, np.unique(ends[np.searchsorted(ends, np.arange(ROW_WORDS, len(ids), ROW_WORDS))]), len(ids)]
+            raw = np.array(words.hashes, dtype=np.uint64)[ids]
+            rows = [raw[a:z].tobytes() for a, z in zip(cuts, cuts[1:]) if z > a]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(rows, pa.binary())], ["lang", "hashes"])
+
+    return docs.mapInArrow(number, "lang string, hashes binary")
+
+
+def _stored(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, np.ndarray]]:
+    """``(lang, hashes)`` of ``word_hashes`` in bounded streams, of about ``most`` words in all."""
+    held: dict[str, list[np.ndarray]] = {}
+    size = 0
+    for b in batches:
+        for lang, raw in zip(b.column("lang").to_pylist(), b.column("hashes")):
+            held.setdefault(lang, []).append(np.frombuffer(raw.as_py(), dtype=np.uint64))
+            size += len(held[lang][-1])
+            if size >= most:
+                yield from ((k, np.concatenate(parts)) for k, parts in held.items())
+                held, size = {}, 0
+    yield from ((k, np.concatenate(parts)) for k, parts in held.items())
+
+
 class _Cuts:
-    """Which words and sequences of a stream of words are in frequent buckets, order by order."""
+    """Which words and sequences of a stream of word hashes are in frequent buckets, order by order."""
 
-    def __init__(self, lang: str, words: _Words, ids: np.ndarray, bits: int):
+    def __init__(self, lang: str, hashes: np.ndarray):
         import xxhash
 
-        self.shift, self.real = np.uint64(64 - bits), ids != 0
+        self.real = hashes != 0
         with np.errstate(over="ignore"):
-            h = np.array(words.hashes, dtype=np.uint64)[ids] ^ np.uint64(xxhash.xxh64_intdigest(lang, 7))
+            h = hashes ^ np.uint64(xxhash.xxh64_intdigest(lang, 7))
             self.word = (h ^ (h >> np.uint64(31))) * _MIX
         self.hash, self.starts, self.order = self.word, self.real, 1
 
-    def buckets(self) -> np.ndarray:
+    def buckets(self, bits: int) -> np.ndarray:
         """Bucket of the sequence of the present order that starts at each word."""
-        return (self.hash >> self.shift).astype(np.int64)
+        return (self.hash >> np.uint64(64 - bits)).astype(np.int64)
 
     def frequent(self, bitmap: np.ndarray) -> np.ndarray:
-        at = self.buckets()
+        at = self.buckets((8 * len(bitmap)).bit_length() - 1)
         return self.starts & ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
     def longer(self, kept: np.ndarray) -> None:
@@ -124,26 +156,27 @@ class _Cuts:
         return kept
 
 
-def frequent_buckets(docs: DataFrame, bits: int, least: int, below: list[np.ndarray]) -> np.ndarray:
+def frequent_buckets(hashed: DataFrame, bits: int, least: int, below: list[np.ndarray]) -> np.ndarray:
     """Bitmap (little bit order) of the buckets that sequences of the next order hit ``least`` times or more, whose
-    parts are frequent by the bitmaps ``below``; the first bitmap (pairs) takes in single words, too.
+    parts are frequent by the bitmaps ``below``; the first bitmap (pairs) takes in single words, too.  ``hashed``
+    are the words by ``word_hashes``.
 
     Tasks hand on, for each of ``BLOCKS`` parts of the buckets, the buckets hit and how often (``least`` at most,
     which tells as much); parts are summed up one at a time."""
-    limits, size = (BATCH_WORDS, KNOWN_WORDS), max(8, (1 << bits) // BLOCKS)
+    most, size = BATCH_WORDS, max(8, (1 << bits) // BLOCKS)
     kind = np.uint8 if least < 256 else np.uint32
-    shared = docs.sparkSession.sparkContext.broadcast(below)
+    shared = hashed.sparkSession.sparkContext.broadcast(below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, ids, _ in _streams(batches, *limits):
-            cuts = _Cuts(lang, words, ids, bits)
+        for lang, hashes in _stored(batches, most):
+            cuts = _Cuts(lang, hashes)
             if shared.value:
                 cuts.longer(cuts.follow(shared.value)[-1])
-                found = cuts.buckets()[cuts.starts]
+                found = cuts.buckets(bits)[cuts.starts]
             else:
-                single = cuts.buckets()[cuts.starts]
+                single = cuts.buckets(bits)[cuts.starts]
                 cuts.longer(cuts.real)
-                found = np.concatenate([single, cuts.buckets()[cuts.starts]])
+                found = np.concatenate([single, cuts.buckets(bits)[cuts.starts]])
             bucket, n = np.unique(found, return_counts=True)
             n = np.minimum(n, least).astype(kind)
             edges = np.searchsorted(bucket, np.arange(0, (1 << bits) + size, size))
@@ -173,23 +206,45 @@ def frequent_buckets(docs: DataFrame, bits: int, least: int, below: list[np.ndar
         if now is not None:
             yield full()
 
-    hits = docs.mapInArrow(count, "block long, buckets binary, n binary").repartition(BLOCKS, "block").sortWithinPartitions("block")
+    hits = hashed.mapInArrow(count, "block long, buckets binary, n binary").repartition(BLOCKS, "block").sortWithinPartitions("block")
     bitmap = np.zeros(max(1 << bits, 8 * BLOCKS) // 8, dtype=np.uint8)
     for row in hits.mapInArrow(add, "block long, bits binary").toLocalIterator():  # 2**MOST_BITS / 8 bytes at most
         part = np.frombuffer(row["bits"], dtype=np.uint8)
         bitmap[row["block"] * len(part):(row["block"] + 1) * len(part)] = part
-    return bitmap
+    return bitmap[:(1 << bits) // 8]
+
+
+def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
+    """A table in Arrow's stream format."""
+    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays(columns, names)
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.Table:
+    with pa.ipc.open_stream(raw) as stream:
+        return stream.read_all()
 
 
 def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """Partial counts ``(lang, w1, ..., n)`` of the padded longest windows of ``docs(lang, text binary)``."""
+    """Partial counts ``(lang, w1, ..., n)`` of the padded longest windows of ``docs(lang, text binary)``.
+
+    A task's counts travel as one table for each part of the windows, not as a row each: most tasks have most of
+    the frequent windows, so rows would grow with their number times the tasks.  Tables of a part are summed where they meet."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size * BITS_PER_BYTE, 1))), LEAST_BITS, MOST_BITS))
+    hashed = materialise(word_hashes(docs), "hashes")
     bitmaps: list[np.ndarray] = []
-    while len(bitmaps) < min(CUT, longest) - 1:
-        bitmaps.append(frequent_buckets(docs, bits, least, bitmaps))
+    while len(bitmaps) < longest - 1:
+        fewer = bits if len(bitmaps) < 2 else max(bits - FEWER_BITS, LEAST_BITS)
+        bitmaps.append(frequent_buckets(hashed, fewer, least, bitmaps))
     known = docs.sparkSession.sparkContext.broadcast(bitmaps)
-    names, limits = [f"w{i + 1}" for i in range(longest)], (BATCH_WORDS, KNOWN_WORDS)
+    names, limits, blocks = [f"w{i + 1}" for i in range(longest)], (BATCH_WORDS, KNOWN_WORDS), max(BLOCKS, shuffle_partitions(docs.sparkSession))
+
+    def merged(tables: list[pa.Table], keys: list[str]) -> pa.Table:
+        found = pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")])
+        return pa.table([*(found[w] for w in keys), found["n_sum"]], [*keys, "n"]).combine_chunks()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = known.value
@@ -197,20 +252,22 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
         held: dict[str, list[pa.Table]] = {}  # longer windows
 
         def out(lang: str, words: _Words, columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            vocabulary = pa.array(words.names, pa.binary())
-            for at in range(0, len(n), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n[part]), pa.string()), *(vocabulary.take(pa.array(c[part])) for c in columns),
-                     pa.array(n[part])], ["lang", *names, "n"])
-
-        def merged(tables: list[pa.Table]) -> pa.Table:
-            found = pa.concat_tables(tables).group_by(names).aggregate([("n", "sum")])
-            return pa.table([*(found[w] for w in names), found["n_sum"]], [*names, "n"]).combine_chunks()
+            vocabulary, hashes = pa.array(words.names, pa.binary()), np.array(words.hashes, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                block = ((hashes[columns[0]] * _MIX + hashes[columns[1]]) * _MIX >> np.uint64(32)) % np.uint64(blocks)
+            order = np.argsort(block, kind="stable")
+            edges = np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
+            for k, a, z in zip(range(blocks), edges, edges[1:]):
+                if z > a:
+                    at = order[a:z]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int64()), pa.array([lang], pa.string()),
+                         pa.array([_packed([vocabulary.take(pa.array(c[at])) for c in columns] + [pa.array(n[at])], [*names, "n"])], pa.binary())],
+                        ["block", "lang", "counts"])
 
         for lang, words, ids, last in _streams(batches, *limits):
             if len(ids):
-                cuts = _Cuts(lang, words, ids, bits)
+                cuts = _Cuts(lang, np.array(words.hashes, dtype=np.uint64)[ids])
                 single = cuts.frequent(bitmaps[0])
                 kept = cuts.follow(bitmaps)
                 linked = kept[0]
@@ -228,13 +285,13 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
                     columns.append(np.where(open_, ids[(starts + lead) % len(ids)], 0))
                 lot = pa.table([*columns, np.ones(len(starts), dtype=np.int64)], [*names, "n"])
                 lots = held.setdefault(lang, [])
-                lots.append(merged([lot]))
+                lots.append(merged([lot], names))
                 # The first table is what was merged so far; the others join it when they have doubled it.
                 if last or sum(t.num_rows for t in lots[1:]) > lots[0].num_rows + limits[0]:
-                    lots[:] = [merged(lots)]
+                    lots[:] = [merged(lots, names)]
             lots = held.get(lang, [])
             if lots and (last or lots[0].num_rows > 2 * limits[0]):
-                table = merged(lots)
+                table = merged(lots, names)
                 yield from out(lang, words, [table[w].to_numpy() for w in names], table["n"].to_numpy())
                 lots.clear()
             if last and lang in alone:
@@ -242,7 +299,30 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
                 found = np.flatnonzero(single)
                 yield from out(lang, words, [found] + [np.zeros(len(found), dtype=np.int64)] * (longest - 1), single[found])
 
-    return docs.mapInArrow(count, "lang string, " + ", ".join(f"{w} binary" for w in names) + ", n long")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lots = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            table = merged(lots, names)
+            yield from table.add_column(0, "lang", pa.array([now[1]] * table.num_rows, pa.string())).to_batches(1 << 16)
+
+        for b in batches:
+            for block, lang, counts in zip(b.column("block").to_pylist(), b.column("lang").to_pylist(), b.column("counts")):
+                if (block, lang) != now:
+                    if lots:
+                        yield from out()
+                    now, lots = (block, lang), []
+                lots.append(_unpacked(counts.as_py()))
+                if sum(t.num_rows for t in lots[1:]) > lots[0].num_rows + limits[0]:
+                    lots = [merged(lots, names)]
+                    if lots[0].num_rows > 2 * limits[0]:
+                        yield from out()
+                        lots = []
+        if lots:
+            yield from out()
+
+    parts = docs.mapInArrow(count, "block long, lang string, counts binary").repartition(blocks, "block").sortWithinPartitions("block", "lang")
+    return parts.mapInArrow(add, "lang string, " + ", ".join(f"{w} binary" for w in names) + ", n long")
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:

@@ -181,6 +181,23 @@ def test_overfull_buckets_cut_less_never_wrongly(spark, rows, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == phrases(rows, 20, 2000, 100)
 
 
+def test_tasks_hand_on_tables_not_rows(spark):
+    # Every task has all the frequent pairs: rows for each of them would grow with the tasks.
+    rows = [(i, " ".join(f"w{(i + j) % 40}" for j in range(40)), "en", "s") for i in range(1200)]
+    docs = table(spark, rows).selectExpr("lang", "CAST(text AS BINARY) AS text")
+    assert all(collocations.windows(docs.repartition(tasks)).count() <= 80 for tasks in (2, 12))
+
+
+def test_windows_are_cut_by_every_order(spark):
+    # Six words in any order: triples are frequent, sequences of four and five words are not.
+    import random
+
+    draw = random.Random(1)
+    rows = [(i, " ".join(draw.choices("abcdef", k=200)), "en", "s") for i in range(200)]
+    found = collocations.windows(table(spark, rows).selectExpr("lang", "CAST(text AS BINARY) AS text"))
+    assert found.where("w3 <> ''").count() > 0 and found.where("w4 <> ''").count() == 0
+
+
 def test_shorter_phrases(spark, rows):
     got = collocations.collocations(table(spark, rows), longest=2, least=9)
     assert sorted(tuple(r) for r in got.collect()) == phrases(rows, 9, 2000, 100, 2)

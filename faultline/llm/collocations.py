@@ -14,14 +14,16 @@ candidate loses an occurrence, and few windows stay long.  The bitmaps of full b
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.store import materialise, shuffle_partitions
+from faultline.llm.store import materialise, packed, shuffle_partitions, unpacked
 
 LONGEST = 5
 LEAST = 100
@@ -33,7 +35,10 @@ LEAST_BITS, MOST_BITS = 16, 28
 BATCH_WORDS = 300_000
 KNOWN_WORDS = 300_000
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX_INT, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_MIX = np.uint64(_MIX_INT)
+#: Number of all words that are too rare for any phrase.
+RARE = 1
 #: Bits by which the buckets are fewer from the third order on, as few sequences get there; parts of the buckets that
 #: travel as a row; words whose hashes are stored as a row.
 FEWER_BITS = 2
@@ -42,24 +47,35 @@ ROW_WORDS = 1 << 15
 
 
 class _Words(dict):
-    """Numbers words as they come; 0 stands for the end of a piece."""
+    """Numbers words as they come; 0 stands for the end of a piece, ``RARE`` for every word that is not in a frequent
+    bucket of ``bitmap`` (without one, no word is).  Rare words are not remembered: most come once in a task."""
 
-    def __init__(self) -> None:
+    def __init__(self, lang: str, bitmap: np.ndarray | None) -> None:
         from xxhash import xxh64_intdigest
 
-        self.names: list[bytes] = [b""]
-        self.hashes, self.digest = [0], xxh64_intdigest
+        self.names: list[bytes] = [b"", b""]
+        self.hashes, self.digest = array("Q", [0, 0]), xxh64_intdigest
+        self.bitmap, self.salt = None if bitmap is None else memoryview(bitmap), self.digest(lang, 7)
+        self.shift = 0 if bitmap is None else 65 - (8 * len(bitmap)).bit_length()
 
     def __missing__(self, word: bytes) -> int:
+        hash_ = self.digest(word) or 1
+        if self.bitmap is not None:
+            h = hash_ ^ self.salt     # as in _Cuts
+            at = ((h ^ (h >> 31)) * _MIX_INT & _MASK) >> self.shift
+            if not self.bitmap[at >> 3] >> (at & 7) & 1:
+                return RARE
         self[word] = n = len(self.names)
         self.names.append(word)
-        self.hashes.append(self.digest(word) or 1)
+        self.hashes.append(hash_)
         return n
 
 
-def _streams(batches: Iterator[pa.RecordBatch], most: int, known: int) -> Iterator[tuple[str, _Words, np.ndarray, bool]]:
+def _streams(batches: Iterator[pa.RecordBatch], most: int, known: int,
+             bitmap: np.ndarray | None = None) -> Iterator[tuple[str, _Words, np.ndarray, bool]]:
     """Bounded streams ``(lang, words, word numbers with 0 after each piece, last)`` of the texts of a task: of
-    ``most`` words in all.  ``last``: the numbering of ``words`` ends here, as ``known`` are remembered in all."""
+    ``most`` words in all.  ``last``: the numbering of ``words`` ends here, as ``known`` are remembered in all.
+    ``bitmap`` tells which words are frequent; the others are all ``RARE``."""
     held: dict[str, tuple[_Words, list[int]]] = {}
     size = 0
 
@@ -73,7 +89,7 @@ def _streams(batches: Iterator[pa.RecordBatch], most: int, known: int) -> Iterat
             for piece in text.as_py().lower().translate(_BREAKS).split(b"\n"):
                 found = piece.split()
                 if found:
-                    words, ids = held.setdefault(lang, (_Words(), []))
+                    words, ids = held.get(lang) or held.setdefault(lang, (_Words(lang, bitmap), []))
                     ids.extend(map(words.__getitem__, found))
                     ids.append(0)
                     size += len(found)
@@ -156,7 +172,7 @@ class _Cuts:
         return kept
 
 
-def frequent_buckets(hashed: DataFrame, bits: int, least: int, below: list[np.ndarray]) -> np.ndarray:
+def frequent_buckets(hashed: DataFrame, bits: int, least: int, below: list[Broadcast]) -> np.ndarray:
     """Bitmap (little bit order) of the buckets that sequences of the next order hit ``least`` times or more, whose
     parts are frequent by the bitmaps ``below``; the first bitmap (pairs) takes in single words, too.  ``hashed``
     are the words by ``word_hashes``.
@@ -165,13 +181,12 @@ def frequent_buckets(hashed: DataFrame, bits: int, least: int, below: list[np.nd
     which tells as much); parts are summed up one at a time."""
     most, size = BATCH_WORDS, max(8, (1 << bits) // BLOCKS)
     kind = np.uint8 if least < 256 else np.uint32
-    shared = hashed.sparkSession.sparkContext.broadcast(below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, hashes in _stored(batches, most):
             cuts = _Cuts(lang, hashes)
-            if shared.value:
-                cuts.longer(cuts.follow(shared.value)[-1])
+            if below:
+                cuts.longer(cuts.follow([b.value for b in below])[-1])
                 found = cuts.buckets(bits)[cuts.starts]
             else:
                 single = cuts.buckets(bits)[cuts.starts]
@@ -208,25 +223,12 @@ def frequent_buckets(hashed: DataFrame, bits: int, least: int, below: list[np.nd
 
     hits = hashed.mapInArrow(count, "block long, buckets binary, n binary").repartition(BLOCKS, "block").sortWithinPartitions("block")
     bitmap = np.zeros(max(1 << bits, 8 * BLOCKS) // 8, dtype=np.uint8)
-    for row in hits.mapInArrow(add, "block long, bits binary").toLocalIterator():  # 2**MOST_BITS / 8 bytes at most
+    for row in materialise(hits.mapInArrow(add, "block long, bits binary"), "buckets").toLocalIterator():  # 2**MOST_BITS / 8 bytes at most
         part = np.frombuffer(row["bits"], dtype=np.uint8)
         bitmap[row["block"] * len(part):(row["block"] + 1) * len(part)] = part
     return bitmap[:(1 << bits) // 8]
 
 
-def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
-    """A table in Arrow's stream format."""
-    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays(columns, names)
-    with pa.ipc.new_stream(sink, batch.schema) as stream:
-        stream.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(raw: bytes) -> pa.Table:
-    with pa.ipc.open_stream(raw) as stream:
-        return stream.read_all()
-
-
 def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """Partial counts ``(lang, w1, ..., n)`` of the padded longest windows of ``docs(lang, text binary)``.
 
@@ -235,19 +237,18 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size * BITS_PER_BYTE, 1))), LEAST_BITS, MOST_BITS))
     hashed = materialise(word_hashes(docs), "hashes")
-    bitmaps: list[np.ndarray] = []
-    while len(bitmaps) < longest - 1:
-        fewer = bits if len(bitmaps) < 2 else max(bits - FEWER_BITS, LEAST_BITS)
-        bitmaps.append(frequent_buckets(hashed, fewer, least, bitmaps))
-    known = docs.sparkSession.sparkContext.broadcast(bitmaps)
+    known: list[Broadcast] = []  # each bitmap travels once
+    while len(known) < longest - 1:
+        fewer = bits if len(known) < 2 else max(bits - FEWER_BITS, LEAST_BITS)
+        known.append(docs.sparkSession.sparkContext.broadcast(frequent_buckets(hashed, fewer, least, known[:])))
     names, limits, blocks = [f"w{i + 1}" for i in range(longest)], (BATCH_WORDS, KNOWN_WORDS), max(BLOCKS, shuffle_partitions(docs.sparkSession))
 
     def merged(tables: list[pa.Table], keys: list[str]) -> pa.Table:
-        found = pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")])
+        found = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")])
         return pa.table([*(found[w] for w in keys), found["n_sum"]], [*keys, "n"]).combine_chunks()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = known.value
+        bitmaps = [b.value for b in known]
         alone: dict[str, np.ndarray] = {}    # windows of one word, while their words keep their numbers
         held: dict[str, list[pa.Table]] = {}  # longer windows
 
@@ -262,16 +263,16 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
                     at = order[a:z]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k], pa.int64()), pa.array([lang], pa.string()),
-                         pa.array([_packed([vocabulary.take(pa.array(c[at])) for c in columns] + [pa.array(n[at])], [*names, "n"])], pa.binary())],
+                         pa.array([packed(pa.RecordBatch.from_arrays([vocabulary.take(pa.array(c[at])) for c in columns] + [pa.array(n[at])], [*names, "n"]))], pa.binary())],
                         ["block", "lang", "counts"])
 
-        for lang, words, ids, last in _streams(batches, *limits):
+        for lang, words, ids, last in _streams(batches, *limits, bitmaps[0]):
             if len(ids):
                 cuts = _Cuts(lang, np.array(words.hashes, dtype=np.uint64)[ids])
                 single = cuts.frequent(bitmaps[0])
                 kept = cuts.follow(bitmaps)
                 linked = kept[0]
-                # Words that are too rare for any phrase are counted by number only, under 0.
+                # Words that are too rare for any phrase are counted by number only, under 0; no sequence goes across them.
                 lone = ~linked & (ids != 0)
                 counts = np.bincount(np.where(single[lone], ids[lone], 0), minlength=len(words.names))
                 before = alone.get(lang, counts[:0])
@@ -283,7 +284,7 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
                     order = min(lead, len(kept)) - 1      # the sequence of the highest order that ends at the lead
                     open_ &= kept[order][(starts + lead - order - 1) % len(ids)]
                     columns.append(np.where(open_, ids[(starts + lead) % len(ids)], 0))
-                lot = pa.table([*columns, np.ones(len(starts), dtype=np.int64)], [*names, "n"])
+                lot = pa.table([*(c.astype(np.int32) for c in columns), np.ones(len(starts), dtype=np.int64)], [*names, "n"])
                 lots = held.setdefault(lang, [])
                 lots.append(merged([lot], names))
                 # The first table is what was merged so far; the others join it when they have doubled it.
@@ -312,7 +313,7 @@ def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
                     if lots:
                         yield from out()
                     now, lots = (block, lang), []
-                lots.append(_unpacked(counts.as_py()))
+                lots.append(unpacked(counts.as_py()))
                 if sum(t.num_rows for t in lots[1:]) > lots[0].num_rows + limits[0]:
                     lots = [merged(lots, names)]
                     if lots[0].num_rows > 2 * limits[0]:

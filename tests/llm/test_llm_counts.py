@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from faultline.llm import collocations, exact_dedup, source_divergence
 
@@ -188,6 +189,22 @@ def test_tasks_hand_on_tables_not_rows(spark):
     assert all(collocations.windows(docs.repartition(tasks)).count() <= 200 for tasks in (2, 12))
 
 
+def test_rare_words_are_not_remembered():
+    # A worker remembers the words that may be in a phrase, however many others a task reads.
+    import numpy as np
+    import pyarrow as pa
+
+    frequent = collocations._Cuts("en", np.array([xxh64_intdigest(b"often")], dtype=np.uint64)).buckets(20)[0]
+    bitmap = np.zeros((1 << 20) // 8, dtype=np.uint8)
+    bitmap[frequent >> 3] |= 1 << (frequent & 7)
+    texts = [" often ".join(f"w{i}x{k}" for k in range(20)).encode() for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 100), pa.array(texts, pa.binary())], ["lang", "text"])
+    lots = list(collocations._streams(iter([batch]), 500, 1000, bitmap))
+    assert all(len(words) <= 10 for _, words, _, _ in lots) and [last for *_, last in lots].count(True) == 1
+    ids = np.concatenate([ids for _, _, ids, _ in lots])
+    assert (ids == lots[0][1][b"often"]).sum() == 1900 and (ids == collocations.RARE).sum() >= 1990 and (ids == 0).sum() == 100
+
+
 def test_windows_are_cut_by_every_order(spark):
     # Six words in any order: triples are frequent, sequences of four and five words are not.
     import random

@@ -1,16 +1,18 @@
 """Source divergence audit by chunk factorization.
 
 1. Chunks (runs without ASCII white space, A-Z lower-cased) are counted per document and combined
-   per (lang, chunk) into numbers of documents; partial counts meet by chunk.
+   per (lang, chunk) into numbers of documents.  Partial counts travel as tables, one for each part of the
+   chunks by hash, and are summed where they meet.
 2. Every globally distinct chunk is tokenized there, once.  A chunk that is a term itself needs no
    entry; for every other chunk its terms are kept as (chunk, term, times).
 3. A term's documents in a lang: at least those of its most widespread chunk, at most the sum over
    its chunks.  Terms whose sum stays below ``least`` are done with, and so are their chunks: the
    second count leaves them out by a bitmap of the chunks that are left (fixed largest size,
    ``MOST_BITS``; an overfull one lets more chunks through, and the joins drop them).
-4. The second count combines occurrences per (lang, source, chunk).  Terms are joined back and their
-   occurrences summed.  Where the two bounds leave it open whether a term reaches ``least``, its distinct
-   documents are counted, from (document, chunk) pairs of its chunks, which are all rare.
+4. The second count combines occurrences per (lang, source, chunk), again in tables by part.  Terms are joined
+   back and their occurrences summed.  Where the two bounds leave it open whether a term reaches ``least``, its
+   distinct documents are counted in the task that reads them: a document is in one task, so sums by (lang, term)
+   are handed on, not (document, chunk) pairs.
 5. Smoothed shares of the kept terms give each source's distance to every other source of its lang
    and the terms it uses more than the lang does.
 
@@ -20,6 +22,7 @@ All arithmetic is on integers and decimals.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.store import materialise
+from faultline.llm.store import by_part, materialise, met_parts, shuffle_partitions
 
 LEAST = 30
 SMOOTH = 5
@@ -43,6 +46,9 @@ SUMS = 4                  # sums (two numbers each) held for each chunk that may
 BITS_PER_CHUNK = 16
 LEAST_BITS, MOST_BITS = 16, 28
 _SEED = 42  # of Spark's xxhash64
+#: Parts of the chunks for each shuffle partition, and in all at least: a task takes one at a time.
+PARTS, LEAST_PARTS = 4, 1024
+_OUTSIDE = np.array([b == 0x20 for b in _TERM])  # bytes that are in no term
 _SLICE = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -64,18 +70,51 @@ class _Numbers(dict):
     def __init__(self, bitmap: bytes, bits: int) -> None:
         from xxhash import xxh64_intdigest
 
-        self.names, self.bitmap, self.mask, self.digest = [b""], bitmap, (1 << bits) - 1, xxh64_intdigest
+        self.bitmap, self.mask, self.digest = bitmap, (1 << bits) - 1, xxh64_intdigest
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.names, self.hashes = [b""], array("Q", [0])
 
     def __missing__(self, chunk: bytes) -> int:
-        at = self.digest(chunk, _SEED) & self.mask
+        hash_ = self.digest(chunk, _SEED)
+        at = hash_ & self.mask
         if not self.bitmap[at >> 3] >> (at & 7) & 1:
             self[chunk] = 0
             return 0
         self[chunk] = n = len(self.names)
         self.names.append(chunk)
+        self.hashes.append(hash_)
         return n
 
 
+class _Terms:
+    """The distinct terms, numbered as they come, of the chunks of a numbering whose bucket is in ``open_``."""
+
+    def __init__(self, known: _Numbers, open_: bytes) -> None:
+        self.known, self.open = known, open_
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.flat, self.ends = array("q"), array("q", [0])
+
+    def of(self, document: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (document, term) pairs of the words with the chunk numbers ``ids``."""
+        known = self.known
+        for k in range(len(self.ends), len(known.names)):
+            at = known.hashes[k] & known.mask
+            if self.open[at >> 3] >> (at & 7) & 1:
+                self.flat.extend({self.numbers.setdefault(t, len(self.numbers)) for t in known.names[k].translate(_TERM).split()})
+            self.ends.append(len(self.flat))
+        ends, flat = np.array(self.ends), np.array(self.flat)
+        first, many = np.r_[0, ends[:-1]], np.diff(ends, prepend=0)
+        follow = many[ids] > 0
+        document, chunk = _distinct(document[follow], ids[follow])
+        return _distinct(np.repeat(document, many[chunk]), flat[_ranges(first[chunk], many[chunk])])
+
+
 class _Sums:
     """Sums by an integer key: sorted arrays, merged whenever they have doubled."""
 
@@ -125,27 +164,35 @@ def _distinct(document: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def _by_group(sums: _Sums, known: _Numbers) -> Iterator[tuple[int, pa.Array, pa.Array]]:
-    """``(group, chunks, sums)`` from keys of group and chunk number."""
-    keys, values = sums.merge()
-    names = pa.array(known.names, pa.binary())
-    groups, first = np.unique(keys >> 32, return_index=True)
-    for g, a, z in zip(groups, first, [*first[1:], len(keys)]):
-        yield int(g), names.take(pa.array(keys[a:z] & 0xFFFFFFFF)), pa.array(values[a:z])
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``first``, first + 1, ... of each entry, ``many`` numbers each."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def _parts(docs: DataFrame) -> int:
+    return max(LEAST_PARTS, PARTS * shuffle_partitions(docs.sparkSession))
+
+
+def _met(parts: DataFrame) -> DataFrame:
+    return parts.repartition("part").sortWithinPartitions("part")
 
 
 def chunk_spread(docs: DataFrame, held: int = HELD) -> DataFrame:
-    """Partial counts ``(lang, chunk, documents)`` of ``docs(lang, text binary)``."""
+    """Partial counts ``(lang, chunk, n)``, n documents, of ``docs(lang, text binary)`` as tables by part of the chunks."""
+    parts = _parts(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         tables: dict[str, Counter] = {}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, table in tables.items():
-                yield pa.RecordBatch.from_arrays(
+                part = np.fromiter((xxh64_intdigest(c, _SEED) % parts for c in table), np.int64, len(table))
+                yield by_part(pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(table), pa.string()), pa.array(list(table), pa.binary()),
-                     pa.array(list(table.values()), pa.int64())], ["lang", "chunk", "documents"])
+                     pa.array(list(table.values()), pa.int64())], ["lang", "chunk", "n"]), part)
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
@@ -158,7 +205,31 @@ def chunk_spread(docs: DataFrame, held: int = HELD) -> DataFrame:
                     tables, size = {}, 0
         yield from out()
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, chunk binary, documents long")
+    return docs.select("lang", "text").mapInArrow(count, "part long, counts binary")
+
+
+def _split(met: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """``(lang, term, low, high)`` and ``(chunk, term, times)`` of a table of distinct ``(lang, chunk, n)``: chunks that
+    are a term by themselves have rows in the first only."""
+    chunk = met["chunk"].combine_chunks()
+    _, offsets, raw = chunk.buffers()
+    at = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + len(chunk) + 1].astype(np.int64)
+    outside = np.r_[0, np.cumsum(_OUTSIDE[np.frombuffer(raw, np.uint8)[at[0]:at[-1]]])]
+    mixed = np.flatnonzero(np.diff(outside[at - at[0]]))
+    alone = np.delete(np.arange(len(chunk)), mixed)
+
+    coded = chunk.take(pa.array(mixed)).dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy()
+    terms = [Counter(c.translate(_TERM).split()) for c in names.to_pylist()]
+    many = np.array([len(t) for t in terms], dtype=np.int64)
+    flat = pa.array([t for of in terms for t in of], pa.binary())
+    times = pa.array([n for of in terms for n in of.values()], pa.int64())
+    parts = pa.table([names.take(pa.array(np.repeat(np.arange(len(names)), many))), flat, times], ["chunk", "term", "times"])
+
+    row, of = np.r_[alone, np.repeat(mixed, many[code])], _ranges((np.cumsum(many) - many)[code], many[code])
+    n = met["n"].take(pa.array(row))
+    term = pa.chunked_array([chunk.take(pa.array(alone)), flat.take(pa.array(of))])
+    return pa.table([met["lang"].take(pa.array(row)), term, n, n], ["lang", "term", "low", "high"]), parts
 
 
 def tokenize(spread: DataFrame, held: int = HELD) -> DataFrame:
@@ -166,57 +237,33 @@ def tokenize(spread: DataFrame, held: int = HELD) -> DataFrame:
 
     low and high bound the term's documents by the chunks seen in one place; ``chunk`` and ``times`` are
     set in rows of their own (without lang) for chunks that are not a term by themselves."""
+    schema = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("low", pa.int64()), ("high", pa.int64()),
+                        ("chunk", pa.binary()), ("times", pa.int64())])
+
+    def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = [table[f.name] if f.name in table.column_names else pa.nulls(table.num_rows, f.type) for f in schema]
+        yield from pa.table(columns, schema=schema).to_batches(1 << 16)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds: dict[str, dict[bytes, list[int]]] = {}
-        parts: list[tuple[bytes, bytes, int]] = []
-        now, of_lang, size = None, {}, 0
-
-        def close() -> int:
-            if now is None:
-                return 0
-            terms = now.translate(_TERM).split()
-            if terms != [now]:
-                terms = Counter(terms)
-                parts.extend((now, term, times) for term, times in terms.items())
-            for lang, n in of_lang.items():
-                table = bounds.setdefault(lang, {})
-                for term in terms:
-                    seen = table.get(term)
-                    if seen is None:
-                        table[term] = [n, n]
-                    else:
-                        seen[0] = max(seen[0], n)
-                        seen[1] += n
-            return len(terms) * (len(of_lang) + 1)
+        bounds: list[pa.Table] = []
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            names = ["lang", "term", "low", "high", "chunk", "times"]
-            for lang, table in bounds.items():
-                n, seen = len(table), list(table.values())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array(list(table), pa.binary()), pa.array([s[0] for s in seen], pa.int64()),
-                     pa.array([s[1] for s in seen], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
-            if parts:
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.string()), pa.array([p[1] for p in parts], pa.binary()), pa.nulls(n, pa.int64()),
-                     pa.nulls(n, pa.int64()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.int64())], names)
+            found = pa.concat_tables(bounds).group_by(["lang", "term"], use_threads=False).aggregate([("low", "max"), ("high", "sum")])
+            yield from rows(found.select(["lang", "term", "low_max", "high_sum"]).rename_columns(["lang", "term", "low", "high"]))
 
-        for b in batches:
-            for lang, chunk, n in zip(*(b.column(c).to_pylist() for c in ("lang", "chunk", "documents"))):
-                if chunk != now:
-                    size += close()
-                    now, of_lang = chunk, {}
-                    if size > held:
-                        yield from out()
-                        bounds, parts, size = {}, [], 0
-                of_lang[lang] = of_lang.get(lang, 0) + n
-        close()
-        yield from out()
+        for met in met_parts(batches, held):
+            of_lang, parts = _split(met)
+            yield from rows(parts)
+            bounds.append(of_lang)
+            size += of_lang.num_rows
+            if size > held:
+                yield from out()
+                bounds, size = [], 0
+        if bounds:
+            yield from out()
 
-    met = spread.repartition("chunk").sortWithinPartitions("chunk")
-    return met.mapInArrow(split, "lang string, term binary, low long, high long, chunk binary, times long")
+    return _met(spread).mapInArrow(split, "lang string, term binary, low long, high long, chunk binary, times long")
 
 
 def _bucket(chunk: Column, bits: int) -> Column:
@@ -234,44 +281,50 @@ def _bitmap(chunks: DataFrame, bits: int) -> bytes:
 
 
 def chunk_counts(docs: DataFrame, chunks: DataFrame, held: int = HELD) -> DataFrame:
-    """Partial counts ``(lang, source, chunk, occurrences)`` of ``docs(lang, source, text binary)`` for the given
-    ``chunks(chunk, open)`` and a few others, and a row ``(lang, chunk, row)`` for every document (by number) that
-    holds an ``open`` chunk."""
-    rows = docs.select("lang", "source", F.monotonically_increasing_id().alias("row"), "text")
+    """``(lang, source, name, n)`` of ``docs(lang, source, text binary)``: the occurrences of the given
+    ``chunks(chunk, open)`` and a few others, and in rows without source the documents that hold a term of an
+    ``open`` chunk.  Counts of a name meet in one place."""
+    docs = docs.select("lang", "source", "text")
     bits = int(np.clip(np.ceil(np.log2(max(chunks.count() * BITS_PER_CHUNK, 1))), LEAST_BITS, MOST_BITS))
-    spark, most = docs.sparkSession, BATCH_WORDS
+    spark, most, parts = docs.sparkSession, BATCH_WORDS, _parts(docs)
     wanted = spark.sparkContext.broadcast((_bitmap(chunks, bits), _bitmap(chunks.where("open"), bits)))
 
+    def table(groups: list[tuple], sums: _Sums, names: list[bytes], hashes: np.ndarray) -> pa.RecordBatch:
+        """The sums, by group and number of a name, as tables by part."""
+        keys, values = sums.merge()
+        group, at = pa.array(keys >> 32), keys & 0xFFFFFFFF
+        return by_part(pa.RecordBatch.from_arrays(
+            [pa.array([g[0] for g in groups], pa.string()).take(group), pa.array([g[1] for g in groups], pa.string()).take(group),
+             pa.array(names, pa.binary()).take(pa.array(at)), pa.array(values)], ["lang", "source", "name", "n"]),
+            (hashes[at] % np.uint64(parts)).astype(np.int64))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, open_ = wanted.value
-        columns = ["lang", "source", "chunk", "occurrences", "row"]
-        known, sums, groups, traced = _Numbers(bitmap, bits), _Sums(), {}, [False]
+        known, sums, found, groups, langs = _Numbers(bitmap, bits), _Sums(), _Sums(), {}, {}
+        terms = _Terms(known, open_)
         for rows, document, ids, last in _documents(batches, known, most, held):
-            group = np.array([groups.setdefault(row[:2], len(groups)) for row in rows], dtype=np.int64)
+            group = np.array([groups.setdefault(row, len(groups)) for row in rows], dtype=np.int64)
+            lang = np.array([langs.setdefault((row[0], None), len(langs)) for row in rows], dtype=np.int64)
             document, ids = document[ids > 0], ids[ids > 0]
-            key, n = np.unique(group[document] << 32 | ids, return_counts=True)
-            sums.add(key, n)
-            traced.extend(bool(open_[at >> 3] >> (at & 7) & 1) for at in (
-                known.digest(name, _SEED) & known.mask for name in known.names[len(traced):]))
-            follow = np.array(traced)[ids]
-            document, chunk = _distinct(document[follow], ids[follow])
-            if len(chunk):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[d][0] for d in document], pa.string()), pa.nulls(len(chunk), pa.string()),
-                     pa.array([known.names[c] for c in chunk], pa.binary()), pa.nulls(len(chunk), pa.int64()),
-                     pa.array([rows[d][2] for d in document], pa.int64())], columns)
-            if last or sums.size > SUMS * held:
-                names = list(groups)
-                for g, chunks, n in _by_group(sums, known):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[g][0]] * len(n), pa.string()), pa.array([names[g][1]] * len(n), pa.string()), chunks, n,
-                         pa.nulls(len(n), pa.int64())], columns)
-                sums = _Sums()
+            sums.add(*np.unique(group[document] << 32 | ids, return_counts=True))
+            document, term = terms.of(document, ids)
+            found.add(*np.unique(lang[document] << 32 | term, return_counts=True))
+            if last or sums.size + found.size > SUMS * held:
+                if sums.size:
+                    yield table(list(groups), sums, known.names, np.array(known.hashes))
+                if found.size:
+                    names = list(terms.numbers)
+                    yield table(list(langs), found, names, np.fromiter((known.digest(t, _SEED) for t in names), np.uint64, len(names)))
+                sums, found = _Sums(), _Sums()
             if last:
                 known.clear()
-                known.names, traced = [b""], [False]
+                terms.clear()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in met_parts(batches, held):
+            yield from met.to_batches(1 << 16)
 
-    return rows.mapInArrow(count, "lang string, source string, chunk binary, occurrences long, row long")
+    return _met(docs.mapInArrow(count, "part long, counts binary")).mapInArrow(add, "lang string, source string, name binary, n long")
 
 
 def term_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -288,15 +341,13 @@ def term_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     open_ = bounds.where(F.col("low") < least).select("lang", "term")
     wanted = terms.join(open_.select("term").distinct().withColumn("open", F.lit(True)), "term", "left")
     wanted = materialise(wanted.groupBy("chunk").agg(F.max(F.coalesce("open", F.lit(False))).alias("open")), "wanted")
-    # Counts meet their chunk's terms in one shuffle and are summed by term where they met, then once more.
-    counts = chunk_counts(docs, wanted).join(terms.hint("shuffle_hash"), "chunk").groupBy("lang", "source", "term", "row").agg(
-        F.sum(F.col("occurrences") * F.col("times")).alias("n"))
-    counts = materialise(counts, "counts")
-    counted = (counts.where("row IS NOT NULL").select("lang", "term", "row").distinct().join(open_, ["lang", "term"])
-               .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("documents")))
+    counts = materialise(chunk_counts(docs, wanted), "counts")
+    counted = (counts.where("source IS NULL").select("lang", F.col("name").alias("term"), "n").join(open_, ["lang", "term"])
+               .groupBy("lang", "term").agg(F.sum("n").alias("documents")))
     kept = bounds.where(F.col("low") >= least).select("lang", "term").union(
         counted.where(F.col("documents") >= least).select("lang", "term"))
-    found = counts.where("row IS NULL")
+    found = counts.where("source IS NOT NULL").withColumnRenamed("name", "chunk").join(terms, "chunk").groupBy("lang", "source", "term").agg(
+        F.sum(F.col("n") * F.col("times")).alias("n"))
     return found.join(materialise(kept, "kept"), ["lang", "term"]).select("lang", "source", F.col("term").cast("string").alias("term"), "n")
 
 

@@ -82,6 +82,21 @@ def test_documents_of_a_term_in_several_chunks(spark):
     assert source_divergence.term_counts(docs, 13).count() == 0
 
 
+def test_counts_of_a_chunk_meet_before_they_are_rows(spark):
+    # Every task has every chunk: a row for each would grow with the tasks, and one for each document with them.
+    rows = [(i, "Ab, (ab) \u0085\u00a0x other", "en", f"s{i % 2}") for i in range(48)]
+    docs = table(spark, rows).selectExpr("lang", "source", "CAST(text AS BINARY) AS text").repartition(12)
+    spread = source_divergence.chunk_spread(docs)
+    assert spread.count() <= 12 * 4
+    found = {(r.lang, bytes(r.term)): (r.low, r.high) for r in source_divergence.tokenize(spread).where("chunk IS NULL").groupBy("lang", "term").agg(
+        F.max("low").alias("low"), F.sum("high").alias("high")).collect()}
+    assert found == {("en", b"ab"): (48, 96), ("en", b"other"): (48, 48), ("en", "\u0085\u00a0x".encode()): (48, 48)}
+    chunks = spark.createDataFrame([(bytearray(b"ab,"), True), (bytearray(b"(ab)"), True), (bytearray(b"other"), False)], "chunk binary, open boolean")
+    counts = [tuple(r) for r in source_divergence.chunk_counts(docs, chunks).collect()]
+    assert sorted(((s or "", bytes(name), n) for _, s, name, n in counts if name != "\u0085\u00a0x".encode())) == [
+        ("", b"ab", 48), *((s, c, 24) for s in ("s0", "s1") for c in (b"(ab)", b"ab,", b"other"))]
+
+
 def test_long_texts_are_sliced(monkeypatch):
     text = ("The of\tzu\n" * 500 + "x" * 300).encode()
     whole = [Counter(s) for s in source_divergence._slices(text)]

@@ -95,3 +95,34 @@ def test_bound_contents_are_made_by_code_that_is_compiled(spark, monkeypatch):
     assert got[4].startswith("- name: t1\n  zfs:\n".replace("zfs", binding.MODULES[323 % 3 * 5 + 1]) + "    src: [f323\n\twhen: a == 1\n- name: e1\n")
     assert got[4].endswith("  when: b3 < 1 and b4 >= 2\n- hosts: w1\n\n\n".replace("  when", "\twhen"))
     assert "\n\tnode_templates" in got[6] and 'type: "my.nodes' in got[6] and "  t.N2: root" in got[6]
+
+
+def test_steps_drop_their_shuffles_and_hash_small_partitions(spark):
+    materialise(spark.range(10), "any")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    a = spark.range(3000).selectExpr("cast(id as string) AS k", "id AS a").repartition(3)
+    b = spark.range(3000).selectExpr("cast(id as string) AS k", "id AS b").repartition(3)
+    limit = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    was = spark.conf.get(limit, None)
+    spark.conf.set(limit, "-1")
+    try:
+        joined = a.join(b, "k")
+        assert len(joined.collect()) == 3000 and "ShuffledHashJoin" in plan_of(joined)
+    finally:
+        spark.conf.set(limit, was) if was else spark.conf.unset(limit)
+
+
+def test_positions_in_one_bucket_are_shuffled_once(spark):
+    from faultline.operators.ordered import prefix_agg, spans_one_bucket
+
+    df = spark.range(40).selectExpr("id % 3 AS k", "CASE WHEN id % 7 = 0 THEN NULL ELSE id DIV 4 - 2 END AS o", "id AS v")
+    assert spans_one_bucket(df, "o") and not spans_one_bucket(df, "o", width=9) and spans_one_bucket(df.limit(0), "o")
+    for how in ("sum", "min", "max"):
+        for inclusive in (False, True):
+            whole = prefix_agg(df, "k", "o", "v", how, "out", inclusive, whole=True)
+            twice = prefix_agg(whole, "k", "o", "v", how, "more", inclusive, whole=True, placed=True)
+            assert plan_of(twice).count("Exchange") == 1
+            want = prefix_agg(df.where("o IS NOT NULL"), "k", "o", "v", how, "out", inclusive, width=4)
+            got = twice.where("o IS NOT NULL")
+            assert sorted(map(tuple, got.select("v", "out").collect()), key=str) == sorted(map(tuple, want.select("v", "out").collect()), key=str)
+            assert got.where("NOT out <=> more").count() == 0

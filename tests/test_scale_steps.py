@@ -126,3 +126,17 @@ def test_positions_in_one_bucket_are_shuffled_once(spark):
             got = twice.where("o IS NOT NULL")
             assert sorted(map(tuple, got.select("v", "out").collect()), key=str) == sorted(map(tuple, want.select("v", "out").collect()), key=str)
             assert got.where("NOT out <=> more").count() == 0
+
+
+def test_ranges_meet_points_without_shuffling_rows(spark):
+    from faultline.operators.ordered import join_range
+
+    points = [("r", i, f"c{i}") for i in range(0, 300, 2)] + [("r", 130, "again"), ("s", 5, "s5"), ("r", None, "none")]
+    ranges = [("r", "a", 3, 290), ("r", "b", 128, 130), ("r", "c", 7, 6), ("s", "d", -70, 5), ("q", "e", 0, 9), ("r", "f", None, 4)]
+    at = spark.createDataFrame(points, "repo string, idx long, hash string")
+    df = spark.createDataFrame(ranges, "repo string, name string, lo long, hi long")
+    made = join_range(df, F.col("lo"), F.col("hi"), at, "repo", "idx")
+    want = sorted((r, n, i, h) for r, n, lo, hi in ranges if lo is not None for p, i, h in points if p == r and i is not None and lo <= i <= hi)
+    assert sorted((r.repo, r.name, r.idx, r.hash) for r in made.collect()) == want
+    plan = plan_of(made)
+    assert plan.index("Generate") < plan.index("Exchange")     # the rows of the result are made above every shuffle

@@ -140,3 +140,26 @@ def test_ranges_meet_points_without_shuffling_rows(spark):
     assert sorted((r.repo, r.name, r.idx, r.hash) for r in made.collect()) == want
     plan = plan_of(made)
     assert plan.index("Generate") < plan.index("Exchange")     # the rows of the result are made above every shuffle
+
+
+def test_lines_of_an_event_become_runs_in_its_block():
+    import pyarrow as pa
+
+    from faultline.operators.line_identity import ADDED, DELETED, EVENT, _batch, _COLUMNS, _replay, runs
+
+    def line(at, kind, lo, life="f@0"):
+        return ("r", life, at, kind, lo, 1, 0, None, None, None)
+
+    rows = [("r", "f@0", 5, EVENT, 0, 0, 4, None, None, None), *[line(5, DELETED, n) for n in (2, 3, 3, 7)],
+            *[line(5, ADDED, n) for n in (2, 8, 9)], line(6, ADDED, 10), line(6, ADDED, 11, "g@0")]
+    got = [tuple(r.values()) for r in runs(_batch(rows)).to_pylist()]
+    assert [(r[1], r[2], r[3], r[4], r[5]) for r in got] == [
+        ("f@0", 5, EVENT, 0, 0), ("f@0", 5, DELETED, 2, 2), ("f@0", 5, DELETED, 7, 1), ("f@0", 5, ADDED, 2, 1), ("f@0", 5, ADDED, 8, 2),
+        ("f@0", 6, ADDED, 10, 1), ("g@0", 6, ADDED, 11, 1)]
+    # The same answers wherever a batch ends.
+    first = [("r", "f@0", 0, EVENT, 0, 0, 1, None, None, None), *[line(0, ADDED, n) for n in range(1, 10)]]
+    whole = [pa.Table.from_batches(_replay(40)(iter([_batch(first + rows)]))).to_pylist()]
+    for cut in range(1, len(first + rows)):
+        parts = [_batch((first + rows)[:cut]), _batch((first + rows)[cut:])]
+        whole.append(pa.Table.from_batches(_replay(40)(iter(parts))).to_pylist())
+    assert whole[0] and all(w == whole[0] for w in whole) and list(whole[0][0]) == _COLUMNS

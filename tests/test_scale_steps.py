@@ -163,3 +163,20 @@ def test_lines_of_an_event_become_runs_in_its_block():
         parts = [_batch((first + rows)[:cut]), _batch((first + rows)[cut:])]
         whole.append(pa.Table.from_batches(_replay(40)(iter(parts))).to_pylist())
     assert whole[0] and all(w == whole[0] for w in whole) and list(whole[0][0]) == _COLUMNS
+
+
+def test_events_of_windows_are_joined_once(spark, monkeypatch):
+    from faultline.operators import process
+    from faultline.operators.snapshot import checkpoint_axis
+
+    stored = []
+    monkeypatch.setattr(process, "materialise", lambda df, name: stored.append(name) or materialise(df, name))
+    files = spark.createDataFrame([("r", f"c{i}", i, 0, "MODIFY", "a", "a", i, 1, 1) for i in range(4)],
+                                  "repo string, commit_hash string, idx long, pos int, change_type string, old_path string, "
+                                  "new_path string, additions long, deletions long, hunks int")
+    commits = spark.createDataFrame([("r", f"c{i}", i, "dev") for i in range(4)], "repo string, commit_hash string, idx long, author string")
+    lives = files.selectExpr("repo", "commit_hash", "pos", "'a@-1' AS life")
+    cps = spark.createDataFrame([("r", 1, 0), ("r", 3, 1)], "repo string, idx long, rel_no long")
+    got = process.process_metrics(files, commits, checkpoint_axis(commits, cps), lives)
+    assert stored == ["touched"]
+    assert sorted((r.rel_no, r.commits_count, r.additions) for r in got.collect()) == [(0, 1, 1), (1, 3, 6)]

@@ -180,3 +180,27 @@ def test_events_of_windows_are_joined_once(spark, monkeypatch):
     got = process.process_metrics(files, commits, checkpoint_axis(commits, cps), lives)
     assert stored == ["touched"]
     assert sorted((r.rel_no, r.commits_count, r.additions) for r in got.collect()) == [(0, 1, 1), (1, 3, 6)]
+
+
+def test_deltas_take_the_greatest_path_of_the_row_before(spark):
+    from faultline.plans.dataset import add_deltas
+
+    rows = [("r", "l", 0, "a", 1), ("r", "l", 0, "b", 5), ("r", "l", 2, "b", 7), ("r", "l", 3, "b", None), ("r", "m", 1, "c", 2)]
+    df = spark.createDataFrame(rows, "repo string, life string, rel_no long, filepath string, m long")
+    out = add_deltas(df, ["m"], ["repo", "life"])
+    assert out.columns == ["repo", "life", "rel_no", "filepath", "m", "delta_m"]
+    assert plan_of(out).count("Exchange") == 1
+    assert sorted((r.rel_no, r.filepath, r.delta_m) for r in out.where("life = 'l'").collect()) == [
+        (0, "a", None), (0, "b", None), (2, "b", 2.0), (3, "b", -7.0)]
+
+
+def test_slots_of_lives_without_a_fix_are_not_followed(spark):
+    from faultline.operators.blame import blame
+
+    lines = [("r", "c0", 0, 0, "added", 1), ("r", "c1", 1, 0, "deleted", 1), ("r", "c1", 1, 1, "deleted", 1), ("r", "c0", 0, 1, "added", 1)]
+    diff = spark.createDataFrame(lines, "repo string, commit_hash string, idx long, pos int, side string, line_no int")
+    lives = diff.selectExpr("repo", "commit_hash", "idx", "pos", "concat('f', pos) AS life")
+    blamed = blame(spark.createDataFrame([("r", "c1", 0)], "repo string, commit_hash string, pos int"), diff, lives)
+    assert [tuple(r) for r in blamed.collect()] == [("r", "c1", 0, "f0", 1, 0)]
+    exchanges = [line for line in plan_of(blamed).split("== Initial Plan ==")[0].splitlines() if "Exchange hash" in line and "line_no" in line.split("(")[1]]
+    assert len(exchanges) <= 1
